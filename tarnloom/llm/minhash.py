@@ -220,7 +220,7 @@ def _compare(leaves: DataFrame, threshold: float, last: bool) -> DataFrame:
         yield from close()
 
     parts = shuffle_parts(leaves.sparkSession)
-    return leaves.repartition(parts, "node").sortWithinPartitions("node").mapInArrow(run, "a long, b long, node long")
+    return leaves.repartition(parts, "node").sortWithinPartitions("node", "doc").mapInArrow(run, "a long, b long, node long")
 
 
 def candidate_groups(reps: DataFrame, threshold: float, recall: float, seed: int, start: int = 3, depth: int = 8) -> DataFrame:

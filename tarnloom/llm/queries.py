@@ -3,18 +3,143 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import minhash
-from .common import table
+from . import embeddings, fingerprint, langid, minhash, mixing, packing, quality, secrets, toxicity, warc
+from .common import held_out, table
+
+#: Target weights of the tree domain, language, source: parts among siblings; names that aren't listed count 100.
+DOMAIN_WEIGHTS = {"web": 300, "books": 100}
+LANG_WEIGHTS = {"en": 400, "de": 250, "fr": 200, "es": 150}
+SOURCE_WEIGHTS = {"src0": 200}
+
+
+def source_tree() -> dict:
+    """Levels of the documents' tree. Sources numbered below 10 stand for the web, the others for books."""
+    number = F.try_to_number(F.regexp_extract("source", r"^src(\d+)$", 1), F.lit("999999")) if hasattr(F, "try_to_number") else F.expr(r"try_cast(regexp_extract(source, '^src(\\d+)$', 1) as int)")
+    domain = F.when(number < 10, "web").when(number.isNotNull(), "books").otherwise("unknown")
+    return {"domain": domain, "lang": F.col("lang"), "source": F.col("source")}
+
+
+def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
+def op2_quality_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), at=0.3)
+
+
+def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    ratios = secrets.fit_ratios(secrets.corpus_samples(docs).union(secrets.rule_samples(docs)))
+    found = secrets.scan(docs, ratios)
+    return found.select("doc_id", *[F.size(k).cast("long").alias(f"n_{k}") for k in secrets.KINDS], F.sha2(secrets.listed(secrets.KINDS[:3]), 256).alias("base_sha256"), secrets.listed(secrets.KINDS).alias("spans"))
+
+
+def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"), source_tree(), [DOMAIN_WEIGHTS, LANG_WEIGHTS, SOURCE_WEIGHTS])
+
+
+def op5_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return langid.identify(docs, langid.fit(docs.filter(~held_out())))
 
 
 def op7_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), words=2, percent=80)
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score_toxicity(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
+def op9_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.fingerprint_edits(table(spark, sf_dir, "documents"))
+
+
+def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_vectors(table(spark, sf_dir, "embeddings"), cosine=0.98)
+
+
 def queries() -> dict:
-    return {"op7_minhash_dedup": op7_minhash_dedup}
+    return {k: v for k, v in globals().items() if k.startswith("op") and k[2].isdigit()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_source_mixing": _MIXING, "op5_warc_round_trip": _WARC, "op7_minhash_dedup": _MINHASH, "op10_embedding_dedup": _EMBEDDINGS}
+
+
+_WARC = """
+with p as (select page_id, encode(coalesce(html, '')) as b, sha1(coalesce(html, '')) as d from pages),
+f as (select d, max(page_id) as first from p where octet_length(b) >= 1000 group by d)
+select page_id, octet_length(b)::bigint as payload_bytes, p.d as payload_digest,
+  case when first is null or first = page_id then 'response' else 'revisit' end as record_type,
+  case when first <> page_id then first end as refers_to
+from p left join f on p.d = f.d and octet_length(b) >= 1000
+"""
+
+_EMBEDDINGS = """
+with recursive v as (select vec_id, label, embedding::double[] as e from embeddings
+  where label is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0 and list_dot_product(embedding::double[], embedding::double[]) > 0),
+links as (select a.vec_id as a, b.vec_id as b from v a join v b on a.label = b.label and a.vec_id <> b.vec_id
+  where list_dot_product(a.e, b.e) / sqrt(list_dot_product(a.e, a.e) * list_dot_product(b.e, b.e)) >= 0.98),
+reach(id, r) as (select vec_id, vec_id from embeddings union select l.b, reach.r from reach join links l on l.a = reach.id),
+c as (select id, min(r) as component_id from reach group by id),
+n as (select a, count(*) as n from links group by a)
+select vec_id, coalesce(n, 0)::bigint as n_links, component_id, vec_id = component_id as kept
+from embeddings join c on c.id = vec_id left join n on n.a = vec_id
+"""
+
+_MINHASH = r"""
+with recursive w as (select doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') as w from documents),
+s as (select doc_id, case when len(w) = 0 then [] when len(w) = 1 then w else list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) end as s from w),
+u as (select doc_id, len(s) as n, unnest(s) as h from s),
+df as (select h, count(*) as f from u group by h),
+o as (select doc_id, n, u.h, row_number() over (partition by doc_id order by f, u.h) as k from u join df on df.h = u.h),
+pre as (select doc_id, n, h from o where k <= n - ceil(0.8 * n) + 1),
+cand as (select distinct a.doc_id as a, b.doc_id as b, a.n as na, b.n as nb from pre a join pre b on a.h = b.h and a.doc_id < b.doc_id where 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n)),
+both_ as (select a, b, na, nb, count(*) as i from cand join u x on x.doc_id = a join u y on y.doc_id = b and y.h = x.h group by a, b, na, nb),
+l as (select a, b from both_ where 100 * i >= 80 * (na + nb - i)),
+links as (select a, b from l union all select b, a from l),
+reach(id, r) as (select doc_id, doc_id from s union select links.b, reach.r from reach join links on links.a = reach.id),
+c as (select id, min(r) as component_id from reach group by id)
+select doc_id, len(s)::bigint as n_shingles, component_id, doc_id = component_id as kept from s join c on c.id = doc_id
+"""
+
+
+def _parts(weights: dict[str, int], column: str) -> str:
+    return f"case {' '.join(f'when {column} = {k!r} then {v}' for k, v in weights.items())} else 100 end::bigint"
+
+
+def _poured(name: str, children: str, parent: str, child: str) -> str:
+    """Water-filling of each parent's budget over its children (columns of both, capacity, weight, budget)."""
+    by, order = f"partition by {parent}", f"partition by {parent} order by capacity / weight, {child}"
+    return f"""
+{name}_o as (select *, sum(capacity) over ({order}) - capacity as before, sum(weight) over ({by}) - sum(weight) over ({order}) + weight as open from {children}),
+{name}_f as (select *, capacity::decimal(38,0) * open <= (budget - before)::decimal(38,0) * weight as is_full from {name}_o),
+{name}_t as (select *, sum(case when is_full then capacity else 0 end) over ({by}) as taken, sum(case when is_full then 0 else weight end) over ({by}) as open_weight from {name}_f),
+{name} as (select *, case when is_full then capacity else greatest(0, least(capacity, ((budget - taken)::hugeint * weight::hugeint) // open_weight::hugeint)) end::bigint as alloc from {name}_t)"""
+
+
+_MIXING = rf"""
+with t as (select doc_id, coalesce(case when regexp_full_match(source, 'src[0-9]+') then case when try_cast(source[4:] as int) < 10 then 'web' else 'books' end end, 'unknown') as domain,
+    coalesce(lang, 'unknown') as lang, coalesce(source, 'unknown') as source, len(regexp_extract_all(coalesce(text, ''), '[^ \t\n\r]+'))::bigint as n_tokens, md5(coalesce(text, '')) as h from documents),
+r as (select * from t where n_tokens > 0),
+leaf as (select domain, lang, source, sum(n_tokens)::bigint as tokens from r group by all),
+d_in as (select 0 as root, domain, (2 * sum(tokens))::bigint as capacity, {_parts(DOMAIN_WEIGHTS, "domain")} as weight, (select (sum(tokens) * 4 // 5)::bigint from leaf) as budget from leaf group by domain),
+{_poured("d", "d_in", "root", "domain")},
+l_in as (select x.domain, x.lang, (2 * sum(tokens))::bigint as capacity, {_parts(LANG_WEIGHTS, "x.lang")} as weight, any_value(d.alloc) as budget from leaf x join d on d.domain = x.domain group by x.domain, x.lang),
+{_poured("l", "l_in", "domain", "lang")},
+s_in as (select x.domain, x.lang, x.source, tokens, 2 * tokens as capacity, {_parts(SOURCE_WEIGHTS, "x.source")} as weight, l.alloc as budget from leaf x join l on l.domain = x.domain and l.lang = x.lang),
+{_poured("s", "s_in", "domain, lang", "source")},
+plan as (select domain, lang, source, tokens, (alloc // tokens)::int as n_full, alloc % tokens as rest from s),
+e as (select r.*, n_full, rest, unnest(range(0, n_full + 1)) as epoch from r join plan using (domain, lang, source)),
+k as (select *, sum(n_tokens) over (partition by domain, lang, source, epoch order by md5('11:' || epoch || ':' || doc_id), h, doc_id rows unbounded preceding) - n_tokens as before from e)
+select doc_id, domain, lang, source, epoch::int as epoch, n_tokens, (case when epoch < n_full then n_tokens else least(n_tokens, rest - before) end)::bigint as taken
+from k where epoch < n_full or before < rest
+"""
