@@ -85,8 +85,8 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.98, recall: float = 0.999
 
     Vectors that are null, empty, zero, or hold a null or non-finite component, and rows without a label or an id, are linked
     with nothing: n_links 0, component_id their own id, kept. Vectors of different length are never linked. Equal vectors
-    of one label form a class, are linked with each other and are never expanded into pairs. Rows that repeat an id
-    count as vectors of their own in n_links. Recall is the chance that a pair exactly at the cosine is met; closer pairs are
+    of one label form a class, are linked with each other and are never expanded into pairs. Rows that share an id
+    are one vector with several positions, whose links add up; each row that repeats a position counts as one more vector. Recall is the chance that a pair exactly at the cosine is met; closer pairs are
     met likelier. Buckets of more than BLOCK vectors are compared block by block.
     """
     spark = vectors.sparkSession
@@ -110,7 +110,7 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.98, recall: float = 0.999
                 x = x / np.abs(x).max(1, keepdims=True)
                 x = x / np.sqrt((x * x).sum(1, keepdims=True))
                 cell = np.floor((x @ a + b) / WIDTH).astype(np.int64).reshape(-1, tables, k)
-                code = np.tile(np.arange(1, tables + 1, dtype=np.uint64), (len(x), 1)) ^ mix64(batch.column("lh").to_numpy().view(np.uint64))[:, None]
+                code = mix64(np.arange(1, tables + 1, dtype=np.uint64) ^ mix64(batch.column("lh").to_numpy().view(np.uint64))[:, None])
                 for j in range(k):
                     code = mix64(code ^ cell[:, :, j].view(np.uint64))
                 codes = code.view(np.int64)
