@@ -41,13 +41,18 @@ def new_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex[:12]}"
 
 
-def stage(df: DataFrame, label: str) -> DataFrame:
-    """Write df in the shared folder and read it back.
+ROWS_A_FILE = 250_000
+
+
+def stage(df: DataFrame, label: str, rows: int | None = None) -> DataFrame:
+    """Write df in the shared folder and read it back; with a bound on its narrow rows, in no more files than they need.
 
     This cuts lineage in a way that survives lost executors. Both sides of a later join are then
     plain scans, so adaptive execution can split a hot key.
     """
     spark, path = df.sparkSession, new_path(df.sparkSession, label)
+    if rows is not None:
+        df = df.coalesce(max(4, -(-rows // ROWS_A_FILE)))
     df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._staged_at = path
@@ -63,6 +68,20 @@ def discard(*frames: DataFrame) -> None:
             at.getFileSystem(conf).delete(at, True)
 
 
+def hash_sample(rows: DataFrame, most: int, id_col: str = "doc_id") -> DataFrame:
+    """At most `most` rows, those with the smallest hashes of the id (then smallest ids), in that order.
+
+    A cut on the hash first leaves little more than the wanted rows, so the final sort stays small on any input.
+    """
+    h = F.xxhash64(id_col)
+    n = rows.count()
+    if n > most:
+        share = most / n + 8 * (most**0.5 + 8) / n
+        if share < 1:
+            rows = rows.filter(h <= F.lit(int(-(1 << 63) + share * (1 << 64))))
+    return rows.orderBy(h, id_col).limit(most)
+
+
 def shuffle_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -12,6 +12,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import hash_sample
+
 #: The base patterns.
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{16,}"  # the runs of AKIA[A-Z0-9]+ with 20 or more characters
@@ -77,7 +79,7 @@ def rule_samples(docs_frame: DataFrame, n: int = 400) -> DataFrame:
 def corpus_samples(docs: DataFrame, max_docs: int = MAX_TRAIN_DOCS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(token, random) from at most max_docs documents with an id: base spans are random strings, other long tokens identifiers."""
     order = F.xxhash64(id_col)
-    last = docs.filter(F.col(id_col).isNotNull()).select(order.alias("h")).orderBy("h").limit(max_docs).agg(F.max("h")).first()[0]
+    last = hash_sample(docs.filter(F.col(id_col).isNotNull()).select(id_col), max_docs, id_col).agg(F.max(order)).first()[0]
     some = docs.filter(F.col(id_col).isNotNull() & (order <= F.lit(last if last is not None else -(1 << 63)))).select(F.col(text_col).alias("text"))
     rest = reduce(lambda t, p: F.regexp_replace(t, p, " "), (ASSIGN, ACCESS, HEX), F.col("text"))
     values = F.concat(_matches(F.col("text"), ASSIGN, 2), _matches(F.col("text"), ACCESS), _matches(F.col("text"), HEX))

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, text_bytes
+from .common import hash_sample, held_out, text_bytes
 
 MAX_LABELLED = 20_000  # labelled rows that the score is fitted on, chosen by hash
 MAX_FEATURES = 4096
@@ -29,8 +29,8 @@ LONGEST = 48  # characters of one lattice; longer tokens are decoded in pieces o
 #: Letters that a sign may stand for.
 LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "<": "c", "€": "e", "£": "l"}
 
-#: Costs of the channel in nats: a sign for a letter, a sign dropped, a letter doubled, a letter in a longer run, a space put in where letters stand alone.
-SIGN, DROP, TWICE, RUN, GAP = 1.0, 7.0, 4.0, 0.2, 1.0
+#: Costs of the channel in nats: a sign for a letter, a sign dropped, a digit dropped, a letter doubled, a letter in a longer run, a space put in where letters stand alone.
+SIGN, DROP, DROP_DIGIT, TWICE, RUN, GAP = 1.0, 7.0, 14.0, 4.0, 0.2, 1.0
 CLASSES = 28  # 0 boundary, 1-26 letters, 27 any other letter
 _SPACED = re.compile(r"(?<!\S)(?:[^\W_]|[@$!|+(<€£])(?:[\s._*-]{1,2}(?:[^\W_]|[@$!|+(<€£])){3,}(?!\w)")
 _EDGE = " \t\r\n.,;:?!\"'`*#%&~^_-=/\\[]{})>"
@@ -97,7 +97,7 @@ def decode(token: str, cost: list, spaced: bool = False) -> str:
                     k2 = k + GAP + own + cost[a][b][0] + cost[b][0][cls]
                     moves.append((0, cls, x, k2, text + " " + x))
             if not c.isalpha():
-                moves.append((a, b, last, k + (DROP if letters else 0.0), text))
+                moves.append((a, b, last, k + (DROP_DIGIT if letters and c.isdigit() else DROP if letters else 0.0), text))
             for a2, b2, l2, k2, t2 in moves:
                 if (old := nxt.get((a2, b2, l2))) is None or k2 < old[0]:
                     nxt[(a2, b2, l2)] = (k2, t2)
@@ -158,7 +158,7 @@ class _Reader:
 def _sample(docs: DataFrame, labels: DataFrame, label_col: str, id_col: str, text_col: str, most: int) -> DataFrame:
     """text and y of at most `most` labelled rows outside the held-out fold; the ids are a broadcast of that bounded size."""
     known = labels.filter(F.col(label_col).isin(0, 1) & ~held_out(id_col)).groupBy(F.col(id_col).cast("long").alias("id")).agg(F.max(label_col).cast("int").alias("y"))
-    known = known.withColumn("h", F.xxhash64("id")).orderBy("h", "id").limit(most).toPandas()
+    known = hash_sample(known, most, "id").toPandas()
     ids = docs.sparkSession.createDataFrame(known[["id", "y"]], "id long, y int")
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(F.broadcast(ids), "id").select("id", "text", "y")
 
@@ -203,7 +203,7 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: st
     return model | {"keys": keys, "w": w, "bias": bias}
 
 
-def _logistic(hits: list[np.ndarray], y: np.ndarray, width: int, ridge: float = 0.5, rounds: int = 300) -> tuple[np.ndarray, float]:
+def _logistic(hits: list[np.ndarray], y: np.ndarray, width: int, ridge: float = 0.02, rounds: int = 600) -> tuple[np.ndarray, float]:
     """Logistic regression on presence features with weights of at least 0: a clean word never hides a toxic one."""
     doc, col = np.repeat(np.arange(len(hits)), [len(h) for h in hits]), np.concatenate([*hits, np.zeros(0, int)]).astype(int)
     weight = np.where(y == 1, len(y) / max(1, 2 * y.sum()), len(y) / max(1, 2 * (1 - y).sum()))
