@@ -223,8 +223,15 @@ def _compare(leaves: DataFrame, threshold: float, last: bool) -> DataFrame:
     return leaves.repartition(parts, "node").sortWithinPartitions("node", "doc").mapInArrow(run, "a long, b long, node long")
 
 
-def candidate_groups(reps: DataFrame, threshold: float, recall: float, seed: int, start: int = 3, depth: int = 8) -> DataFrame:
+def start_depth(classes: int) -> int:
+    """Levels after which unrelated classes seldom share a node, if a twentieth of them agree in a coordinate."""
+    return max(3, math.ceil(math.log(max(1, classes) / NODE_LIMIT) / math.log(20)))
+
+
+def candidate_groups(reps: DataFrame, classes: int, threshold: float, recall: float, seed: int) -> DataFrame:
     """(id, component): groups outside which no two classes of reps (doc, sig) have met in any tree."""
+    start = start_depth(classes)
+    depth = start + 2
     second, roots = 1 / threshold - 1, tree_count(recall, threshold, start + 1)
     found, leaves = [], _branch(reps, start, second, roots, seed)
     for level in range(start, depth + 1):
@@ -237,7 +244,7 @@ def candidate_groups(reps: DataFrame, threshold: float, recall: float, seed: int
     edges = found[0]
     for more in found[1:]:
         edges = edges.union(more)
-    groups = stage(connected_components(edges.filter("node is null").select("a", "b")), "groups")
+    groups = stage(connected_components(edges.filter("node is null").select("a", "b")), "groups", classes)
     discard(*found)
     return groups
 
@@ -274,7 +281,7 @@ def _linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
 
 
 def _confirm(rows: DataFrame, percent: int) -> DataFrame:
-    """(a, b) edges that span the confirmed links inside each task of rows (task, side, doc, label, hashes).
+    """(a, b, final): each linked document and the smallest label its links reach inside the task of rows (task, side, doc, label, hashes, final).
 
     side 0 rows are compared with each other and with side 1 rows; side 1 rows not with each other. Rows with equal
     labels are already connected.
@@ -283,7 +290,7 @@ def _confirm(rows: DataFrame, percent: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in whole_runs(batches, "task"):
             starts, sizes = run_bounds(t.column("task").to_numpy())
-            docs, labels, side = (t.column(c).to_numpy() for c in ("doc", "label", "side"))
+            labels, side, final = (t.column(c).to_numpy() for c in ("label", "side", "final"))
             data, at = binary(t.column("hashes"))
             out = []
             for start, size in zip(starts, sizes, strict=True):
@@ -305,47 +312,50 @@ def _confirm(rows: DataFrame, percent: int) -> DataFrame:
                         x, y = find(labels[start + p]), find(labels[start + q])
                         if x != y and _linked(sets[p], sets[q], percent):
                             root[max(x, y)] = min(x, y)
-                            out.append((docs[start + p], docs[start + q]))
+                out += [(v, find(v), final[start]) for v in root]
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], ["a", "b"])
+                a, b, done = zip(*out, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(done, pa.int32())], ["a", "b", "final"])
 
-    return rows.repartition(shuffle_parts(rows.sparkSession), "task").sortWithinPartitions("task").mapInArrow(run, "a long, b long")
+    return rows.repartition(shuffle_parts(rows.sparkSession), "task").sortWithinPartitions("task").mapInArrow(run, "a long, b long, final int")
 
 
-def confirmed_components(docs: DataFrame, groups: DataFrame, words: int, percent: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def confirmed_components(docs: DataFrame, groups: DataFrame, classes: int, words: int, percent: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, component) of the links that full sets confirm inside the candidate groups.
 
-    Groups of at most BLOCK documents are compared at once. Of larger ones, first every block with the group's first
-    document as pivot; then, block by block, what isn't yet connected to the largest part against everything.
+    Groups of at most BLOCK documents are compared at once, which settles them. Of larger ones, first every block with the
+    group's first document as pivot; then, block by block, what isn't connected to the largest part yet against everything.
     """
     sizes = groups.groupBy("component").agg(F.count("*").alias("members"))
-    sized = stage(groups.join(sizes, "component").select(F.col("id").alias("doc"), F.col("component").alias("comp"), F.ceil(F.col("members") / BLOCK).cast("int").alias("blocks")), "sized")
+    sized = stage(groups.join(sizes, "component").select(F.col("id").alias("doc"), F.col("component").alias("comp"), F.ceil(F.col("members") / BLOCK).cast("int").alias("blocks")), "sized", classes)
     sets = stage(_sets(docs, sized, words, id_col, text_col).join(sized, "doc").select("doc", "hashes", "comp", "blocks"), "sets")
     block = F.when(F.col("blocks") > 1, F.pmod(F.xxhash64("doc"), F.col("blocks"))).otherwise(F.lit(0)).cast("int")
     pivots = F.when((F.col("blocks") > 1) & (F.col("doc") == F.col("comp")), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(block))
-    first = sets.select("doc", "hashes", "comp", F.explode(pivots).alias("block"))
-    task = F.xxhash64("comp", "block")
-    edges = stage(_confirm(first.select(task.alias("task"), F.lit(0).alias("side"), "doc", F.col("doc").alias("label"), "hashes"), percent), "links")
-    comps = stage(connected_components(edges), "parts")
-    if not sized.filter("blocks > 1").isEmpty():
-        parts = sets.filter("blocks > 1").join(comps.withColumnRenamed("id", "doc"), "doc", "left").withColumn("label", F.coalesce("component", "doc"))
-        count = parts.groupBy("comp", "label").agg(F.count("*").alias("n"))
-        count = count.groupBy("comp").agg(F.max_by("label", F.struct("n", -F.col("label"))).alias("main"), F.sum("n").alias("n"), F.max("n").alias("most"))
-        count = stage(count.filter("most < n").select("comp", "main", F.ceil((F.col("n") - F.col("most")) / BLOCK).cast("int").alias("rest")), "main")
-        if not count.isEmpty():
-            parts = stage(parts.join(count, "comp").select("doc", "hashes", "comp", "label", (F.col("label") == F.col("main")).alias("in_main"), "rest", "blocks"), "parts")
-            # A rest block meets each block of the main part, each other rest block and itself.
-            part = F.pmod(F.xxhash64("doc"), F.when(F.col("in_main"), F.col("blocks")).otherwise(F.col("rest"))).cast("int")
-            p = parts.withColumn("part", part)
-            main_side = p.filter("in_main").select("comp", "doc", "label", "hashes", F.explode(F.sequence(F.lit(0), F.col("rest") - 1)).alias("i"), F.col("part").alias("j"), F.lit(1).alias("side"), F.lit(True).alias("main"))
-            rest_main = p.filter("not in_main").select("comp", "doc", "label", "hashes", F.col("part").alias("i"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("j"), F.lit(0).alias("side"), F.lit(True).alias("main"))
-            other = F.explode(F.sequence(F.lit(0), F.col("rest") - 1))
-            rest_rest = p.filter("not in_main").select("comp", "doc", "label", "hashes", "part", other.alias("o")).select("comp", "doc", "label", "hashes", F.least("part", "o").alias("i"), F.greatest("part", "o").alias("j"), F.lit(0).alias("side"), F.lit(False).alias("main"))
-            rows = main_side.union(rest_main).union(rest_rest).select(F.xxhash64("comp", "i", "j", "main").alias("task"), "side", "doc", "label", "hashes")
-            more = stage(_confirm(rows, percent), "links")
-            comps = stage(connected_components(edges.union(more)), "parts")
-    discard(sized, sets)
-    return comps
+    first = sets.select("doc", "hashes", "comp", "blocks", F.explode(pivots).alias("block"))
+    final = (F.col("blocks") == 1).cast("int").alias("final")
+    edges = stage(_confirm(first.select(F.xxhash64("comp", "block").alias("task"), F.lit(0).alias("side"), "doc", F.col("doc").alias("label"), "hashes", final), percent), "links", classes)
+    settled = edges.filter("final = 1").select(F.col("a").alias("id"), F.col("b").alias("component"))
+    if sized.filter("blocks > 1").isEmpty():
+        return settled
+    edges = edges.filter("final = 0").select("a", "b")
+    comps = stage(connected_components(edges), "parts", classes)
+    parts = sets.filter("blocks > 1").join(comps.withColumnRenamed("id", "doc"), "doc", "left").withColumn("label", F.coalesce("component", "doc"))
+    count = parts.groupBy("comp", "label").agg(F.count("*").alias("n"))
+    count = count.groupBy("comp").agg(F.max_by("label", F.struct("n", -F.col("label"))).alias("main"), F.sum("n").alias("n"), F.max("n").alias("most"))
+    count = stage(count.filter("most < n").select("comp", "main", F.ceil((F.col("n") - F.col("most")) / BLOCK).cast("int").alias("rest")), "main", classes // BLOCK)
+    if not count.isEmpty():
+        # A rest block meets each block of the main part, each other rest block and itself.
+        p = parts.join(count, "comp").withColumn("in_main", F.col("label") == F.col("main"))
+        p = p.withColumn("part", F.pmod(F.xxhash64("doc"), F.when(F.col("in_main"), F.col("blocks")).otherwise(F.col("rest"))).cast("int"))
+        kept = ["comp", "doc", "label", "hashes"]
+        each = F.explode(F.sequence(F.lit(0), F.col("rest") - 1))
+        main_side = p.filter("in_main").select(*kept, each.alias("i"), F.col("part").alias("j"), F.lit(1).alias("side"), F.lit(True).alias("main"))
+        rest_main = p.filter("not in_main").select(*kept, F.col("part").alias("i"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("j"), F.lit(0).alias("side"), F.lit(True).alias("main"))
+        rest_rest = p.filter("not in_main").select(*kept, "part", each.alias("o")).select(*kept, F.least("part", "o").alias("i"), F.greatest("part", "o").alias("j"), F.lit(0).alias("side"), F.lit(False).alias("main"))
+        rows = main_side.union(rest_main).union(rest_rest).select(F.xxhash64("comp", "i", "j", "main").alias("task"), "side", "doc", "label", "hashes", F.lit(0).alias("final"))
+        more = stage(_confirm(rows, percent), "links", classes)
+        comps = connected_components(comps.select(F.col("id").alias("a"), F.col("component").alias("b")).union(more.select("a", "b")))
+    return settled.union(comps)
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, recall: float = 0.999, seed: int = 17, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -363,13 +373,14 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, recall:
     sig = rows.filter("doc_id is not null and set_key is not null")
     reps = stage(sig.groupBy("set_key").agg(F.min("doc_id").alias("doc"), F.first("sig").alias("sig")), "classes")
     same = sig.select(F.col("doc_id").alias("a"), "set_key").join(reps.select("set_key", F.col("doc").alias("b")), "set_key")
-    groups = candidate_groups(reps.select("doc", "sig"), percent / 100, recall, seed)
-    comps = confirmed_components(docs, groups, words, percent, id_col, text_col)
+    classes = reps.count()
+    groups = candidate_groups(reps.select("doc", "sig"), classes, percent / 100, recall, seed)
+    comps = confirmed_components(docs, groups, classes, words, percent, id_col, text_col)
     shared = sig.groupBy("doc_id").agg(F.min("set_key").alias("x"), F.max("set_key").alias("y")).filter("x <> y").select("doc_id")
     if not shared.isEmpty():  # an id with several texts connects their classes
         bridge = same.join(shared.withColumnRenamed("doc_id", "a"), "a", "left_semi").select("a", "b")
-        comps = stage(connected_components(bridge.union(comps.select(F.col("id").alias("a"), F.col("component").alias("b")))), "bridged")
-    named = stage(reps.select("set_key", "doc").join(comps.withColumnRenamed("id", "doc"), "doc", "left").select("set_key", F.coalesce("component", "doc").alias("component")), "named")
+        comps = connected_components(bridge.union(comps.select(F.col("id").alias("a"), F.col("component").alias("b"))))
+    named = stage(reps.select("set_key", "doc").join(comps.withColumnRenamed("id", "doc"), "doc", "left").select("set_key", F.coalesce("component", "doc").alias("component")), "named", classes)
     out = rows.select("doc_id", "n_shingles", "set_key").join(named, "set_key", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
