@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tarnloom.llm import minhash, mixing, packing, queries, secrets, toxicity
 from tarnloom.llm.common import stage, table
@@ -24,10 +25,13 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of each leaf's token-prefix under the target weights, in one epoch; the last one of a prefix stays whole."""
+    """Documents of each leaf's token-prefix under the target weights, in one epoch.
+
+    The last one of a prefix stays whole. Documents without tokens go. Documents without an id stay if one of them is taken.
+    """
     weights = [queries.DOMAIN_WEIGHTS, queries.LANG_WEIGHTS, queries.SOURCE_WEIGHTS]
-    taken = mixing.mix(docs, queries.source_tree(), weights, share=(9, 10), epochs=1).select("doc_id").distinct()
-    return docs.join(taken, "doc_id", "left_semi").select(docs.columns)
+    taken = mixing.mix(docs, queries.source_tree(), weights, share=(9, 10), epochs=1).select(F.col("doc_id").alias("taken")).distinct()
+    return docs.join(taken, docs["doc_id"].eqNullSafe(F.col("taken")), "left_semi")
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

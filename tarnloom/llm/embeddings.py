@@ -67,9 +67,10 @@ def _compare(rows: DataFrame, width: int, tables: int, cosine: float) -> DataFra
                     k, i, j = np.nonzero(near)
                     if not len(k):
                         continue
-                    earlier = np.arange(tables) < table[at[k, i]][:, None]
-                    new = ~((code[k, i] == code[k, j]) & earlier).any(1)
-                    near[k[~new], i[~new], j[~new]] = False
+                    met, here = np.zeros(len(k), bool), table[at[k, i]]
+                    for c in range(tables):  # table by table, so that memory stays with the pairs of one
+                        met |= (code[k, i, c] == code[k, j, c]) & (c < here)
+                    near[k[met], i[met], j[met]] = False
                     n = np.where(near, copies[at][:, None, :], 0).sum(2)
                     k, i = np.nonzero(n)
                     yield degrees(ids[at[k, i]], n[k, i].astype(np.int64))

@@ -16,7 +16,7 @@ SOURCE_WEIGHTS = {"src0": 200}
 
 def source_tree() -> dict:
     """Levels of the documents' tree. Sources numbered below 10 stand for the web, the others for books."""
-    number = F.try_to_number(F.regexp_extract("source", r"^src(\d+)$", 1), F.lit("999999")) if hasattr(F, "try_to_number") else F.expr(r"try_cast(regexp_extract(source, '^src(\\d+)$', 1) as int)")
+    number = F.regexp_extract("source", r"^src(\d+)$", 1).try_cast("int")
     domain = F.when(number < 10, "web").when(number.isNotNull(), "books").otherwise("unknown")
     return {"domain": domain, "lang": F.col("lang"), "source": F.col("source")}
 
