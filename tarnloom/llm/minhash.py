@@ -333,7 +333,7 @@ def confirmed_components(docs: DataFrame, groups: DataFrame, classes: int, words
     pivots = F.when((F.col("blocks") > 1) & (F.col("doc") == F.col("comp")), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(block))
     first = sets.select("doc", "hashes", "comp", "blocks", F.explode(pivots).alias("block"))
     final = (F.col("blocks") == 1).cast("int").alias("final")
-    edges = stage(_confirm(first.select(F.xxhash64("comp", "block").alias("task"), F.lit(0).alias("side"), "doc", F.col("doc").alias("label"), "hashes", final), percent), "links", classes)
+    edges = stage(_confirm(first.select(F.xxhash64("comp", "block").alias("task"), F.lit(0).alias("side"), "doc", F.col("doc").alias("label"), "hashes", final), percent), "links")
     settled = edges.filter("final = 1").select(F.col("a").alias("id"), F.col("b").alias("component"))
     if sized.filter("blocks > 1").isEmpty():
         return settled
@@ -353,7 +353,7 @@ def confirmed_components(docs: DataFrame, groups: DataFrame, classes: int, words
         rest_main = p.filter("not in_main").select(*kept, F.col("part").alias("i"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("j"), F.lit(0).alias("side"), F.lit(True).alias("main"))
         rest_rest = p.filter("not in_main").select(*kept, "part", each.alias("o")).select(*kept, F.least("part", "o").alias("i"), F.greatest("part", "o").alias("j"), F.lit(0).alias("side"), F.lit(False).alias("main"))
         rows = main_side.union(rest_main).union(rest_rest).select(F.xxhash64("comp", "i", "j", "main").alias("task"), "side", "doc", "label", "hashes", F.lit(0).alias("final"))
-        more = stage(_confirm(rows, percent), "links", classes)
+        more = stage(_confirm(rows, percent), "links")
         comps = connected_components(comps.select(F.col("id").alias("a"), F.col("component").alias("b")).union(more.select("a", "b")))
     return settled.union(comps)
 
