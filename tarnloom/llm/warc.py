@@ -10,7 +10,7 @@ import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import new_path, stage
@@ -23,8 +23,8 @@ DATE = "2024-01-01T00:00:00Z"
 RECORD = "type string, record_id string, concurrent_to string, target_uri string, date string, refers_to string, payload_digest string, http_header string, http_length long, fields map<string,string>, payload binary"
 
 
-def _urn(*parts: Column | str) -> Column:
-    h = F.md5(F.concat_ws(":", *[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts]))
+def _urn(kind: str, column: str) -> Column:
+    h = F.md5(F.concat_ws(":", F.lit(kind), F.col(column)))
     return F.concat(F.lit("<urn:uuid:"), F.concat_ws("-", *[F.substring(h, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))]), F.lit(">"))
 
 
@@ -39,42 +39,49 @@ def _record(kind: Column | str, record_id: Column, content_type: str, block: Col
 
 
 def plan_captures(pages: DataFrame) -> DataFrame:
-    """(page_id, url, html, payload_bytes, payload_digest, row, first_id, first_row) of each page; first_* name the response that an equal payload revisits.
+    """(page_id, url, html, payload_bytes, payload_digest, first_id, capture, record_id) of each page.
 
-    Rows get a number, so repeated ids stay apart: of several with the largest page_id, one is the response.
+    capture is response or revisit; first_id is the page of the response that an equal payload revisits. That response's
+    record id follows from the digest, other ids are random. Only digests that repeat are staged; html is not.
     """
     html = F.coalesce(F.col("html"), F.lit(""))
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), html.alias("html"), F.octet_length(html).cast("long").alias("payload_bytes"), F.sha1(html).alias("payload_digest"), F.monotonically_increasing_id().alias("row"))
-    rows = stage(rows, "captures")
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), html.alias("html"), F.octet_length(html).cast("long").alias("payload_bytes"), F.sha1(html).alias("payload_digest"))
     large = rows.filter(F.col("payload_bytes") >= LEAST_BYTES)
-    first = large.groupBy("payload_digest").agg(F.max(F.struct("page_id", "row")).alias("first"), F.count("*").alias("n")).filter("n > 1")
-    first = stage(first.select("payload_digest", F.col("first.page_id").alias("first_id"), F.col("first.row").alias("first_row")), "firsts")
-    return rows.join(first, "payload_digest", "left")
+    first = large.groupBy("payload_digest", "page_id").agg(F.count("*").alias("n")).groupBy("payload_digest").agg(F.max(F.struct("page_id", "n")).alias("first"), F.sum("n").alias("n")).filter("n > 1")
+    first = stage(first.select(F.col("payload_digest").alias("d"), F.col("first.page_id").alias("first_id"), F.col("first.n").alias("ties"), F.lit(True).alias("repeats")), "firsts")
+    rows = rows.join(first, F.col("payload_digest") == F.col("d"), "left").drop("d")
+    top = F.coalesce(F.col("repeats") & F.col("page_id").eqNullSafe(F.col("first_id")), F.lit(False))
+    out = rows.withColumn("canonical", top & (F.col("ties") == 1))
+    if not first.filter("ties > 1").isEmpty():  # rows that share the largest id: the first by url is the response
+        tied = top & (F.col("ties") > 1)
+        place = F.row_number().over(Window.partitionBy("payload_digest").orderBy("url"))
+        out = rows.filter(~tied).withColumn("canonical", top).union(rows.filter(tied).withColumn("canonical", place == 1))
+    own = F.when(F.col("canonical"), _urn("payload", "payload_digest")).otherwise(F.concat(F.lit("<urn:uuid:"), F.expr("uuid()"), F.lit(">")))
+    kind = F.when(F.col("canonical") | F.col("repeats").isNull(), "response").otherwise("revisit")
+    return out.select("page_id", "url", "html", "payload_bytes", "payload_digest", "first_id", kind.alias("capture"), own.alias("record_id"))
 
 
 def records(captures: DataFrame) -> DataFrame:
     """(value): the text of three records for each capture."""
-    revisit = F.coalesce(F.col("first_row") != F.col("row"), F.lit(False))
-    own = lambda kind: _urn(kind, "row", F.col("row"))
+    revisit, own = F.col("capture") == "revisit", F.col("record_id")
     uri, digest = _header("WARC-Target-URI", F.col("url")), _header("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("payload_digest")))
     http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.col("payload_bytes").cast("string"), F.lit(END))
     asked = F.concat(F.lit("GET "), F.coalesce(F.regexp_replace("url", r"[\r\n]+", " "), F.lit("/")), F.lit(" HTTP/1.1"), F.lit(END))
     fields = F.concat(_header("pageId", F.col("page_id")), F.when(revisit, _header("refersToPageId", F.col("first_id"))).otherwise(""))
     capture = F.when(
         revisit,
-        _record("revisit", own("capture"), "application/http;msgtype=response", http, uri, digest, _header("WARC-Profile", PROFILE), _header("WARC-Refers-To", _urn("capture", "row", F.col("first_row")))),
-    ).otherwise(_record("response", own("capture"), "application/http;msgtype=response", F.concat(http, F.col("html")), uri, digest))
-    with_capture = _header("WARC-Concurrent-To", own("capture"))
-    request = _record("request", own("request"), "application/http;msgtype=request", asked, uri, with_capture)
-    metadata = _record("metadata", own("metadata"), "application/warc-fields", fields, uri, with_capture)
+        _record("revisit", own, "application/http;msgtype=response", http, uri, digest, _header("WARC-Profile", PROFILE), _header("WARC-Refers-To", _urn("payload", "payload_digest"))),
+    ).otherwise(_record("response", own, "application/http;msgtype=response", F.concat(http, F.col("html")), uri, digest))
+    with_capture = _header("WARC-Concurrent-To", own)
+    request = _record("request", _urn("request", "record_id"), "application/http;msgtype=request", asked, uri, with_capture)
+    metadata = _record("metadata", _urn("metadata", "record_id"), "application/warc-fields", fields, uri, with_capture)
     return captures.select(F.explode(F.array(request, capture, metadata)).alias("value"))
 
 
 def write_archives(pages: DataFrame, path: str, file_bytes: int = FILE_BYTES) -> None:
-    """Archives of all pages in the folder `path`."""
-    captures = plan_captures(pages)
-    mean = captures.agg(F.avg("payload_bytes")).first()[0] or 0.0
-    records(captures).write.option("lineSep", END).option("maxRecordsPerFile", max(3, 3 * int(file_bytes / (mean + 1000)))).text(path)
+    """Gzip archives of all pages in the folder `path`."""
+    mean = pages.agg(F.avg(F.octet_length("html"))).first()[0] or 0.0
+    records(plan_captures(pages)).write.option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", max(3, 3 * int(file_bytes / (mean + 1000)))).text(path)
 
 
 def parse(raw: memoryview) -> Iterator[dict]:
@@ -136,16 +143,19 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, RECORD)
 
 
-def assemble(rows: DataFrame) -> DataFrame:
+FIELDS = ("record_id", "type", "target_uri", "date", "refers_to", "payload_digest", "http_header", "http_length", "fields", "payload")
+
+
+def assemble(rows: DataFrame, keep: tuple[str, ...] = FIELDS) -> DataFrame:
     """One row for each capture: capture_id, and request, response (or revisit) and metadata as nested records, null where missing.
 
     A request or metadata record belongs to the record it is concurrent to. If several of one kind do, the one with the
-    largest record id counts; nothing is gathered in lists.
+    largest record id counts; nothing is gathered in lists. Only the fields in `keep` (record_id first) are carried.
     """
     kinds = {"request": ["request"], "response": ["response", "revisit"], "metadata": ["metadata"]}
-    record = F.struct("record_id", "type", "target_uri", "date", "refers_to", "payload_digest", "http_header", "http_length", F.map_entries("fields").alias("fields"), "payload")
-    keyed = rows.withColumn("capture_id", F.coalesce("concurrent_to", "record_id")).withColumn("record", record)
-    return keyed.groupBy("capture_id").agg(*[F.max(F.when(F.col("type").isin(k), F.col("record"))).alias(n) for n, k in kinds.items()])
+    record = F.struct(*[F.map_entries(c).alias(c) if c == "fields" else F.col(c) for c in keep])
+    keyed = rows.select(F.coalesce("concurrent_to", "record_id").alias("capture_id"), F.col("type").alias("_kind"), record.alias("record"))
+    return keyed.groupBy("capture_id").agg(*[F.max(F.when(F.col("_kind").isin(k), F.col("record"))).alias(n) for n, k in kinds.items()])
 
 
 def round_trip(pages: DataFrame) -> DataFrame:
@@ -157,13 +167,17 @@ def round_trip(pages: DataFrame) -> DataFrame:
     spark = pages.sparkSession
     path = new_path(spark, "warc")
     write_archives(pages, path)
-    got = assemble(read_archives(spark, path))
+    response = F.col("type") == "response"  # payloads are measured where they are read, so the assembly moves none
+    rows = read_archives(spark, path).withColumns({
+        "payload_bytes": F.when(response, F.length("payload").cast("long")).otherwise(F.col("http_length")),
+        "payload_sha1": F.when(response, F.sha1("payload")).otherwise(F.regexp_replace("payload_digest", "^sha1:", "")),
+    })
+    got = assemble(rows, ("record_id", "type", "fields", "payload_bytes", "payload_sha1"))
     field = lambda name: F.get(F.filter("metadata.fields", lambda e: e["key"] == name), 0)["value"].cast("long")
-    response = F.col("response.type") == "response"
     return got.select(
         field("pageId").alias("page_id"),
-        F.when(response, F.length("response.payload").cast("long")).otherwise(F.col("response.http_length")).alias("payload_bytes"),
-        F.when(response, F.sha1("response.payload")).otherwise(F.regexp_replace("response.payload_digest", "^sha1:", "")).alias("payload_digest"),
+        F.col("response.payload_bytes").alias("payload_bytes"),
+        F.col("response.payload_sha1").alias("payload_digest"),
         F.col("response.type").alias("record_type"),
-        F.when(~response, field("refersToPageId")).alias("refers_to"),
+        F.when(F.col("response.type") == "revisit", field("refersToPageId")).alias("refers_to"),
     )
