@@ -25,8 +25,7 @@ BIN_COST = 64  # tokens' worth of cost that each sequence has besides its length
 
 def words(text_col: str = "text") -> Column:
     """Tokens of a text: runs of other than space, tab and line breaks; 0 for null."""
-    t = F.trim(F.regexp_replace(F.col(text_col), r"[ \t\n\r]+", " "))
-    return F.when(F.coalesce(F.length(t), F.lit(0)) == 0, F.lit(0)).otherwise(F.length(t) - F.length(F.replace(t, F.lit(" "), F.lit(""))) + 1).cast("long")
+    return F.coalesce(F.regexp_count(F.col(text_col), F.lit(r"[^ \t\n\r]+")), F.lit(0)).cast("long")
 
 
 def best_fit(lengths: np.ndarray, sizes: tuple[int, ...], bin_cost: int = BIN_COST) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
