@@ -34,7 +34,7 @@ SIGN, DROP, DROP_DIGIT, TWICE, RUN, GAP = 1.0, 7.0, 14.0, 4.0, 0.2, 1.0
 CLASSES = 28  # 0 boundary, 1-26 letters, 27 any other letter
 _SPACED = re.compile(r"(?<!\S)(?:[^\W_]|[@$!|+(<€£])(?:[\s._*-]{1,2}(?:[^\W_]|[@$!|+(<€£])){3,}(?!\w)")
 _EDGE = " \t\r\n.,;:?!\"'`*#%&~^_-=/\\[]{})>"
-_THRICE = re.compile(r"(\w)\1\1")
+_TWICE = re.compile(r"(\w)\1")
 
 
 def _class_of(c: str) -> int:
@@ -106,9 +106,14 @@ def decode(token: str, cost: list, spaced: bool = False) -> str:
 
 
 def restore(token: str, cost: list) -> str:
-    """A lower-case token as it was meant; one that is spelled plainly only loses signs at its ends."""
+    """A lower-case token as it was meant; one that is spelled plainly only loses signs at its ends.
+
+    A "!" right before the first letter stays, as it may stand for an i; at the end it is punctuation.
+    """
     core = token.strip(_EDGE)
-    if not core or core.isalpha() and not _THRICE.search(core):
+    if core and core[0].isalpha() and token[: token.index(core)].endswith("!"):
+        core = "!" + core
+    if not core or core.isalpha() and not _TWICE.search(core):
         return core
     if not any(c.isalpha() for c in core) or core.replace(".", "").replace(",", "").isdigit():
         return ""
@@ -136,7 +141,10 @@ class _Reader:
         self.cost, self.wanted, self.seen = cost, wanted, {}
 
     def token(self, token: str) -> tuple[int, ...]:
-        keys = [x for w in restore(token, self.cost).split() for x in _keys(w)]
+        words = restore(token, self.cost).split()
+        if "!" in token and "!" in token[: token.index(core := token.strip(_EDGE))]:
+            words += restore(core, self.cost).split()  # a leading "!" may be a letter or a mark: both readings count
+        keys = dict.fromkeys(x for w in words for x in _keys(w))
         got = tuple(keys if self.wanted is None else (self.wanted[x] for x in keys if x in self.wanted))
         if len(self.seen) >= CACHE:
             self.seen.clear()

@@ -92,6 +92,17 @@ def test_decoder_restores_words(tox):
     assert toxicity.restore("plain", cost) == "plain" and toxicity.restore("123", cost) == "" and toxicity.restore("!!!", cost) == ""
 
 
+def test_decoder_restores_doubled_letters_and_a_leading_sign(spark, docs, tox):
+    cost, doubled = tox["cost"], ["sstupid", "stuupid", "mmoron", "mooron", "iidiot", "idiiot", "sscum", "scuum", "trashh"]
+    for token in doubled:
+        assert toxicity.restore(token, cost) == "".join(c for k, c in enumerate(token) if c != token[k - 1 : k])
+    assert [toxicity.restore(t, cost) for t in ("!diot", '"!!diot', "!d10t", "idiot!")] == ["idiot"] * 4
+    rows = spark.createDataFrame([(0, "sstupid mooron iidiot"), (1, "stupid moron idiot"), (2, "!diot"), (3, "idiot"), (4, "!stupid !moron !idiot")], "doc_id long, text string")
+    got = {r["doc_id"]: r["score"] for r in toxicity.score_toxicity(rows, tox).collect()}
+    assert got[0] == got[1] > 0.5 and got[2] >= got[3] and got[4] >= got[1]
+    assert {r["doc_id"] for r in toxicity.without_toxic(rows, tox).collect()}.isdisjoint({0, 1, 4})
+
+
 def test_decoder_is_the_cheapest_path():
     rng = np.random.default_rng(1)
     cost = toxicity.character_model(rng.integers(1, 50, (28, 28, 28)).astype(float))
