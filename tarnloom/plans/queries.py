@@ -513,6 +513,12 @@ def x8_prune_tree(spark, d):
     return H.prune(_edges(spark, d), kept)
 
 
+@query(SQL["x8_prune_tree"].replace("o_orderkey % 100 = 0", "o_orderstatus = 'F'"))
+def x8b_prune_finished_orders(spark, d):
+    kept = table(spark, d, "orders").filter("o_orderstatus = 'F'").select(F.concat(F.lit("O"), F.lpad(F.col("o_orderkey").cast("string"), 9, "0")).alias("node"))
+    return H.prune(_edges(spark, d), kept)
+
+
 @query(None)
 def x9_midpoint_root(spark, d):
     nations = table(spark, d, "nation").select(F.concat(F.lit("tree"), F.col("n_regionkey").cast("string")).alias("tree_id"), F.concat(F.lit("N"), F.col("n_nationkey").cast("string")).alias("node"), F.concat(F.lit("R"), F.col("n_regionkey").cast("string")).alias("parent"), F.col("n_name").alias("name"), (F.col("n_nationkey") + 1).cast("double").alias("length"))

@@ -138,6 +138,37 @@ def test_hierarchy(spark):
     assert all(p is None or p in chain(v) for v, p in pruned.items())
 
 
+def test_pruning_reaches_all_finished_orders(spark):
+    from tarnloom.plans.queries import QUERIES
+
+    d = "/root/testdata/sf0.001"
+    orders, customers, nations = (pd.read_parquet(f"{d}/{t}.parquet") for t in ("orders", "customer", "nation"))
+    up = {f"O{o:09d}": f"C{c:09d}" for o, c in zip(orders.o_orderkey, orders.o_custkey)}
+    up |= {f"C{c:09d}": f"N{n:09d}" for c, n in zip(customers.c_custkey, customers.c_nationkey)}
+    up |= {f"N{n:09d}": f"R{r:09d}" for n, r in zip(nations.n_nationkey, nations.n_regionkey)}
+    leaves = [f"O{o:09d}" for o in orders[orders.o_orderstatus == "F"].o_orderkey]
+    children: dict = {}
+    for v in leaves:
+        while v != "root":
+            parent = up.get(v, "root")
+            children.setdefault(parent, set()).add(v)
+            v = parent
+    want = {"root": None}
+
+    def hang(v, parent):
+        below = children.get(v, ())
+        if len(below) == 1:
+            return hang(next(iter(below)), parent)
+        want[v] = parent
+        for x in below:
+            hang(x, v)
+
+    for x in children["root"]:
+        hang(x, "root")
+    got = {r["node"]: r["parent"] for r in QUERIES["x8b_prune_finished_orders"](spark, d).collect()}
+    assert got == want and len(leaves) > len(orders) / 4
+
+
 def test_midpoint_root(spark):
     rows = SR.parse_newick("((A:1,B:4)x:2,C:3);")
     e = spark.createDataFrame([("t", *r) for r in rows], "tree_id string, node string, parent string, name string, length double")
