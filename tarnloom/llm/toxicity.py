@@ -24,7 +24,7 @@ MAX_FEATURES = 4096
 LEAST_DOCS = 4  # toxic documents that must share a feature
 STEMS = (4, 5, 6)
 CACHE = 300_000  # restored tokens that a task remembers
-LONGEST = 48  # characters of one lattice; longer tokens are decoded in pieces of this length
+LONGEST = 48  # characters of one lattice of a token; longer tokens are decoded in pieces of this length, joined again
 
 #: Letters that a sign may stand for.
 LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "<": "c", "€": "e", "£": "l"}
@@ -82,7 +82,7 @@ def _marked(token: str) -> Iterator[tuple[str, float]]:
 
 def decode(token: str, cost: list, spaced: bool = False) -> str:
     """Cheapest reading of a token: letters as they are or repeated, signs as letters or dropped, gaps where letters stand alone."""
-    paths = {(0, 0, ""): (0.0, "")}  # two last classes, last letter -> cost, text
+    paths = {(0, 0, ""): (0.0, ("", None))}  # two last classes, last letter -> cost, text as (last piece, what comes before)
     for c, repeat in _marked(token):
         letters = c if c.isalpha() else LEET.get(c, "")
         nxt: dict = {}
@@ -90,19 +90,27 @@ def decode(token: str, cost: list, spaced: bool = False) -> str:
             moves = []
             for x in letters:
                 cls, own = _class_of(x), 0.0 if c.isalpha() else SIGN
-                moves.append((b, cls, x, k + own + cost[a][b][cls], text + x))
+                moves.append((b, cls, x, k + own + cost[a][b][cls], (x, text)))
                 if x == last:
                     moves.append((a, b, last, k + own + repeat, text))
                 if spaced and b:
                     k2 = k + GAP + own + cost[a][b][0] + cost[b][0][cls]
-                    moves.append((0, cls, x, k2, text + " " + x))
+                    moves.append((0, cls, x, k2, (" " + x, text)))
             if not c.isalpha():
                 moves.append((a, b, last, k + (DROP_DIGIT if letters and c.isdigit() else DROP if letters else 0.0), text))
             for a2, b2, l2, k2, t2 in moves:
                 if (old := nxt.get((a2, b2, l2))) is None or k2 < old[0]:
                     nxt[(a2, b2, l2)] = (k2, t2)
         paths = nxt
-    return min((k + cost[a][b][0], text) for (a, b, _), (k, text) in paths.items())[1]
+    return min((k + cost[a][b][0], _joined(text)) for (a, b, _), (k, text) in paths.items())[1]
+
+
+def _joined(text: tuple | None) -> str:
+    pieces = []
+    while text:
+        piece, text = text
+        pieces.append(piece)
+    return "".join(reversed(pieces))
 
 
 def restore(token: str, cost: list) -> str:
@@ -121,11 +129,9 @@ def restore(token: str, cost: list) -> str:
 
 
 def spaced_words(text: str, cost: list) -> Iterator[str]:
-    """Words that stand in text one letter at a time."""
+    """Words that stand in text one letter at a time; a run is one lattice, as a cut could fall into a word."""
     for m in _SPACED.finditer(text):
-        run = "".join(c for c in m[0] if c.isalpha() or c in LEET)
-        for k in range(0, len(run), LONGEST):
-            yield from decode(run[k : k + LONGEST], cost, spaced=True).split()
+        yield from decode("".join(c for c in m[0] if c.isalpha() or c in LEET), cost, spaced=True).split()
 
 
 def _keys(word: str) -> list[int]:
@@ -230,7 +236,7 @@ def score_toxicity(docs: DataFrame, model: dict, id_col: str = "doc_id", text_co
     """doc_id, held_out, score, predicted (score >= 0.5) for each row of docs.
 
     Null and empty texts hold no feature and get the model's base score; so does every text if no toxic row was learned.
-    Texts are read whole; a token longer than LONGEST is decoded in pieces. Repeated rows are scored alike.
+    Texts are read whole; a token longer than LONGEST is decoded in pieces, letters that stand alone in one piece. Repeated rows are scored alike.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)
 

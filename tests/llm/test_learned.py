@@ -103,6 +103,14 @@ def test_decoder_restores_doubled_letters_and_a_leading_sign(spark, docs, tox):
     assert {r["doc_id"] for r in toxicity.without_toxic(rows, tox).collect()}.isdisjoint({0, 1, 4})
 
 
+def test_spaced_run_is_one_lattice(tox):
+    cost = tox["cost"]
+    for run in ("thatesouthenatbledeerthbleanderorblechdefororbstupidleelle", "thlythereseadertoantionofenoneainorantheeinunstupidder", "thegeschauonhadeerorearethwhfortheanbleedblstupidloser"):
+        assert run.index("stupid") < toxicity.LONGEST < run.index("stupid") + 6
+        assert "stupid" in list(toxicity.spaced_words(" ".join(run), cost))
+    assert "".join(toxicity.spaced_words("i d i o t " * 20_000, cost)) == "idiot" * 20_000
+
+
 def test_decoder_is_the_cheapest_path():
     rng = np.random.default_rng(1)
     cost = toxicity.character_model(rng.integers(1, 50, (28, 28, 28)).astype(float))
