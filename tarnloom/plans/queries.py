@@ -646,10 +646,12 @@ def s9_scan_items(spark, d):
 
 
 def _atoms(spark, d) -> str:
-    """Two atoms for each customer: a chain for each nation, residues numbered by customer."""
+    """Two atoms for each customer: a chain for each nation, residues numbered by customer, an insertion code for each further 10,000."""
     path = new_path(spark, "atoms")
+    block = F.floor(F.col("c_custkey") / 10000)
+    code = F.when(block == 0, " ").otherwise(F.decode(F.unhex(F.lpad(F.hex(block + 0x4E00), 4, "0")), "UTF-16BE"))
     name = F.when(F.col("c_custkey") % 3 == 0, "ALA").when(F.col("c_custkey") % 3 == 1, "GLY").otherwise("UNK")
-    line = F.format_string("ATOM  %5d  %-3s %3s %s%4d    %8.3f%8.3f%8.3f", F.col("c_custkey") % 100000, F.col("a"), name, F.substring(F.lit("ABCDEFGHIJKLMNOPQRSTUVWXYZ"), F.col("c_nationkey") + 1, F.lit(1)), F.col("c_custkey") % 10000, F.col("c_acctbal") / 100, F.col("c_acctbal") / 200, F.lit(1.5))
+    line = F.format_string("ATOM  %5d  %-3s %3s %s%4d%s   %8.3f%8.3f%8.3f", F.col("c_custkey") % 100000, F.col("a"), name, F.substring(F.lit("ABCDEFGHIJKLMNOPQRSTUVWXYZ"), F.col("c_nationkey") + 1, F.lit(1)), F.col("c_custkey") % 10000, code, F.col("c_acctbal") / 100, F.col("c_acctbal") / 200, F.lit(1.5))
     rows = table(spark, d, "customer").withColumn("a", F.explode(F.array(F.lit("CA"), F.lit("N"))))
     rows.select(F.explode(F.array(line, F.lit("HETATM"))).alias("value"), "c_custkey", "a").repartition(1).sortWithinPartitions("c_custkey", "a").select("value").write.text(path)
     return path

@@ -169,6 +169,18 @@ def test_pruning_reaches_all_finished_orders(spark):
     assert got == want and len(leaves) > len(orders) / 4
 
 
+def test_chains_hold_a_letter_for_every_customer(spark):
+    from tarnloom.plans.queries import QUERIES
+
+    d = "/root/testdata/sf0.1"
+    t = pd.read_parquet(f"{d}/customer.parquet").sort_values("c_custkey")
+    want: dict = {}
+    for key, nation in zip(t.c_custkey, t.c_nationkey):
+        want[chr(65 + nation)] = want.get(chr(65 + nation), "") + "AGX"[key % 3]
+    assert len(t) > 10_000
+    assert {r["chain"]: r["body"] for r in QUERIES["s10_chain_letters"](spark, d).collect()} == want
+
+
 def test_midpoint_root(spark):
     rows = SR.parse_newick("((A:1,B:4)x:2,C:3);")
     e = spark.createDataFrame([("t", *r) for r in rows], "tree_id string, node string, parent string, name string, length double")
