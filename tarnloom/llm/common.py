@@ -26,15 +26,35 @@ def held_out(doc_id: str = "doc_id") -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; a temporary one only where that is unset."""
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or ""
-    if not root:
-        app = spark.sparkContext.applicationId
-        if app not in _OWN:
-            _OWN[app] = tempfile.mkdtemp(prefix="tarnloom-")
-            atexit.register(shutil.rmtree, _OWN[app], ignore_errors=True)
-        root = f"file://{_OWN[app]}"
-    return f"{root.rstrip('/')}/tarnloom-{spark.sparkContext.applicationId}"
+    """This application's folder below spark.checkpoint.dir; it is deleted when the driver's Python ends.
+
+    Where that setting is unset, a folder set on the context serves, then, on a local master only, a temporary one.
+    """
+    context = spark.sparkContext
+    app = context.applicationId
+    if app not in _OWN:
+        root = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
+        if root:
+            _OWN[app] = f"{root.rstrip('/')}/tarnloom-{app}"
+            atexit.register(_clear, spark, _OWN[app])
+        elif context.master.startswith("local") and not context.master.startswith("local-cluster"):
+            own = tempfile.mkdtemp(prefix="tarnloom-")
+            _OWN[app] = f"file://{own}"
+            atexit.register(shutil.rmtree, own, ignore_errors=True)
+        else:
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return _OWN[app]
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def _clear(spark: SparkSession, path: str) -> None:
+    """Delete what this application has staged; nothing where its context has stopped already."""
+    if spark.sparkContext._jsc is not None:
+        _delete(spark, path)
 
 
 def new_path(spark: SparkSession, label: str) -> str:
@@ -63,9 +83,20 @@ def discard(*frames: DataFrame) -> None:
     """Delete staged tables that nothing reads any more."""
     for df in frames:
         if path := getattr(df, "_staged_at", None):
-            jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
-            at = jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(conf).delete(at, True)
+            _delete(df.sparkSession, path)
+
+
+def free_name(df: DataFrame, wanted: str) -> str:
+    """A column name that df doesn't have, in any case of letters."""
+    taken = {c.lower() for c in df.columns}
+    while wanted.lower() in taken:
+        wanted += "_"
+    return wanted
+
+
+def quoted(name: str) -> Column:
+    """The column of exactly that name, dots and backticks included."""
+    return F.col("`" + name.replace("`", "``") + "`")
 
 
 def hash_sample(rows: DataFrame, most: int, id_col: str = "doc_id") -> DataFrame:
@@ -100,6 +131,39 @@ def text_bytes(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarr
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
+def characters(data: np.ndarray, offsets: np.ndarray, size: int = 1 << 20, carry: int = 2) -> Iterator[tuple[int, np.ndarray, np.ndarray, int, bool]]:
+    """Code points of a text column piece by piece: (first row, bounds of its rows, points, points carried over, row ends here).
+
+    Rows of about `size` bytes come at once. A longer row comes alone and in parts, cut between characters; each part but the
+    first begins with the last `carry` points of the one before. Ill-formed bytes read as U+FFFD.
+    """
+
+    def points_of(raw: np.ndarray) -> np.ndarray:
+        return np.frombuffer(raw.tobytes().decode("utf-8", "replace").encode("utf-32-le"), np.uint32)
+
+    lo, rows = 0, len(offsets) - 1
+    while lo < rows:
+        hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + size, "right")) - 1)
+        raw = data[offsets[lo] : offsets[hi]]
+        if hi - lo > 1 or len(raw) <= size:
+            points = points_of(raw)
+            bounds = np.r_[0, np.cumsum((raw & 0xC0) != 0x80)][offsets[lo : hi + 1] - offsets[lo]]
+            if bounds[-1] != len(points):
+                own = [points_of(data[a:b]) for a, b in zip(offsets[lo:hi], offsets[lo + 1 : hi + 1], strict=True)]
+                points, bounds = np.concatenate(own), np.r_[0, np.cumsum([len(x) for x in own])]
+            yield lo, bounds, points, 0, True
+        else:
+            cut, kept = 0, np.zeros(0, np.uint32)
+            while cut < len(raw):
+                end = min(cut + size, len(raw))
+                while cut + 1 < end < len(raw) and raw[end] & 0xC0 == 0x80:
+                    end -= 1
+                points = np.r_[kept, points_of(raw[cut:end])]
+                yield lo, np.array([0, len(points)]), points, len(kept), end == len(raw)
+                cut, kept = end, points[max(0, len(points) - carry) :]
+        lo = hi
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A bijective scramble of 64-bit integers (multiply and shift)."""
     x = x.astype(np.uint64, copy=True)

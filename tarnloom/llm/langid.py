@@ -7,77 +7,50 @@ Counts come from every learnable row, summed per task before the shuffle. The lo
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, text_bytes
+from .common import characters, held_out, text_bytes
 
 BUCKETS = 1 << 14
 ORDERS = (1, 2, 3)
-CHUNK = 1 << 20  # bytes of text that are expanded at once
+MAX_LABELS = 400  # the matrix of labels x BUCKETS is broadcast, so its size has a bound
 
 
-def _letters() -> np.ndarray:
-    """Code point to its lower case if it is a letter, else 0; code points beyond the first plane keep their low 16 bits."""
-    out = np.zeros(1 << 16, np.uint16)
-    for c in range(1 << 16):
+@lru_cache(maxsize=1)
+def letters() -> np.ndarray:
+    """Every code point to its lower case if it is a letter, else to 0."""
+    out = np.zeros(0x110000, np.uint32)
+    for c in range(0x110000):
         s = chr(c)
         if s.isalpha():
             low = s.lower()
-            out[c] = ord(low) if len(low) == 1 and ord(low) < 1 << 16 else c
+            out[c] = ord(low) if len(low) == 1 else c
     return out
 
 
-LETTERS = _letters()
-
-
-def _slices(lengths: np.ndarray) -> Iterator[tuple[int, int]]:
-    """Row ranges of about CHUNK bytes."""
-    start, size = 0, 0
-    for k, n in enumerate(lengths):
-        if size and size + n > CHUNK:
-            yield start, k
-            start, size = k, 0
-        size += n
-    if start < len(lengths):
-        yield start, len(lengths)
-
-
-def _chars(raw: bytes) -> np.ndarray:
-    points = np.frombuffer(raw.decode("utf-8", "replace").encode("utf-32-le"), np.uint32)
-    return LETTERS[points & np.uint32(0xFFFF)]
-
-
 def grams(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(first row, rows, row of each n-gram counted from the first, its bucket) piece by piece; n-grams never cross rows."""
-    for lo, hi in _slices(np.diff(offsets)):
-        for at in range(offsets[lo], max(offsets[hi], offsets[lo] + 1), CHUNK * 4):  # a single huge row goes in pieces
-            part = data[at : min(at + CHUNK * 4, offsets[hi])]
-            own = np.clip(offsets[lo : hi + 1] - at, 0, len(part))
-            whole = hi - lo > 1 or len(part) == offsets[hi] - offsets[lo]
-            raw = part.tobytes()
-            c = _chars(raw)
-            if whole:
-                points = np.r_[0, np.cumsum((part & 0xC0) != 0x80)][own]
-                if points[-1] != len(c):  # ill-formed bytes: decode row by row
-                    rows = [_chars(part[a:b].tobytes()) for a, b in zip(own, own[1:], strict=False)]
-                    c, points = np.concatenate(rows), np.r_[0, np.cumsum([len(x) for x in rows])]
-                row = np.repeat(np.arange(hi - lo), np.diff(points))
-            else:
-                row = np.zeros(len(c), np.int64)
-            c = c.astype(np.uint32)
-            h = np.zeros(len(c), np.uint32)
-            for n in ORDERS:
-                k = len(c) - n + 1
-                if k <= 0:
-                    break
-                h = (h[:k] + c[n - 1 :]) * np.uint32(0x9E3779B1) if n > 1 else c * np.uint32(0x9E3779B1)
-                h ^= h >> np.uint32(15)
-                on = c[:k] > 0 if n == 1 else (row[:k] == row[n - 1 :]) & ((c[:k] > 0) | (c[n - 1 :] > 0))
-                yield lo, hi - lo, row[:k][on], (h[on] * np.uint32(0x85EBCA77)) >> np.uint32(18)
+    """(first row, rows, row of each n-gram counted from the first, its bucket) piece by piece; n-grams never cross rows.
+
+    A part of a long row begins with the last two characters of the one before; n-grams that end in those were given with it.
+    """
+    for lo, bounds, points, carried, _ in characters(data, offsets, carry=max(ORDERS) - 1):
+        c = letters()[points]
+        row = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+        h = np.zeros(len(c), np.uint32)
+        for n in ORDERS:
+            k = len(c) - n + 1
+            if k <= 0:
+                break
+            h = (h[:k] + c[n - 1 :]) * np.uint32(0x9E3779B1) if n > 1 else c * np.uint32(0x9E3779B1)
+            h ^= h >> np.uint32(15)
+            on = c[:k] > 0 if n == 1 else (row[:k] == row[n - 1 :]) & ((c[:k] > 0) | (c[n - 1 :] > 0))
+            on[: max(0, carried - n + 1)] = False
+            yield lo, len(bounds) - 1, row[:k][on], (h[on] * np.uint32(0x85EBCA77)) >> np.uint32(18)
 
 
 def counts(rows: DataFrame, label: str, text_col: str = "text") -> DataFrame:
@@ -88,64 +61,82 @@ def counts(rows: DataFrame, label: str, text_col: str = "text") -> DataFrame:
         for batch in batches:
             labels = batch.column(0).to_pylist()
             names = sorted(set(labels))
-            code = np.array([names.index(x) for x in labels])
-            for lo, n, row, bucket in grams(*text_bytes(batch.column(1))):
-                got = np.bincount(code[lo : lo + n][row] * BUCKETS + bucket, minlength=len(names) * BUCKETS).reshape(-1, BUCKETS)
-                for k in np.unique(code[lo : lo + n]):
-                    seen[names[k]] = seen.get(names[k], 0) + got[k]
+            place = {x: k for k, x in enumerate(names)}
+            code = np.array([place[x] for x in labels])
             for x in names:
                 seen.setdefault(x, np.zeros(BUCKETS, np.int64))
+            for lo, n, row, bucket in grams(*text_bytes(batch.column(1))):
+                own = code[lo : lo + n][row]
+                for k in np.unique(own):
+                    seen[names[k]] += np.bincount(bucket[own == k], minlength=BUCKETS)
         for name, n in seen.items():
             at = np.flatnonzero(n)
-            yield pa.RecordBatch.from_arrays([pa.array([name] * len(at), pa.string()), pa.array(at.astype(np.int32)), pa.array(n[at].astype(np.int64))], ["label", "bucket", "n"])
+            arrays = [pa.array([name] * len(at), pa.string()), pa.array(at.astype(np.int32)), pa.array(n[at])]
+            yield pa.RecordBatch.from_arrays(arrays, ["label", "bucket", "n"])
 
-    got = rows.select(F.col(label).cast("string").alias("label"), F.col(text_col).alias("text")).mapInArrow(run, "label string, bucket int, n long")
+    got = rows.select(F.col(label).cast("string").alias("label"), F.col(text_col).alias("text"))
+    got = got.mapInArrow(run, "label string, bucket int, n long")
     return got.groupBy("label", "bucket").agg(F.sum("n").alias("n"))
 
 
-def fit(rows: DataFrame, label: str = "lang", text_col: str = "text", smoothing: float = 0.5) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """Names, log-probabilities (labels x BUCKETS) and log-priors, from the rows whose label is not null."""
+def fit(rows: DataFrame, label: str = "lang", text_col: str = "text", smoothing: float = 0.5, max_labels: int = MAX_LABELS) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Names, log-probabilities (labels x BUCKETS) and log-priors, from all rows whose label is not null.
+
+    ValueError for more than max_labels different labels: the matrix goes to the driver and to every task.
+    """
     rows = rows.filter(F.col(label).isNotNull())
+    prior = {r[0]: r[1] for r in rows.groupBy(F.col(label).cast("string")).count().limit(max_labels + 1).collect()}
+    if len(prior) > max_labels:
+        raise ValueError(f"more than {max_labels} labels")
     got = counts(rows, label, text_col).toPandas()
-    prior = {r[0]: r[1] for r in rows.groupBy(F.col(label).cast("string")).count().collect()}
     names = sorted(prior)
     n = np.full((len(names), BUCKETS), smoothing)
     if names:
-        np.add.at(n, ([names.index(x) for x in got["label"]], got["bucket"].to_numpy(int)), got["n"].to_numpy(float))
+        place = {x: k for k, x in enumerate(names)}
+        np.add.at(n, ([place[x] for x in got["label"]], got["bucket"].to_numpy(int)), got["n"].to_numpy(float))
     total = np.array([prior[x] for x in names], float)
     return names, np.log(n / n.sum(1, keepdims=True)), np.log(total / total.sum()) if names else total
 
 
+def log_likelihoods(data: np.ndarray, offsets: np.ndarray, log_p: np.ndarray) -> np.ndarray:
+    """Rows x labels: the sum over each row's n-grams of their log-probabilities (log_p: labels x BUCKETS).
+
+    Only the cells that occur are looked up, label by label, so memory stays with one piece of text.
+    """
+    total = np.zeros((len(offsets) - 1, len(log_p)))
+    for lo, _, row, bucket in grams(data, offsets):
+        if len(row):
+            first = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
+            for k, cells in enumerate(log_p):
+                total[lo + row[first], k] += np.add.reduceat(cells[bucket], first)
+    return total
+
+
 def identify(docs: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, held_out, lang_pred, score for each row of docs; score is the posterior of the named language.
 
     Null texts and texts without a letter are `und` with score 0, as is every text if nothing was learned. Texts are
-    read whole, whatever their length. Ties go to the first name in order. Repeated rows are scored alike.
+    read whole, whatever their length. Ties go to the first name in order. Repeated rows are scored alike, rows without
+    an id count as held out, an empty table gives no rows, and other columns of docs are ignored.
     """
     names, log_p, prior = model
-    sent = docs.sparkSession.sparkContext.broadcast((names, np.ascontiguousarray(log_p.T), prior))
+    sent = docs.sparkSession.sparkContext.broadcast((names, log_p, prior))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, table, prior = sent.value
+        names, log_p, prior = sent.value
         for batch in batches:
-            total = np.zeros((batch.num_rows, len(names)))
             if names:
-                for lo, n, row, bucket in grams(*text_bytes(batch.column("text"))):
-                    for some in range(0, n, 64):  # sparse counts of 64 rows at a time
-                        a, b = np.searchsorted(row, (some, some + 64))
-                        cells = np.bincount((row[a:b] - some) * BUCKETS + bucket[a:b], minlength=1)
-                        at = np.flatnonzero(cells)
-                        if len(at):
-                            own, first = np.unique(at // BUCKETS, return_index=True)
-                            total[lo + some + own] += np.add.reduceat(cells[at, None] * table[at % BUCKETS], first, axis=0)
-                total += prior
+                total = log_likelihoods(*text_bytes(batch.column("text")), log_p) + prior
                 best = total.argmax(1)
                 score = 1 / np.exp(total - total.max(1, keepdims=True)).sum(1)
             else:
                 best, score = np.zeros(batch.num_rows, int), np.zeros(batch.num_rows)
             known = batch.column("letters").to_numpy(zero_copy_only=False).astype(bool) & bool(names)
             pred = [names[k] if ok else "und" for k, ok in zip(best, known, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(pred, pa.string()), pa.array(np.where(known, score, 0.0))], ["doc_id", "held_out", "lang_pred", "score"])
+            arrays = [batch.column("doc_id"), batch.column("held_out"), pa.array(pred, pa.string()), pa.array(np.where(known, score, 0.0))]
+            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "held_out", "lang_pred", "score"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), held_out(id_col).alias("held_out"), F.col(text_col).alias("text"), F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False)).alias("letters"))
+    text = F.col(text_col)
+    has_letters = F.coalesce(text.rlike(r"\p{L}"), F.lit(False))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), held_out(id_col).alias("held_out"), text.alias("text"), has_letters.alias("letters"))
     return rows.mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tarnloom.llm import langid, quality, secrets, toxicity
+from tarnloom.llm import common, langid, quality, secrets, toxicity
 from tarnloom.llm.common import held_out, table
 
 SF = "/root/testdata/sf0.01"
@@ -52,6 +52,57 @@ def test_language_counts_match_plain_counts():
         assert (total[k] == alone).all()
 
 
+def _plain_grams(text):
+    """Bucket counts of a text by its definition: 1- to 3-grams of lower-cased letters, 0 for anything else."""
+    points = [ord(c.lower()) if len(c.lower()) == 1 else ord(c) if c.isalpha() else 0 for c in text]
+    points = [p if c.isalpha() else 0 for p, c in zip(points, text, strict=True)]
+    out = np.zeros(langid.BUCKETS, int)
+    for n in (1, 2, 3):
+        for k in range(len(points) - n + 1):
+            g = points[k : k + n]
+            if not (g[0] or n > 1 and g[-1]):
+                continue
+            h = 0
+            for x in g:
+                h = (h + x) * 0x9E3779B1 & 0xFFFFFFFF
+                h ^= h >> 15
+            out[(h * 0x85EBCA77 & 0xFFFFFFFF) >> 18] += 1
+    return out
+
+
+def _column(texts):
+    raw = [t.encode() for t in texts]
+    return np.frombuffer(b"".join(raw), np.uint8), np.r_[0, np.cumsum([len(x) for x in raw])]
+
+
+def test_language_counts_match_the_definition(monkeypatch):
+    texts = ["Über straße", "", "a 1b", "él está", "x" * 10, "\U00010041\U00020041 a 漢字", "é" * 700 + "ab" * 333]
+    want = np.stack([_plain_grams(t) for t in texts])
+    assert (_plain_grams("\U00020041") != _plain_grams("a")).any()
+    for size in (1 << 20, 64, 7):  # small pieces cut the long texts many times
+        pieces = lambda d, o, carry, size=size: common.characters(d, o, size, carry)
+        monkeypatch.setattr(langid, "characters", pieces)
+        got = np.zeros_like(want)
+        for lo, _, row, bucket in langid.grams(*_column(texts)):
+            np.add.at(got, (lo + row, bucket), 1)
+        assert (got == want).all(), size
+
+
+def test_language_scores_match_plain_bayes(spark, docs):
+    rows = docs.filter("lang is not null").select("doc_id", "lang", "text").limit(60).toPandas()
+    frame = spark.createDataFrame(rows)
+    names, log_p, prior = langid.fit(frame)
+    assert names == sorted(set(rows.lang))
+    grams = np.stack([_plain_grams(t or "") for t in rows.text])
+    n = np.stack([grams[(rows.lang == x).to_numpy()].sum(0) for x in names]) + 0.5
+    total = grams @ np.log(n / n.sum(1, keepdims=True)).T + np.log([(rows.lang == x).mean() for x in names])
+    got = langid.identify(frame, (names, log_p, prior)).toPandas().set_index("doc_id").loc[rows.doc_id]
+    assert list(got.lang_pred) == [names[k] for k in total.argmax(1)]
+    assert np.allclose(got.score, 1 / np.exp(total - total.max(1, keepdims=True)).sum(1))
+    with pytest.raises(ValueError):
+        langid.fit(frame, max_labels=1)
+
+
 def test_quality_of_held_out_rows(spark, docs):
     labels = table(spark, SF, "labels")
     got = quality.score_quality(docs, labels).join(labels, "doc_id").filter("held_out").toPandas()
@@ -106,11 +157,73 @@ def test_decoder_restores_doubled_letters_and_a_leading_sign(spark, docs, tox):
 def test_spaced_run_is_one_lattice(tox):
     cost = tox["cost"]
     for run in ("thatesouthenatbledeerthbleanderorblechdefororbstupidleelle", "thlythereseadertoantionofenoneainorantheeinunstupidder", "thegeschauonhadeerorearethwhfortheanbleedblstupidloser"):
-        assert run.index("stupid") < toxicity.LONGEST < run.index("stupid") + 6
+        assert run.index("stupid") < 48 < run.index("stupid") + 6
         assert "stupid" in list(toxicity.spaced_words(" ".join(run), cost))
     assert "".join(toxicity.spaced_words("i d i o t " * 20_000, cost)) == "idiot" * 20_000
 
 
+def test_long_tokens_are_one_lattice(tox, monkeypatch):
+    cost = tox["cost"]
+    for token in ("nation" * 7 + "idiiiiiiot", "st7p1d" * 40, "1d10t" * 30 + "x", "a1" * 500):
+        whole = toxicity.decode(token, cost)
+        monkeypatch.setattr(toxicity, "SETTLE", 10**9)
+        assert toxicity.decode(token, cost) == whole
+        monkeypatch.setattr(toxicity, "SETTLE", 3)
+        assert toxicity.decode(token, cost) == whole
+        monkeypatch.undo()
+    assert toxicity.restore("nation" * 7 + "idiiiiiiot", cost).endswith("idiot")
+    assert len(toxicity.decode("1d10t" * 20_000, cost)) > 50_000
+
+
+def test_characters_are_counted_within_documents(monkeypatch):
+    texts = ["ab", "cd", "", "é1Éa", "x" * 50 + "ß"]
+    want = np.zeros((28, 28, 28), int)
+    for t in texts:
+        c = [0, 0, *(toxicity._class_of(x.lower()[0]) for x in t), 0, 0]
+        for k in range(len(c) - 2):
+            want[c[k], c[k + 1], c[k + 2]] += 1
+    for size in (1 << 20, 16):
+        monkeypatch.setattr(toxicity, "characters", lambda d, o, size=size: common.characters(d, o, size))
+        got = toxicity.count_characters(*_column(texts)).reshape(28, 28, 28)
+        assert (got[1:] == want[1:]).all() and (got[0, 1:] == want[0, 1:]).all() and (got[0, 0, 1:] == want[0, 0, 1:]).all()
+    assert got[1, 2, 3] == 0 and got[27].sum() == 3
+
+
+def test_toxicity_scores_match_a_plain_version(spark, tox, docs):
+    texts = [r["text"] for r in docs.select("text").limit(80).collect()] + [None, "", "you idiot", "1d10t m0r0n", "s t u p i d loser"]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    weight = dict(zip(tox["keys"], tox["w"], strict=True))
+    for r in toxicity.score_toxicity(frame, tox).collect():
+        text = (texts[r["doc_id"]] or "").lower()
+        words = set(toxicity.spaced_words(text, tox["cost"]))
+        for t in text.split():
+            words |= set(toxicity.restore(t, tox["cost"]).split())
+            if t.startswith("!"):
+                words |= set(toxicity.restore(t.strip(toxicity._EDGE), tox["cost"]).split())
+        raw = tox["bias"] + sum(weight.get(x, 0.0) for x in {x for w in words for x in toxicity._keys(w)})
+        assert abs(r["score"] - 1 / (1 + np.exp(-raw))) < 1e-9 and r["predicted"] == (raw >= 0)
+
+
+def test_weights_are_the_optimum_of_their_loss():
+    rng = np.random.default_rng(3)
+    hits = [np.flatnonzero(rng.random(6) < 0.3) for _ in range(300)]
+    y = np.array([float(0 in h or rng.random() < 0.1) for h in hits])
+    w, b = toxicity.fit_weights(hits, y, 6)
+    weight = np.where(y == 1, 300 / (2 * y.sum()), 300 / (2 * (1 - y).sum()))
+
+    def loss(w, b):
+        z = np.array([b + w[h].sum() for h in hits])
+        return (weight * (np.log1p(np.exp(z)) - y * z)).sum() + 0.25 * (w * w).sum()
+
+    at = loss(w, b)
+    for k in range(6):
+        for move in (-0.05, 0.05):
+            other = w.copy()
+            other[k] = max(0.0, other[k] + move)
+            assert loss(other, b) >= at - 1e-3
+    assert w.min() >= 0 and w.argmax() == 0
+
+
 def test_decoder_is_the_cheapest_path():
     rng = np.random.default_rng(1)
     cost = toxicity.character_model(rng.integers(1, 50, (28, 28, 28)).astype(float))
