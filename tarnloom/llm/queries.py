@@ -123,23 +123,32 @@ def _poured(name: str, children: str, parent: str, child: str) -> str:
 {name}_o as (select *, sum(capacity) over ({order}) - capacity as before, sum(weight) over ({by}) - sum(weight) over ({order}) + weight as open from {children}),
 {name}_f as (select *, capacity::decimal(38,0) * open <= (budget - before)::decimal(38,0) * weight as is_full from {name}_o),
 {name}_t as (select *, sum(case when is_full then capacity else 0 end) over ({by}) as taken, sum(case when is_full then 0 else weight end) over ({by}) as open_weight from {name}_f),
-{name} as (select *, case when is_full then capacity else greatest(0, least(capacity, ((budget - taken)::hugeint * weight::hugeint) // open_weight::hugeint)) end::bigint as alloc from {name}_t)"""
+{name}_s as (select *, case when is_full then 0 else (greatest(0, budget - taken)::hugeint * weight::hugeint) // open_weight::hugeint end as part from {name}_t),
+{name}_r as (select *, greatest(0, budget - taken) - sum(part) over ({by}) as odd, row_number() over ({by} order by is_full, {child}) as place from {name}_s),
+{name} as (select *, (case when is_full then capacity when place <= odd then part + 1 else part end)::bigint as alloc from {name}_r)"""
 
 
-_MIXING = rf"""
+def _mixing_sql(domains: dict[str, int], langs: dict[str, int], sources: dict[str, int]) -> str:
+    """SQL of the mixing query for any weights of at least 0; leaves below a weight of 0 are left out of the tree."""
+    weights = (_parts(domains, "domain"), _parts(langs, "lang"), _parts(sources, "source"))
+    return rf"""
 with t as (select doc_id, coalesce(case when regexp_full_match(source, 'src[0-9]+') then case when try_cast(source[4:] as int) < 10 then 'web' else 'books' end end, 'unknown') as domain,
     coalesce(lang, 'unknown') as lang, coalesce(source, 'unknown') as source, len(regexp_extract_all(coalesce(text, ''), '[^ \t\n\r]+'))::bigint as n_tokens, md5(coalesce(text, '')) as h from documents),
 r as (select * from t where n_tokens > 0),
-leaf as (select domain, lang, source, sum(n_tokens)::bigint as tokens from r group by all),
-d_in as (select 0 as root, domain, (2 * sum(tokens))::bigint as capacity, {_parts(DOMAIN_WEIGHTS, "domain")} as weight, (select (sum(tokens) * 4 // 5)::bigint from leaf) as budget from leaf group by domain),
+every as (select domain, lang, source, sum(n_tokens)::bigint as tokens from r group by all),
+leaf as (select * from every where {weights[0]} > 0 and {weights[1]} > 0 and {weights[2]} > 0),
+d_in as (select 0 as root, domain, (2 * sum(tokens))::bigint as capacity, {weights[0]} as weight, (select (sum(tokens) * 4 // 5)::bigint from every) as budget from leaf group by domain),
 {_poured("d", "d_in", "root", "domain")},
-l_in as (select x.domain, x.lang, (2 * sum(tokens))::bigint as capacity, {_parts(LANG_WEIGHTS, "x.lang")} as weight, any_value(d.alloc) as budget from leaf x join d on d.domain = x.domain group by x.domain, x.lang),
+l_in as (select x.domain, x.lang, (2 * sum(tokens))::bigint as capacity, {_parts(langs, "x.lang")} as weight, any_value(d.alloc) as budget from leaf x join d on d.domain = x.domain group by x.domain, x.lang),
 {_poured("l", "l_in", "domain", "lang")},
-s_in as (select x.domain, x.lang, x.source, tokens, 2 * tokens as capacity, {_parts(SOURCE_WEIGHTS, "x.source")} as weight, l.alloc as budget from leaf x join l on l.domain = x.domain and l.lang = x.lang),
+s_in as (select x.domain, x.lang, x.source, tokens, 2 * tokens as capacity, {_parts(sources, "x.source")} as weight, l.alloc as budget from leaf x join l on l.domain = x.domain and l.lang = x.lang),
 {_poured("s", "s_in", "domain, lang", "source")},
 plan as (select domain, lang, source, tokens, (alloc // tokens)::int as n_full, alloc % tokens as rest from s),
 e as (select r.*, n_full, rest, unnest(range(0, n_full + 1)) as epoch from r join plan using (domain, lang, source)),
-k as (select *, sum(n_tokens) over (partition by domain, lang, source, epoch order by md5('11:' || epoch || ':' || doc_id), h, doc_id rows unbounded preceding) - n_tokens as before from e)
+k as (select *, sum(n_tokens) over (partition by domain, lang, source, epoch order by md5('11:' || epoch || ':' || coalesce(doc_id::varchar, h)), h, doc_id rows unbounded preceding) - n_tokens as before from e)
 select doc_id, domain, lang, source, epoch::int as epoch, n_tokens, (case when epoch < n_full then n_tokens else least(n_tokens, rest - before) end)::bigint as taken
 from k where epoch < n_full or before < rest
 """
+
+
+_MIXING = _mixing_sql(DOMAIN_WEIGHTS, LANG_WEIGHTS, SOURCE_WEIGHTS)

@@ -2,7 +2,9 @@
 
 import hashlib
 import random
+from fractions import Fraction
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -120,42 +122,67 @@ def test_packing_keeps_every_token(spark):
 
 
 def _pour(budget, children):
-    """Plain water filling: share by weight, cap, share what is left."""
-    got, open_ = {k: 0 for k in children}, {k for k, (c, w) in children.items() if w > 0}
-    left = budget
-    while open_:
-        total = sum(children[k][1] for k in open_)
-        full = {k for k in open_ if children[k][0] * total <= left * children[k][1]}
-        if not full:
-            for k in open_:
-                got[k] = min(children[k][0], left * children[k][1] // total)
-            break
-        for k in full:
-            got[k] = children[k][0]
-        left -= sum(children[k][0] for k in full)
-        open_ -= full
+    """Plain water filling by bisection of the level: everyone has min(capacity, level * weight); odd tokens by name."""
+    live = {k: (c, w) for k, (c, w) in children.items() if w > 0}
+    got = dict.fromkeys(children, 0)
+    if sum(c for c, _ in live.values()) <= budget:
+        return got | {k: c for k, (c, _) in live.items()}
+    low, high = Fraction(0), Fraction(max(c for c, _ in live.values()) + 1)
+    for _ in range(200):
+        level = (low + high) / 2
+        if sum(min(Fraction(c), level * w) for c, w in live.values()) > budget:
+            high = level
+        else:
+            low = level
+    full = {k for k, (c, w) in live.items() if c <= high * w}
+    left, total = budget - sum(live[k][0] for k in full), sum(w for k, (_, w) in live.items() if k not in full)
+    got |= {k: c if k in full else left * w // total for k, (c, w) in live.items()}
+    for k in sorted(live.keys() - full)[: budget - sum(got.values())]:
+        got[k] += 1
     return got
 
 
+def _plain_budgets(leaves, weights, default, budget, epochs, depth=0):
+    """Budgets of leaves {path: tokens}: what lies below a weight of 0 has no capacity."""
+    w = lambda path: [weights[d].get(n, default) for d, n in enumerate(path)]
+    if depth == len(weights):
+        return dict.fromkeys(leaves, budget)
+    children = {}
+    for path, tokens in leaves.items():
+        children.setdefault(path[depth], {})[path] = tokens
+    cap = {n: sum(t * epochs for p, t in some.items() if min(w(p)) > 0) for n, some in children.items()}
+    poured = _pour(budget, {n: (cap[n], weights[depth].get(n, default) if cap[n] else 0) for n in children})
+    return {k: v for n, some in children.items() for k, v in _plain_budgets(some, weights, default, poured[n], epochs, depth + 1).items()}
+
+
 def test_budgets_match_plain_water_filling(spark):
     rng = random.Random(9)
-    for case in range(4):
-        leaves = {(d, l, s): rng.randrange(1, 2000) for d in "ab" for l in "xyz"[: rng.randrange(1, 4)] for s in "123"[: rng.randrange(1, 4)]}
-        weights = [{"a": 3, "b": 1}, {"x": 5, "y": 0, "z": 2}, {"1": 1, "2": 4}]
-        w = lambda depth, name: weights[depth].get(name, 2)  # noqa: B023, E731
-        total, epochs = int(sum(leaves.values()) * (0.3 + 0.4 * case)), 2
-
-        def plain(path, budget):
-            if len(path) == 3:
-                return {path: budget}
-            names = sorted({p[len(path)] for p in leaves if p[: len(path)] == path})  # noqa: B023
-            cap = lambda p: leaves[p] * epochs if len(p) == 3 else sum(cap((*p, x)) for x in sorted({q[len(p)] for q in leaves if q[: len(p)] == p}))  # noqa: B023, E731
-            poured = _pour(budget, {n: (cap((*path, n)), w(len(path), n)) for n in names})
-            return {k: v for n in names for k, v in plain((*path, n), poured[n]).items()}
-
+    weights = [{"a": 3, "b": 1}, {"x": 5, "y": 0, "z": 2}, {"1": 0, "2": 4, "3": 1}]
+    cases = [({("a", "q", "1"): 900, ("a", "q", "2"): 100, ("b", "q", "2"): 1000}, 1, 1000)]
+    for case in range(6):
+        leaves = {(d, l, s): rng.randrange(1, 2000) for d in "ab" for l in "xyz"[: rng.randrange(1, 4)] for s in "1234"[: rng.randrange(1, 5)]}
+        cases.append((leaves, 2, int(sum(leaves.values()) * (0.2 + 0.3 * case))))
+    for leaves, epochs, total in cases:
         frame = spark.createDataFrame([(*p, t) for p, t in leaves.items()], "d string, l string, s string, tokens long")
         got = mixing.budgets(frame, ["d", "l", "s"], weights, 2, F.lit(total), epochs)
-        assert {(r["d"], r["l"], r["s"]): r["alloc"] for r in got.collect()} == plain((), total)
+        got = {(r["d"], r["l"], r["s"]): r["alloc"] for r in got.collect()}
+        assert got == _plain_budgets(leaves, weights, 2, total, epochs)
+        fits = sum(t * epochs for p, t in leaves.items() if p[1] != "y" and p[2] != "1")
+        assert sum(got.values()) == min(total, fits)
+
+
+@pytest.mark.parametrize("slice_rows", [4096, 3])
+def test_mixing_matches_its_sql_with_a_zero_weight(spark, monkeypatch, slice_rows):
+    monkeypatch.setattr(mixing, "SLICE_ROWS", slice_rows)
+    docs = table(spark, SF, "documents").select("doc_id", "text", "lang", "source")
+    odd = [(1, "p q r", "en", "src1")] * 9 + [(None, "n n", "de", "src2")] * 7 + [(None, None, None, None), (5, "", "en", "src1"), (None, "m", None, "odd")]
+    docs = docs.union(spark.createDataFrame(odd, docs.schema))
+    weights = [{"web": 300, "books": 0}, {"en": 400, "de": 50}, {"src0": 0, "src1": 700, "src2": 7}]
+    con = duckdb.connect()
+    con.register("documents", docs.toPandas().astype({"doc_id": "Int64"}))
+    want = con.sql(queries._mixing_sql(*weights)).fetchall()
+    got = mixing.mix(docs, queries.source_tree(), weights).collect()
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, want)) and len(want) > 50
 
 
 def test_mixing_of_odd_rows(spark):
