@@ -1,7 +1,8 @@
 """WARC archives: writing captures as request, response or revisit, and metadata records, and assembling them again.
 
-Archives are written by Spark's text sink, whose line separator is the blank lines that end a record, so they land in any
-store that Spark writes to. The reader goes by each record's Content-Length, never by what a payload holds.
+Every record is a gzip member of its own. Members are gathered into archives by their bytes and written by Spark's text
+sink, so archives land in any store that Spark writes to. The reader goes by each record's Content-Length, never by what
+a payload holds, and keeps one record in memory.
 """
 
 from __future__ import annotations
@@ -17,15 +18,24 @@ from .common import new_path, stage
 
 END = "\r\n\r\n"
 LEAST_BYTES = 1000  # smaller payloads are never revisits
-FILE_BYTES = 16 << 20  # about how much one archive holds; a reading task holds one archive
+FILE_BYTES = 16 << 20  # an archive is closed once its members reach this
+MEMBER_BYTES = 8 << 20  # of a record in one gzip member; a larger record goes on in another
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "2024-01-01T00:00:00Z"
-RECORD = "type string, record_id string, concurrent_to string, target_uri string, date string, refers_to string, payload_digest string, http_header string, http_length long, fields map<string,string>, payload binary"
+INFO = b"software: tarnloom\r\nformat: WARC File Format 1.1\r\n"
+RECORD = (
+    "type string, record_id string, concurrent_to string, target_uri string, date string, refers_to string, "
+    "payload_digest string, http_header string, http_length long, fields map<string,string>, payload binary, error string"
+)
+NAMES = tuple(x.split(" ")[0] for x in RECORD.split(", "))
+KINDS = {"requests": ("request",), "captures": ("response", "revisit", "resource"), "metadata": ("metadata",)}
+MAX_RECORDS = 1000  # records of a capture in one row
 
 
 def _urn(kind: str, column: str) -> Column:
     h = F.md5(F.concat_ws(":", F.lit(kind), F.col(column)))
-    return F.concat(F.lit("<urn:uuid:"), F.concat_ws("-", *[F.substring(h, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))]), F.lit(">"))
+    parts = [F.substring(h, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))]
+    return F.concat(F.lit("<urn:uuid:"), F.concat_ws("-", *parts), F.lit(">"))
 
 
 def _header(name: str, value: Column | str) -> Column:
@@ -35,19 +45,23 @@ def _header(name: str, value: Column | str) -> Column:
 
 
 def _record(kind: Column | str, record_id: Column, content_type: str, block: Column, *more: Column) -> Column:
-    return F.concat(F.lit("WARC/1.1\r\n"), _header("WARC-Type", kind), _header("WARC-Record-ID", record_id), _header("WARC-Date", DATE), *more, _header("Content-Type", content_type), _header("Content-Length", F.octet_length(block)), F.lit("\r\n"), block)
+    head = [_header("WARC-Type", kind), _header("WARC-Record-ID", record_id), _header("WARC-Date", DATE), *more]
+    length = [_header("Content-Type", content_type), _header("Content-Length", F.octet_length(block))]
+    return F.concat(F.lit("WARC/1.1\r\n"), *head, *length, F.lit("\r\n"), block, F.lit(END))
 
 
-def plan_captures(pages: DataFrame) -> DataFrame:
-    """(page_id, url, html, payload_bytes, payload_digest, first_id, capture, record_id) of each page.
+def plan_captures(pages: DataFrame, seed: int = 7) -> DataFrame:
+    """(page_id, url, html, payload_bytes, payload_digest, capture, record_id) of each page.
 
-    capture is response or revisit; first_id is the page of the response that an equal payload revisits. That response's
-    record id follows from the digest, other ids are random. Only digests that repeat are staged; html is not.
+    capture is response or revisit. The record id of a response that others revisit follows from the digest; other ids
+    follow from the seed and a row's place in the scan, so a rerun over the same files gives the same ones. Only digests
+    that repeat are staged; html is not.
     """
     html = F.coalesce(F.col("html"), F.lit(""))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), html.alias("html"), F.octet_length(html).cast("long").alias("payload_bytes"), F.sha1(html).alias("payload_digest"))
     large = rows.filter(F.col("payload_bytes") >= LEAST_BYTES)
-    first = large.groupBy("payload_digest", "page_id").agg(F.count("*").alias("n")).groupBy("payload_digest").agg(F.max(F.struct("page_id", "n")).alias("first"), F.sum("n").alias("n")).filter("n > 1")
+    first = large.groupBy("payload_digest", "page_id").agg(F.count("*").alias("n"))
+    first = first.groupBy("payload_digest").agg(F.max(F.struct("page_id", "n")).alias("first"), F.sum("n").alias("n")).filter("n > 1")
     first = stage(first.select(F.col("payload_digest").alias("d"), F.col("first.page_id").alias("first_id"), F.col("first.n").alias("ties"), F.lit(True).alias("repeats")), "firsts")
     rows = rows.join(first, F.col("payload_digest") == F.col("d"), "left").drop("d")
     top = F.coalesce(F.col("repeats") & F.col("page_id").eqNullSafe(F.col("first_id")), F.lit(False))
@@ -56,9 +70,10 @@ def plan_captures(pages: DataFrame) -> DataFrame:
         tied = top & (F.col("ties") > 1)
         place = F.row_number().over(Window.partitionBy("payload_digest").orderBy("url"))
         out = rows.filter(~tied).withColumn("canonical", top).union(rows.filter(tied).withColumn("canonical", place == 1))
-    own = F.when(F.col("canonical"), _urn("payload", "payload_digest")).otherwise(F.concat(F.lit("<urn:uuid:"), F.expr("uuid()"), F.lit(">")))
+    other = F.concat(F.lit("<urn:uuid:"), F.uuid(seed), F.lit(">"))
     kind = F.when(F.col("canonical") | F.col("repeats").isNull(), "response").otherwise("revisit")
-    return out.select("page_id", "url", "html", "payload_bytes", "payload_digest", "first_id", kind.alias("capture"), own.alias("record_id"))
+    own = F.when(F.col("canonical"), _urn("payload", "payload_digest")).otherwise(other)
+    return out.select("page_id", "url", "html", "payload_bytes", "payload_digest", kind.alias("capture"), own.alias("record_id"))
 
 
 def records(captures: DataFrame) -> DataFrame:
@@ -67,117 +82,242 @@ def records(captures: DataFrame) -> DataFrame:
     uri, digest = _header("WARC-Target-URI", F.col("url")), _header("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("payload_digest")))
     http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.col("payload_bytes").cast("string"), F.lit(END))
     asked = F.concat(F.lit("GET "), F.coalesce(F.regexp_replace("url", r"[\r\n]+", " "), F.lit("/")), F.lit(" HTTP/1.1"), F.lit(END))
-    fields = F.concat(_header("pageId", F.col("page_id")), F.when(revisit, _header("refersToPageId", F.col("first_id"))).otherwise(""))
+    refers = [_header("WARC-Profile", PROFILE), _header("WARC-Refers-To", _urn("payload", "payload_digest"))]
     capture = F.when(
-        revisit,
-        _record("revisit", own, "application/http;msgtype=response", http, uri, digest, _header("WARC-Profile", PROFILE), _header("WARC-Refers-To", _urn("payload", "payload_digest"))),
-    ).otherwise(_record("response", own, "application/http;msgtype=response", F.concat(http, F.col("html")), uri, digest))
+        revisit, _record("revisit", own, "application/http;msgtype=response", http, uri, digest, *refers),
+    ).otherwise(_record("response", own, "application/http;msgtype=response", F.concat(http, F.col("html")), uri, digest))
     with_capture = _header("WARC-Concurrent-To", own)
     request = _record("request", _urn("request", "record_id"), "application/http;msgtype=request", asked, uri, with_capture)
-    metadata = _record("metadata", _urn("metadata", "record_id"), "application/warc-fields", fields, uri, with_capture)
+    page = _header("pageId", F.col("page_id"))
+    metadata = _record("metadata", _urn("metadata", "record_id"), "application/warc-fields", page, uri, with_capture)
     return captures.select(F.explode(F.array(request, capture, metadata)).alias("value"))
 
 
+def members(raw: bytes) -> bytes:
+    """A record as gzip, of a fixed time: one member, or one for each MEMBER_BYTES of it."""
+    out = []
+    for at in range(0, max(1, len(raw)), MEMBER_BYTES):
+        packer = zlib.compressobj(6, zlib.DEFLATED, 31)
+        out.append(packer.compress(raw[at : at + MEMBER_BYTES]) + packer.flush())
+    return b"".join(out)
+
+
+def info_record() -> bytes:
+    head = f"WARC/1.1\r\nWARC-Type: warcinfo\r\nWARC-Record-ID: <urn:uuid:00000000-0000-4000-8000-000000000000>\r\nWARC-Date: {DATE}\r\n"
+    return (head + f"Content-Type: application/warc-fields\r\nContent-Length: {len(INFO)}\r\n\r\n").encode() + INFO + END.encode()
+
+
 def write_archives(pages: DataFrame, path: str, file_bytes: int = FILE_BYTES) -> None:
-    """Gzip archives of all pages in the folder `path`."""
-    mean = pages.agg(F.avg(F.octet_length("html"))).first()[0] or 0.0
-    records(plan_captures(pages)).write.option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", max(3, 3 * int(file_bytes / (mean + 1000)))).text(path)
-
-
-def parse(raw: memoryview) -> Iterator[dict]:
-    """Records of one archive, plain or gzip (in members or as a whole). A truncated record ends it with ValueError."""
-    if bytes(raw[:2]) == b"\x1f\x8b":
-        out, rest = bytearray(), bytes(raw)
-        while rest:
-            member = zlib.decompressobj(31)
-            out += member.decompress(rest) + member.flush()
-            rest = member.unused_data
-        raw = memoryview(bytes(out))
-    at, data = 0, raw.obj if isinstance(raw.obj, bytes) and len(raw.obj) == len(raw) else bytes(raw)
-    while at < len(data):
-        if data[at : at + 2] == b"\r\n":
-            at += 2
+    """Gzip archives of all pages in the folder `path`, each with a warcinfo record first.
+
+    An archive ends with the record that takes it to file_bytes, so only a single larger record makes a larger one.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def archive() -> pa.RecordBatch:
+            # The sink ends a row by a zero byte. That is the last byte of a member: its length, little-endian, is below 2^24.
+            return pa.RecordBatch.from_arrays([pa.array([b"".join(held)[:-1]], pa.binary())], ["value"])
+
+        head = members(info_record())
+        held, size = [head], len(head)
+        for batch in batches:
+            for value in batch.column(0):
+                held.append(members(value.as_buffer().to_pybytes()))
+                size += len(held[-1])
+                if size >= file_bytes:
+                    yield archive()
+                    held, size = [head], len(head)
+        if len(held) > 1:
+            yield archive()
+
+    packed = records(plan_captures(pages)).mapInArrow(run, "value binary").select(F.col("value").cast("string"))
+    packed.write.option("lineSep", "\0").option("compression", "none").option("maxRecordsPerFile", 1).text(path)
+
+
+class _Stream:
+    """Bytes of an archive, decompressed as they are asked for; a broken gzip member is reported and passed over."""
+
+    def __init__(self, raw: memoryview):
+        self.raw, self.at, self.start, self.member = raw, 0, 0, None
+        self.held, self.errors = bytearray(), []
+        self.zipped = bytes(raw[:2]) == b"\x1f\x8b"
+
+    def more(self) -> bool:
+        """Read on; False at the end."""
+        while self.at < len(self.raw):
+            part = self.raw[self.at : self.at + (1 << 16)]
+            if not self.zipped:
+                self.at += len(part)
+                self.held += part
+                return True
+            if self.member is None:
+                if part[0] == 0:  # padding between members
+                    self.at += 1
+                    continue
+                self.member, self.start = zlib.decompressobj(31), self.at
+            try:
+                out = self.member.decompress(part)
+            except zlib.error as e:
+                self.errors.append(f"gzip member at byte {self.start}: {e}")
+                after = bytes(self.raw).find(b"\x1f\x8b\x08", self.start + 1)
+                self.member, self.at = None, after if after >= 0 else len(self.raw)
+                continue
+            self.at += len(part) - len(self.member.unused_data)
+            if self.member.eof:
+                self.member = None
+            if out:
+                self.held += out
+                return True
+        if self.member is not None:
+            self.errors.append(f"gzip member at byte {self.start}: truncated")
+            self.member = None
+        return False
+
+    def holds(self, n: int) -> bool:
+        while len(self.held) < n:
+            if not self.more():
+                return False
+        return True
+
+    def find(self, what: bytes, at: int = 0) -> int:
+        while (found := self.held.find(what, at)) < 0:
+            at = max(at, len(self.held) - len(what) + 1)
+            if not self.more():
+                return -1
+        return found
+
+
+def parse(raw: memoryview) -> Iterator[tuple[dict, bytes, str | None]]:
+    """(header, block, error) of each record of one archive, plain or gzip (in members or as a whole).
+
+    What is no record, has no length or ends too early is given as an error without header and block; reading goes on at the
+    next line that begins a record. So is a broken gzip member.
+    """
+    s = _Stream(raw)
+    while True:
+        while s.holds(2) and s.held[:2] == b"\r\n":
+            del s.held[:2]
+        if not s.held:
+            break
+        head, size, error = {}, None, None
+        end = s.find(b"\r\n\r\n") if s.holds(5) and s.held[:5] == b"WARC/" else -1
+        if end < 0:
+            error = "no WARC record"
+        else:
+            for line in bytes(s.held[:end]).split(b"\r\n")[1:]:
+                name, _, value = line.partition(b":")
+                head[name.strip().lower()] = value.strip().decode("utf-8", "replace")
+            length = head.get(b"content-length", "")
+            size = int(length) if length.isascii() and length.isdigit() else None
+            if size is None:
+                error = "no Content-Length"
+            elif not s.holds(end + 4 + size):
+                error = "truncated record"
+        if error is None:
+            yield head, bytes(s.held[end + 4 : end + 4 + size]), None
+            del s.held[: end + 4 + size]
             continue
-        end = data.find(b"\r\n\r\n", at)
-        if end < 0 or data[at : at + 5] != b"WARC/":
-            raise ValueError(f"no WARC record at byte {at}")
-        head = {}
-        for line in data[at:end].split(b"\r\n")[1:]:
-            name, _, value = line.partition(b":")
-            head[name.strip().lower()] = value.strip().decode("utf-8", "replace")
-        size = int(head[b"content-length"])
-        at = end + 4 + size
-        if at > len(data):
-            raise ValueError("truncated record")
-        yield head, data[end + 4 : at]
+        yield {}, b"", error
+        after = s.find(b"\nWARC/", 1)
+        if after < 0:
+            break
+        del s.held[: after + 1]
+    for error in s.errors:
+        yield {}, b"", error
+
+
+def _row(head: dict, block: bytes, error: str | None) -> tuple:
+    kind, http, length, fields, payload = head.get(b"warc-type"), None, None, {}, None
+    if kind in ("response", "revisit"):
+        top, _, body = block.partition(b"\r\n\r\n")
+        http = top.decode("utf-8", "replace")
+        lengths = [x[15:].strip() for x in http.split("\r\n") if x.lower().startswith("content-length:")]
+        length = next((int(x) for x in lengths if x.isascii() and x.isdigit() and len(x) < 19), None)
+        payload = body if kind == "response" else None
+    elif kind == "resource":
+        payload = block
+    elif kind in ("metadata", "warcinfo"):
+        fields = dict(x.split(": ", 1) for x in block.decode("utf-8", "replace").split("\r\n") if ": " in x)
+    named = (b"warc-record-id", b"warc-concurrent-to", b"warc-target-uri", b"warc-date", b"warc-refers-to", b"warc-payload-digest")
+    return (kind, *(head.get(x) for x in named), http, length, list(fields.items()), payload, error)
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
-    """One row for each record (RECORD). A response's payload is the block behind its HTTP header; other records have none."""
+    """One row for each record (RECORD), in batches of a few MB.
+
+    A response's payload is the block behind its HTTP header; requests, revisits and metadata have none. What can't be read
+    is a row with nothing but its error.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["type", "record_id", "concurrent_to", "target_uri", "date", "refers_to", "payload_digest", "http_header", "http_length", "fields", "payload"]
-        types = [pa.string()] * 8 + [pa.int64(), pa.map_(pa.string(), pa.string()), pa.binary()]
+        types = [pa.string()] * 8 + [pa.int64(), pa.map_(pa.string(), pa.string()), pa.binary(), pa.string()]
+
+        def batch_of(rows: list) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), types, strict=True)], list(NAMES))
+
         for batch in batches:
             for content in batch.column(0):
                 rows, size = [], 0
-                for head, block in parse(memoryview(content.as_buffer().to_pybytes())):
-                    kind = head.get(b"warc-type")
-                    http, length, fields, payload = None, None, {}, None
-                    if kind in ("response", "revisit"):
-                        top, _, body = block.partition(b"\r\n\r\n")
-                        http = top.decode("utf-8", "replace")
-                        length = next((int(x[15:]) for x in http.split("\r\n") if x.lower().startswith("content-length:") and x[15:].strip().isdigit()), None)
-                        payload = body if kind == "response" else None
-                    elif kind == "metadata":
-                        fields = dict(x.split(": ", 1) for x in block.decode("utf-8", "replace").split("\r\n") if ": " in x)
-                    get = lambda name, head=head: head.get(name)
-                    rows.append((kind, get(b"warc-record-id"), get(b"warc-concurrent-to"), get(b"warc-target-uri"), get(b"warc-date"), get(b"warc-refers-to"), get(b"warc-payload-digest"), http, length, list(fields.items()), payload))
-                    size += len(block)
+                for head, block, error in parse(memoryview(content.as_buffer())):
+                    rows.append(_row(head, block, error))
+                    size += len(block) + 500
                     if size > 8_000_000:
-                        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), types, strict=True)], names)
+                        yield batch_of(rows)
                         rows, size = [], 0
                 if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), types, strict=True)], names)
+                    yield batch_of(rows)
 
     return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, RECORD)
 
 
-FIELDS = ("record_id", "type", "target_uri", "date", "refers_to", "payload_digest", "http_header", "http_length", "fields", "payload")
-
-
-def assemble(rows: DataFrame, keep: tuple[str, ...] = FIELDS) -> DataFrame:
-    """One row for each capture: capture_id, and request, response (or revisit) and metadata as nested records, null where missing.
+def assemble(rows: DataFrame, keep: tuple[str, ...] = tuple(x for x in NAMES if x not in ("concurrent_to", "error")), most: int = MAX_RECORDS) -> DataFrame:
+    """One row for each capture: capture_id, part, and arrays of its requests, captures and metadata as nested records.
 
-    A request or metadata record belongs to the record it is concurrent to. If several of one kind do, the one with the
-    largest record id counts; nothing is gathered in lists. Only the fields in `keep` (record_id first) are carried.
+    A record belongs to the record it is concurrent to, or to itself; captures are responses, revisits and resources. Records
+    of other types, and rows without a type or without both ids, are left out. No record is dropped: an array holds all of
+    its kind, by record id, and is empty where there is none. A capture of more than `most` records goes on in further rows,
+    dealt by record id (part 0, 1 and so on), so no task gathers an unbounded group. Only the fields in `keep` (record_id
+    first) are carried. rows is read twice.
     """
-    kinds = {"request": ["request"], "response": ["response", "revisit"], "metadata": ["metadata"]}
     record = F.struct(*[F.map_entries(c).alias(c) if c == "fields" else F.col(c) for c in keep])
-    keyed = rows.select(F.coalesce("concurrent_to", "record_id").alias("capture_id"), F.col("type").alias("_kind"), record.alias("record"))
-    return keyed.groupBy("capture_id").agg(*[F.max(F.when(F.col("_kind").isin(k), F.col("record"))).alias(n) for n, k in kinds.items()])
+    every = [x for kinds in KINDS.values() for x in kinds]
+    own = F.coalesce("concurrent_to", "record_id")
+    known = rows.filter(F.col("type").isin(every) & own.isNotNull())
+    keyed = known.select(own.alias("capture_id"), F.col("type").alias("_kind"), record.alias("_record"))
+    large = known.groupBy(own.alias("capture_id")).agg(F.count("*").alias("_n")).filter(F.col("_n") > most)
+    large = stage(large.select("capture_id", F.ceil(F.col("_n") / most).cast("int").alias("_parts")), "large")
+    if large.isEmpty():
+        keyed = keyed.withColumn("part", F.lit(0))
+    else:
+        place = F.pmod(F.xxhash64("_record.record_id", F.monotonically_increasing_id()), F.col("_parts")).cast("int")
+        keyed = keyed.join(large, "capture_id", "left").withColumn("part", F.coalesce(place, F.lit(0)))
+    gathered = [F.sort_array(F.collect_list(F.when(F.col("_kind").isin(*k), F.col("_record")))).alias(n) for n, k in KINDS.items()]
+    return keyed.groupBy("capture_id", "part").agg(*gathered)
 
 
 def round_trip(pages: DataFrame) -> DataFrame:
     """page_id, payload_bytes, payload_digest, record_type, refers_to of each page, as read back from its archive.
 
-    Null html is an empty payload. A null page_id stays null. Repeated rows make a capture each; an empty table makes no
-    capture. Other columns of pages are ignored.
+    A revisit's WARC-Refers-To names a response by record id; refers_to is the page of that response. Null html is an empty
+    payload. A null page_id stays null. Repeated rows make a capture each; an empty table makes no capture. Pages of any
+    length are read and written whole. Other columns of pages are ignored.
     """
     spark = pages.sparkSession
     path = new_path(spark, "warc")
     write_archives(pages, path)
     response = F.col("type") == "response"  # payloads are measured where they are read, so the assembly moves none
-    rows = read_archives(spark, path).withColumns({
+    rows = read_archives(spark, path).filter(F.col("type") != "warcinfo").withColumns({
         "payload_bytes": F.when(response, F.length("payload").cast("long")).otherwise(F.col("http_length")),
         "payload_sha1": F.when(response, F.sha1("payload")).otherwise(F.regexp_replace("payload_digest", "^sha1:", "")),
     })
-    got = assemble(rows, ("record_id", "type", "fields", "payload_bytes", "payload_sha1"))
-    field = lambda name: F.get(F.filter("metadata.fields", lambda e: e["key"] == name), 0)["value"].cast("long")
-    return got.select(
-        field("pageId").alias("page_id"),
-        F.col("response.payload_bytes").alias("payload_bytes"),
-        F.col("response.payload_sha1").alias("payload_digest"),
-        F.col("response.type").alias("record_type"),
-        F.when(F.col("response.type") == "revisit", field("refersToPageId")).alias("refers_to"),
-    )
+    kept = ("record_id", "type", "refers_to", "fields", "payload_bytes", "payload_sha1")
+    rows = stage(rows.select("concurrent_to", *kept), "records")
+    got = assemble(rows, kept).withColumn("c", F.get("captures", 0)).withColumn("m", F.get("metadata", 0))
+    page = F.get(F.filter("m.fields", lambda e: e["key"] == "pageId"), 0)["value"].cast("long")
+    got = got.select(page.alias("page_id"), F.col("c.payload_bytes").alias("payload_bytes"), F.col("c.payload_sha1").alias("payload_digest"), F.col("c.type").alias("record_type"), F.col("c.record_id").alias("_id"), F.col("c.refers_to").alias("_to"))
+    got = stage(got, "captures")
+    page_of = got.filter("record_type = 'response'").select(F.col("_id").alias("_first"), F.col("page_id").alias("refers_to"))
+    revisits = got.filter("record_type = 'revisit'").join(page_of, F.col("_to") == F.col("_first"), "left")
+    out = ["page_id", "payload_bytes", "payload_digest", "record_type"]
+    firsts = got.filter("record_type = 'response'").select(*out, F.lit(None).cast("long").alias("refers_to"))
+    return firsts.union(revisits.select(*out, "refers_to"))
