@@ -7,12 +7,13 @@ token whose log-likelihood ratio is high enough is one more secret, unless it ov
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import hash_sample
+from .common import hash_sample, quoted
 
 #: The base patterns.
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -28,45 +29,102 @@ MIN_RATIO = 16.0  # nats by which a token must be likelier as a random string
 MASK = "[secret]"
 
 
+CHUNK = 256  # numbers of a running sum or maximum that are appended one by one
+SPANS = "array<struct<start:int,end:int,kind:string,value:string,byte:int>>"
+
+
 def _matches(text: Column, pattern: str, group: int = 0) -> Column:
     return F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
 
 
-def _spans(df: DataFrame, kind: str, pattern: str, text_col: str) -> DataFrame:
-    """Add the column `kind`: structs (start, end, kind, value) of the pattern's matches, in code points, end exclusive.
+def _once(use: Callable[..., Column], **values: Column) -> Column:
+    """use(values) with each value computed once and held by reference.
+
+    A column that a lambda names is not enough: the optimiser may put its expression in the column's place, to be computed
+    for each element, and a binary column is copied each time it is read.
+    """
+    held = F.array(F.struct(*[v.alias(k) for k, v in values.items()]))
+    return F.get(F.transform(held, lambda x: use(*[x[k] for k in values])), 0)
+
+
+def _running(values: Column, best: bool = False) -> Column:
+    """For an array of at least one int, the sum (or maximum, from 0) of what stands before each, and of all at the end.
+
+    Chunks of CHUNK numbers are run through on their own and then moved by what the chunks before them give, so the work
+    grows with the array instead of its square.
+    """
+    join = F.greatest if best else lambda a, b: a + b
+    run = lambda a: F.aggregate(a, F.array(F.lit(0)), lambda acc, x: F.concat(acc, F.array(join(F.element_at(acc, -1), x))))
+    last = lambda a: F.element_at(a, -1)
+
+    def chunked(v: Column) -> Column:
+        places = F.sequence(F.lit(0), F.ceil(F.size(v) / CHUNK).cast("int") - 1)
+        return F.transform(places, lambda k: run(F.slice(v, k * CHUNK + 1, F.lit(CHUNK))))
+
+    def moved(chunks: Column, before: Column) -> Column:
+        move = lambda c, k: F.transform(F.slice(c, F.lit(1), F.size(c) - 1), lambda x: join(x, F.get(before, k)))
+        return F.concat(F.flatten(F.transform(chunks, move)), F.array(last(before)))
+
+    with_totals = lambda c: _once(moved, c=c, m=run(F.transform(c, last)))
+    return _once(lambda v: _once(with_totals, c=chunked(v)), v=values)
+
+
+def _spans(df: DataFrame, kind: str, pattern: str, text: str, gate: Column | None = None) -> DataFrame:
+    """Add the column `kind`: SPANS of the pattern's matches in the column text, in code points, end exclusive.
 
-    The pieces between matches give the positions; they are only cut where there is a match.
+    The pieces between matches give the positions; they are only cut where there is a match, and matches only sought where
+    the gate is open. `byte` is where a span begins in UTF-8. A span holds ASCII only.
     """
-    found, cut = f"_m_{kind}", f"_p_{kind}"
-    text = F.col(text_col)
-    df = df.withColumn(found, _matches(text, pattern))
-    some = F.size(found) > 0
-    df = df.withColumn(cut, F.when(some, F.split(text, pattern, -1)))
-    value = F.when(some, _matches(text, pattern, 2)) if kind == "assign" else F.col(found)
-    df = df.withColumn(f"_v_{kind}", value)
-    step = F.aggregate(
-        F.sequence(F.lit(0), F.size(found) - 1),
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,kind:string,value:string>>").alias("out")),
-        lambda acc, i: F.struct(
-            (acc["at"] + F.length(F.get(cut, i)) + F.length(F.get(found, i))).alias("at"),
-            F.concat(acc["out"], F.array(F.struct(
-                (acc["at"] + F.length(F.get(cut, i))).alias("start"), (acc["at"] + F.length(F.get(cut, i)) + F.length(F.get(found, i))).alias("end"),
-                F.lit(kind).alias("kind"), F.get(f"_v_{kind}", i).alias("value"),
-            ))).alias("out"),
-        ),
-    )["out"]
-    empty = F.array().cast("array<struct<start:int,end:int,kind:string,value:string>>")
-    df = df.withColumn(kind, F.when(some, step).otherwise(empty))
+    matches = _matches(F.col(text), pattern)
+    df = df.withColumn("_found", F.when(gate, matches) if gate is not None else matches)
+
+    def with_positions(found: Column, cut: Column, value: Column) -> Column:
+        sizes = lambda size: F.zip_with(F.slice(cut, F.lit(1), F.size(found)), found, lambda c, m: size(c) + F.length(m))
+
+        def spans(at: Column, byte: Column) -> Column:
+            return F.transform(found, lambda m, k: F.struct(
+                (F.get(at, k) + F.length(F.get(cut, k))).alias("start"), F.get(at, k + 1).alias("end"), F.lit(kind).alias("kind"),
+                F.get(value, k).alias("value"), (F.get(byte, k) + F.octet_length(F.get(cut, k))).alias("byte"),
+            ))
+
+        return _once(spans, at=_running(sizes(F.length)), byte=_running(sizes(F.octet_length)))
+
+    value = _matches(F.col(text), pattern, 2) if kind == "assign" else F.col("_found")
+    every = _once(with_positions, found=F.col("_found"), cut=F.split(F.col(text), pattern, -1), value=value)
     if kind == "assign":  # a match that is too short still takes its text, so it is dropped only now
-        df = df.withColumn(kind, F.filter(kind, lambda s: F.length(s["value"]) >= 6))
-    return df.drop(found, cut, f"_v_{kind}")
+        every = F.filter(every, lambda s: F.length(s["value"]) >= 6)
+    return df.withColumn(kind, F.when(F.size("_found") > 0, every).otherwise(F.array().cast(SPANS))).drop("_found")
 
 
-def base_spans(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """Columns assign, access and hex added to docs; null texts have none."""
-    for kind, pattern in (("assign", ASSIGN), ("access", ACCESS), ("hex", HEX)):
-        docs = _spans(docs, kind, pattern, text_col)
-    return docs
+def _base_spans(df: DataFrame) -> DataFrame:
+    """Columns assign, access and hex added to (_row, _text). An access key or a hexadecimal run is part of a long token."""
+    text = F.col("_text")
+    df = df.withColumn("_token", F.coalesce(text.rlike(TOKEN), F.lit(False)))
+    df = _spans(df, "assign", ASSIGN, "_text", F.contains(text, F.lit("=")) | F.contains(text, F.lit(":")))
+    df = _spans(df, "access", ACCESS, "_text", F.col("_token") & F.contains(text, F.lit("AKIA")))
+    return _spans(df, "hex", HEX, "_text", F.col("_token"))
+
+
+def _replaced(text: Column, spans: Column, fill: Callable[[Column, Column, Column], Column]) -> Column:
+    """The text with each of the spans (which may overlap) replaced, null where there is none.
+
+    fill gives what stands for a span, from its start, its end and the end of all spans before it. The text is cut as bytes, so
+    a cut costs what it takes, wherever it lies.
+    """
+    order = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["byte"].alias("byte"))))
+
+    def cut(raw: Column, s: Column, to: Column, to_byte: Column) -> Column:
+        part = lambda a, b: F.substring(raw, a + 1, b - a).cast("string")
+        gap = lambda x, k: F.when(x["byte"] > F.get(to_byte, k), part(F.get(to_byte, k), x["byte"])).otherwise("")
+        pieces = F.transform(s, lambda x, k: F.concat(gap(x, k), fill(x["start"], x["end"], F.get(to, k))))
+        return F.concat(F.array_join(pieces, ""), part(F.element_at(to_byte, -1), F.octet_length(raw)))
+
+    def with_ends(s: Column) -> Column:
+        to = _running(F.transform(s, lambda x: x["end"]), best=True)
+        to_byte = _running(F.transform(s, lambda x: x["byte"] + x["end"] - x["start"]), best=True)
+        return _once(cut, raw=text.cast("binary"), s=s, to=to, to_byte=to_byte)
+
+    return F.when(F.size(spans) > 0, _once(with_ends, s=order))
 
 
 def rule_samples(docs_frame: DataFrame, n: int = 400) -> DataFrame:
@@ -107,22 +165,33 @@ def fit_ratios(samples: DataFrame) -> list[float]:
 def log_ratio(token: Column, ratios: list[float]) -> Column:
     """Sum of the ratios along a token; characters outside ALPHABET count as its first."""
     codes = F.transform(F.split(F.concat(F.lit("^"), token), ""), lambda c: F.greatest(F.instr(F.lit(ALPHABET), c), F.lit(1)) - 1)
-    table = F.lit(ratios)
+    table = F.split(F.lit(",".join(map(repr, ratios))), ",").cast("array<double>")  # a constant, folded once
     pairs = F.zip_with(F.slice(codes, F.lit(1), F.size(codes) - 1), F.slice(codes, F.lit(2), F.size(codes) - 1), lambda a, b: F.get(table, a * len(ALPHABET) + b))
     return F.aggregate(pairs, F.lit(0.0), lambda a, x: a + x)
 
 
+def _scanned(docs: DataFrame, ratios: list[float], text_col: str, min_ratio: float) -> DataFrame:
+    """(_row, _text, and a column for each of KINDS): _row holds the row of docs."""
+    rows = docs.select(F.struct(*[quoted(c) for c in docs.columns]).alias("_row"), quoted(text_col).cast("string").alias("_text"))
+    rows = _base_spans(rows)
+    blank = lambda start, end, to: F.repeat(F.lit(" "), F.greatest(F.lit(0), end - F.greatest(start, to)))
+    masked = _replaced(F.col("_text"), F.concat("assign", "access", "hex"), blank)
+    rows = rows.withColumn("_masked", F.coalesce(masked, "_text"))
+    rows = _spans(rows, "markov", TOKEN, "_masked", F.col("_token"))
+    return rows.withColumn("markov", F.filter("markov", lambda m: log_ratio(m["value"], ratios) >= min_ratio)).drop("_masked", "_token")
+
+
 def scan(docs: DataFrame, ratios: list[float], text_col: str = "text", min_ratio: float = MIN_RATIO) -> DataFrame:
-    """docs with the array columns assign, access, hex and markov of (start, end, kind, value).
+    """docs with the array columns assign, access, hex and markov of (start, end, kind, value, byte).
 
-    Null texts have empty arrays. Columns of docs with one of these four names are replaced. Tokens that overlap a base span
-    are not reported again. Texts are read whole.
+    Null texts have empty arrays, an empty table gives no rows, repeated rows are scanned alike. Columns of docs with one of
+    these four names are replaced; all others stay. The models are asked about tokens outside the base spans: of a token that
+    a base span cuts, each part of at least 16 characters. Texts are read whole, and the work grows with their length and the
+    number of their spans.
     """
-    docs = _spans(base_spans(docs.drop(*KINDS), text_col), "markov", TOKEN, text_col)
-    base = F.concat("assign", "access", "hex")
-    free = F.filter("markov", lambda m: ~F.exists(base, lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"])))
-    docs = docs.withColumn("markov", F.when(F.size("markov") > 0, free).otherwise(F.col("markov")))
-    return docs.withColumn("markov", F.filter("markov", lambda m: log_ratio(m["value"], ratios) >= min_ratio))
+    kept = [c for c in docs.columns if c.lower() not in KINDS]
+    rows = _scanned(docs, ratios, text_col, min_ratio)
+    return rows.select(*[F.col("_row")[c].alias(c) for c in kept], *KINDS)
 
 
 def listed(kinds: tuple[str, ...]) -> Column:
@@ -134,26 +203,16 @@ def listed(kinds: tuple[str, ...]) -> Column:
 def redact(docs: DataFrame, ratios: list[float], text_col: str = "text", mask: str = MASK) -> DataFrame:
     """The rows and columns of docs; the characters of every span, overlapping ones merged, give way to the mask.
 
-    n_chars is counted again where a text changes. Null texts stay null.
+    n_chars is counted again where a text changes. Null texts stay null, empty ones empty; an empty table gives no rows.
+    Other columns stay as they are, whatever their names and types.
     """
     names = docs.columns
-    found = scan(docs.select("*", F.struct(*names).alias("_row")), ratios, text_col)
-    spans = F.array_sort(F.transform(F.concat(*KINDS), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))))
-    found = found.withColumn("_s", spans)
-    text = F.col(text_col)
-    done = F.aggregate(
-        "_s",
-        F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
-        lambda acc, s: F.struct(
-            F.greatest(acc["at"], s["end"]).alias("at"),
-            F.when(s["start"] >= acc["at"], F.concat(acc["out"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit(mask))).otherwise(acc["out"]).alias("out"),
-        ),
-    )
-    found = found.withColumn("_d", F.when(F.size("_s") > 0, done))
-    clean = F.when(F.col("_d").isNotNull(), F.concat(F.col("_d.out"), F.substring(text, F.col("_d.at") + 1, F.length(text)))).otherwise(text)
-    found = found.withColumn("_clean", clean)
-    out = {c: F.col(f"_row.`{c}`") for c in names}
+    rows = _scanned(docs, ratios, text_col, MIN_RATIO)
+    masked = lambda start, end, to: F.when(start >= to, F.lit(mask)).otherwise("")
+    rows = rows.withColumn("_clean", _replaced(F.col("_text"), F.concat(*KINDS), masked))
+    out = {c: F.col("_row")[c] for c in names}
     if "n_chars" in out:
-        out["n_chars"] = F.when(F.col("_d").isNotNull(), F.length("_clean").cast("long")).otherwise(out["n_chars"])
-    out[text_col] = F.col("_clean")
-    return found.select(*[out[c].alias(c) for c in names])
+        n = F.length("_clean").cast(docs.schema["n_chars"].dataType)
+        out["n_chars"] = F.when(F.col("_clean").isNotNull(), n).otherwise(out["n_chars"])
+    out[text_col] = F.coalesce("_clean", "_text")
+    return rows.select(*[out[c].alias(c) for c in names])

@@ -1,7 +1,9 @@
 """Fingerprints, packing, mixing, archives and the pipeline against plain versions."""
 
+import gzip
 import hashlib
 import random
+import zlib
 from fractions import Fraction
 
 import duckdb
@@ -214,22 +216,77 @@ def test_archives_round_trip(spark):
 
 
 def test_archives_in_gzip_members_and_broken_ones():
-    import gzip
-
     one = b"WARC/1.1\r\nWARC-Type: request\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n"
-    for raw in (one * 2, gzip.compress(one) + gzip.compress(one), gzip.compress(one * 2)):
-        assert [b for _, b in warc.parse(memoryview(raw))] == [b"abc", b"abc"]
-    with pytest.raises(ValueError):
-        list(warc.parse(memoryview(one[:-6])))
-    with pytest.raises(ValueError):
-        list(warc.parse(memoryview(b"no record")))
-
-
-def test_assembly_keeps_one_row_a_capture(spark):
-    rows = [("response", "r1", None), ("request", "q1", "r1"), ("metadata", "m1", "r1"), ("metadata", "m2", "r1"), ("request", "q9", "gone"), ("revisit", "v1", None)]
-    frame = spark.createDataFrame([(k, i, c, None, None, None, None, None, None, {}, None) for k, i, c in rows], warc.RECORD)
+    lost = one.replace(b"Content-Length: 3\r\n", b"")
+    zipped = gzip.compress(one)
+    for raw in (one * 2, zipped + zipped, gzip.compress(one * 2), zipped + b"\0" * 9 + zipped):
+        assert [(b, e) for _, b, e in warc.parse(memoryview(raw))] == [(b"abc", None)] * 2
+    for raw, want in {
+        one[:-6]: ["truncated record"],
+        b"no record": ["no WARC record"],
+        one + lost + one: [None, "no Content-Length", None],
+        b"junk\r\n" + one: ["no WARC record", None],
+        zipped + zipped[:12] + b"\x07" * 30 + zipped: [None, None, "gzip"],
+        zipped + zipped[:-12]: [None, "truncated record", "gzip"],
+        b"": [],
+    }.items():
+        got = [(e or "").split(" member")[0] or None for _, _, e in warc.parse(memoryview(raw))]
+        assert got == want, (raw, got)
+
+
+def test_archives_are_cut_by_bytes_with_a_member_a_record(spark, tmp_path):
+    rng = random.Random(1)
+    noise = "".join(chr(rng.randrange(33, 126)) for _ in range(9_000_000))
+    pages = [(k, "http://u/", noise[k : k + 60_000]) for k in range(40)] + [(50, "http://u/", noise), (51, "http://u/", noise * 2)]
+    frame = spark.createDataFrame(pages, "page_id long, url string, html string").coalesce(1)
+    warc.write_archives(frame, f"file://{tmp_path}/w", file_bytes=1 << 20)
+    files = sorted(str(x) for x in (tmp_path / "w").glob("part-*"))
+    records = []
+    for f in files:
+        raw = open(f, "rb").read()
+        plain, rest, count = b"", raw, 0
+        while rest:
+            member = zlib.decompressobj(31)
+            plain, rest, count = plain + member.decompress(rest), member.unused_data, count + 1
+        found = list(warc.parse(memoryview(raw)))
+        assert all(e is None for _, _, e in found) and plain.count(b"WARC/1.1\r\n") == len(found) <= count
+        assert found[0][0][b"warc-type"] == "warcinfo"
+        records += [h[b"warc-type"] for h, _, _ in found[1:]]
+    assert len(files) > 2 and records.count("response") == 42 and records.count("request") == records.count("metadata") == 42
+    again = {r["page_id"]: r["payload_digest"] for r in warc.round_trip(frame).collect()}
+    assert again == {i: hashlib.sha1(t.encode()).hexdigest() for i, _, t in pages}
+
+
+def test_archives_of_another_writer(spark, tmp_path):
+    def record(kind, name, block, *more):
+        head = [f"WARC-Type: {kind}", f"WARC-Record-ID: <{name}>", *more, f"content-length: {len(block)}"]
+        return b"WARC/1.0\r\n" + "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
+
+    http = b"HTTP/1.0 200 OK\r\nServer: x\r\n\r\n"
+    first = record("warcinfo", "i", b"a: b\r\n") + record("request", "q1", b"GET /\r\n\r\n", "WARC-Concurrent-To: <r1>") + record("response", "r1", http + b"body\r\n\r\nmore")
+    second = record("revisit", "r2", http, "WARC-Refers-To: <r1>") + record("metadata", "m1", b"k: v\r\n", "WARC-Concurrent-To: <r2>") + record("metadata", "m2", b"", "WARC-Concurrent-To: <r2>")
+    folder = tmp_path / "a"
+    folder.mkdir()
+    (folder / "one.warc").write_bytes(first + b"WARC/1.0\r\nWARC-Type: request\r\n\r\n")
+    (folder / "two.warc.gz").write_bytes(gzip.compress(second[:100]) + gzip.compress(second[100:]))
+    rows = warc.read_archives(spark, f"file://{folder}").cache()
+    assert sorted(r["error"] for r in rows.filter("error is not null").collect()) == ["no Content-Length"]
+    got = {r["capture_id"]: r for r in warc.assemble(rows).collect()}
+    assert set(got) == {"<r1>", "<r2>"} and bytes(got["<r1>"]["captures"][0]["payload"]) == b"body\r\n\r\nmore"
+    assert [m["record_id"] for m in got["<r2>"]["metadata"]] == ["<m1>", "<m2>"] and got["<r2>"]["captures"][0]["refers_to"] == "<r1>"
+
+
+def test_assembly_drops_no_record(spark):
+    rows = [("response", "r1", None), ("request", "q1", "r1"), ("metadata", "m1", "r1"), ("metadata", "m2", "r1"), ("request", "q9", "gone"), ("revisit", "v1", None), (None, None, None), ("warcinfo", "i", None)]
+    rows += [("metadata", f"x{k:03}", "v1") for k in range(95)] + [("metadata", "x000", "v1")] * 5
+    frame = spark.createDataFrame([(k, i, c, None, None, None, None, None, None, {"a": "b"}, None, None) for k, i, c in rows], warc.RECORD)
     got = {r["capture_id"]: r for r in warc.assemble(frame).collect()}
-    assert set(got) == {"r1", "gone", "v1"} and got["r1"]["metadata"]["record_id"] == "m2" and got["gone"]["response"] is None and got["v1"]["request"] is None
+    ids = lambda r, kind: [x["record_id"] for x in r[kind]]
+    assert set(got) == {"r1", "gone", "v1"} and ids(got["r1"], "metadata") == ["m1", "m2"] and ids(got["gone"], "captures") == []
+    assert ids(got["v1"], "metadata") == ["x000"] * 6 + [f"x{k:03}" for k in range(1, 95)] and ids(got["v1"], "captures") == ["v1"]
+    parts = [r for r in warc.assemble(frame, most=20).collect() if r["capture_id"] == "v1"]
+    assert len(parts) > 3 and sorted(x for r in parts for x in ids(r, "metadata")) == ids(got["v1"], "metadata")
+    assert max(len(r["metadata"]) for r in parts) < 50 and warc.assemble(frame.limit(0)).count() == 0
 
 
 def test_pipeline_stages_against_plain_versions(spark):
