@@ -4,10 +4,12 @@
 2. Each class walks random trees. A node picks a minwise coordinate (with probability 1/threshold - 1 a second),
    and the class moves to the child named by its value there. Independent trees repeat until the target recall is met
    for a pair exactly at the threshold.
-3. Small nodes are compared exhaustively on packed minwise bits. A large node is first compared with one pivot: what
-   equals the pivot leaves the node, what could be linked to something that left stays joined to the pivot. The rest goes a level deeper;
-   at the last level all members are joined to the pivot. This makes candidate groups, never fewer links.
-4. In each candidate group links are confirmed on full sets; large groups are compared in blocks.
+3. Small nodes are compared exhaustively on packed minwise bits. The members of a crowded node are compared with its pivot
+   alone, row by row, so they need not meet in one task: what equals the pivot leaves the node, what could be linked to
+   something that left stays joined to the pivot. The rest goes a level deeper; at the last level all members are joined to
+   the pivot. This makes candidate groups, never fewer links.
+4. In each candidate group the pairs whose packed bits are near enough are confirmed on full sets; large groups are compared
+   in blocks.
 """
 
 from __future__ import annotations
@@ -21,14 +23,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, mix64, run_bounds, shuffle_parts, spread_labels, stage, text_bytes, whole_runs
+from .common import discard, mix64, quoted, run_bounds, shuffle_parts, spread_labels, stage, text_bytes, whole_runs
 from .graph import connected_components
 
 COORDS = 128  # minwise coordinates of a class
 BITS = 2  # packed bits of each coordinate
 NODE_LIMIT = 192  # members of a node that are compared exhaustively
 BLOCK = 384  # documents of a candidate group whose full sets are held at once
-FILTER_BITS = 1 << 23  # fixed size of the bitmap that spares the second scan's shuffle
+FILTER_BITS = 1 << 26  # most bits of the bitmap that spares the second scan's shuffle (8 MB)
 
 
 def shingle_set(text: bytes, words: int) -> np.ndarray:
@@ -148,79 +150,55 @@ def _branch(rows: DataFrame, depth: int, second: float, roots: int | None, seed:
     return rows.mapInArrow(run, "node long, doc long, bits binary")
 
 
-def _compare(leaves: DataFrame, threshold: float, last: bool) -> DataFrame:
-    """(a, b, node): candidate edges with node null, and the members b of large nodes with a null that go deeper."""
-    linked, left, could = agreement_floor(threshold), int(COORDS * BITS * (1 - threshold) / 2), agreement_floor(max(0.0, 2 * threshold - 1))
+def _distance(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(x ^ y).sum(-1, dtype=np.int32)
 
-    def far(x, y):
-        return np.bitwise_count(x ^ y).sum(-1, dtype=np.int32)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        open_node, open_bits, open_docs, pivot = None, [], [], None
+def _bits(column) -> np.ndarray:
+    return _fixed(column, np.uint64, COORDS * BITS // 64)
+
 
-        def edges(a, b):
-            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.nulls(len(a), pa.int64())], ["a", "b", "node"])
+def _compare(leaves: DataFrame, threshold: float) -> DataFrame:
+    """(a, b): edges that span what is near inside each node, from nodes of at most NODE_LIMIT members."""
+    linked = agreement_floor(threshold)
 
-        def small(bits, docs, starts, sizes):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in whole_runs(batches, "node"):
+            docs, bits = t.column("doc").to_numpy(), _bits(t.column("bits"))
+            starts, sizes = run_bounds(t.column("node").to_numpy())
             for s in np.unique(sizes[sizes > 1]):
                 first = starts[sizes == s]
                 for at in range(0, len(first), step_ := max(1, 2_000_000 // int(s * s))):
-                    at = first[at : at + step_, None] + np.arange(s)
-                    x = bits[at]
-                    label = spread_labels(far(x[:, :, None], x[:, None]) <= linked)
+                    here = first[at : at + step_, None] + np.arange(s)
+                    x = bits[here]
+                    label = spread_labels(_distance(x[:, :, None], x[:, None]) <= linked)
                     k, j = np.nonzero(label != np.arange(s))
                     if len(k):
-                        yield edges(docs[at[k, j]], docs[at[k, label[k, j]]])
-
-        def deep(bits, docs, node):
-            """The members of a large node against its pivot; what remains goes deeper."""
-            d = far(bits, pivot[1])
-            near = (d <= could) | last
-            near &= docs != pivot[0]
-            if near.any():
-                yield edges(docs[near], np.full(near.sum(), pivot[0]))
-            if not last and (stay := d > left).any():
-                yield pa.RecordBatch.from_arrays([pa.nulls(stay.sum(), pa.int64()), pa.array(docs[stay]), pa.array(np.full(stay.sum(), node))], ["a", "b", "node"])
-
-        def close():
-            nonlocal open_bits, open_docs, pivot
-            if open_docs and pivot is None:
-                docs, bits = np.concatenate(open_docs), np.concatenate(open_bits)
-                yield from small(bits, docs, np.array([0]), np.array([len(docs)]))
-            open_bits, open_docs, pivot = [], [], None
-
-        def add(bits, docs, node):
-            nonlocal open_bits, open_docs, pivot
-            if pivot is None:
-                open_bits.append(bits)
-                open_docs.append(docs)
-                if sum(map(len, open_docs)) > NODE_LIMIT:
-                    docs, bits = np.concatenate(open_docs), np.concatenate(open_bits)
-                    open_bits, open_docs, pivot = [], [], (docs[0], bits[0])
-                    yield from deep(bits, docs, node)
-            else:
-                yield from deep(bits, docs, node)
+                        yield pa.RecordBatch.from_arrays([pa.array(docs[here[k, j]]), pa.array(docs[here[k, label[k, j]]])], ["a", "b"])
+
+    parts = shuffle_parts(leaves.sparkSession)
+    return leaves.repartition(parts, "node").sortWithinPartitions("node").mapInArrow(run, "a long, b long")
+
 
+def _against_pivot(rows: DataFrame, threshold: float, last: bool) -> DataFrame:
+    """(a, b, node) from members (node, doc, bits, pivot, pivot_bits) of crowded nodes, row by row.
+
+    Edges (member, pivot) have a null node; members b that go deeper have a null a.
+    """
+    left, could = int(COORDS * BITS * (1 - threshold) / 2), agreement_floor(max(0.0, 2 * threshold - 1))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            node, docs, bits = batch.column("node").to_numpy(), batch.column("doc").to_numpy(), _fixed(batch.column("bits"), np.uint64, COORDS * BITS // 64)
-            starts, sizes = run_bounds(node)
-            if node[0] != open_node:
-                yield from close()
-            inner = np.ones(len(starts), bool)
-            inner[0], inner[-1] = False, False
-            yield from small(bits, docs, starts[inner & (sizes <= NODE_LIMIT)], sizes[inner & (sizes <= NODE_LIMIT)])
-            for k in np.flatnonzero(~inner | (sizes > NODE_LIMIT)):
-                if node[starts[k]] != open_node:
-                    yield from close()
-                    open_node = node[starts[k]]
-                at = slice(starts[k], starts[k] + sizes[k])
-                yield from add(bits[at], docs[at], open_node)
-        yield from close()
+            docs, pivot, node = (batch.column(c).to_numpy() for c in ("doc", "pivot", "node"))
+            d = _distance(_bits(batch.column("bits")), _bits(batch.column("pivot_bits")))
+            near = ((d <= could) | last) & (docs != pivot)
+            n = int(near.sum())
+            yield pa.RecordBatch.from_arrays([pa.array(docs[near]), pa.array(pivot[near]), pa.nulls(n, pa.int64())], ["a", "b", "node"])
+            stay = (d > left) & (not last)
+            n = int(stay.sum())
+            yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()), pa.array(docs[stay]), pa.array(node[stay])], ["a", "b", "node"])
 
-    parts = shuffle_parts(leaves.sparkSession)
-    return leaves.repartition(parts, "node").sortWithinPartitions("node", "doc").mapInArrow(run, "a long, b long, node long")
+    return rows.select("node", "doc", "bits", "pivot", "pivot_bits").mapInArrow(run, "a long, b long, node long")
 
 
 def start_depth(classes: int) -> int:
@@ -232,28 +210,38 @@ def candidate_groups(reps: DataFrame, classes: int, threshold: float, recall: fl
     """(id, component): groups outside which no two classes of reps (doc, sig) have met in any tree."""
     start = start_depth(classes)
     depth = start + 2
-    second, roots = 1 / threshold - 1, tree_count(recall, threshold, start + 1)
-    found, leaves = [], _branch(reps, start, second, roots, seed)
+    second, roots = 1 / threshold - 1, tree_count(recall, threshold, depth)
+    edges, spent, leaves = [], [], _branch(reps, start, second, roots, seed)
     for level in range(start, depth + 1):
-        out = stage(_compare(leaves, threshold, level == depth), "paths")
-        found.append(out)
-        large = out.filter("node is not null").select("node", F.col("b").alias("doc"))
-        if level == depth or large.isEmpty():
+        leaves = stage(leaves, "leaves")
+        crowded = leaves.groupBy("node").agg(F.count("*").alias("n")).filter(F.col("n") > NODE_LIMIT).select("node")
+        crowded = stage(crowded, "crowded")
+        spent += [leaves, crowded]
+        if crowded.isEmpty():
+            edges.append(stage(_compare(leaves, threshold), "edges"))
             break
-        leaves = _branch(large.join(reps, "doc"), 1, second, None, seed)
-    edges = found[0]
-    for more in found[1:]:
-        edges = edges.union(more)
-    groups = stage(connected_components(edges.filter("node is null").select("a", "b")), "groups", classes)
-    discard(*found)
+        edges.append(stage(_compare(leaves.join(crowded, "node", "left_anti"), threshold), "edges"))
+        pivots = leaves.join(crowded, "node", "left_semi").groupBy("node").agg(F.min(F.struct("doc", "bits")).alias("p"))
+        pivots = stage(pivots.select("node", F.col("p.doc").alias("pivot"), F.col("p.bits").alias("pivot_bits")), "pivots")
+        out = stage(_against_pivot(leaves.join(pivots, "node"), threshold, level == depth), "paths")
+        spent += [pivots, out]
+        edges.append(out.filter("node is null").select("a", "b"))
+        deeper = out.filter("node is not null").select("node", F.col("b").alias("doc"))
+        leaves = _branch(deeper.join(reps, "doc"), 1, second, None, seed)
+    every = edges[0]
+    for more in edges[1:]:
+        every = every.union(more)
+    groups = stage(connected_components(every), "groups", classes)
+    discard(*spent, *edges)
     return groups
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
-    """(doc, hashes): the full sets of the wanted ids. A bitmap of fixed size spares most others the hashing; a semi-join drops the rest."""
-    slot = F.pmod(F.xxhash64("doc"), F.lit(FILTER_BITS))
+    """(doc, hashes): the full sets of the wanted ids. A bitmap of bounded size spares most others the hashing; a join drops the rest."""
+    size = min(FILTER_BITS, 1 << max(12, (32 * wanted.count()).bit_length()))
+    slot = F.pmod(F.xxhash64("doc"), F.lit(size))
     words_ = wanted.select(slot.alias("s")).groupBy(F.floor(F.col("s") / 64).alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(s % 64 as int)))").alias("bits")).toPandas()
-    bitmap = np.zeros(FILTER_BITS // 64, np.uint64)
+    bitmap = np.zeros(size // 64, np.uint64)
     bitmap[words_["w"].to_numpy(np.int64)] = words_["bits"].to_numpy(np.int64).view(np.uint64)
     kept = docs.sparkSession.sparkContext.broadcast(bitmap)
 
@@ -281,38 +269,43 @@ def _linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
 
 
 def _confirm(rows: DataFrame, percent: int) -> DataFrame:
-    """(a, b, final): each linked document and the smallest label its links reach inside the task of rows (task, side, doc, label, hashes, final).
+    """(a, b, final): each linked document and the smallest label its links reach inside the task of rows (task, side, doc, label, sig, hashes, final).
 
     side 0 rows are compared with each other and with side 1 rows; side 1 rows not with each other. Rows with equal
-    labels are already connected.
+    labels are already connected. Pairs whose packed bits rule out the similarity (agreement_floor) are passed over.
     """
+    linked = agreement_floor(percent / 100)
+
+    def links(sets: list[np.ndarray], bits: np.ndarray, labels: list[int], side: np.ndarray) -> dict[int, int]:
+        root: dict[int, int] = {}
+
+        def find(v: int) -> int:
+            while root.get(v, v) != v:
+                root[v] = v = root.get(root[v], root[v])
+            return v
+
+        order = np.array(sorted(range(len(sets)), key=lambda k: (side[k], -len(sets[k]))))
+        for i, p in enumerate(order):
+            if side[p]:
+                break
+            others = order[i + 1 :]
+            for q in others[_distance(bits[others], bits[p]) <= linked]:
+                x, y = find(labels[p]), find(labels[q])
+                if x != y and _linked(sets[p], sets[q], percent):
+                    root[max(x, y)] = min(x, y)
+        return {v: find(v) for v in root}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in whole_runs(batches, "task"):
             starts, sizes = run_bounds(t.column("task").to_numpy())
-            labels, side, final = (t.column(c).to_numpy() for c in ("label", "side", "final"))
+            labels, side, final = t.column("label").to_pylist(), t.column("side").to_numpy(), t.column("final").to_numpy()
+            bits = packed(_fixed(t.column("sig"), np.uint32, COORDS))
             data, at = binary(t.column("hashes"))
             out = []
             for start, size in zip(starts, sizes, strict=True):
+                mine = slice(start, start + size)
                 sets = [data[at[k] : at[k + 1]].view(np.uint64) for k in range(start, start + size)]
-                root: dict[int, int] = {}
-
-                def find(v, root=root):
-                    while root.get(v, v) != v:
-                        root[v] = v = root.get(root[v], root[v])
-                    return v
-
-                order = sorted(range(size), key=lambda k: (side[start + k], -len(sets[k])))
-                for i, p in enumerate(order):
-                    if side[start + p]:
-                        break
-                    for q in order[i + 1 :]:
-                        if not side[start + q] and 100 * len(sets[q]) < percent * len(sets[p]):
-                            continue  # sizes alone rule it out
-                        x, y = find(labels[start + p]), find(labels[start + q])
-                        if x != y and _linked(sets[p], sets[q], percent):
-                            root[max(x, y)] = min(x, y)
-                out += [(v, find(v), final[start]) for v in root]
+                out += [(a, b, final[start]) for a, b in links(sets, bits[mine], labels[mine], side[mine]).items()]
             if out:
                 a, b, done = zip(*out, strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(done, pa.int32())], ["a", "b", "final"])
@@ -320,20 +313,23 @@ def _confirm(rows: DataFrame, percent: int) -> DataFrame:
     return rows.repartition(shuffle_parts(rows.sparkSession), "task").sortWithinPartitions("task").mapInArrow(run, "a long, b long, final int")
 
 
-def confirmed_components(docs: DataFrame, groups: DataFrame, classes: int, words: int, percent: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def confirmed_components(docs: DataFrame, reps: DataFrame, groups: DataFrame, classes: int, words: int, percent: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, component) of the links that full sets confirm inside the candidate groups.
 
     Groups of at most BLOCK documents are compared at once, which settles them. Of larger ones, first every block with the
     group's first document as pivot; then, block by block, what isn't connected to the largest part yet against everything.
     """
     sizes = groups.groupBy("component").agg(F.count("*").alias("members"))
-    sized = stage(groups.join(sizes, "component").select(F.col("id").alias("doc"), F.col("component").alias("comp"), F.ceil(F.col("members") / BLOCK).cast("int").alias("blocks")), "sized", classes)
-    sets = stage(_sets(docs, sized, words, id_col, text_col).join(sized, "doc").select("doc", "hashes", "comp", "blocks"), "sets")
+    blocks = F.ceil(F.col("members") / BLOCK).cast("int")
+    sized = groups.join(sizes, "component").select(F.col("id").alias("doc"), F.col("component").alias("comp"), blocks.alias("blocks"))
+    sized = stage(sized.join(reps, "doc").select("doc", "comp", "blocks", "sig"), "sized")
+    sets = _sets(docs, sized, words, id_col, text_col).join(sized, "doc")
+    sets = stage(sets.select("doc", "sig", "hashes", "comp", "blocks"), "sets")
     block = F.when(F.col("blocks") > 1, F.pmod(F.xxhash64("doc"), F.col("blocks"))).otherwise(F.lit(0)).cast("int")
     pivots = F.when((F.col("blocks") > 1) & (F.col("doc") == F.col("comp")), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(block))
-    first = sets.select("doc", "hashes", "comp", "blocks", F.explode(pivots).alias("block"))
+    first = sets.select("doc", "sig", "hashes", "comp", "blocks", F.explode(pivots).alias("block"))
     final = (F.col("blocks") == 1).cast("int").alias("final")
-    edges = stage(_confirm(first.select(F.xxhash64("comp", "block").alias("task"), F.lit(0).alias("side"), "doc", F.col("doc").alias("label"), "hashes", final), percent), "links")
+    edges = stage(_confirm(first.select(F.xxhash64("comp", "block").alias("task"), F.lit(0).alias("side"), "doc", F.col("doc").alias("label"), "sig", "hashes", final), percent), "links")
     settled = edges.filter("final = 1").select(F.col("a").alias("id"), F.col("b").alias("component"))
     if sized.filter("blocks > 1").isEmpty():
         return settled
@@ -347,12 +343,12 @@ def confirmed_components(docs: DataFrame, groups: DataFrame, classes: int, words
         # A rest block meets each block of the main part, each other rest block and itself.
         p = parts.join(count, "comp").withColumn("in_main", F.col("label") == F.col("main"))
         p = p.withColumn("part", F.pmod(F.xxhash64("doc"), F.when(F.col("in_main"), F.col("blocks")).otherwise(F.col("rest"))).cast("int"))
-        kept = ["comp", "doc", "label", "hashes"]
+        kept = ["comp", "doc", "label", "sig", "hashes"]
         each = F.explode(F.sequence(F.lit(0), F.col("rest") - 1))
         main_side = p.filter("in_main").select(*kept, each.alias("i"), F.col("part").alias("j"), F.lit(1).alias("side"), F.lit(True).alias("main"))
         rest_main = p.filter("not in_main").select(*kept, F.col("part").alias("i"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("j"), F.lit(0).alias("side"), F.lit(True).alias("main"))
         rest_rest = p.filter("not in_main").select(*kept, "part", each.alias("o")).select(*kept, F.least("part", "o").alias("i"), F.greatest("part", "o").alias("j"), F.lit(0).alias("side"), F.lit(False).alias("main"))
-        rows = main_side.union(rest_main).union(rest_rest).select(F.xxhash64("comp", "i", "j", "main").alias("task"), "side", "doc", "label", "hashes", F.lit(0).alias("final"))
+        rows = main_side.union(rest_main).union(rest_rest).select(F.xxhash64("comp", "i", "j", "main").alias("task"), "side", "doc", "label", "sig", "hashes", F.lit(0).alias("final"))
         more = stage(_confirm(rows, percent), "links")
         comps = connected_components(comps.select(F.col("id").alias("a"), F.col("component").alias("b")).union(more.select("a", "b")))
     return settled.union(comps)
@@ -375,7 +371,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, recall:
     same = sig.select(F.col("doc_id").alias("a"), "set_key").join(reps.select("set_key", F.col("doc").alias("b")), "set_key")
     classes = reps.count()
     groups = candidate_groups(reps.select("doc", "sig"), classes, percent / 100, recall, seed)
-    comps = confirmed_components(docs, groups, classes, words, percent, id_col, text_col)
+    comps = confirmed_components(docs, reps.select("doc", "sig"), groups, classes, words, percent, id_col, text_col)
     shared = sig.groupBy("doc_id").agg(F.min("set_key").alias("x"), F.max("set_key").alias("y")).filter("x <> y").select("doc_id")
     if not shared.isEmpty():  # an id with several texts connects their classes
         bridge = same.join(shared.withColumnRenamed("doc_id", "a"), "a", "left_semi").select("a", "b")
@@ -386,18 +382,20 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, recall:
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
 
 
-def deduplicated(docs: DataFrame, **options) -> DataFrame:
-    """The rows of docs of which one stays in each group of near duplicates: that with the smallest doc_id.
+def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The rows of docs of which one stays in each group of near duplicates: that with the smallest id.
 
-    Of rows that repeat an id, the one with the smallest text hash stays; rows without an id stay.
+    Of rows that repeat an id, the one with the smallest text hash stays (then the smallest hash of the row as JSON); rows
+    without an id stay. Columns keep their names, types and values, whatever those are. An empty table stays empty.
     """
-    kept = near_duplicates(docs, **options).filter("kept and doc_id is not null").select("doc_id").distinct()
-    ids = docs.filter("doc_id is not null")
-    one = ids.groupBy("doc_id").agg(F.min(F.xxhash64("text")).alias("_h"), F.count("*").alias("_n"))
-    repeated = one.filter("_n > 1")
+    kept = near_duplicates(docs, id_col=id_col, text_col=text_col, **options).filter("kept and doc_id is not null")
+    rows = docs.select(F.struct(*[quoted(c) for c in docs.columns]).alias("row"), quoted(id_col).alias("id"), F.xxhash64(quoted(text_col)).alias("h"))
+    every = [F.col("row")[c].alias(c) for c in docs.columns]
+    known = rows.filter("id is not null").join(kept.select(F.col("doc_id").alias("id")).distinct(), "id", "left_semi")
+    repeated = stage(known.groupBy("id").agg(F.count("*").alias("n")).filter("n > 1").select("id"), "repeated")
+    loose = rows.filter("id is null").select(every)
     if repeated.isEmpty():
-        return ids.join(kept, "doc_id", "left_semi").select(docs.columns).unionByName(docs.filter("doc_id is null"))
-    first = ids.join(repeated.select("doc_id"), "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct(F.xxhash64("text").alias("h"), *[F.col(c) for c in docs.columns if c != "doc_id"])).alias("r"))
-    first = first.select("doc_id", *[F.col(f"r.{c}") for c in docs.columns if c != "doc_id"]).select(docs.columns)
-    once = ids.join(repeated.select("doc_id"), "doc_id", "left_anti").select(docs.columns)
-    return once.unionByName(first).join(kept, "doc_id", "left_semi").select(docs.columns).unionByName(docs.filter("doc_id is null"))
+        return known.select(every).union(loose)
+    order = F.struct("h", F.xxhash64(F.to_json("row")))
+    first = known.join(repeated, "id", "left_semi").groupBy("id").agg(F.min_by("row", order).alias("row"))
+    return known.join(repeated, "id", "left_anti").select(every).union(first.select(every)).union(loose)

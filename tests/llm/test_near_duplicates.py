@@ -84,6 +84,36 @@ def test_odd_rows_of_documents(spark):
     assert minhash.near_duplicates(frame.limit(0)).count() == 0
 
 
+def test_pairs_at_the_threshold_are_found(spark):
+    """400 pairs with a similarity of exactly 0.8 among unrelated texts; 150 of them share most of their words with a crowd."""
+    rng = random.Random(11)
+    crowd = [f"c{k}" for k in range(91)]
+    rows, pairs = [], []
+    for k in range(400):
+        base = [f"v{rng.randrange(100_000)}" for _ in range(91)]
+        if k < 150:
+            base[:60] = crowd[:60]
+        other = list(base)
+        for at in range(61, 91, 6):  # five words apart from each other: 80 shingles of 90 stay, 100 are in the union
+            other[at] = f"x{k}-{at}"
+        pairs.append((len(rows), len(rows) + 1))
+        rows += [(len(rows), " ".join(base)), (len(rows) + 1, " ".join(other))]
+    rows += [(len(rows) + k, " ".join(f"v{rng.randrange(100_000)}" for _ in range(91))) for k in range(400)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(frame, words=2).collect()}
+    missed = sum(got[a] != got[b] for a, b in pairs)
+    assert missed <= 2 and sum(got[i] != i for i, _ in rows) == len(pairs) - missed
+
+
+def test_deduplication_keeps_odd_columns(spark):
+    rows = [(1, "a b c", 7, {"k": "v"}, "x", 0.5), (1, "a b c", 7, {"k": "w"}, "x", 0.5), (2, "a b c", None, None, None, None), (None, None, 1, {}, "y", 1.0)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, h int, row map<string,string>, `a.b` string, component double")
+    got = minhash.deduplicated(frame, words=2)
+    assert got.dtypes == frame.dtypes
+    assert sorted((str(r["doc_id"]), r["h"]) for r in got.collect()) == [("1", 7), ("None", 1)]
+    assert minhash.deduplicated(frame.limit(0), words=2).count() == 0
+
+
 def _vectors(n_groups=12, hot=300):
     rng = np.random.default_rng(2)
     rows = []
