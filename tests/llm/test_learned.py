@@ -115,13 +115,43 @@ def test_quality_of_held_out_rows(spark, docs):
 
 def test_ranking_orders_pairs():
     rng = np.random.default_rng(0)
-    x = rng.normal(size=(400, 12))
+    x = rng.normal(size=(400, len(quality.FEATURES)))
     y = (x[:, 0] - x[:, 3] > 1).astype(int)
     m = quality.fit_pairs(x, y)
     raw = ((x - m["mean"]) / m["scale"]) @ m["w"] - m["cut"]
     assert ((raw > 0) == (y == 1)).mean() > 0.97
 
 
+def test_pairs_cover_every_row_and_weights_are_their_optimum():
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(120, len(quality.FEATURES)))
+    y = (x[:, 1] + 0.5 * rng.normal(size=120) > 0.8).astype(int)
+    better, worse = quality.draw_pairs(y, 3, 5)
+    assert (y[better] == 1).all() and (y[worse] == 0).all()
+    assert np.bincount(np.r_[better, worse], minlength=120).min() >= 3
+    m = quality.fit_pairs(x, y, each=3)
+    z = (x - m["mean"]) / m["scale"]
+    w = np.zeros(x.shape[1])
+    for _ in range(20_000):  # plain gradient descent on the same loss
+        d = z[better] - z[worse]
+        w -= 0.002 * (w - d.T @ (1 / (1 + np.exp(d @ w))))
+    assert np.allclose(w, m["w"], atol=1e-3)
+
+
+def test_quality_scores_match_a_plain_version(spark, docs):
+    labels = table(spark, SF, "labels")
+    texts = {r["doc_id"]: (r["text"] or "").encode() for r in docs.select("doc_id", "text").collect()}
+    rows = sorted((r["doc_id"], r["quality"]) for r in labels.filter(~held_out()).collect() if r["doc_id"] in texts)
+    x, y = np.array([quality.features(texts[i]) for i, _ in rows]), np.array([q for _, q in rows])
+    m = quality.fit_pairs(x, y)
+    got = {r["doc_id"]: r["score"] for r in quality.score_quality(docs, labels).collect()}
+    for i, t in texts.items():
+        raw = ((np.array(quality.features(t)) - m["mean"]) / m["scale"]) @ m["w"] - m["cut"] + m["base"]
+        assert abs(got[i] - 1 / (1 + np.exp(-np.clip(raw, -700, 700)))) < 1e-9
+    twice = quality.score_quality(docs, labels.union(labels))
+    assert {r["doc_id"]: r["score"] for r in twice.collect()} == got
+
+
 def test_toxicity_of_held_out_rows(spark, docs, tox):
     labels = table(spark, SF, "labels")
     got = toxicity.score_toxicity(docs, tox).join(labels, "doc_id").toPandas()
