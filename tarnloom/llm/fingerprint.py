@@ -9,19 +9,25 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import math
 import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import mix64, shuffle_parts
 
+RESULT = (
+    "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, "
+    "near_next double, removed array<long>, added array<long>"
+)
 BASE = 15  # cells of the table that is written as the fingerprint
 _CUT = re.compile(rb"[\r\n]+|(?<=[.!?]) +")
+_ALL = np.uint64(0xFFFFFFFFFFFFFFFF)
 _THIRDS = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9))
 
 
@@ -60,14 +66,17 @@ class Tables:
             np.add.at(self.key, at[k], d * wide)
             np.add.at(self.check, at[k], _check(d) * wide)
 
-    def peel(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Row, digest and sign of what the tables still hold, and for each row whether all of it came out."""
+    def peel(self, mask: np.uint64 = _ALL) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Row, digest and sign of what the tables still hold, and for each row whether all of it came out.
+
+        mask tells which bits of the check sums are known.
+        """
         found_row, found_key, found_sign = [], [], []
         while True:
             at = np.flatnonzero(np.abs(self.n) == 1)
             sign = self.n[at]
             key = self.key[at] * sign.view(np.uint64)
-            pure = self.check[at] * sign.view(np.uint64) == _check(key)
+            pure = (self.check[at] * sign.view(np.uint64) - _check(key)) & mask == 0
             at, sign, key = at[pure], sign[pure], key[pure]
             if not len(at):
                 break
@@ -90,14 +99,41 @@ def written(sets: list[np.ndarray]) -> list[str]:
     t = Tables(len(sets), BASE)
     if sets:
         t.add(np.repeat(np.arange(len(sets)), [len(s) for s in sets]), np.concatenate(sets))
-    cell = np.concatenate([t.n.astype("<u4").view(np.uint8).reshape(-1, 4)[:, :3], t.key.astype("<u8").view(np.uint8).reshape(-1, 8), t.check.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :4]], 1).reshape(len(sets), -1)
-    return [base64.b64encode(x.tobytes()).decode() for x in cell]
+    parts = (t.n.astype("<u4").view(np.uint8).reshape(-1, 4)[:, :3], t.key.astype("<u8").view(np.uint8), t.check.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :4])
+    table = np.concatenate([np.ascontiguousarray(x).reshape(len(sets), -1) for x in parts], 1)  # all counts, all digests, all checks
+    return [base64.b64encode(x.tobytes()).decode() for x in table]
 
 
-def likeness(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
-    """Shared digests over all digests of each pair of sets, from the peeled difference of their tables; two empty sets are alike."""
+def read_written(text: str) -> Tables:
+    """The table that `written` gave; counts, digest sums and check sums are known modulo 2^24, 2^64 and 2^32."""
+    raw = np.frombuffer(base64.b64decode(text), np.uint8).reshape(-1)
+    t = Tables(1, BASE)
+    t.n = np.pad(raw[: 3 * BASE].reshape(BASE, 3), ((0, 0), (0, 1))).copy().view("<u4").ravel().astype(np.int64)
+    t.key = raw[3 * BASE : 11 * BASE].copy().view("<u8").astype(np.uint64)
+    t.check = raw[11 * BASE :].copy().view("<u4").astype(np.uint64)
+    return t
+
+
+def written_difference(a: str, b: str) -> tuple[list[int], list[int]] | None:
+    """Digests that only the first and only the second of two written fingerprints hold, by peeling their difference.
+
+    None where it doesn't come out; `differences` of the texts' digests then tries larger tables.
+    """
+    t, other = read_written(a), read_written(b)
+    t.n = (t.n - other.n + (1 << 23)) % (1 << 24) - (1 << 23)
+    t.key -= other.key
+    t.check = (t.check - other.check) & np.uint64(0xFFFFFFFF)
+    _, key, sign, done = t.peel(np.uint64(0xFFFFFFFF))
+    return (sorted(key[sign > 0].tolist()), sorted(key[sign < 0].tolist())) if done[0] else None
+
+
+def differences(a: list[np.ndarray], b: list[np.ndarray]) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """For each pair of sets the digests that only the first and only the second has, from the peeled difference of their tables.
+
+    All begin with tables of BASE cells, those that are written; what doesn't come out is tried four times as large.
+    """
     na, nb = np.array([len(x) for x in a]), np.array([len(x) for x in b])
-    only_a, only_b = np.zeros(len(a)), np.zeros(len(a))
+    only_a, only_b = [np.zeros(0, np.uint64)] * len(a), [np.zeros(0, np.uint64)] * len(a)
     todo, size = np.arange(len(a)), BASE
     while len(todo):
         failed = []
@@ -107,13 +143,53 @@ def likeness(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
             own = np.arange(len(some))
             t.add(np.repeat(own, na[some]), np.concatenate([a[k] for k in some]), 1)
             t.add(np.repeat(own, nb[some]), np.concatenate([b[k] for k in some]), -1)
-            row, _, sign, done = t.peel()
-            only_a[some] = np.bincount(row[sign > 0], minlength=len(some))
-            only_b[some] = np.bincount(row[sign < 0], minlength=len(some))
+            row, key, sign, done = t.peel()
+            for out, kind in ((only_a, 1), (only_b, -1)):
+                mine = sign == kind
+                order = np.lexsort((key[mine], row[mine]))
+                keys, rows = key[mine][order], row[mine][order]
+                cuts = np.searchsorted(rows, np.arange(len(some) + 1))
+                for k in np.flatnonzero(done):
+                    out[some[k]] = keys[cuts[k] : cuts[k + 1]]
             failed.append(some[~done])
         todo, size = np.concatenate(failed), size * 4
-    union = na + only_b
-    return np.where(union > 0, (na - only_a) / np.maximum(union, 1), 1.0)
+    return only_a, only_b
+
+
+def shared(na: np.ndarray, only_a: list[np.ndarray], only_b: list[np.ndarray]) -> np.ndarray:
+    """Shared digests over all digests of each pair; two empty sets are alike."""
+    left, right = np.array([len(x) for x in only_a]), np.array([len(x) for x in only_b])
+    return np.where(na + right > 0, (na - left) / np.maximum(na + right, 1), 1.0)
+
+
+def likeness(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    """Shared digests over all digests of each pair of sets."""
+    return shared(np.array([len(x) for x in a]), *differences(a, b))
+
+
+def range_cuts(rows: DataFrame, ranges: int) -> list[tuple]:
+    """Keys (known, doc_id, h, salt), falling, that divide the rows into about equal ranges: quantiles of a bounded sample."""
+    n = rows.count()
+    if ranges < 2 or not n:
+        return []
+    some = rows.sample(min(1.0, 64 * ranges / n), seed=3).select("key").orderBy(F.desc("key")).collect()
+    cuts = [tuple(some[len(some) * k // ranges]["key"]) for k in range(1, ranges)] if some else []
+    return list(dict.fromkeys(cuts))
+
+
+def range_of(cuts: list[tuple]) -> Column:
+    """How many cuts lie above the column `key`. Cuts are tested in blocks first, then within one, so a row meets few of them."""
+    if not cuts:
+        return F.lit(0)
+    width = math.isqrt(len(cuts)) + 1
+    kind = "struct<known:int,doc_id:bigint,h:bigint,salt:bigint>"
+    literal = lambda some: ",".join(f"named_struct('known',{k},'doc_id',{i}L,'h',{h}L,'salt',{s}L)" for k, i, h, s in some)
+    blocks = [cuts[k : k + width] for k in range(0, len(cuts), width)]
+    tops = F.expr(f"cast(array({literal(x[0] for x in blocks)}) as array<{kind}>)")
+    every = F.expr(f"cast(array({','.join(f'array({literal(x)})' for x in blocks)}) as array<array<{kind}>>)")
+    at = F.size(F.filter(tops, lambda c: c > F.col("key")))  # blocks that begin above the key
+    inside = F.coalesce(F.size(F.filter(F.get(every, at - 1), lambda c: c > F.col("key"))), F.lit(0))
+    return F.when(at == 0, 0).otherwise((at - 1) * width + inside).cast("int")
 
 
 def fingerprint_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -122,23 +198,24 @@ def fingerprint_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     The next row is that with the next smaller doc_id; rows that share an id follow by the hash of their text, rows without
     an id come last, and after the last row comes the first. The edited text is the text with its last floor(n_chars / 3) code points
     replaced by as many (or all) first ones of the next text. Null texts count as empty; empty texts have an empty
-    table. An empty table gives no rows. Texts are shuffled once, into ranges of ids; only each range's first row is sent to
-    the range before.
+    table. An empty table gives no rows; other columns of docs are ignored. removed and added are the paragraph digests that
+    only the text and only the edited text have.
+
+    Texts are shuffled once, into ranges of that order. Equal rows, also those without an id, are dealt by their place in the
+    scan, so they fill as many ranges as they need; only each range's first row is sent to the range before.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    ranges = shuffle_parts(spark)
-    cuts = rows.filter("doc_id is not null").approxQuantile("doc_id", [k / ranges for k in range(1, ranges)], 1 / (4 * ranges)) if ranges > 1 else []
-    cuts = sorted({int(c) for c in cuts}, reverse=True)
-    edges = F.lit(cuts) if cuts else F.array().cast("array<bigint>")
-    part = F.when(F.col("doc_id").isNull(), F.lit(len(cuts))).otherwise(F.size(F.filter(edges, lambda c: c > F.col("doc_id"))))
-    rows = rows.withColumn("part", part.cast("int")).withColumn("h", F.xxhash64("text"))
-    tops = {r["part"]: r["top"] for r in rows.groupBy("part").agg(F.max(F.struct("doc_id", "h")).alias("top")).collect()}  # one row for each range
+    key = F.struct(F.col("doc_id").isNotNull().cast("int").alias("known"), F.coalesce("doc_id", F.lit(0)).alias("doc_id"), F.col("h"), F.col("salt"))
+    rows = rows.withColumns({"h": F.xxhash64("text"), "salt": F.monotonically_increasing_id()}).withColumn("key", key)
+    cuts = range_cuts(rows, shuffle_parts(spark))
+    rows = rows.withColumn("part", range_of(cuts))
+    tops = {r["part"]: r["top"] for r in rows.groupBy("part").agg(F.max("key").alias("top")).collect()}  # one row for each range
     order = sorted(tops)
-    follows = [(order[k - 1], order[k], tops[order[k]]["doc_id"], tops[order[k]]["h"]) for k in range(len(order))]
-    firsts = F.broadcast(spark.createDataFrame(follows, "goes_to int, p int, d long, hh long"))
-    extra = rows.join(firsts, (F.col("part") == F.col("p")) & F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("h") == F.col("hh")))
-    extra = extra.dropDuplicates(["goes_to"]).select("doc_id", "text", F.col("goes_to").alias("part"), "h", F.lit(1).alias("extra"))
+    follows = [(order[k - 1], order[k], tops[order[k]]["h"], tops[order[k]]["salt"]) for k in range(len(order))]
+    firsts = F.broadcast(spark.createDataFrame(follows, "goes_to int, p int, hh long, ss long"))
+    extra = rows.join(firsts, (F.col("part") == F.col("p")) & (F.col("h") == F.col("hh")) & (F.col("salt") == F.col("ss")))
+    extra = extra.select("text", F.col("goes_to").alias("part"), "key", F.lit(1).alias("extra"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -155,17 +232,21 @@ def fingerprint_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
                 cut = len(text) // 3
                 edited.append((text[: len(text) - cut] + nxt[:cut]).encode("utf-8"))
             new = [digests(x) for x in edited]
+            old, following = [sets[k] for k in own], [sets[k + 1] for k in own]
+            removed, added = differences(old, new)
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array([waiting[k][0] for k in own], pa.int64()),
                     pa.array([len(waiting[k][1].decode("utf-8", "replace")) for k in own], pa.int64()),
                     pa.array([hashlib.sha256(x).hexdigest() for x in edited]),
-                    pa.array(written([sets[k] for k in own])),
+                    pa.array(written(old)),
                     pa.array(written(new)),
-                    pa.array(likeness([sets[k] for k in own], new)),
-                    pa.array(likeness([sets[k] for k in own], [sets[k + 1] for k in own])),
+                    pa.array(shared(np.array([len(x) for x in old]), removed, added)),
+                    pa.array(likeness(old, following)),
+                    pa.array([x.view(np.int64) for x in removed], pa.list_(pa.int64())),
+                    pa.array([x.view(np.int64) for x in added], pa.list_(pa.int64())),
                 ],
-                ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"],
+                [x.split(" ")[0] for x in RESULT.split(", ")],
             )
 
         size = 0
@@ -180,6 +261,7 @@ def fingerprint_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         if held:
             yield from flush(held)
 
-    everything = rows.select("doc_id", "text", "part", "h", F.lit(0).alias("extra")).unionByName(extra)
-    sorted_rows = everything.repartitionById(max(1, len(cuts) + 1), F.col("part")).sortWithinPartitions("part", "extra", F.col("doc_id").desc_nulls_last(), F.col("h").desc(), "text")
-    return sorted_rows.select("doc_id", "text", "extra").mapInArrow(run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    everything = rows.select("text", "part", "key", F.lit(0).alias("extra")).unionByName(extra)
+    ranged = everything.repartitionById(max(1, len(cuts) + 1), F.col("part")).sortWithinPartitions("part", "extra", F.desc("key"))
+    own = F.when(F.col("key.known") == 1, F.col("key.doc_id")).alias("doc_id")
+    return ranged.select(own, "text", "extra").mapInArrow(run, RESULT)

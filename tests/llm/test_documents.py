@@ -31,6 +31,39 @@ def test_peeling_recovers_differences():
     assert np.allclose(fingerprint.likeness(a, b), want)
 
 
+def test_written_fingerprints_give_back_their_differences():
+    rng = np.random.default_rng(12)
+    came = 0
+    for k in range(60):
+        both, left, right = (np.unique(rng.integers(0, 1 << 63, n, np.uint64)) for n in (20, k % 6, k % 4))
+        a, b = fingerprint.written([np.union1d(both, left), np.union1d(both, right)])
+        got = fingerprint.written_difference(a, b)
+        came += got is not None
+        assert got is None or got == (left.tolist(), right.tolist())
+    assert came > 50 and fingerprint.written_difference(a, a) == ([], [])
+
+
+def test_digests_follow_the_paragraphs():
+    import xxhash
+
+    assert set(fingerprint.digests(b"one. two!  three\r\n\nfour.five").tolist()) == {xxhash.xxh64_intdigest(x) for x in (b"one.", b"two!", b"three", b"four.five")}
+
+
+def test_ranges_split_equal_rows(spark):
+    rows = [(None, "same text. twice")] * 300 + [(k, f"text {k}") for k in range(60)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(3).cache()
+    key = F.struct(F.col("doc_id").isNotNull().cast("int").alias("known"), F.coalesce("doc_id", F.lit(0)).alias("doc_id"), F.lit(5).cast("long").alias("h"), F.monotonically_increasing_id().alias("salt"))
+    keyed = frame.withColumn("key", key)
+    cuts = fingerprint.range_cuts(keyed, 9)
+    got = keyed.withColumn("part", fingerprint.range_of(cuts)).collect()
+    assert len(cuts) == 8 and all(r["part"] == sum(c > tuple(r["key"]) for c in cuts) for r in got)
+    sizes = np.bincount([r["part"] for r in got], minlength=9)
+    assert sizes.max() < 90 and sizes.min() > 10
+    plain = _plain_edits([(i, t, 0) for i, t in rows])
+    out = fingerprint.fingerprint_edits(frame).collect()
+    assert sorted([(r["doc_id"], r["n_chars"], r["edited_sha256"], round(r["near_edited"], 9), round(r["near_next"], 9)) for r in out], key=str) == plain
+
+
 def _plain_edits(rows):
     key = lambda r: (r[0] is not None, r[0] if r[0] is not None else 0, r[2])
     rows = sorted(rows, key=key, reverse=True)
@@ -59,6 +92,9 @@ def test_fingerprints_match_plain_edits(spark, kind):
     texts = {r[0]: r[1] for r in rows}
     for r in got:
         if kind == "table":
+            mine = set(fingerprint.digests((texts[r["doc_id"]] or "").encode()).view(np.int64).tolist())
+            assert set(r["removed"]) <= mine and not set(r["added"]) & mine
+            assert abs(r["near_edited"] - ((len(mine) - len(r["removed"])) / (len(mine) + len(r["added"])) if mine or r["added"] else 1)) < 1e-9
             assert by_text.setdefault(texts[r["doc_id"]], r["fingerprint"]) == r["fingerprint"]
     assert fingerprint.fingerprint_edits(docs.limit(0)).count() == 0
 
