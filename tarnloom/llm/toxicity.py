@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import characters, discard, hash_sample, held_out, stage, text_bytes
+from .common import characters, discard, hash_sample, held_out, quoted, stage, text_bytes
 
 MAX_LABELLED = 20_000  # labelled rows that the score is fitted on, chosen by hash
 LEAST_DOCS = 4  # toxic documents that must share a feature
@@ -267,7 +267,7 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: st
     """Character model over all documents; features and weights from a bounded labelled sample outside the held-out fold.
 
     A feature is a restored word or its beginning that at least LEAST_DOCS toxic documents of the sample share; there are
-    no more of them than the sample's words give.
+    no more of them than the sample's words give. A text without any is never likelier toxic than the sample's share.
     """
     cost = character_model(character_counts(docs, text_col))
     sample = _sample(docs, labels, cost, label_col, id_col, text_col, max_labelled)
@@ -306,7 +306,7 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: st
     rows: pd.DataFrame = sample.mapInArrow(hits, "hits array<int>, y int").toPandas()
     discard(sample)
     w, bias = fit_weights([np.asarray(x, int) for x in rows["hits"]], rows["y"].to_numpy(float), len(keys))
-    return model | {"keys": keys, "w": w, "bias": bias}
+    return model | {"keys": keys, "w": w, "bias": min(bias, prior)}
 
 
 def fit_weights(hits: list[np.ndarray], y: np.ndarray, width: int, ridge: float = 0.5, rounds: int = 600) -> tuple[np.ndarray, float]:
@@ -359,4 +359,6 @@ def without_toxic(docs: DataFrame, model: dict, text_col: str = "text") -> DataF
             raw = np.array([score(data[at[k] : at[k + 1]].tobytes()) for k in range(batch.num_rows)])
             yield batch.filter(pa.array(raw < 0))
 
-    return docs.mapInArrow(run, docs.schema)
+    plain = docs.select(*[quoted(c).alias(f"c{k}") for k, c in enumerate(docs.columns)])  # names may hold any character
+    kept = plain.mapInArrow(run, plain.schema)
+    return kept.select(*[F.col(f"c{k}").alias(c) for k, c in enumerate(docs.columns)])

@@ -2,7 +2,9 @@
 
 import gzip
 import hashlib
+import itertools
 import random
+import re
 import zlib
 from fractions import Fraction
 
@@ -12,8 +14,9 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tarnloom.llm import fingerprint, minhash, mixing, packing, queries, warc
+from tarnloom.llm import fingerprint, mixing, packing, queries, secrets, toxicity, warc
 from tarnloom.llm.common import table
+from tests.llm.test_learned import _plain_markov, _plain_spans
 
 SF = "/root/testdata/sf0.001"
 
@@ -325,22 +328,83 @@ def test_assembly_drops_no_record(spark):
     assert max(len(r["metadata"]) for r in parts) < 50 and warc.assemble(frame.limit(0)).count() == 0
 
 
+def _plain_shingles(text, words):
+    w = (text or "").encode().lower().split()
+    return {tuple(w[k : k + words]) for k in range(len(w) - words + 1)} if len(w) >= words else ({tuple(w)} if w else set())
+
+
+def _plain_survivors(rows):
+    """Ids that stay: the smallest of each group linked by five-word shingles at 0.8."""
+    sets = {i: _plain_shingles(t, 5) for i, t in rows.items()}
+    root = {i: i for i in rows}
+
+    def find(v):
+        while root[v] != v:
+            v = root[v]
+        return v
+
+    for a, b in itertools.combinations(sorted(rows), 2):
+        if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+            x, y = find(a), find(b)
+            root[max(x, y)] = min(x, y)
+    return {i for i in rows if find(i) == i}
+
+
+def _plain_mix(rows, spark):
+    """Ids in each leaf's prefix: the plain budgets, and a running sum in the seeded order of epoch 0."""
+    leaf, tokens = {}, {}
+    for r in rows:
+        n = len([w for w in (r["text"] or "").replace("\t", " ").replace("\n", " ").replace("\r", " ").split(" ") if w])
+        if n:
+            number = re.fullmatch(r"src(\d+)", r["source"] or "")
+            domain = "unknown" if not number else "web" if int(number[1]) < 10 else "books"
+            leaf.setdefault((domain, r["lang"] or "unknown", r["source"] or "unknown"), []).append((r["doc_id"], n))
+    tokens = {p: sum(n for _, n in some) for p, some in leaf.items()}
+    weights = [queries.DOMAIN_WEIGHTS, queries.LANG_WEIGHTS, queries.SOURCE_WEIGHTS]
+    out = set()
+    for p, budget in _plain_budgets(tokens, weights, 100, sum(tokens.values()) * 9 // 10, 1).items():
+        at = 0
+        for i, n in sorted(leaf[p], key=lambda x: hashlib.md5(f"11:{int(budget >= tokens[p]) and 0}:{x[0]}".encode()).hexdigest()):
+            if at < budget:
+                out.add(i)
+            at += n
+    return out
+
+
 def test_pipeline_stages_against_plain_versions(spark):
     docs = table(spark, SF, "documents")
     for name, function in corpus_pipeline.STAGES[:-1]:
         out = function(spark, docs, SF).cache()
         assert out.columns == docs.columns and out.dtypes == docs.dtypes, name
-        before, after = {r["doc_id"]: r["text"] for r in docs.collect()}, {r["doc_id"]: r["text"] for r in out.collect()}
-        assert set(after) <= set(before) and out.count() == len(after)
-        if name == "near_duplicates":
-            groups = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(docs).collect()}
-            assert set(after) == set(groups.values())
+        rows = docs.collect()
+        before, after = {r["doc_id"]: r["text"] for r in rows}, {r["doc_id"]: r["text"] for r in out.collect()}
+        assert out.count() == len(after)
         if name == "secrets":
-            assert set(after) == set(before) and not any("password=" in (t or "") for t in after.values())
+            ratios = secrets.fit_ratios(secrets.corpus_samples(docs).union(secrets.rule_samples(docs)))
+            assert after == {i: _plain_redaction(t, ratios) for i, t in before.items()}
+        else:
+            if name == "toxicity":
+                score = toxicity.Scorer(toxicity.fit(docs, table(spark, SF, "labels")))
+                want = {i for i, t in before.items() if score((t or "").encode()) < 0}
+                assert len(want) < len(before)
+            want = _plain_survivors(before) if name == "near_duplicates" else _plain_mix(rows, spark) if name == "mixing" else want
+            assert set(after) == want and all(before[i] == t for i, t in after.items()), name
         docs = out
-    packed = corpus_pipeline.STAGES[-1][1](spark, docs, SF)
-    assert {r["doc_id"] for r in packed.select("doc_id").collect()} == {r["doc_id"] for r in docs.select("doc_id").collect()}
-    odd = spark.createDataFrame([(None, None, None, None, None), (1, "", "en", "src1", 0), (1, "", "en", "src1", 0)], docs.schema)
-    for _, function in corpus_pipeline.STAGES:
-        function(spark, odd, SF).collect()
-        function(spark, odd.limit(0), SF).collect()
+    packed = corpus_pipeline.STAGES[-1][1](spark, docs, SF).toPandas()
+    n = {r["doc_id"]: r["n"] for r in docs.select("doc_id", packing.words().alias("n")).collect()}
+    assert packed.groupby("doc_id").n_tokens.sum().to_dict() == n
+    assert (packed.groupby(["shard", "bin"]).n_tokens.sum() == packed.groupby(["shard", "bin"]).bin_used.first()).all()
+    _, _, size, used = packing.best_fit(np.array([min(8192, m - k) for m in n.values() for k in range(0, m, 8192)]), packing.SIZES)
+    bins = packed.dropna().groupby(["shard", "bin"])[["bin_used", "bin_size"]].first()
+    assert sorted(bins.bin_used) == sorted(used) and sorted(bins.bin_size) == sorted(size)
+
+
+def _plain_redaction(text, ratios):
+    if not text:
+        return text
+    spans = [x.split(":")[1:] for x in _plain_spans(text) + _plain_markov(text, ratios)]
+    at, out = 0, ""
+    for a, b in sorted((int(a), int(b)) for a, b in spans):
+        out += text[at:a] + secrets.MASK if a >= at else ""
+        at = max(at, b)
+    return out + text[at:]
