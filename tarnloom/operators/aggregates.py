@@ -41,8 +41,20 @@ def mean_of_means(df: DataFrame, outer: str, inner: str, score: str) -> DataFram
 
 
 def summary(df: DataFrame, group: str, score: str) -> DataFrame:
-    """n, mean, exact median, min and max of each group."""
-    return df.groupBy(group).agg(F.count(score).alias("n"), F.avg(score).alias("mean"), F.median(score).alias("median"), F.min(score).alias("min"), F.max(score).alias("max"))
+    """n, mean, exact median, min and max of each group; n counts scores that aren't null.
+
+    Equal scores are counted first, and the median is where the running count passes the middle, so no task holds all scores.
+    """
+    n_here = F.count(score).alias("_c")
+    counts = df.groupBy(group, F.col(score).cast("double").alias("_s")).agg(n_here).withColumn("_c", F.coalesce("_c", F.lit(0)))
+    upto = Window.partitionBy(group).orderBy(F.asc_nulls_first("_s")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ranked = counts.withColumn("_upto", F.sum("_c").over(upto)).withColumn("_n", F.sum("_c").over(Window.partitionBy(group)))
+    at = lambda place: F.min(F.when((F.col("_c") > 0) & (F.col("_upto") >= place), F.col("_s")))
+    low, high = F.floor((F.col("_n") + 1) / 2), F.floor(F.col("_n") / 2) + 1
+    total = F.sum(F.col("_c") * F.col("_s"))
+    mean = F.when(F.max("_n") > 0, total / F.max("_n"))
+    out = ranked.groupBy(group).agg(F.max("_n").alias("n"), mean.alias("mean"), ((at(low) + at(high)) / 2).alias("median"), F.min("_s").alias("min"), F.max("_s").alias("max"))
+    return out
 
 
 def shares(df: DataFrame, group: str, score: str, cuts: dict[str, float]) -> DataFrame:

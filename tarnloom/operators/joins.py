@@ -74,9 +74,20 @@ def with_label(df: DataFrame, labels: DataFrame, tag: str) -> DataFrame:
     return df.join(labels, tag, "left")
 
 
+def beginnings(texts: DataFrame, text: str, names: DataFrame, name: str, out: str) -> DataFrame:
+    """texts with `out`: each beginning of the text that is as long as some name; a row for each.
+
+    The distinct lengths of names go to the driver; there are no more of them than the longest name has characters.
+    """
+    sizes = sorted(r[0] for r in names.select(F.length(name)).distinct().collect() if r[0])
+    some = F.filter(F.array(*[F.lit(n) for n in sizes]).cast("array<int>"), lambda n: n <= F.length(text))
+    return texts.withColumn(out, F.explode(F.transform(some, lambda n: F.substring(F.col(text), F.lit(1), n))))
+
+
 def runs_with_files(runs: DataFrame, files: DataFrame, name: Column, tag: str, path: str) -> DataFrame:
     """Runs with the file of their tag; without one, the last path whose tag begins with the run's name."""
     exact = files.groupBy(tag).agg(F.max(path).alias("_exact"))
-    begun = files.select(F.explode(F.transform(F.sequence(F.lit(1), F.length(tag)), lambda n: F.substring(F.col(tag), F.lit(1), n))).alias("_b"), path).groupBy("_b").agg(F.max(path).alias("_begun"))
     named = runs.withColumn("_name", name)
-    return named.join(exact, F.col("_name") == exact[tag], "left").join(begun, F.col("_name") == F.col("_b"), "left").select(*runs.columns, F.coalesce("_exact", "_begun").alias(path))
+    begun = beginnings(files, tag, named, "_name", "_b").groupBy("_b").agg(F.max(path).alias("_begun"))
+    found = named.join(exact, F.col("_name") == exact[tag], "left").join(begun, F.col("_name") == F.col("_b"), "left")
+    return found.select(*runs.columns, F.coalesce("_exact", "_begun").alias(path))

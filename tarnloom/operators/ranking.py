@@ -22,19 +22,36 @@ def number_rows(df: DataFrame, order: list[Column], name: str = "rank") -> DataF
     return ranged.withColumn("_r", place).join(F.broadcast(before), "_p").select(*cols, (F.col("_r") + F.col("_before")).alias(name))
 
 
+def joined_back(df: DataFrame, groups: DataFrame, by: list[str]) -> DataFrame:
+    """df with the columns of groups, one row for each value of `by`; null keys are values like others."""
+    renamed = groups.withColumnsRenamed({c: f"_by{k}" for k, c in enumerate(by)})
+    same = [df[c].eqNullSafe(renamed[f"_by{k}"]) for k, c in enumerate(by)]
+    return df.join(renamed, same, "left").drop(*[f"_by{k}" for k in range(len(by))])
+
+
+def number_within(df: DataFrame, by: list[str], order: list[Column], name: str, size: str) -> DataFrame:
+    """1..n within each group in that order, and the group's n.
+
+    The whole table is numbered in ranges of the groups and the order, so a hot group is divided between tasks; a group's
+    first number is taken off.
+    """
+    numbered = number_rows(df, [*[F.asc_nulls_first(c) for c in by], *order], "_place")
+    groups = numbered.groupBy(*by).agg(F.min("_place").alias("_first"), F.count("*").alias(size))
+    out = joined_back(numbered, groups, by)
+    return out.withColumn(name, F.col("_place") - F.col("_first") + 1).drop("_place", "_first")
+
+
 def rank_descending(df: DataFrame, score: str, ordinal: str, by: list[str] | None = None) -> DataFrame:
     """Ranks 1..n by falling score, missing ones last, ties in input order; within groups if `by` is given."""
     order = [F.desc_nulls_last(score), F.asc(ordinal)]
-    if not by:
-        return number_rows(df, order)
-    return df.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(*order)))
+    return number_within(df, by, order, "rank", "_n").drop("_n") if by else number_rows(df, order)
 
 
 def rank_normalised(df: DataFrame, by: list[str], score: str, ordinal: str) -> DataFrame:
     """(rank - 1) / (n - 1) by rising score with ties in input order; 0.5 for a group of one."""
-    n = F.count("*").over(Window.partitionBy(*by))
-    r = F.row_number().over(Window.partitionBy(*by).orderBy(F.asc_nulls_first(score), ordinal))
-    return df.withColumn("rank_norm", F.when(n == 1, 0.5).otherwise((r - 1) / (n - 1)))
+    ranked = number_within(df, by, [F.asc_nulls_first(score), F.asc(ordinal)], "_r", "_n")
+    share = F.when(F.col("_n") == 1, 0.5).otherwise((F.col("_r") - 1) / F.greatest(F.col("_n") - 1, F.lit(1)))
+    return ranked.withColumn("rank_norm", share).drop("_r", "_n")
 
 
 def top_after_filter(df: DataFrame, score: str, threshold: float, n: int, ties: list[str], ascending: bool = False) -> DataFrame:
@@ -51,10 +68,13 @@ def head(df: DataFrame, ordinal: str, n: int) -> DataFrame:
 
 
 def first_occurrences(df: DataFrame, keys: list[str], ordinal: str) -> DataFrame:
-    """The row with the least ordinal of each key. A maximum is kept per key, so equal keys are never gathered."""
-    rest = [c for c in df.columns if c not in keys]
-    first = df.groupBy(*keys).agg(F.min_by(F.struct(*rest), F.col(ordinal)).alias("_r"))
-    return first.select(*[F.col(c) if c in keys else F.col(f"_r.{c}").alias(c) for c in df.columns])
+    """The row with the least ordinal of each key. A minimum is kept per key, so equal keys are never gathered.
+
+    Text keys are grouped by their SHA-256, so that long texts aren't compared, and moved once.
+    """
+    hashed = [F.sha2(c, 256) if dict(df.dtypes)[c] == "string" else F.col(c) for c in keys]
+    first = df.groupBy(*[h.alias(f"_k{k}") for k, h in enumerate(hashed)]).agg(F.min_by(F.struct(*df.columns), F.col(ordinal)).alias("_r"))
+    return first.select(*[F.col(f"_r.{c}").alias(c) for c in df.columns])
 
 
 def upper_median_size(df: DataFrame, size: str) -> DataFrame:
@@ -88,6 +108,7 @@ def hypervolume(df: DataFrame, by: list[str], x: str, y: str, reference: tuple[f
 
 def normalised_weights(df: DataFrame, by: list[str], weight: str) -> DataFrame:
     """Weights over max(sum, 1e-12) of their group; equal ones where the group has none."""
-    w = Window.partitionBy(*by)
-    given, total = F.count(weight).over(w), F.greatest(F.sum(weight).over(w), F.lit(1e-12))
-    return df.withColumn("weight_norm", F.when(given == 0, 1.0 / F.count("*").over(w)).otherwise(F.coalesce(F.col(weight), F.lit(0.0)) / total))
+    groups = df.groupBy(*by).agg(F.count(weight).alias("_given"), F.sum(weight).alias("_total"), F.count("*").alias("_n"))
+    share = F.coalesce(F.col(weight), F.lit(0.0)) / F.greatest(F.col("_total"), F.lit(1e-12))
+    norm = F.when(F.col("_given") == 0, 1.0 / F.col("_n")).otherwise(share)
+    return joined_back(df, groups, by).withColumn("weight_norm", norm).drop("_given", "_total", "_n")

@@ -64,10 +64,10 @@ def a1_lower_tail_mean(spark, d):
     return out.select("l_suppkey", *[F.round(c, 4).alias(c) for c in ("cvar_05", "cvar_50", "cvar_100")])
 
 
-@query("with t as (select c_nationkey, c_acctbal as s, row_number() over (partition by c_nationkey order by c_acctbal) as k, count(*) over (partition by c_nationkey) as n from customer) select c_nationkey, round(avg(s), 6) as robust from t where k <= greatest(1, floor(0.1::double * n)) group by c_nationkey")
+@query("select vec_id, round(list_aggregate(list_sort(embedding::double[])[1:greatest(1, floor(0.1::double * len(embedding)))::int], 'avg'), 6) as robust from embeddings")
 def a1b_lower_tail_array(spark, d):
-    rows = table(spark, d, "customer").groupBy("c_nationkey").agg(F.collect_list("c_acctbal").alias("s"))  # the array form
-    return rows.select("c_nationkey", r6(S.lower_tail_mean(F.col("s"), 0.1, clip=False)).alias("robust"))
+    scores = table(spark, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("s"))  # scores that are an array
+    return scores.select("vec_id", r6(S.lower_tail_mean(F.col("s"), 0.1, clip=False)).alias("robust"))
 
 
 @query("select o_custkey as item, round(avg(o_totalprice), 6) as mean_score, min(o_totalprice) as min_score from orders group by 1")
@@ -500,7 +500,7 @@ def x7d_closest_mean(spark, d):
     return H.closest_mean(H.subtree_totals(e, values), 250000.0, 5).select("node", F.round("mean_value", 4).alias("mean_value"))
 
 
-@query("""with k as (select o_orderkey, o_custkey, n_nationkey, n_regionkey from orders join customer on o_custkey = c_custkey join nation on c_nationkey = n_nationkey where o_orderkey % 100 = 0),
+@query("""with k as (select o_orderkey, o_custkey, n_nationkey, n_regionkey from orders join customer on o_custkey = c_custkey join nation on c_nationkey = n_nationkey where o_orderstatus = 'F'),
 c as (select o_custkey, min(n_nationkey) as nat, min(n_regionkey) as reg, count(*) as n, min(o_orderkey) as one_ from k group by 1), ch as (select o_custkey, nat, reg, case when n = 1 then 'O' || lpad(one_::varchar, 9, '0') else 'C' || lpad(o_custkey::varchar, 9, '0') end as top from c),
 n as (select nat, min(reg) as reg, count(*) as n, min(top) as one_ from ch group by 1), nh as (select nat, reg, case when n = 1 then one_ else 'N' || lpad(nat::varchar, 9, '0') end as top, n from n),
 r as (select reg, count(*) as n, min(top) as one_ from nh group by 1)
@@ -509,12 +509,6 @@ union all select top, case when n.n > 1 then 'N' || lpad(ch.nat::varchar, 9, '0'
 union all select nh.top, case when r.n > 1 then 'R' || lpad(nh.reg::varchar, 9, '0') else 'root' end from nh join r on r.reg = nh.reg where nh.top like 'N%'
 union all select 'R' || lpad(reg::varchar, 9, '0'), 'root' from r where n > 1 union all select 'root', null""")
 def x8_prune_tree(spark, d):
-    kept = table(spark, d, "orders").filter("o_orderkey % 100 = 0").select(F.concat(F.lit("O"), F.lpad(F.col("o_orderkey").cast("string"), 9, "0")).alias("node"))
-    return H.prune(_edges(spark, d), kept)
-
-
-@query(SQL["x8_prune_tree"].replace("o_orderkey % 100 = 0", "o_orderstatus = 'F'"))
-def x8b_prune_finished_orders(spark, d):
     kept = table(spark, d, "orders").filter("o_orderstatus = 'F'").select(F.concat(F.lit("O"), F.lpad(F.col("o_orderkey").cast("string"), 9, "0")).alias("node"))
     return H.prune(_edges(spark, d), kept)
 
@@ -653,11 +647,11 @@ def _atoms(spark, d) -> str:
     name = F.when(F.col("c_custkey") % 3 == 0, "ALA").when(F.col("c_custkey") % 3 == 1, "GLY").otherwise("UNK")
     line = F.format_string("ATOM  %5d  %-3s %3s %s%4d%s   %8.3f%8.3f%8.3f", F.col("c_custkey") % 100000, F.col("a"), name, F.substring(F.lit("ABCDEFGHIJKLMNOPQRSTUVWXYZ"), F.col("c_nationkey") + 1, F.lit(1)), F.col("c_custkey") % 10000, code, F.col("c_acctbal") / 100, F.col("c_acctbal") / 200, F.lit(1.5))
     rows = table(spark, d, "customer").withColumn("a", F.explode(F.array(F.lit("CA"), F.lit("N"))))
-    rows.select(F.explode(F.array(line, F.lit("HETATM"))).alias("value"), "c_custkey", "a").repartition(1).sortWithinPartitions("c_custkey", "a").select("value").write.text(path)
+    rows.select(F.explode(F.array(line, F.lit("HETATM"))).alias("value"), "c_custkey", "c_nationkey", "a").repartition("c_nationkey").sortWithinPartitions("c_custkey", "a").select("value").write.text(path)
     return path
 
 
-@query("select substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ', c_nationkey + 1, 1) as chain, string_agg(case when c_custkey % 3 = 0 then 'A' when c_custkey % 3 = 1 then 'G' else 'X' end, '' order by c_custkey) as body from customer where c_custkey < 10000 group by 1")
+@query("select substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ', c_nationkey + 1, 1) as chain, string_agg(case when c_custkey % 3 = 0 then 'A' when c_custkey % 3 = 1 then 'G' else 'X' end, '' order by c_custkey) as body from customer group by 1")
 def s10_chain_letters(spark, d):
     return SR.chain_letters(SR.scan_atoms(spark, _atoms(spark, d))).select("chain", "body")
 
@@ -684,6 +678,17 @@ def s13_score_files(spark, d):
     return SR.score_files(names.withColumn("path", F.col("name"))).select("key", F.col("path").contains("rank_001").alias("ranked"))
 
 
+@query("select 'K' || n_nationkey as key, n_nationkey / 8 as iptm, case when n_nationkey % 2 = 0 then n_nationkey + 0.5 end as ptm, case when n_nationkey > 2 then n_nationkey * 2.0 end as plddt_mean from nation where n_nationkey % 7 <> 3")
+def s13b_score_contents(spark, d):
+    path, k = new_path(spark, "scores"), F.col("n_nationkey")
+    good = F.struct((k / 8).alias("iptm"), F.when(k % 2 == 0, k + 0.5).alias("ptm"), F.when(k > 2, F.array(k * 1.0, k * 2.0, k * 3.0)).otherwise(F.array().cast("array<double>")).alias("plddt"))
+    first = F.struct(F.concat(F.lit("K"), k, F.lit("_scores_rank_001.json")).alias("name"), F.when(k % 7 == 3, "{broken").otherwise(F.to_json(good)).alias("value"))
+    second = F.struct(F.concat(F.lit("K"), k, F.lit("_scores_rank_002.json")).alias("name"), F.lit('{"iptm": 99}').alias("value"))
+    rows = table(spark, d, "nation").select(F.inline(F.array(first, second)))
+    rows.repartition("name").write.partitionBy("name").text(path)
+    return SR.scan_scores(spark, path, F.regexp_extract("path", "/name=([^/]*)/", 1))
+
+
 @query("select event_id, (props->>'k') as found from events")
 def s14_probe_json(spark, d):
     boxed = F.when(F.col("event_id") % 3 == 0, F.col("props")).when(F.col("event_id") % 3 == 1, F.concat(F.lit("["), "props", F.lit("]"))).otherwise(F.concat(F.lit('{"inner": '), "props", F.lit("}")))
@@ -703,6 +708,35 @@ def k4_markdown_rows(spark, d):
     return K.markdown_rows(t).select(F.regexp_replace("line", r"^\| (\w) \| (\d+) \| — \|$", "$1|$2").alias("line"))
 
 
+@query("""with t as (select l_returnflag as flag, count(*)::varchar as n, printf('%.3f', avg(l_quantity)) as mean, '—' as missing from lineitem group by 1),
+w as (select greatest(4, max(length(flag))) as a, greatest(1, max(length(n))) as b, greatest(4, max(length(mean))) as c from t),
+u as (select 0 as place, 'flag' as flag, 'n' as n, 'mean' as mean, 'missing' as missing union all select 1 + row_number() over (order by flag), flag, n, mean, missing from t)
+select place::bigint as place, '| ' || rpad(flag, a::int, ' ') || ' | ' || rpad(n, b::int, ' ') || ' | ' || rpad(mean, c::int, ' ') || ' | ' || rpad(missing, 7, ' ') || ' |' as line from u, w
+union all select 1, '|' || repeat('-', a + 2) || '|' || repeat('-', b + 2) || '|' || repeat('-', c + 2) || '|' || repeat('-', 9) || '|' from w""")
+def k4b_markdown_table(spark, d):
+    t = table(spark, d, "lineitem").groupBy(F.col("l_returnflag").alias("flag")).agg(F.count("*").alias("n"), F.avg("l_quantity").alias("mean"), F.lit(float("nan")).alias("missing"))
+    return K.markdown_lines(t, [F.asc("flag")])
+
+
+@query("select n_name as id, repeat(n_name, 9) as body from nation where n_nationkey % 3 = 0")
+def k1_listed_records(spark, d):
+    path = new_path(spark, "listed")
+    n = table(spark, d, "nation")
+    wanted = n.filter("n_nationkey % 3 = 0").select(F.explode(F.array(F.col("n_name"), F.concat(F.lit("missing"), "n_name"))).alias("id"), F.col("n_nationkey").alias("ordinal"))
+    K.write_listed(n.select(F.col("n_name").alias("id"), F.repeat("n_name", 9).alias("body")), wanted, path)
+    return SR.scan_records(spark, path).select("id", "body")
+
+
+@query("select s_name, s_suppkey::varchar as s_suppkey, '[' || s_suppkey || ',' || s_nationkey || ']' as nested, s_nationkey::varchar as extra from supplier")
+def k2_csv_preferred_order(spark, d):
+    path = new_path(spark, "csv")
+    rows = table(spark, d, "supplier").select(F.col("s_nationkey").alias("extra"), F.array(F.col("s_suppkey"), F.col("s_nationkey").cast("long")).alias("nested"), "s_suppkey", "s_name")
+    K.write_csv(rows, path, ["s_name", "absent", "s_suppkey", "nested"])
+    back = spark.read.option("header", True).option("escape", "\\").csv(path)
+    assert back.columns == ["s_name", "s_suppkey", "nested", "extra"]
+    return back
+
+
 @query("select event_id, event_type, value from events")
 def k5_json_round_trip(spark, d):
     path = new_path(spark, "json")

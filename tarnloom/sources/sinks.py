@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scores import shown
+from ..operators.ranking import number_rows
 
 
 def write_records(df: DataFrame, path: str, record_id: str = "id", body: str = "body", width: int = 60) -> None:
@@ -38,10 +39,29 @@ def write_json(df: DataFrame, path: str) -> None:
     df.write.json(path)
 
 
+def _cells(df: DataFrame, decimals: int) -> list[Column]:
+    """Each column as text; floats to so many decimals, null and NaN as a dash."""
+    is_float = {f.name: f.dataType.typeName() in ("double", "float") for f in df.schema.fields}
+    return [shown(F.col(c), decimals) if is_float[c] else F.coalesce(F.col(c).cast("string"), F.lit("—")) for c in df.columns]
+
+
 def markdown_rows(df: DataFrame, decimals: int = 3) -> DataFrame:
-    """(line): each row as a table line; floats to so many decimals, null and NaN as a dash."""
-    cells = [shown(F.col(f.name), decimals) if f.dataType.typeName() in ("double", "float") else F.coalesce(F.col(f.name).cast("string"), F.lit("—")) for f in df.schema.fields]
-    return df.select(F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |")).alias("line"))
+    """(line): each row as a table line."""
+    return df.select(F.concat(F.lit("| "), F.concat_ws(" | ", *_cells(df, decimals)), F.lit(" |")).alias("line"))
+
+
+def markdown_lines(df: DataFrame, order: list[Column], decimals: int = 3) -> DataFrame:
+    """(place, line): header (0), rule (1) and rows (from 2, in that order) of a table with cells padded to their column's width."""
+    numbered = number_rows(df, order, "_place")
+    names = [f"c{k}" for k in range(len(df.columns))]
+    text = numbered.select((F.col("_place") + 1).alias("place"), *[c.alias(n) for c, n in zip(_cells(numbered.drop("_place"), decimals), names, strict=True)])
+    widths = text.agg(*[F.greatest(F.coalesce(F.max(F.length(n)), F.lit(0)), F.lit(len(c))).alias(f"w{n}") for n, c in zip(names, df.columns, strict=True)])  # one row
+    header = widths.select(F.lit(0).cast("long").alias("place"), *[F.lit(c).alias(n) for n, c in zip(names, df.columns, strict=True)], *widths.columns)
+    body = header.union(text.crossJoin(F.broadcast(widths)))
+    padded = lambda n: F.rpad(F.col(n), F.greatest(F.col(f"w{n}"), F.length(n)), F.lit(" "))
+    line = F.concat(F.lit("| "), F.concat_ws(" | ", *[padded(n) for n in names]), F.lit(" |"))
+    rule = F.concat(F.lit("|"), F.concat_ws("|", *[F.repeat(F.lit("-"), F.col(f"w{n}") + 2) for n in names]), F.lit("|"))
+    return body.select("place", line.alias("line")).union(widths.select(F.lit(1).cast("long"), rule))
 
 
 def markdown_table(df: DataFrame, decimals: int = 3, most: int = 1000) -> str:

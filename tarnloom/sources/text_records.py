@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import WHITELIST, clean_text, parse_metric, ungapped
+from ..operators.joins import beginnings
 from ..operators.ranking import first_occurrences
 from ..operators.sampling import seeded
 
@@ -73,12 +74,15 @@ def scan_items(spark: SparkSession, path: str) -> DataFrame:
 def scan_metric_lines(spark: SparkSession, path: str) -> DataFrame:
     """(target, item, metrics, source_file, ordinal) of `k:v k:v … target/item` lines; the last slash divides.
 
-    metrics maps keys to struct(i, d, s); of repeated keys the last counts. A line whose last word has no slash is an error;
-    lines with an empty item are dropped.
+    metrics maps keys to struct(i, d, s); of repeated keys the last counts. A line whose last word has no slash is an error
+    that names its file and the place of its line (from the start of the file, where that is read as one split); lines with
+    an empty item are dropped.
     """
     rows = with_ordinal(spark.read.text(path)).withColumn("value", F.trim("value")).filter("value <> ''").withColumn("words", F.split("value", r"\s+"))
     pair = F.element_at("words", -1)
-    pair = F.when(pair.contains("/"), pair).otherwise(F.raise_error(F.concat(F.lit("expected target/item at the end of: "), F.col("value"))))
+    in_split = (F.col("ordinal.line").bitwiseAND(F.lit((1 << 33) - 1)) + 1).cast("string")  # the low bits count a task's lines
+    place = F.when(F.col("ordinal.at") > 0, F.concat(F.lit("byte "), F.col("ordinal.at").cast("string"), F.lit("+"), in_split)).otherwise(in_split)
+    pair = F.when(pair.contains("/"), pair).otherwise(F.raise_error(F.concat(F.col("source_file"), F.lit(":"), place, F.lit(": expected target/item at the end of: "), F.col("value"))))
     parsed = F.transform(F.slice("words", F.lit(1), F.size("words") - 1), parse_metric)
     metrics = F.aggregate(
         F.filter(parsed, lambda m: m.isNotNull()),
@@ -118,8 +122,7 @@ def list_files(spark: SparkSession, path: str, pattern: str, recursive: bool = F
 def paired_files(names: DataFrame, files: DataFrame, suffix: str = "_aligned.fasta") -> DataFrame:
     """names (name) with `path`: the file called name + suffix, else the only file that begins with name, else null."""
     exact = files.filter(F.col("name").endswith(suffix)).select(F.expr(f"left(name, length(name) - {len(suffix)})").alias("_n"), F.col("path").alias("_exact"))
-    begun = files.select(F.explode(F.transform(F.sequence(F.lit(1), F.length("name")), lambda n: F.substring(F.col("name"), F.lit(1), n))).alias("_b"), "path")
-    begun = begun.groupBy("_b").agg(F.count("*").alias("_c"), F.max("path").alias("_only")).filter("_c = 1")
+    begun = beginnings(files, "name", names, "name", "_b").groupBy("_b").agg(F.count("*").alias("_c"), F.max("path").alias("_only")).filter("_c = 1")
     joined = names.join(exact, names["name"] == F.col("_n"), "left").join(begun, names["name"] == F.col("_b"), "left")
     return joined.select(*[names[c] for c in names.columns], F.coalesce("_exact", "_only").alias("path"))
 
@@ -193,3 +196,21 @@ def score_files(files: DataFrame) -> DataFrame:
     files = files.filter(F.col("name").contains("_scores"))
     key: Column = F.regexp_extract("name", r"^(.*?)_scores", 1)
     return files.groupBy(key.alias("key")).agg(F.min(F.struct((~F.col("name").contains("scores_rank_001")).alias("o"), "path")).alias("r")).select("key", "r.path")
+
+
+def scan_scores(spark: SparkSession, path: str, name: Column | None = None) -> DataFrame:
+    """(key, iptm, ptm, plddt_mean) of the score files below the path; the key is a file's name up to `_scores`.
+
+    If any file is a `scores_rank_001`, only such files count. What is no JSON object is skipped; of several files of a key
+    the last path counts. name gives a file's name from its path, by default what follows the last slash.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    files = files.withColumn("_name", name if name is not None else F.substring_index("path", "/", -1)).filter(F.col("_name").contains("scores"))
+    if not files.filter(F.col("_name").contains("scores_rank_001")).select("path").isEmpty():
+        files = files.filter(F.col("_name").contains("scores_rank_001"))
+    shape = "iptm double, ptm double, plddt array<double>, broken string"
+    read = F.from_json(F.decode("content", "utf-8"), shape, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "broken"})
+    rows = files.select(F.split_part("_name", F.lit("_scores"), F.lit(1)).alias("key"), "path", read.alias("r")).filter("r is not null and r.broken is null")
+    last = rows.groupBy("key").agg(F.max_by("r", "path").alias("r"))
+    mean = F.when(F.size("r.plddt") > 0, F.aggregate("r.plddt", F.lit(0.0), lambda a, x: a + x) / F.size("r.plddt"))
+    return last.select("key", F.col("r.iptm").alias("iptm"), F.col("r.ptm").alias("ptm"), mean.alias("plddt_mean"))

@@ -165,7 +165,7 @@ def test_pruning_reaches_all_finished_orders(spark):
 
     for x in children["root"]:
         hang(x, "root")
-    got = {r["node"]: r["parent"] for r in QUERIES["x8b_prune_finished_orders"](spark, d).collect()}
+    got = {r["node"]: r["parent"] for r in QUERIES["x8_prune_tree"](spark, d).collect()}
     assert got == want and len(leaves) > len(orders) / 4
 
 
