@@ -8,7 +8,7 @@ whole words and word beginnings scores the restored words.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -195,19 +195,22 @@ class Restorer:
         words = restore(token, self.cost).split()
         if "!" in token and "!" in token[: token.index(core := token.strip(_EDGE))]:
             words += restore(core, self.cost).split()  # a leading "!" may be a letter or a mark: both readings count
-        got = tuple(dict.fromkeys(words))
-        if len(token) <= CACHED:
-            if len(self.seen) >= CACHE:
-                self.seen.clear()
-            self.seen[token] = got
+        return tuple(dict.fromkeys(words))
+
+    def remembered(self, token: str) -> tuple[str, ...]:
+        if (got := self.seen.get(token)) is None:
+            got = self.token(token)
+            if len(token) <= CACHED:
+                if len(self.seen) >= CACHE:
+                    self.seen.clear()
+                self.seen[token] = got
         return got
 
     def __call__(self, raw: bytes) -> set[str]:
         text = raw.decode("utf-8", "replace").lower()
         out: set[str] = set()
-        seen = self.seen
         for t in set(text.split()):
-            out.update(seen[t] if t in seen else self.token(t))
+            out.update(self.remembered(t))
         out.update(spaced_words(text, self.cost))
         return out
 
@@ -220,18 +223,22 @@ class Scorer:
         self.weight = dict(zip(model["keys"], model["w"], strict=True))
         self.seen: dict[str, tuple[int, ...]] = {}
 
-    def word(self, word: str) -> tuple[int, ...]:
-        got = tuple(x for x in _keys(word) if x in self.weight)
-        if len(word) <= CACHED:
+    def features(self, words: Iterable[str]) -> tuple[int, ...]:
+        return tuple({x: None for w in words for x in _keys(w) if x in self.weight})
+
+    def token(self, token: str) -> tuple[int, ...]:
+        got = self.features(self.restorer.token(token))
+        if len(token) <= CACHED:
             if len(self.seen) >= CACHE:
                 self.seen.clear()
-            self.seen[word] = got
+            self.seen[token] = got
         return got
 
     def __call__(self, raw: bytes) -> float:
-        seen, found = self.seen, set()
-        for w in self.restorer(raw):
-            found.update(seen[w] if w in seen else self.word(w))
+        text, seen, found = raw.decode("utf-8", "replace").lower(), self.seen, set()
+        for t in set(text.split()):
+            found.update(seen[t] if t in seen else self.token(t))
+        found.update(self.features(spaced_words(text, self.restorer.cost)))
         return self.bias + sum(self.weight[x] for x in sorted(found))
 
 
