@@ -8,6 +8,7 @@ whole words and word beginnings scores the restored words.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
@@ -108,25 +109,11 @@ def decode(token: str, cost: list, spaced: bool = False) -> str:
     paths: dict = {(0, 0, ""): (0.0, None)}  # two last classes, last letter -> cost, text as (last piece, what comes before)
     done, waited, due = [], 0, SETTLE
     for c, repeat in _marked(token):
-        letters = c if c.isalpha() else LEET.get(c, "")
-        nxt: dict = {}
-        for (a, b, last), (k, text) in paths.items():
-            moves = []
-            for x in letters:
-                cls, own = _class_of(x), 0.0 if c.isalpha() else SIGN
-                moves.append((b, cls, x, k + own + cost[a][b][cls], (x, text)))
-                if x == last:
-                    moves.append((a, b, last, k + own + repeat, text))
-                if spaced and b:
-                    k2 = k + GAP + own + cost[a][b][0] + cost[b][0][cls]
-                    moves.append((0, cls, x, k2, (" " + x, text)))
-            if not c.isalpha():
-                drop = (DROP_DIGIT if c.isdigit() else DROP) if letters else 0.0
-                moves.append((a, b, last, k + drop, text))
-            for a2, b2, l2, k2, t2 in moves:
-                if (old := nxt.get((a2, b2, l2))) is None or k2 < old[0]:
-                    nxt[(a2, b2, l2)] = (k2, t2)
-        paths, waited = nxt, waited + 1
+        if c.isalpha() and not spaced:
+            paths = _plain_step(paths, cost, c, repeat)
+        else:
+            paths = _step(paths, cost, c, repeat, spaced)
+        waited += 1
         if waited >= due:
             settled, paths = _settle(paths)
             done.append(settled)
@@ -135,6 +122,43 @@ def decode(token: str, cost: list, spaced: bool = False) -> str:
     return "".join(done) + best[1]
 
 
+def _plain_step(paths: dict, cost: list, c: str, repeat: float) -> dict:
+    """What _step does for a letter of a token without spaces, which can only be read as itself."""
+    cls, nxt = _class_of(c), {}
+    for (a, b, last), (k, text) in paths.items():
+        key, k2 = (b, cls, c), k + cost[a][b][cls]
+        if (old := nxt.get(key)) is None or k2 < old[0]:
+            nxt[key] = (k2, (c, text))
+        if c == last:
+            key, k2 = (a, b, c), k + repeat
+            if (old := nxt.get(key)) is None or k2 < old[0]:
+                nxt[key] = (k2, text)
+    return nxt
+
+
+def _step(paths: dict, cost: list, c: str, repeat: float, spaced: bool) -> dict:
+    """The cheapest path to each state after one more character, whichever way it is read."""
+    alpha, nxt = c.isalpha(), {}
+    letters = c if alpha else LEET.get(c, "")
+    for (a, b, last), (k, text) in paths.items():
+        moves = []
+        for x in letters:
+            cls, own = _class_of(x), 0.0 if alpha else SIGN
+            moves.append((b, cls, x, k + own + cost[a][b][cls], (x, text)))
+            if x == last:
+                moves.append((a, b, last, k + own + repeat, text))
+            if spaced and b:
+                k2 = k + GAP + own + cost[a][b][0] + cost[b][0][cls]
+                moves.append((0, cls, x, k2, (" " + x, text)))
+        if not alpha:
+            drop = (DROP_DIGIT if c.isdigit() else DROP) if letters else 0.0
+            moves.append((a, b, last, k + drop, text))
+        for a2, b2, l2, k2, t2 in moves:
+            if (old := nxt.get((a2, b2, l2))) is None or k2 < old[0]:
+                nxt[(a2, b2, l2)] = (k2, t2)
+    return nxt
+
+
 def _chain(text: tuple | None) -> list[tuple]:
     out = []
     while text:
@@ -179,10 +203,10 @@ def spaced_words(text: str, cost: list) -> Iterator[str]:
         yield from decode("".join(c for c in m[0] if c.isalpha() or c in LEET), cost, spaced=True).split()
 
 
-def _keys(word: str) -> list[int]:
-    """Hashed features of a word: itself and its beginnings."""
-    h = xxhash.xxh64_intdigest
-    return [h("=" + word), *(h("^" + word[:n]) for n in STEMS if len(word) > n)]
+def _keys(word: str) -> list[str]:
+    """Features of a word: itself, by its hash if it is very long, and its beginnings."""
+    whole = "=" + word if len(word) <= CACHED else "#" + xxhash.xxh64_hexdigest(word)
+    return [whole, *(word[:n] for n in STEMS if len(word) > n)]
 
 
 class Restorer:
@@ -192,6 +216,8 @@ class Restorer:
         self.cost, self.seen = cost, {}
 
     def token(self, token: str) -> tuple[str, ...]:
+        if token.isalpha() and not _TWICE.search(token):
+            return (token,)
         words = restore(token, self.cost).split()
         if "!" in token and "!" in token[: token.index(core := token.strip(_EDGE))]:
             words += restore(core, self.cost).split()  # a leading "!" may be a letter or a mark: both readings count
@@ -221,23 +247,29 @@ class Scorer:
     def __init__(self, model: dict):
         self.restorer, self.bias = Restorer(model["cost"]), model["bias"]
         self.weight = dict(zip(model["keys"], model["w"], strict=True))
-        self.seen: dict[str, tuple[int, ...]] = {}
+        self.telling: dict[str, tuple[str, ...]] = {}
+        self.without: set[str] = set()
 
-    def features(self, words: Iterable[str]) -> tuple[int, ...]:
+    def features(self, words: Iterable[str]) -> tuple[str, ...]:
         return tuple({x: None for w in words for x in _keys(w) if x in self.weight})
 
-    def token(self, token: str) -> tuple[int, ...]:
-        got = self.features(self.restorer.token(token))
-        if len(token) <= CACHED:
-            if len(self.seen) >= CACHE:
-                self.seen.clear()
-            self.seen[token] = got
+    def token(self, token: str) -> tuple[str, ...]:
+        if (got := self.telling.get(token)) is None:
+            got = self.features(self.restorer.token(token))
+            if len(token) <= CACHED:
+                if len(self.telling) + len(self.without) >= CACHE:
+                    self.telling.clear()
+                    self.without.clear()
+                if got:
+                    self.telling[token] = got
+                else:
+                    self.without.add(token)
         return got
 
     def __call__(self, raw: bytes) -> float:
-        text, seen, found = raw.decode("utf-8", "replace").lower(), self.seen, set()
-        for t in set(text.split()):
-            found.update(seen[t] if t in seen else self.token(t))
+        text, found = raw.decode("utf-8", "replace").lower(), set()
+        for t in set(text.split()) - self.without:
+            found.update(self.token(t))
         found.update(self.features(spaced_words(text, self.restorer.cost)))
         return self.bias + sum(self.weight[x] for x in sorted(found))
 
@@ -283,11 +315,11 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: st
         for batch in batches:
             y, words = batch.column("y").to_numpy(), batch.column("words").to_pylist()
             for lo in range(0, batch.num_rows, 512):
-                sets = [sorted({x for w in t.split(" ") if w for x in _keys(w)}) for t in words[lo : lo + 512]]
-                own = np.repeat(y[lo : lo + 512], [len(s) for s in sets])
-                u, inv = np.unique(np.array([x for s in sets for x in s], np.uint64), return_inverse=True)
-                toxic = np.bincount(inv, own, len(u)).astype(np.int64)
-                arrays = [pa.array(u.view(np.int64)), pa.array(toxic), pa.array(np.bincount(inv, minlength=len(u)) - toxic)]
+                n = (Counter(), Counter())  # documents with a feature, clean and toxic
+                for k, t in enumerate(words[lo : lo + 512], lo):
+                    n[y[k]].update({x for w in t.split(" ") if w for x in _keys(w)})
+                keys = sorted(n[0].keys() | n[1].keys())
+                arrays = [pa.array(keys, pa.string()), *(pa.array([c[x] for x in keys], pa.int64()) for c in n[::-1])]
                 yield pa.RecordBatch.from_arrays(arrays, ["key", "toxic", "clean"])
 
     totals = sample.groupBy().agg(F.coalesce(F.sum("y"), F.lit(0)), F.count("*")).first()
@@ -298,10 +330,10 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: st
         discard(sample)
         return model
     ratio = F.log((F.col("toxic") + 0.5) / (n1 + 1)) - F.log((F.col("clean") + 0.5) / (n0 + 1))
-    kept = sample.mapInArrow(count, "key long, toxic long, clean long")
+    kept = sample.mapInArrow(count, "key string, toxic long, clean long")
     kept = kept.groupBy("key").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
     kept = kept.filter((F.col("toxic") >= LEAST_DOCS) & (ratio > LEAST_RATIO)).select("key").toPandas()
-    keys = sorted(int(k) for k in kept["key"].to_numpy(np.int64).view(np.uint64))
+    keys = sorted(kept["key"])
     wanted = {k: i for i, k in enumerate(keys)}
 
     def hits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
