@@ -363,7 +363,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, recall:
 
     Null, empty and blank texts have an empty set and are linked with nothing. A row without an id is linked with
     nothing, has a null component_id and is kept. Rows that share an id are one document with several texts and give a
-    row each. An empty table gives no rows. Other columns of docs are ignored.
+    row each. An empty table gives no rows. Other columns of docs are ignored. Texts are read whole, whatever their length.
     """
     rows = stage(sketch(docs, words, seed, id_col, text_col), "sketch")
     sig = rows.filter("doc_id is not null and set_key is not null")

@@ -1,4 +1,8 @@
-"""The registered queries of this folder: each applies one operator with production parameters to its whole table."""
+"""The registered queries of this folder: each applies one operator with production parameters to its whole table.
+
+All of them read whole texts of any length, treat repeated rows as rows of their own, ignore columns that they don't name,
+and give no rows for an empty table; each operator's docstring states the rest.
+"""
 
 from __future__ import annotations
 
@@ -22,47 +26,58 @@ def source_tree() -> dict:
 
 
 def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every token of documents in one bin. A text without tokens has a row without a bin; long ones are cut into pieces. See packing.pack."""
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
 def op2_quality_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A score for each row of documents; null and empty texts have that of zero features. See quality.score_quality."""
     return quality.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), at=0.3)
 
 
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of each row's whole text; null counts as empty and has the digest of an empty list. See secrets.scan."""
     docs = table(spark, sf_dir, "documents")
     ratios = secrets.fit_ratios(secrets.corpus_samples(docs).union(secrets.rule_samples(docs)))
-    found = secrets.scan(docs, ratios)
-    return found.select("doc_id", *[F.size(k).cast("long").alias(f"n_{k}") for k in secrets.KINDS], F.sha2(secrets.listed(secrets.KINDS[:3]), 256).alias("base_sha256"), secrets.listed(secrets.KINDS).alias("spans"))
+    counts = [F.size(k).cast("long").alias(f"n_{k}") for k in secrets.KINDS]
+    base = F.sha2(secrets.listed(secrets.KINDS[:3]), 256).alias("base_sha256")
+    return secrets.scan(docs, ratios).select("doc_id", *counts, base, secrets.listed(secrets.KINDS).alias("spans"))
 
 
 def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each document gives to the mixture in each epoch. Those without tokens give nothing; null levels are `unknown`. See mixing.mix."""
     return mixing.mix(table(spark, sf_dir, "documents"), source_tree(), [DOMAIN_WEIGHTS, LANG_WEIGHTS, SOURCE_WEIGHTS])
 
 
 def op5_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row a page, as read back from the archives; a null html is an empty response. See warc.round_trip."""
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
 
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A language for each row of documents, learned outside the held-out fold; `und` where there is no letter. See langid.identify."""
     docs = table(spark, sf_dir, "documents")
     return langid.identify(docs, langid.fit(docs.filter(~held_out())))
 
 
 def op7_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The component of each row of documents by two-word shingles; texts without words stand alone. See minhash.near_duplicates."""
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), words=2, percent=80)
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A score for each row of documents; null and empty texts have the base score. See toxicity.score_toxicity."""
     docs = table(spark, sf_dir, "documents")
     return toxicity.score_toxicity(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
 def op9_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of each text and its edited text; null counts as empty. See fingerprint.fingerprint_edits."""
     return fingerprint.fingerprint_edits(table(spark, sf_dir, "documents"))
 
 
 def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and component of each vector; null, zero and non-finite ones and those without a label stand alone. See embeddings.near_vectors."""
     return embeddings.near_vectors(table(spark, sf_dir, "embeddings"), cosine=0.98)
 
 
