@@ -513,11 +513,25 @@ def x8_prune_tree(spark, d):
     return H.prune(_edges(spark, d), kept)
 
 
-@query(None)
+@query("""
+with e as (select 'tree' || n_regionkey as tree_id, 'N' || n_nationkey as node, 'R' || n_regionkey as parent, n_name as name,
+    (n_nationkey + 1)::double as length, row_number() over (partition by n_regionkey order by n_nationkey desc) as k from nation),
+m as (select tree_id, parent as root, max(length) filter (k = 1) as first, max(length) filter (k = 2) as second from e group by all)
+select tree_id, node, case when k = 1 then 'midpoint' else parent end as parent, name,
+  case when k = 1 then (first + second) / 2 else length end as length from e join m using (tree_id)
+union all select tree_id, root, 'midpoint', '', (first - second) / 2 from m
+union all select tree_id, 'midpoint', null, null, null::double from m
+""")
 def x9_midpoint_root(spark, d):
-    nations = table(spark, d, "nation").select(F.concat(F.lit("tree"), F.col("n_regionkey").cast("string")).alias("tree_id"), F.concat(F.lit("N"), F.col("n_nationkey").cast("string")).alias("node"), F.concat(F.lit("R"), F.col("n_regionkey").cast("string")).alias("parent"), F.col("n_name").alias("name"), (F.col("n_nationkey") + 1).cast("double").alias("length"))
-    roots = nations.select("tree_id", F.col("parent").alias("node")).distinct().select("tree_id", "node", F.lit(None).cast("string").alias("parent"), F.lit("").alias("name"), F.lit(None).cast("double").alias("length"))
-    return H.midpoint_root(nations.union(roots))
+    """Each region as a star of its nations, so the middle of its longest path lies on its longest edge."""
+    tree = F.concat(F.lit("tree"), F.col("n_regionkey").cast("string")).alias("tree_id")
+    node = F.concat(F.lit("N"), F.col("n_nationkey").cast("string")).alias("node")
+    parent = F.concat(F.lit("R"), F.col("n_regionkey").cast("string")).alias("parent")
+    length = (F.col("n_nationkey") + 1).cast("double").alias("length")
+    nations = table(spark, d, "nation").select(tree, node, parent, F.col("n_name").alias("name"), length)
+    above, none = F.lit(None).cast("string").alias("parent"), F.lit(None).cast("double").alias("length")
+    roots = nations.select("tree_id", F.col("parent").alias("node")).distinct()
+    return H.midpoint_root(nations.union(roots.select("tree_id", "node", above, F.lit("").alias("name"), none)))
 
 
 @query("select n_name, case when n < 5 then 'skipped' when bal is null then 'skipped' when bal < 0 then 'skipped' else 'ok' end as status, case when n < 5 then 'too few members' when bal is null then 'no balance' when bal < 0 then 'negative balance' end as reason from (select n_name, count(c_custkey) as n, avg(c_acctbal) as bal from nation left join customer on c_nationkey = n_nationkey group by 1)")
