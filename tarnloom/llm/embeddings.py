@@ -31,11 +31,18 @@ def plan_tables(rows: int, cosine: float, recall: float) -> tuple[int, int]:
     return k, math.ceil(math.log(1 - recall) / math.log(1 - near**k))
 
 
-def _floats(column: pa.Array, width: int) -> np.ndarray:
-    return np.frombuffer(b"".join(x.as_buffer().to_pybytes() for x in column), np.float64).reshape(-1, width)
+def _packed(column: pa.ChunkedArray, kind: type, *shape: int) -> np.ndarray:
+    return np.frombuffer(b"".join(x.as_buffer().to_pybytes() for x in column.chunk(0)), kind).reshape(*shape)
 
 
-def _compare(rows: DataFrame, width: int, tables: int, cosine: float) -> DataFrame:
+def _units(x: np.ndarray) -> np.ndarray:
+    """Rows of unit length in double precision; dividing by the largest component first keeps squares finite."""
+    x = x.astype(np.float64)
+    x = x / np.abs(x).max(1, keepdims=True)
+    return x / np.sqrt((x * x).sum(1, keepdims=True))
+
+
+def _compare(rows: DataFrame, width: int, tables: int, cosine: float, kind: type) -> DataFrame:
     """(a, b, n): partial degrees of class a with b null, and edges that span each task's links with n null.
 
     A pair counts in the first table where it meets. A task's side 0 is compared with itself, or with side 1 if there is one.
@@ -57,8 +64,8 @@ def _compare(rows: DataFrame, width: int, tables: int, cosine: float) -> DataFra
                 for lo in range(0, len(first), step := max(1, 2_000_000 // int(s * max(s, width)))):
                     at = (first[lo : lo + step, None] + np.arange(s)).ravel()
                     part = t.take(pa.array(at)).combine_chunks()
-                    x = _floats(part.column("unit").chunk(0), width).reshape(-1, s, width)
-                    code = np.frombuffer(b"".join(v.as_buffer().to_pybytes() for v in part.column("codes").chunk(0)), np.int64).reshape(-1, s, tables)
+                    x = _units(_packed(part.column("raw"), kind, -1, width)).reshape(-1, s, width)
+                    code = _packed(part.column("codes"), np.uint32, -1, s, tables)
                     at = at.reshape(-1, s)
                     near = np.matmul(x, x.transpose(0, 2, 1)) >= cosine
                     near &= ~np.eye(s, dtype=bool)
@@ -88,13 +95,16 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.98, recall: float = 0.999
     with nothing: n_links 0, component_id their own id, kept. Vectors of different length are never linked. Equal vectors
     of one label form a class, are linked with each other and are never expanded into pairs. Rows that share an id
     are one vector with several positions, whose links add up; each row that repeats a position counts as one more vector. Recall is the chance that a pair exactly at the cosine is met; closer pairs are
-    met likelier. Buckets of more than BLOCK vectors are compared block by block.
+    met likelier. Buckets of more than BLOCK vectors are compared block by block. Tables carry float components as they
+    are, other numbers as doubles; cosines are of doubles either way.
     """
     spark = vectors.sparkSession
     v = F.col(vec_col).cast("array<double>")
+    single = vectors.schema[vec_col].dataType.simpleString() == "array<float>"
+    kind = np.float32 if single else np.float64
     ok = F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & F.coalesce(F.size(v) > 0, F.lit(False)) & F.coalesce(F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))) & F.exists(v, lambda x: x != 0), F.lit(False))
     key = F.when(ok, F.sha2(F.concat_ws("|", F.col(label_col).cast("string"), F.array_join(F.transform(v, lambda x: F.when(x == 0, F.lit(0.0)).otherwise(x).cast("string")), ",")), 256))
-    rows = stage(vectors.select(F.col(id_col).cast("long").alias("vec_id"), v.alias("v"), F.col(label_col).cast("string").alias("label"), key.alias("key")), "vectors")
+    rows = stage(vectors.select(F.col(id_col).cast("long").alias("vec_id"), (F.col(vec_col) if single else v).alias("v"), F.col(label_col).cast("string").alias("label"), key.alias("key")), "vectors")
     classes = rows.filter("key is not null").groupBy("key").agg(F.min("vec_id").alias("id"), F.count("*").alias("copies"), F.first("v").alias("v"), F.first("label").alias("label"))
     classes = stage(classes, "classes")
     found = None
@@ -107,26 +117,27 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.98, recall: float = 0.999
             rng = np.random.default_rng(seed)
             a, b = rng.standard_normal((width, tables * k)), rng.random(tables * k) * WIDTH
             for batch in batches:
-                x = batch.column("v").flatten().to_numpy().reshape(-1, width)
-                x = x / np.abs(x).max(1, keepdims=True)
-                x = x / np.sqrt((x * x).sum(1, keepdims=True))
-                cell = np.floor((x @ a + b) / WIDTH).astype(np.int64).reshape(-1, tables, k)
-                code = mix64(np.arange(1, tables + 1, dtype=np.uint64) ^ mix64(batch.column("lh").to_numpy().view(np.uint64))[:, None])
+                raw = batch.column("v").flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
+                cell = np.floor((_units(raw) @ a + b) / WIDTH).astype(np.int64).reshape(-1, tables, k)
+                start = mix64(np.arange(1, tables + 1, dtype=np.uint64) ^ mix64(batch.column("lh").to_numpy().view(np.uint64))[:, None])
+                code = start
                 for j in range(k):
                     code = mix64(code ^ cell[:, :, j].view(np.uint64))
-                codes = code.view(np.int64)
+                code = code.astype(np.uint32)  # of one label and table, the same codes have the same bucket
+                buckets = mix64(start ^ code).view(np.int64)
                 pack = lambda m: pa.array([r.tobytes() for r in m], pa.binary())
-                yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("copies"), pack(x), pack(codes), pa.array(list(codes), pa.list_(pa.int64()))], ["id", "copies", "unit", "codes", "bucket"])
+                columns = [batch.column("id"), batch.column("copies"), pack(raw), pack(code), pa.array(list(buckets), pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays(columns, ["id", "copies", "raw", "codes", "bucket"])
 
-        placed = stage(same.select("id", "copies", "v", F.xxhash64("label").alias("lh")).mapInArrow(hashed, "id long, copies long, unit binary, codes binary, bucket array<long>"), "hashed")
+        placed = stage(same.select("id", "copies", "v", F.xxhash64("label").alias("lh")).mapInArrow(hashed, "id long, copies long, raw binary, codes binary, bucket array<long>"), "hashed")
         met = placed.select("id", F.posexplode("bucket").alias("table", "b"))
         sizes = stage(met.groupBy("b").agg(F.count("*").alias("n")).filter("n > 1").select("b", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "buckets")
-        met = placed.select("id", "copies", "unit", "codes", F.posexplode("bucket").alias("table", "b")).join(sizes, "b")
+        met = placed.select("id", "copies", "raw", "codes", F.posexplode("bucket").alias("table", "b")).join(sizes, "b")
         own = F.pmod(F.xxhash64("id", "b"), F.col("blocks")).cast("int")
-        one = met.filter("blocks = 1").select(F.col("b").alias("task"), "id", "copies", "table", "unit", "codes", F.lit(0).alias("side"))
+        one = met.filter("blocks = 1").select(F.col("b").alias("task"), "id", "copies", "table", "raw", "codes", F.lit(0).alias("side"))
         many = met.filter("blocks > 1").withColumn("i", own).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        many = many.select(F.xxhash64("b", F.least("i", "j"), F.greatest("i", "j")).alias("task"), "id", "copies", "table", "unit", "codes", (F.col("i") > F.col("j")).cast("int").alias("side"))
-        out = stage(_compare(one.union(many), width, tables, cosine), "links")
+        many = many.select(F.xxhash64("b", F.least("i", "j"), F.greatest("i", "j")).alias("task"), "id", "copies", "table", "raw", "codes", (F.col("i") > F.col("j")).cast("int").alias("side"))
+        out = stage(_compare(one.union(many), width, tables, cosine, kind), "links")
         discard(placed, sizes)
         found = out if found is None else found.union(out)
     if found is None:

@@ -5,6 +5,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tarnloom.llm import embeddings, minhash
 from tarnloom.llm.graph import connected_components
@@ -148,3 +149,19 @@ def test_vectors_match_brute_force(spark, monkeypatch):
     assert embeddings.near_vectors(frame.limit(0)).count() == 0
     nothing = embeddings.near_vectors(spark.createDataFrame([(1, None, 2), (None, [1.0], 2)], "vec_id long, embedding array<double>, label int")).collect()
     assert len(nothing) == 2 and all(r["n_links"] == 0 and r["kept"] for r in nothing)
+
+
+def test_float_vectors_match_the_same_doubles(spark):
+    rng = np.random.default_rng(9)
+    base = rng.standard_normal((40, 6)).astype(np.float32)
+    rows = [(i, [float(x) for x in base[i % 40] + np.float32(0.02) * rng.standard_normal(6).astype(np.float32)], i % 2) for i in range(400)]
+    wide = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    wide = wide.withColumn("embedding", F.col("embedding").cast("array<float>").cast("array<double>"))
+    narrow = wide.withColumn("embedding", F.col("embedding").cast("array<float>"))
+    got = sorted(embeddings.near_vectors(narrow).collect())
+    assert got == sorted(embeddings.near_vectors(wide).collect()) and any(r["n_links"] for r in got)
+    vectors = {r["vec_id"]: (np.array(r["embedding"]), r["label"]) for r in wide.collect()}
+    for r in got:
+        x, label = vectors[r["vec_id"]]
+        links = [i for i, (y, z) in vectors.items() if i != r["vec_id"] and z == label and x @ y >= 0.98 * np.sqrt((x @ x) * (y @ y))]
+        assert r["n_links"] == len(links)
