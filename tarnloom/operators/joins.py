@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import product
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import distance, formatted_key
+from ..storage import stage
+
+SMALL = 8 << 20  # bytes of distinct bodies that are sent to every task
+REACHES = (0, 1, 3, 7)  # distances up to which neighbours are found by parts of bodies that agree
 
 
 def members(records: DataFrame, leaves: DataFrame, key: str) -> DataFrame:
@@ -37,18 +42,40 @@ def pairs(items: DataFrame, scenarios: DataFrame) -> DataFrame:
     return items.crossJoin(scenarios)
 
 
+def _least(candidates: DataFrame) -> DataFrame:
+    """(_q, s): the least (distance, id) of each query body; pairs are reduced within a task before the shuffle."""
+    return candidates.select("_q", F.struct(distance("_q", "_o").alias("d"), F.col("_id").alias("id")).alias("s")).groupBy("_q").agg(F.min("s").alias("s"))
+
+
+def _in_pieces(rows: DataFrame, body: str, n: int) -> DataFrame:
+    """rows, n times each: a hash of the characters at every n-th place, and where these places begin."""
+    piece = lambda k: F.xxhash64(F.array_join(F.filter(F.split(F.col(body), ""), lambda _, at: at % n == k), ""))
+    return rows.select("*", F.posexplode(F.array(*[piece(k) for k in range(n)])).alias("_from", "_piece"))
+
+
 def nearest(queries: DataFrame, query: str, body: str, others: DataFrame, other: str, other_body: str) -> DataFrame:
     """Least distance of each query to any row of the others, and the first (least) row at it; ValueError if there is none.
 
-    Equal bodies are compared once, and pairs are reduced to one row for each distinct query body within a task before
-    the shuffle.
+    Equal bodies are compared once. A null body is compared with nothing: a query's distance and nearest are null then.
+    Others of at most SMALL bytes go to every task. Beyond that queries with a neighbour at a distance of 7 or less are
+    found by equi-joins: of n places' sets, two bodies that differ in less than n places (the longer one's rest included)
+    agree in one. Only the queries left are compared with all others.
     """
-    if others.isEmpty():
+    ref = others.filter(F.col(other_body).isNotNull()).groupBy(F.col(other_body).alias("_o")).agg(F.min(other).alias("_id"))
+    left = queries.filter(F.col(body).isNotNull()).select(F.col(body).alias("_q")).distinct()
+    held = ref.agg(F.sum(F.octet_length("_o") + 16)).first()[0]
+    if held is None:
         raise ValueError("nothing to compare with")
-    ref = others.groupBy(F.col(other_body).alias("_o")).agg(F.min(other).alias("_id"))
-    body_of = queries.select(F.col(body).alias("_q")).distinct()
-    best = body_of.crossJoin(ref).select("_q", F.struct(distance("_q", "_o").alias("d"), F.col("_id").alias("id")).alias("s")).groupBy("_q").agg(F.min("s").alias("s"))
-    return queries.join(best, queries[body].eqNullSafe(F.col("_q"))).select(query, F.col("s.d").alias("distance"), F.col("s.id").alias("nearest"))
+    if held <= SMALL:
+        best = _least(left.crossJoin(F.broadcast(ref)))
+    else:
+        ref, left, found = stage(ref, "bodies"), stage(left, "queries"), []
+        for reach in REACHES:
+            met = _in_pieces(left, "_q", reach + 1).join(_in_pieces(ref, "_o", reach + 1), ["_from", "_piece"])
+            found.append(stage(_least(met).filter(F.col("s.d") <= reach), "nearest"))
+            left = stage(left.join(found[-1], "_q", "left_anti"), "queries")
+        best = reduce(DataFrame.union, [*found, _least(left.crossJoin(ref))])
+    return queries.join(best, queries[body] == F.col("_q"), "left").select(query, F.col("s.d").alias("distance"), F.col("s.id").alias("nearest"))
 
 
 def within(points: DataFrame, others: DataFrame, axes: list[str], radius: float) -> DataFrame:

@@ -203,6 +203,21 @@ def test_samples(spark):
     assert boot.count() == 30 and boot.filter("pos < 1 or pos > 10").count() == 0
 
 
+@pytest.mark.parametrize("small", [1 << 20, 0])
+def test_nearest_matches_brute_force(spark, monkeypatch, small):
+    monkeypatch.setattr(J, "SMALL", small)
+    rng = random.Random(4)
+    word = lambda n: "".join(rng.choice("abcé") for _ in range(n))
+    refs = [(k, word(rng.choice([0, 3, 12, 30]))) for k in range(60)] + [(100, "far" * 20), (101, None), (-1, "abc"), (-2, "abc")]
+    asked = [(k, word(rng.choice([0, 3, 12, 31]))) for k in range(40)] + [(50, None), (51, "abc"), (52, "abc")]
+    for k, (_, text) in enumerate(refs[:40]):
+        asked.append((60 + k, "".join(rng.choice("abc") if rng.random() < 0.1 else c for c in text) + "é" * rng.choice([0, 0, 1, 4])))
+    gap = lambda a, b: sum(x != y for x, y in zip(a, b, strict=False)) + abs(len(a) - len(b))
+    want = sorted((k, *(min((gap(a, b), i) for i, b in refs if b is not None) if a is not None else (None, None))) for k, a in asked)
+    q, r = spark.createDataFrame(asked, "q long, text string"), spark.createDataFrame(refs, "i long, body string")
+    assert sorted(map(tuple, J.nearest(q, "q", "text", r, "i", "body").collect())) == want
+
+
 def test_joins(spark):
     points = spark.createDataFrame([(k, float(k % 7), float(k % 5), float(k % 3)) for k in range(60)], "id long, x double, y double, z double")
     got = {(r["id"], r["other_id"]) for r in J.within(points, points, ["x", "y", "z"], 1.5).collect()}
