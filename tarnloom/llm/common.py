@@ -99,6 +99,12 @@ def quoted(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
+def lower_ascii(text: Column) -> Column:
+    """text with A-Z in lower case and every other character as it is."""
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    return F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(F.translate(text, upper, lower))
+
+
 def hash_sample(rows: DataFrame, most: int, id_col: str = "doc_id") -> DataFrame:
     """At most `most` rows, those with the smallest hashes of the id (then smallest ids), in that order.
 

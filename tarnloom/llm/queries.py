@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embeddings, fingerprint, langid, minhash, mixing, packing, quality, secrets, toxicity, warc
+from . import divergence, embeddings, fingerprint, langid, minhash, mixing, packing, quality, secrets, spelling, tokens, toxicity, warc
 from .common import held_out, table
 
 #: Target weights of the tree domain, language, source: parts among siblings; names that aren't listed count 100.
@@ -81,12 +81,36 @@ def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.near_vectors(table(spark, sf_dir, "embeddings"), cosine=0.98)
 
 
+def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes and tokens of each row's whole text; null counts as empty. See tokens.count_tokens."""
+    import public_tokenizers
+
+    return tokens.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How far each source's terms are from its language's other sources, and which of its terms stand out. See divergence.divergence."""
+    return divergence.divergence(table(spark, sf_dir, "documents"))
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each word of the documents with the form that it is likely a misspelling of. See spelling.group_variants."""
+    return spelling.group_variants(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
     return {k: v for k, v in globals().items() if k.startswith("op") and k[2].isdigit()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_source_mixing": _MIXING, "op5_warc_round_trip": _WARC, "op7_minhash_dedup": _MINHASH, "op10_embedding_dedup": _EMBEDDINGS}
+    return {
+        "op4_source_mixing": _MIXING,
+        "op5_warc_round_trip": _WARC,
+        "op7_minhash_dedup": _MINHASH,
+        "op10_embedding_dedup": _EMBEDDINGS,
+        "op12_source_divergence": _DIVERGENCE,
+        "op13_spelling_variants": _SPELLING,
+    }
 
 
 _WARC = """
@@ -127,6 +151,54 @@ select doc_id, len(s)::bigint as n_shingles, component_id, doc_id = component_id
 """
 
 
+_SHARE = "(1 + (1000000000::hugeint * (n + 5)) // (total + 5 * v))::bigint"
+
+_DIVERGENCE = rf"""
+with d as (select row_number() over () as id, coalesce(lang, '') as lang, coalesce(source, '') as source,
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as text from documents),
+w as (select id, lang, source, unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) as term from d),
+kept as (select lang, term from w group by lang, term having count(distinct id) >= 30),
+grp as (select distinct lang, source from d),
+c as (select lang, source, term, count(*) as n from w join kept using (lang, term) group by lang, source, term),
+v as (select lang, count(*) as v from kept group by lang),
+gt as (select lang, source, sum(n) as total from c group by lang, source),
+lt as (select lang, sum(n) as total from c group by lang),
+p as (select g.lang, g.source, k.term, coalesce(c.n, 0) as n, coalesce(gt.total, 0) as total, v.v
+  from grp g join kept k on k.lang = g.lang join v on v.lang = g.lang
+  left join c on c.lang = g.lang and c.source = g.source and c.term = k.term left join gt on gt.lang = g.lang and gt.source = g.source),
+ps as (select lang, source, term, n, {_SHARE} as p from p),
+q as (select lang, term, {_SHARE} as q from (select c.lang, c.term, sum(c.n) as n, any_value(lt.total) as total, any_value(v.v) as v
+  from c join lt on lt.lang = c.lang join v on v.lang = c.lang group by c.lang, c.term)),
+pairs as (select a.lang, a.source, b.source as item, sum(abs(a.p - b.p))::bigint as value from ps a join ps b on a.lang = b.lang and a.term = b.term and a.source <> b.source group by all),
+every as (select a.lang, a.source, 'pair' as part, b.source as item, coalesce(value, 0)::bigint as value from grp a join grp b on a.lang = b.lang and a.source <> b.source
+  left join pairs x on x.lang = a.lang and x.source = a.source and x.item = b.source
+  union all select ps.lang, source, 'term', ps.term, p - q from ps join q on q.lang = ps.lang and q.term = ps.term where n > 0 and p > q),
+ranked as (select *, row_number() over (partition by lang, source, part order by value desc, item)::int as rank from every)
+select * from ranked where part = 'pair' or rank <= 50
+"""
+
+_SPELLING = r"""
+with recursive t as (select list(v order by i) as t from (select i, list_reduce(list_prepend(i, range(8)), lambda a, k: case when a & 1 = 1 then xor(a >> 1, 3988292384) else a >> 1 end) as v from range(256) r(i))),
+r as (select coalesce(doc_id::varchar, '') as id, unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-z\x{00C0}-\x{00FF}]+')) as r from documents),
+l as (select id, translate(r, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as r, count(*) as n from r group by all),
+b as (select r, n, id || ':' || r as s from l where length(r) >= 6),
+h as (select r, n, xor(4294967295, list_reduce(list_prepend(4294967295::bigint, list_transform(range(1, strlen(s) + 1), lambda k: ('0x' || substr(hex(encode(s)), (2 * k - 1)::int, 2))::bigint)),
+    lambda a, x: xor(a >> 8, t[(xor(a, x) & 255) + 1]))) as h from b, t),
+e as (select case when h % 199 = 0 then substr(r, 1, (h % length(r))::int) || substr(r, (h % length(r))::int + 2) else r end as word, n from h),
+w as (select word, sum(n)::bigint as n from e where length(word) >= 6 group by word having sum(n) >= 5),
+gone as (select word, i, substr(word, 1, i - 1) || substr(word, i + 1) as rest from (select word, unnest(range(1, length(word) + 1))::int as i from w)),
+x as (select distinct a.word, b.word as near from gone a join w b on a.rest = b.word),
+y as (select a.word, b.word as near from gone a join gone b on a.rest = b.rest and a.i = b.i and a.word <> b.word),
+links as (select word, near from x union select near, word from x union select word, near from y),
+best as (select links.word, count(*) as n_near, first(near order by w.n desc, near) as near, max(w.n) as near_n from links join w on w.word = links.near group by links.word),
+f as (select w.word, case when near_n >= 5 * w.n then near end as form, w.n, coalesce(n_near, 0)::bigint as n_near, case when near_n >= 5 * w.n then near_n end as form_n
+  from w left join best on best.word = w.word),
+follow(word, top) as (select word, word from f union select follow.word, f.form from follow join f on f.word = follow.top where f.form is not null),
+roots as (select follow.word, top as root from follow join f on f.word = follow.top where f.form is null)
+select f.word, form, root, n, n_near, form_n from f join roots on roots.word = f.word
+"""
+
+
 def _parts(weights: dict[str, int], column: str) -> str:
     return f"case {' '.join(f'when {column} = {k!r} then {v}' for k, v in weights.items())} else 100 end::bigint"
 
