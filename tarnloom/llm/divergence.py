@@ -7,14 +7,20 @@ one row a pair and task whatever the number of terms.
 
 from __future__ import annotations
 
+from collections import Counter, defaultdict
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import discard, lower_ascii, stage
+from .common import stage, text_bytes
 
-TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
 SCALE, PRIOR = 1_000_000_000, 5
-MARK = "#"  # no character of a term; what ends in it counts documents
+MOST_HELD = 400_000  # terms whose counts a task holds
+BLOCK = 4 << 20  # bytes of a text that are cut into words at once
+#: Each byte of a term to itself, A-Z to a-z, every other byte to a space.
+_LETTERS = bytes(k + 32 if 65 <= k <= 90 else k if 97 <= k <= 122 or k > 127 else 32 for k in range(256))
 
 
 def share(count: Column, total: Column, terms: Column) -> Column:
@@ -31,17 +37,45 @@ def share(count: Column, total: Column, terms: Column) -> Column:
     return out + 1
 
 
+def _flushed(lang: str, source: str, n: Counter, docs: Counter) -> pa.RecordBatch:
+    names = pa.array(n.keys(), pa.binary()).view(pa.string())
+    numbers = [pa.array(n.values(), pa.int64()), pa.array(map(docs.__getitem__, n), pa.int64())]
+    return pa.RecordBatch.from_arrays([pa.array([lang] * len(n), pa.string()), pa.array([source] * len(n), pa.string()), names, *numbers], ["lang", "source", "term", "n", "docs"])
+
+
 def term_counts(rows: DataFrame) -> DataFrame:
-    """(lang, source, term, n), staged, from one pass over the texts: occurrences, and documents of terms that end in MARK.
+    """(lang, source, term, n, docs) from one pass over the texts: occurrences, and documents with the term.
 
-    A document gives each of its words and, marked, each of its different words; both are counted in one aggregation, which
-    combines in each task first.
+    A task adds up what it reads before anything is shuffled and passes its counts on when it holds MOST_HELD terms. On bytes,
+    a term is a run of letters a-z and of bytes above 127; a text is cut into blocks between terms.
     """
-    words = F.regexp_extract_all(lower_ascii(F.col("text")), F.lit(TERM), F.lit(0))
-    rows = rows.filter("text <> ''").select("lang", "source", words.alias("words"))
-    marked = F.concat("words", F.transform(F.array_distinct("words"), lambda w: F.concat(w, F.lit(MARK))))
-    terms = rows.select("lang", "source", F.explode(marked).alias("term"))
-    return stage(terms.groupBy("lang", "source", "term").agg(F.count("*").alias("n")), "terms")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple[str, str], tuple[Counter, Counter]] = defaultdict(lambda: (Counter(), Counter()))
+        size = 0
+        for batch in batches:
+            data, at = text_bytes(batch.column("text"))
+            for k, group in enumerate(zip(batch.column("lang").to_pylist(), batch.column("source").to_pylist(), strict=True)):
+                text, seen, cut = data[at[k] : at[k + 1]].tobytes().translate(_LETTERS), set(), 0
+                while cut < len(text):
+                    end = len(text) if len(text) - cut <= BLOCK else text.find(b" ", cut + BLOCK)
+                    words = text[cut : end if end >= 0 else len(text)].split()
+                    new = set(words) - seen
+                    seen |= new
+                    n, docs = held[group]
+                    size -= len(n)
+                    n.update(words)
+                    docs.update(new)
+                    size += len(n)
+                    cut = end if end >= 0 else len(text)
+                    if size >= MOST_HELD:
+                        yield from (_flushed(*g, *c) for g, c in held.items())
+                        held.clear()
+                        size = 0
+        yield from (_flushed(*g, *c) for g, c in held.items())
+
+    counted = rows.select("lang", "source", "text").mapInArrow(run, "lang string, source string, term string, n long, docs long")
+    return counted.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
 
 
 def divergence(
@@ -59,13 +93,10 @@ def divergence(
     place = F.row_number().over(Window.partitionBy("lang").orderBy("source")) - 1
     groups = stage(rows.select("lang", "source").distinct().withColumn("place", place), "groups")
 
-    counted = term_counts(rows)
-    is_mark = F.endswith("term", F.lit(MARK))
-    in_docs = counted.filter(is_mark).select("lang", F.rtrim(F.col("term"), F.lit(MARK)).alias("term"), "n").groupBy("lang", "term").agg(F.sum("n").alias("docs"))
-    placed = counted.filter(~is_mark).join(groups, ["lang", "source"]).select("lang", "term", F.struct("place", "n").alias("entry"))
-    gathered = placed.groupBy("lang", "term").agg(F.collect_list("entry").alias("entries"))  # at most one for each source
-    kept = stage(gathered.join(in_docs.filter(F.col("docs") >= least_docs), ["lang", "term"]).drop("docs"), "kept")
-    discard(counted)
+    placed = term_counts(rows).join(groups, ["lang", "source"])
+    entries = F.collect_list(F.struct("place", "n")).alias("entries")  # at most one for each source
+    gathered = placed.groupBy("lang", "term").agg(entries, F.sum("docs").alias("docs"))  # a document has one source
+    kept = stage(gathered.filter(F.col("docs") >= least_docs).drop("docs"), "kept")
 
     sums = kept.select("lang", F.explode("entries").alias("e")).groupBy("lang", F.col("e.place").alias("place")).agg(F.sum("e.n").alias("total"))
     n_terms = kept.groupBy("lang").agg(F.count("*").alias("n_terms"))

@@ -103,6 +103,14 @@ def test_divergence_equals_a_plain_version(spark, odd, least, most):
     assert sorted(tuple(r) for r in got.collect()) == _plain_divergence(docs, least, most)
 
 
+def test_divergence_of_texts_in_blocks(spark, odd, monkeypatch):
+    monkeypatch.setattr(divergence, "BLOCK", 40)
+    monkeypatch.setattr(divergence, "MOST_HELD", 30)
+    docs = [tuple(r) for r in odd.select("doc_id", "text", "lang", "source").collect() if len(r["text"] or "") < 5000]
+    got = divergence.divergence(spark.createDataFrame(docs, odd.select("doc_id", "text", "lang", "source").schema), 3, 5)
+    assert sorted(tuple(r) for r in got.collect()) == _plain_divergence(docs, 3, 5)
+
+
 def test_divergence_of_nothing(spark, odd):
     assert divergence.divergence(odd.limit(0)).count() == 0
     assert divergence.divergence(odd.filter("lang is null and text is null")).count() == 0  # one source: no pair
