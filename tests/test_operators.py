@@ -138,6 +138,50 @@ def test_hierarchy(spark):
     assert all(p is None or p in chain(v) for v, p in pruned.items())
 
 
+def _plain_tree(parents):
+    """Leaves, and for each inner node how many leaves lie below and the least of them."""
+    inner = {p for p in parents.values() if p}
+    totals = {}
+    for leaf in (v for v in parents if v not in inner):
+        v = parents[leaf]
+        while v is not None:
+            n, first = totals.get(v, (0, leaf))
+            totals[v] = (n + 1, min(first, leaf))
+            v = parents.get(v)
+    return {v for v in parents if v not in inner}, totals
+
+
+def test_deep_trees(spark):
+    """A caterpillar of 20,000 levels with a leaf at every tenth, and a bare chain at its end."""
+    parents = {"v00000": None, **{f"v{k:05d}": f"v{k - 1:05d}" for k in range(1, 20_000)}}
+    parents |= {f"x{k:05d}": f"v{k:05d}" for k in range(0, 19_900, 10)}
+    e = spark.createDataFrame(list(parents.items()), "node string, parent string").repartition(6)
+    depth, leaves = 20_000, [f"x{k:05d}" for k in range(0, 19_900, 10)] + ["v19999"]
+    want = {}
+    for k in range(depth - 1):
+        first = -(-k // 10) * 10
+        want[f"v{k:05d}"] = (sum(1 for x in range(first, 19_900, 10)) + 1, "v19999")
+    got = H.subtree_totals(e).collect()
+    assert {r["node"]: (r["n_leaves"], r["first_leaf"]) for r in got} == want
+    held = H.below(e, spark.createDataFrame([("v15005",), ("x00030",)], "node string"))
+    assert {r["node"] for r in held.collect()} == {x for x in leaves if x >= "x15010" or x in ("x00030", "v19999")}
+    kept = ["x00000", "x10000", "x19890", "v19999"]
+    pruned = {r["node"]: r["parent"] for r in H.prune(e, spark.createDataFrame([(v,) for v in kept], "node string")).collect()}
+    assert pruned == {"v00000": None, "x00000": "v00000", "v10000": "v00000", "x10000": "v10000", "v19890": "v10000", "x19890": "v19890", "v19999": "v19890"}
+
+
+def test_odd_trees(spark):
+    frame = lambda rows: spark.createDataFrame(rows, "node string, parent string")
+    repeated = frame([("a", "r"), ("a", "r"), ("b", "r"), ("c", "b")])  # the root stands as a parent only
+    assert {tuple(r) for r in H.subtree_totals(repeated).select("node", "n_leaves", "first_leaf").collect()} == {("r", 2, "a"), ("b", 1, "c")}
+    assert {r["node"] for r in H.below(repeated, frame([("r", None)])).collect()} == {"a", "c"}
+    none = repeated.limit(0)
+    assert H.subtree_totals(none).count() == H.below(none, none).count() == H.prune(none, none).count() == 0
+    assert H.prune(repeated, none).count() == 0
+    with pytest.raises(ValueError):
+        H.subtree_totals(frame([("a", "b"), ("b", "c"), ("c", "a"), ("d", "c")]))
+
+
 def test_pruning_reaches_all_finished_orders(spark):
     from tarnloom.plans.queries import QUERIES
 
@@ -195,6 +239,19 @@ def test_midpoint_root(spark):
         SR.parse_newick("((A,B);")
 
 
+def test_midpoint_root_of_large_trees(spark):
+    draw, rows = random.Random(3), []
+    for t in range(12):
+        n, back = draw.choice([1, 2, 3, 9, 40]), draw.choice([1, 3, 50])
+        for k in range(n):
+            parent = None if k == 0 else f"n{draw.randrange(max(0, k - back), k):03d}"
+            length = None if k == 0 or draw.random() < 0.05 else float(draw.choice([0, 1, 2, 3, 7])) if t % 2 else draw.random()
+            rows.append((f"t{t}", f"n{k:03d}", parent, f"name{k}", length))
+    e = spark.createDataFrame(rows, "tree_id string, node string, parent string, name string, length double")
+    key = lambda r: [str(round(x, 9)) if isinstance(x, float) else str(x) for x in r]
+    assert sorted(map(key, H.midpoint_root(e, in_task=0).collect())) == sorted(map(key, H.midpoint_root(e).collect()))
+
+
 def test_samples(spark):
     df = spark.range(100).withColumnRenamed("id", "k")
     a, b = X.sample(df, "k", 10, 1).collect(), X.sample(df, "k", 10, 1).collect()
