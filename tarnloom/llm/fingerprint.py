@@ -69,14 +69,18 @@ class Tables:
     def peel(self, mask: np.uint64 = _ALL) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Row, digest and sign of what the tables still hold, and for each row whether all of it came out.
 
-        mask tells which bits of the check sums are known.
+        mask tells which bits of the check sums are known. A cell counts as pure only if it is one of its key's own. One
+        that agrees by chance can still be wrong, so a row gives at most as many digests as it has cells, and none twice;
+        a row that would fails. So this always ends.
         """
         found_row, found_key, found_sign = [], [], []
+        given, failed = np.zeros(self.rows, np.int64), np.zeros(self.rows, bool)
         while True:
-            at = np.flatnonzero(np.abs(self.n) == 1)
+            at = np.flatnonzero((np.abs(self.n) == 1) & ~np.repeat(failed, self.size))
             sign = self.n[at]
             key = self.key[at] * sign.view(np.uint64)
             pure = (self.check[at] * sign.view(np.uint64) - _check(key)) & mask == 0
+            pure[pure] = (_cells(at[pure] // self.size, key[pure], self.size) == at[pure]).any(0)
             at, sign, key = at[pure], sign[pure], key[pure]
             if not len(at):
                 break
@@ -89,9 +93,15 @@ class Tables:
             found_row.append(row)
             found_key.append(key)
             found_sign.append(sign)
-        done = ~((self.n != 0) | (self.key != 0)).reshape(self.rows, self.size).any(1)
+            given += np.bincount(row, minlength=self.rows)
+            failed |= given > self.size
         join = lambda x, kind: np.concatenate(x) if x else np.zeros(0, kind)
-        return join(found_row, np.int64), join(found_key, np.uint64), join(found_sign, np.int64), done
+        row, key = join(found_row, np.int64), join(found_key, np.uint64)
+        order = np.lexsort((key, row))
+        twice = (np.diff(row[order]) == 0) & (np.diff(key[order]) == 0)
+        failed[row[order][1:][twice]] = True
+        done = ~((self.n != 0) | (self.key != 0)).reshape(self.rows, self.size).any(1) & ~failed
+        return row, key, join(found_sign, np.int64), done
 
 
 def written(sets: list[np.ndarray]) -> list[str]:
@@ -130,7 +140,8 @@ def written_difference(a: str, b: str) -> tuple[list[int], list[int]] | None:
 def differences(a: list[np.ndarray], b: list[np.ndarray]) -> tuple[list[np.ndarray], list[np.ndarray]]:
     """For each pair of sets the digests that only the first and only the second has, from the peeled difference of their tables.
 
-    All begin with tables of BASE cells, those that are written; what doesn't come out is tried four times as large.
+    All begin with tables of BASE cells, those that are written; what doesn't come out is tried four times as large. Tables
+    of far more cells than digests hold nothing that another size would mend; such a pair is compared digest by digest.
     """
     na, nb = np.array([len(x) for x in a]), np.array([len(x) for x in b])
     only_a, only_b = [np.zeros(0, np.uint64)] * len(a), [np.zeros(0, np.uint64)] * len(a)
@@ -152,6 +163,9 @@ def differences(a: list[np.ndarray], b: list[np.ndarray]) -> tuple[list[np.ndarr
                 for k in np.flatnonzero(done):
                     out[some[k]] = keys[cuts[k] : cuts[k + 1]]
             failed.append(some[~done])
+            for k in failed[-1][size > 64 * (na + nb)[failed[-1]] + 64 * BASE]:
+                only_a[k], only_b[k] = np.setdiff1d(a[k], b[k]), np.setdiff1d(b[k], a[k])
+            failed[-1] = failed[-1][size <= 64 * (na + nb)[failed[-1]] + 64 * BASE]
         todo, size = np.concatenate(failed), size * 4
     return only_a, only_b
 

@@ -15,21 +15,23 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import new_path, stage
+from .graph import connected_components
 
 END = "\r\n\r\n"
 LEAST_BYTES = 1000  # smaller payloads are never revisits
 FILE_BYTES = 16 << 20  # an archive is closed once its members reach this
 MEMBER_BYTES = 8 << 20  # of a record in one gzip member; a larger record goes on in another
+CONCURRENT = b"warc-concurrent-to"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "2024-01-01T00:00:00Z"
 INFO = b"software: tarnloom\r\nformat: WARC File Format 1.1\r\n"
 RECORD = (
-    "type string, record_id string, concurrent_to string, target_uri string, date string, refers_to string, "
+    "type string, record_id string, concurrent_to array<string>, target_uri string, date string, refers_to string, "
     "payload_digest string, http_header string, http_length long, fields map<string,string>, payload binary, error string"
 )
 NAMES = tuple(x.split(" ")[0] for x in RECORD.split(", "))
 KINDS = {"requests": ("request",), "captures": ("response", "revisit", "resource"), "metadata": ("metadata",)}
-MAX_RECORDS = 1000  # records of a capture in one row
+MAX_RECORDS = 1000  # records of a capture in its row; others are in a table beside it
 
 
 def _urn(kind: str, column: str) -> Column:
@@ -206,7 +208,10 @@ def parse(raw: memoryview) -> Iterator[tuple[dict, bytes, str | None]]:
         else:
             for line in bytes(s.held[:end]).split(b"\r\n")[1:]:
                 name, _, value = line.partition(b":")
-                head[name.strip().lower()] = value.strip().decode("utf-8", "replace")
+                name, value = name.strip().lower(), value.strip().decode("utf-8", "replace")
+                if name == CONCURRENT:  # the only one of ours that may be repeated
+                    value = [*head.get(name, []), value]
+                head[name] = value
             length = head.get(b"content-length", "")
             size = int(length) if length.isascii() and length.isdigit() else None
             if size is None:
@@ -238,7 +243,7 @@ def _row(head: dict, block: bytes, error: str | None) -> tuple:
         payload = block
     elif kind in ("metadata", "warcinfo"):
         fields = dict(x.split(": ", 1) for x in block.decode("utf-8", "replace").split("\r\n") if ": " in x)
-    named = (b"warc-record-id", b"warc-concurrent-to", b"warc-target-uri", b"warc-date", b"warc-refers-to", b"warc-payload-digest")
+    named = (b"warc-record-id", CONCURRENT, b"warc-target-uri", b"warc-date", b"warc-refers-to", b"warc-payload-digest")
     return (kind, *(head.get(x) for x in named), http, length, list(fields.items()), payload, error)
 
 
@@ -250,7 +255,7 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        types = [pa.string()] * 8 + [pa.int64(), pa.map_(pa.string(), pa.string()), pa.binary(), pa.string()]
+        types = [pa.string()] * 2 + [pa.list_(pa.string())] + [pa.string()] * 5 + [pa.int64(), pa.map_(pa.string(), pa.string()), pa.binary(), pa.string()]
 
         def batch_of(rows: list) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), types, strict=True)], list(NAMES))
@@ -270,29 +275,78 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, RECORD)
 
 
-def assemble(rows: DataFrame, keep: tuple[str, ...] = tuple(x for x in NAMES if x not in ("concurrent_to", "error")), most: int = MAX_RECORDS) -> DataFrame:
-    """One row for each capture: capture_id, part, and arrays of its requests, captures and metadata as nested records.
+def _captures_of(ids: DataFrame) -> DataFrame:
+    """(uid, capture_id) of each record of ids (uid, vertex, is_capture, to): the captures that it belongs to, or its orphans' id.
 
-    A record belongs to the record it is concurrent to, or to itself; captures are responses, revisits and resources. Records
-    of other types, and rows without a type or without both ids, are left out. No record is dropped: an array holds all of
-    its kind, by record id, and is empty where there is none. A capture of more than `most` records goes on in further rows,
-    dealt by record id (part 0, 1 and so on), so no task gathers an unbounded group. Only the fields in `keep` (record_id
-    first) are carried. rows is read twice.
+    A capture belongs to itself. Another record belongs to the captures that it is concurrent to, or that are concurrent to
+    it. One without any belongs where the records do that it reaches through others of its kind: to the least of their
+    captures. Where nothing leads to a capture, the least id of what hangs together stands for one.
+    """
+    links = stage(ids.select("uid", "vertex", "is_capture", F.explode("to").alias("to")).filter("to is not null and to <> vertex"), "links")
+    captures = ids.filter("is_capture").select(F.col("vertex").alias("capture_id")).distinct()
+    named = links.filter("not is_capture").join(captures, F.col("to") == F.col("capture_id")).select("uid", "capture_id")
+    naming = links.filter("is_capture").select(F.col("vertex").alias("capture_id"), "to")
+    naming = ids.filter("not is_capture").select("uid", "vertex").join(naming, F.col("vertex") == F.col("to"))
+    near = stage(named.union(naming.select("uid", "capture_id")).distinct(), "near")
+    out = ids.filter("is_capture").select("uid", F.col("vertex").alias("capture_id")).union(near)
+    loose = ids.filter("not is_capture").join(near, "uid", "left_anti").select("uid", "vertex", "to")
+    if loose.isEmpty():
+        return out
+
+    loose = stage(loose, "loose")
+    settled = ids.filter("not is_capture").join(near, "uid").groupBy("vertex").agg(F.min("capture_id").alias("capture_id"))
+    settled = stage(settled, "settled")
+    points = loose.select("vertex", F.explode("to").alias("other")).filter("other is not null")
+    met = ids.join(settled.select("vertex"), "vertex", "left_semi").select(F.col("vertex").alias("other"), F.explode("to").alias("vertex"))
+    points = points.union(met.join(loose.select("vertex").distinct(), "vertex", "left_semi").select("vertex", "other")).distinct()
+    points = points.join(settled.select(F.col("vertex").alias("other"), "capture_id"), "other", "left")
+    points = stage(points, "points")
+    # Of several ids that a record names, all but the settled ones hang together through it.
+    parts = connected_components(points.filter("capture_id is null").select(F.col("vertex").alias("a"), F.col("other").alias("b")))
+    parts = stage(loose.select("vertex").distinct().join(parts, F.col("vertex") == F.col("id"), "left").select("vertex", F.coalesce("component", "vertex").alias("part")), "parts")
+    reached = points.filter("capture_id is not null").join(parts, "vertex").groupBy("part").agg(F.min("capture_id").alias("reached"))
+    parts = parts.join(reached, "part", "left").select("vertex", F.coalesce("reached", "part").alias("capture_id"))
+    return out.union(loose.join(parts, "vertex").select("uid", "capture_id"))
+
+
+def assemble(
+    rows: DataFrame, keep: tuple[str, ...] = tuple(x for x in NAMES if x not in ("concurrent_to", "error")), most: int = MAX_RECORDS,
+) -> tuple[DataFrame, DataFrame]:
+    """One row for each capture: capture_id, n_records, and its requests, captures and metadata as arrays of nested records.
+
+    Captures are responses, revisits and resources. A record belongs to the captures that it is concurrent to or that are
+    concurrent to it, directly or through other records; a request of two captures is in both rows. Records that lead to no
+    capture share a row without one. Repeated ids share a row. Records of other types, and rows without a type or without
+    both ids, are left out. Arrays are in order of record id, and empty where there is nothing.
+
+    The second table (capture_id, kind, record) holds what a capture has beyond its `most` first records, so that no record is
+    dropped and no task gathers an unbounded group. Only the fields in `keep` (record_id first) are carried.
     """
     record = F.struct(*[F.map_entries(c).alias(c) if c == "fields" else F.col(c) for c in keep])
-    every = [x for kinds in KINDS.values() for x in kinds]
-    own = F.coalesce("concurrent_to", "record_id")
-    known = rows.filter(F.col("type").isin(every) & own.isNotNull())
-    keyed = known.select(own.alias("capture_id"), F.col("type").alias("_kind"), record.alias("_record"))
-    large = known.groupBy(own.alias("capture_id")).agg(F.count("*").alias("_n")).filter(F.col("_n") > most)
-    large = stage(large.select("capture_id", F.ceil(F.col("_n") / most).cast("int").alias("_parts")), "large")
+    kind = F.lit(None).cast("string")
+    for name, kinds in KINDS.items():
+        kind = F.when(F.col("type").isin(*kinds), name).otherwise(kind)
+    to = F.coalesce("concurrent_to", F.array().cast("array<string>"))
+    known = rows.select(F.monotonically_increasing_id().alias("uid"), F.coalesce("record_id", F.get(to, 0)).alias("vertex"), to.alias("to"), kind.alias("kind"), record.alias("record"))
+    known = stage(known.filter("kind is not null and vertex is not null"), "known")
+    ids = known.select("uid", "vertex", (F.col("kind") == "captures").alias("is_capture"), "to")
+    own = known.select("uid", "kind", "record").join(_captures_of(ids), "uid")
+    sizes = stage(own.groupBy("capture_id").agg(F.count("*").alias("n_records")), "sizes")
+    large = sizes.filter(F.col("n_records") > most).select("capture_id")
+    other = (F.col("kind") != "captures").cast("int").alias("other")  # captures stand first
+    order = F.struct(other, F.col("record.record_id").alias("record_id"), "uid")
+    last = F.lit(None).cast("struct<other:int,record_id:string,uid:bigint>")
     if large.isEmpty():
-        keyed = keyed.withColumn("part", F.lit(0))
+        own = own.withColumn("last", last)
     else:
-        place = F.pmod(F.xxhash64("_record.record_id", F.monotonically_increasing_id()), F.col("_parts")).cast("int")
-        keyed = keyed.join(large, "capture_id", "left").withColumn("part", F.coalesce(place, F.lit(0)))
-    gathered = [F.sort_array(F.collect_list(F.when(F.col("_kind").isin(*k), F.col("_record")))).alias(n) for n, k in KINDS.items()]
-    return keyed.groupBy("capture_id", "part").agg(*gathered)
+        first = own.join(large, "capture_id", "left_semi").select("capture_id", order.alias("o"))
+        place = F.row_number().over(Window.partitionBy("capture_id").orderBy("o"))  # each task passes on `most` rows a capture
+        first = first.withColumn("place", place).filter(F.col("place") <= most).groupBy("capture_id").agg(F.max("o").alias("last"))
+        own = stage(own.join(first, "capture_id", "left"), "own")
+    inside = F.col("last").isNull() | (order <= F.col("last"))
+    arrays = [F.sort_array(F.collect_list(F.when(F.col("kind") == n, F.col("record")))).alias(n) for n in KINDS]
+    main = own.filter(inside).groupBy("capture_id").agg(*arrays).join(sizes, "capture_id")
+    return main.select("capture_id", "n_records", *KINDS), own.filter(~inside).select("capture_id", "kind", "record")
 
 
 def round_trip(pages: DataFrame) -> DataFrame:
@@ -312,7 +366,7 @@ def round_trip(pages: DataFrame) -> DataFrame:
     })
     kept = ("record_id", "type", "refers_to", "fields", "payload_bytes", "payload_sha1")
     rows = stage(rows.select("concurrent_to", *kept), "records")
-    got = assemble(rows, kept).withColumn("c", F.get("captures", 0)).withColumn("m", F.get("metadata", 0))
+    got = assemble(rows, kept)[0].withColumn("c", F.get("captures", 0)).withColumn("m", F.get("metadata", 0))
     page = F.get(F.filter("m.fields", lambda e: e["key"] == "pageId"), 0)["value"].cast("long")
     got = got.select(page.alias("page_id"), F.col("c.payload_bytes").alias("payload_bytes"), F.col("c.payload_sha1").alias("payload_digest"), F.col("c.type").alias("record_type"), F.col("c.record_id").alias("_id"), F.col("c.refers_to").alias("_to"))
     got = stage(got, "captures")

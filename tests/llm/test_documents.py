@@ -310,22 +310,75 @@ def test_archives_of_another_writer(spark, tmp_path):
     (folder / "two.warc.gz").write_bytes(gzip.compress(second[:100]) + gzip.compress(second[100:]))
     rows = warc.read_archives(spark, f"file://{folder}").cache()
     assert sorted(r["error"] for r in rows.filter("error is not null").collect()) == ["no Content-Length"]
-    got = {r["capture_id"]: r for r in warc.assemble(rows).collect()}
+    got = {r["capture_id"]: r for r in warc.assemble(rows)[0].collect()}
     assert set(got) == {"<r1>", "<r2>"} and bytes(got["<r1>"]["captures"][0]["payload"]) == b"body\r\n\r\nmore"
     assert [m["record_id"] for m in got["<r2>"]["metadata"]] == ["<m1>", "<m2>"] and got["<r2>"]["captures"][0]["refers_to"] == "<r1>"
 
 
+def _record_rows(spark, rows):
+    return spark.createDataFrame([(k, i, c, None, None, None, None, None, None, {"a": "b"}, None, None) for k, i, c in rows], warc.RECORD)
+
+
+def _ids(row, kind):
+    return [x["record_id"] for x in row[kind]]
+
+
 def test_assembly_drops_no_record(spark):
-    rows = [("response", "r1", None), ("request", "q1", "r1"), ("metadata", "m1", "r1"), ("metadata", "m2", "r1"), ("request", "q9", "gone"), ("revisit", "v1", None), (None, None, None), ("warcinfo", "i", None)]
-    rows += [("metadata", f"x{k:03}", "v1") for k in range(95)] + [("metadata", "x000", "v1")] * 5
-    frame = spark.createDataFrame([(k, i, c, None, None, None, None, None, None, {"a": "b"}, None, None) for k, i, c in rows], warc.RECORD)
-    got = {r["capture_id"]: r for r in warc.assemble(frame).collect()}
-    ids = lambda r, kind: [x["record_id"] for x in r[kind]]
-    assert set(got) == {"r1", "gone", "v1"} and ids(got["r1"], "metadata") == ["m1", "m2"] and ids(got["gone"], "captures") == []
-    assert ids(got["v1"], "metadata") == ["x000"] * 6 + [f"x{k:03}" for k in range(1, 95)] and ids(got["v1"], "captures") == ["v1"]
-    parts = [r for r in warc.assemble(frame, most=20).collect() if r["capture_id"] == "v1"]
-    assert len(parts) > 3 and sorted(x for r in parts for x in ids(r, "metadata")) == ids(got["v1"], "metadata")
-    assert max(len(r["metadata"]) for r in parts) < 50 and warc.assemble(frame.limit(0)).count() == 0
+    rows = [("response", "r1", None), ("request", "q1", ["r1"]), ("metadata", "m1", ["r1"]), ("metadata", "m2", ["r1"]), ("request", "q9", ["gone"]), ("revisit", "v1", None), (None, None, None), ("warcinfo", "i", None)]
+    rows += [("metadata", f"x{k:04}", ["v1"]) for k in range(1500)] + [("metadata", "x0000", ["v1"])] * 5
+    frame = _record_rows(spark, rows).repartition(3)
+    whole, beyond = warc.assemble(frame, most=10_000)
+    got = {r["capture_id"]: r for r in whole.collect()}
+    assert set(got) == {"r1", "gone", "v1"} and _ids(got["r1"], "metadata") == ["m1", "m2"] and _ids(got["gone"], "captures") == [] and beyond.count() == 0
+    assert _ids(got["v1"], "metadata") == ["x0000"] * 6 + [f"x{k:04}" for k in range(1, 1500)] and _ids(got["v1"], "captures") == ["v1"]
+    first, beyond = warc.assemble(frame)
+    first = {r["capture_id"]: r for r in first.collect()}
+    assert {k: r["n_records"] for k, r in first.items()} == {"r1": 4, "gone": 1, "v1": 1506}
+    rest = [r["record"]["record_id"] for r in beyond.collect()]
+    assert _ids(first["v1"], "captures") == ["v1"] and len(first["v1"]["metadata"]) == 999
+    assert sorted(_ids(first["v1"], "metadata") + rest) == _ids(got["v1"], "metadata") and {r["kind"] for r in beyond.collect()} == {"metadata"}
+    assert all(x.count() == 0 for x in warc.assemble(frame.limit(0)))
+
+
+def test_transactions_by_chains_and_repeated_headers(spark):
+    rows = [
+        ("response", "r", None), ("request", "q", ["r"]), ("metadata", "m", ["q"]), ("metadata", "mm", ["m", "nowhere"]),  # a chain
+        ("response", "a", ["ask"]), ("response", "b", None), ("request", "ask", None), ("metadata", "both", ["a", "b"]),  # named by its response; two targets
+        ("metadata", "far", ["both", "q"]),  # leads to a, b and r: the least
+        ("request", "o1", ["lost"]), ("metadata", "o2", ["o1"]), ("metadata", "o3", ["o2", "o1"]),  # no capture at all
+        ("request", "c1", ["c2"]), ("metadata", "c2", ["c1"]),  # a ring
+        ("metadata", None, ["r"]), ("request", "alone", None), ("response", "self", ["self"]),
+    ]
+    chain = [("metadata", "d000", ["r"])] + [("metadata", f"d{k:03}", [f"d{k - 1:03}"]) for k in range(1, 60)]
+    got = {r["capture_id"]: r for r in warc.assemble(_record_rows(spark, rows + chain))[0].collect()}
+    assert set(got) == {"r", "a", "b", "lost", "c1", "alone", "self"}
+    assert _ids(got["r"], "requests") == ["q"] and _ids(got["r"], "metadata") == [None, *(f"d{k:03}" for k in range(60)), "m", "mm"]
+    assert _ids(got["a"], "requests") == ["ask"] and _ids(got["a"], "metadata") == ["both", "far"] and _ids(got["b"], "metadata") == ["both"]
+    assert _ids(got["lost"], "requests") == ["o1"] and _ids(got["lost"], "metadata") == ["o2", "o3"] and not got["lost"]["captures"]
+    assert _ids(got["c1"], "requests") == ["c1"] and _ids(got["c1"], "metadata") == ["c2"] and _ids(got["self"], "captures") == ["self"]
+
+
+def test_repeated_headers_are_all_read():
+    raw = b"WARC/1.1\r\nWARC-Type: metadata\r\nWARC-Concurrent-To: <a>\r\nwarc-concurrent-to: <b>\r\nContent-Length: 0\r\n\r\n\r\n\r\n"
+    assert warc._row(*next(iter(warc.parse(memoryview(raw)))))[2] == ["<a>", "<b>"]
+
+
+def test_peeling_ends_on_forged_cells():
+    key, other = np.array([12345], np.uint64), np.array([777], np.uint64)
+    places = fingerprint._cells(np.zeros(1, np.int64), key, 15)[:, 0].tolist()
+    for at in [k for k in range(15) if k not in places][:4] + places:
+        t = fingerprint.Tables(2, 15)
+        t.n[at], t.key[at], t.check[at] = 1, key[0], fingerprint._check(key)[0]  # a cell that only looks pure
+        t.add(np.ones(1, np.int64), other)
+        row, found, sign, done = t.peel()
+        assert done.tolist() == [False, True] and (found[row == 1] == other).all() and len(found) < 40
+
+
+def test_differences_end_where_every_size_fails(monkeypatch):
+    monkeypatch.setattr(fingerprint.Tables, "peel", lambda t, mask=None: (np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(t.rows, bool)))
+    a, b = [np.array([1, 2, 3], np.uint64)], [np.array([3, 9], np.uint64)]
+    left, right = fingerprint.differences(a, b)
+    assert left[0].tolist() == [1, 2] and right[0].tolist() == [9]
 
 
 def _plain_shingles(text, words):
