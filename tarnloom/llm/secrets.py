@@ -1,7 +1,8 @@
 """Secret scans with DataFrame functions only: three fixed patterns, and Markov models of random strings and identifiers.
 
-First-order character models of labelled random strings and ordinary identifiers are counted from a bounded sample. A
-token whose log-likelihood ratio is high enough is one more secret, unless it overlaps a fixed span.
+First-order character models of labelled random strings and ordinary identifiers are counted from a bounded sample: digests
+in several alphabets on one side; words, and names of words in the usual forms, on the other. A token whose log-likelihood
+ratio is high enough is one more secret, unless it overlaps a fixed span. UUIDs are names.
 """
 
 from __future__ import annotations
@@ -22,13 +23,29 @@ HEX = r"[0-9a-f]{24,}"  # the runs of [0-9a-f]+ with 24 or more characters
 KINDS = ("assign", "access", "hex", "markov")
 
 TOKEN = r"[A-Za-z0-9+/_-]{16,}"  # what the models are asked about
-SAMPLE_TOKEN = r"[A-Za-z0-9+/_-]{8,}"
+SAMPLE_TOKEN = r"\b[A-Z]?[a-z]{7,}\b"  # words of the corpus that are learned as identifiers
+#: A UUID names something; it counts as an identifier whatever its digits.
+UUID = r"(?<![0-9A-Fa-f])[0-9A-Fa-f]{8}-(?:[0-9A-Fa-f]{4}-){3}[0-9A-Fa-f]{12}(?![0-9A-Fa-f])"
 ALPHABET = "^ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-"
 MAX_TRAIN_DOCS = 4_000  # documents whose tokens are learned from, chosen by hash
-MIN_RATIO = 16.0  # nats by which a token must be likelier as a random string
+MIN_RATIO = 10.0  # nats by which a token must be likelier as a random string; set by error rates on other words (README)
 MASK = "[secret]"
 
 
+#: Ordinary words that labelled identifiers are made of.
+WORDS = """
+active address agent amount apply archive array attempt backup batch body branch build bundle cache call change
+channel clock close code color commit compare config console content context copy cover delete dynamic edit element
+email encode entry example exchange export extra factory failure fetch field filter folder frame global graph handle
+hash header helper host image import index inner instance internal kernel last layer leader limit list listener lock
+machine mapper mask matrix member mode model mount object online open other outer part password pattern picture pixel
+place player point policy prefix preview previous process product profile protocol query reference register release
+remote remove render replace request resolve resource response return reverse root route sample scale schedule scope
+second section sender serial service share short simple slice snapshot socket stack stage static step storage style
+submit summary switch symbol system test token total trace tree trigger upload user util variable vector video view
+warning watch weight width window worker year
+""".split()
+
 CHUNK = 256  # numbers of a running sum or maximum that are appended one by one
 SPANS = "array<struct<start:int,end:int,kind:string,value:string,byte:int>>"
 
@@ -127,22 +144,53 @@ def _replaced(text: Column, spans: Column, fill: Callable[[Column, Column, Colum
     return F.when(F.size(spans) > 0, _once(with_ends, s=order))
 
 
-def rule_samples(docs_frame: DataFrame, n: int = 400) -> DataFrame:
-    """(token, random) made by rule: digests in hexadecimal, base 64 and upper case, labelled random."""
-    ids = docs_frame.sparkSession.range(n).select(F.sha2(F.concat(F.lit("sample-"), F.col("id").cast("string")), 256).alias("h"))
-    forms = F.array(F.substring("h", 1, 40), F.substring(F.base64(F.unhex("h")), 1, 40), F.concat(F.lit("AKIA"), F.upper(F.translate(F.substring(F.base64(F.unhex("h")), 1, 16), "+/=", "XQZ"))))
-    return ids.select(F.explode(forms).alias("token"), F.lit(1).alias("random"))
-
-
-def corpus_samples(docs: DataFrame, max_docs: int = MAX_TRAIN_DOCS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(token, random) from at most max_docs documents with an id: base spans are random strings, other long tokens identifiers."""
+def _identifiers(words: Column, h: Column) -> Column:
+    """An identifier of these words, in the form that the hash h picks; a third end in a number."""
+    number = F.pmod(F.shiftright(h, 8), F.lit(10_000)).cast("string")
+    parts = F.when(F.pmod(F.shiftright(h, 24), F.lit(3)) == 0, F.concat(words, F.array(number))).otherwise(words)
+    large = F.transform(parts, F.initcap)
+    camel = F.concat(F.get(parts, 0), F.array_join(F.slice(large, F.lit(2), F.size(large)), ""))
+    day = F.concat_ws("-", F.lit("20"), F.lpad(F.pmod(h, F.lit(97)).cast("string"), 2, "0"), number)
+    forms = [
+        F.array_join(parts, "_"), F.array_join(parts, "-"), F.array_join(parts, "/"), F.array_join(parts, ""), camel, F.array_join(large, ""), F.array_join(large, "-"),
+        F.upper(F.array_join(parts, "_")), F.concat(F.get(parts, 0), F.lit("_"), day), F.concat(day, F.abs(h).cast("string")),
+    ]
+    return F.get(F.array(*forms), F.pmod(F.shiftright(h, 40), F.lit(len(forms))).cast("int"))
+
+
+def rule_samples(docs_frame: DataFrame, n: int = 600) -> DataFrame:
+    """(token, random) made by rule: digests in seven alphabets, labelled random, and identifiers of WORDS in ten forms."""
+    ids = docs_frame.sparkSession.range(n)
+    h = F.sha2(F.concat(F.lit("sample-"), F.col("id").cast("string")), 256)
+    wide = F.base64(F.unhex("h"))
+    forms = F.transform(F.array(
+        F.col("h"), F.upper("h"), F.translate(wide, "=", ""), F.translate(wide, "+/=", "-_"), F.translate(wide, "+/=", ""), F.upper(F.translate(wide, "+/=", "")), F.lower(F.translate(wide, "+/=", "")),
+    ), lambda t: F.substring(t, 1, 40))
+    random = ids.select(h.alias("h")).select(F.explode(forms).alias("token"), F.lit(1).alias("random"))
+    words = F.array(*map(F.lit, WORDS))
+    several = ids.sparkSession.range(25 * n).withColumn("h", F.xxhash64(F.lit("identifier"), "id"))
+    picked = F.transform(F.sequence(F.lit(0), 1 + F.pmod("h", F.lit(5)).cast("int")), lambda k: F.get(words, F.pmod(F.xxhash64("id", k), F.lit(len(WORDS))).cast("int")))
+    return random.union(several.select(_identifiers(picked, F.col("h")).alias("token"), F.lit(0).alias("random")))
+
+
+def corpus_samples(docs: DataFrame, max_docs: int = MAX_TRAIN_DOCS, groups: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(token, random) from at most max_docs documents with an id.
+
+    Base spans of 12 or more characters with a digit are random strings. Identifiers are `groups` words of a text, and names
+    of as many groups of neighbouring words, evenly spaced through it, so they don't outnumber those made by rule.
+    """
     order = F.xxhash64(id_col)
     last = hash_sample(docs.filter(F.col(id_col).isNotNull()).select(id_col), max_docs, id_col).agg(F.max(order)).first()[0]
-    some = docs.filter(F.col(id_col).isNotNull() & (order <= F.lit(last if last is not None else -(1 << 63)))).select(F.col(text_col).alias("text"))
+    some = docs.filter(F.col(id_col).isNotNull() & (order <= F.lit(last if last is not None else -(1 << 63)))).select(F.xxhash64(id_col, F.lit(1)).alias("h"), F.col(text_col).alias("text"))
     rest = reduce(lambda t, p: F.regexp_replace(t, p, " "), (ASSIGN, ACCESS, HEX), F.col("text"))
     values = F.concat(_matches(F.col("text"), ASSIGN, 2), _matches(F.col("text"), ACCESS), _matches(F.col("text"), HEX))
-    random = some.select(F.explode(F.filter(values, lambda v: F.length(v) >= 6)).alias("token"), F.lit(1).alias("random"))
-    return random.union(some.select(F.explode(_matches(rest, SAMPLE_TOKEN)).alias("token"), F.lit(0).alias("random")))
+    random = some.select(F.explode(F.filter(values, lambda v: (F.length(v) >= 12) & v.rlike("[0-9]"))).alias("token"), F.lit(1).alias("random"))
+    every = some.select(_matches(rest, SAMPLE_TOKEN).alias("w")).filter(F.size("w") > 0)
+    words = every.select(F.explode(F.transform(F.sequence(F.lit(0), F.lit(groups - 1)), lambda k: F.get("w", (k * F.size("w") / groups).cast("int")))).alias("token"), F.lit(0).alias("random"))
+    plain = some.select("h", _matches(F.lower("text"), r"[a-z]{3,12}").alias("w")).filter(F.size("w") >= 4 * groups)
+    spaced = plain.select("h", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(groups - 1)), lambda k: F.slice("w", 1 + (k * F.size("w") / groups).cast("int"), 2 + F.pmod(F.col("h") + k, F.lit(3)).cast("int")))).alias("k", "w"))
+    names = spaced.select(_identifiers(F.col("w"), F.xxhash64("h", "k")).alias("token"), F.lit(0).alias("random"))
+    return random.union(words).union(names)
 
 
 def fit_ratios(samples: DataFrame) -> list[float]:
@@ -177,6 +225,8 @@ def _scanned(docs: DataFrame, ratios: list[float], text_col: str, min_ratio: flo
     blank = lambda start, end, to: F.repeat(F.lit(" "), F.greatest(F.lit(0), end - F.greatest(start, to)))
     masked = _replaced(F.col("_text"), F.concat("assign", "access", "hex"), blank)
     rows = rows.withColumn("_masked", F.coalesce(masked, "_text"))
+    named = F.regexp_replace("_masked", UUID, " " * 36)
+    rows = rows.withColumn("_masked", F.when(F.col("_token"), named).otherwise(F.col("_masked")))
     rows = _spans(rows, "markov", TOKEN, "_masked", F.col("_token"))
     return rows.withColumn("markov", F.filter("markov", lambda m: log_ratio(m["value"], ratios) >= min_ratio)).drop("_masked", "_token")
 
