@@ -5,15 +5,30 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .scans import in_sizes, running, running_in_ranges, same
 
-def tail_means(df: DataFrame, by: list[str], score: str, etas: dict[str, float], clip: bool = True) -> DataFrame:
-    """For each group and name in etas, the mean of its max(1, floor(eta * n)) lowest scores. Null scores don't count.
 
-    Equal scores are counted first, so the sort behind it sees one row for each distinct score of a group.
+def _places(df: DataFrame, by: list[str], score: str, most: int | None) -> DataFrame:
+    """(by, _s, _c, _upto, _n): distinct scores, how often each occurs, the count up to it and the group's; nulls first, count 0.
+
+    Equal scores are counted first. Groups of more than `most` rows are put in order by ranges of their scores, so no task
+    sees all distinct scores of a hot group.
     """
-    counts = df.filter(F.col(score).isNotNull()).groupBy(*by, F.col(score).cast("double").alias("_s")).agg(F.count("*").alias("_c"))
-    upto = Window.partitionBy(*by).orderBy("_s").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ranked = counts.withColumn("_upto", F.sum("_c").over(upto)).withColumn("_n", F.sum("_c").over(Window.partitionBy(*by)))
+    parts, each = in_sizes(df, by, most), []
+    for part, run in zip(parts, (running, running_in_ranges), strict=True):
+        if part is not None:
+            counts = part.groupBy(*by, F.col(score).cast("double").alias("_s")).agg(F.count(score).alias("_c"))
+            each.append(run(counts, by, F.asc_nulls_first("_s"), "_upto", "_c", F.sum))
+    places = each[0] if len(each) == 1 else each[0].union(each[1])
+    if len(each) == 1:
+        return places.withColumn("_n", F.sum("_c").over(Window.partitionBy(*by)))
+    groups, condition = same(places, df.groupBy(*by).agg(F.count(score).alias("_n")), by)
+    return places.join(groups, condition).select(*by, "_s", "_c", "_upto", "_n")
+
+
+def tail_means(df: DataFrame, by: list[str], score: str, etas: dict[str, float], clip: bool = True, most: int | None = None) -> DataFrame:
+    """For each group and name in etas, the mean of its max(1, floor(eta * n)) lowest scores. Null scores don't count."""
+    ranked = _places(df.filter(F.col(score).isNotNull()), by, score, most)
     out = []
     for name, eta in etas.items():
         eta = min(1.0, max(1e-6, eta)) if clip else eta
@@ -40,21 +55,17 @@ def mean_of_means(df: DataFrame, outer: str, inner: str, score: str) -> DataFram
     return df.groupBy(outer, inner).agg(F.avg(score).alias("m")).groupBy(outer).agg(F.avg("m").alias("mean_of_means"), F.count("*").alias("parts"))
 
 
-def summary(df: DataFrame, group: str, score: str) -> DataFrame:
+def summary(df: DataFrame, group: str, score: str, most: int | None = None) -> DataFrame:
     """n, mean, exact median, min and max of each group; n counts scores that aren't null.
 
-    Equal scores are counted first, and the median is where the running count passes the middle, so no task holds all scores.
+    The median is where the running count of distinct scores passes the middle.
     """
-    n_here = F.count(score).alias("_c")
-    counts = df.groupBy(group, F.col(score).cast("double").alias("_s")).agg(n_here).withColumn("_c", F.coalesce("_c", F.lit(0)))
-    upto = Window.partitionBy(group).orderBy(F.asc_nulls_first("_s")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ranked = counts.withColumn("_upto", F.sum("_c").over(upto)).withColumn("_n", F.sum("_c").over(Window.partitionBy(group)))
+    ranked = _places(df, [group], score, most)
     at = lambda place: F.min(F.when((F.col("_c") > 0) & (F.col("_upto") >= place), F.col("_s")))
     low, high = F.floor((F.col("_n") + 1) / 2), F.floor(F.col("_n") / 2) + 1
     total = F.sum(F.col("_c") * F.col("_s"))
     mean = F.when(F.max("_n") > 0, total / F.max("_n"))
-    out = ranked.groupBy(group).agg(F.max("_n").alias("n"), mean.alias("mean"), ((at(low) + at(high)) / 2).alias("median"), F.min("_s").alias("min"), F.max("_s").alias("max"))
-    return out
+    return ranked.groupBy(group).agg(F.max("_n").alias("n"), mean.alias("mean"), ((at(low) + at(high)) / 2).alias("median"), F.min("_s").alias("min"), F.max("_s").alias("max"))
 
 
 def shares(df: DataFrame, group: str, score: str, cuts: dict[str, float]) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..storage import stage
+from .scans import in_sizes, running, running_in_ranges
 
 
 def number_rows(df: DataFrame, order: list[Column], name: str = "rank") -> DataFrame:
@@ -83,27 +84,37 @@ def upper_median_size(df: DataFrame, size: str) -> DataFrame:
     return distinct.agg(F.array_sort(F.collect_set(size)).alias("s")).select(F.get("s", (F.size("s") / 2).cast("int")).alias(size))
 
 
-def pareto_front(df: DataFrame, by: list[str], x: str, y: str) -> DataFrame:
+def _tops(points: DataFrame, by: list[str], x: str, y: str, most: int | None) -> DataFrame:
+    """(by, x, _top, _above): the best y of each x, and the best y of all larger x.
+
+    Groups of more than `most` points are divided into ranges of x; each passes the best y of the ranges above it on.
+    """
+    each = []
+    for part, run in zip(in_sizes(points, by, most), (running, running_in_ranges), strict=True):
+        if part is not None:
+            each.append(run(part.groupBy(*by, x).agg(F.max(y).alias("_top")), by, F.desc(x), "_above", "_top", F.max, itself=False))
+    return each[0] if len(each) == 1 else each[0].union(each[1])
+
+
+def pareto_front(df: DataFrame, by: list[str], x: str, y: str, most: int | None = None) -> DataFrame:
     """The rows that no row of their group equals or beats on both axes and beats on one; duplicates stay.
 
     A point stays if its y is the best of its x and above the best y of every larger x. Rows with a null axis are left out.
     """
     points = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull())
-    tops = points.groupBy(*by, x).agg(F.max(y).alias("_top"))
-    above = F.max("_top").over(Window.partitionBy(*by).orderBy(F.desc(x)).rowsBetween(Window.unboundedPreceding, -1))
-    front = tops.withColumn("_above", above).filter(F.col("_above").isNull() | (F.col("_top") > F.col("_above")))
+    tops = _tops(points, by, x, y, most)
+    front = tops.filter(F.col("_above").isNull() | (F.col("_top") > F.col("_above")))
     return points.join(front.select(*by, x, "_top"), [*by, x]).filter(F.col(y) == F.col("_top")).select(df.columns)
 
 
-def hypervolume(df: DataFrame, by: list[str], x: str, y: str, reference: tuple[float, float] | None = None) -> DataFrame:
+def hypervolume(df: DataFrame, by: list[str], x: str, y: str, reference: tuple[float, float] | None = None, most: int | None = None) -> DataFrame:
     """Area that each group's front dominates above the reference point, by default the group's least value of each axis."""
     points = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull())
     ref = [F.lit(float(r)) for r in reference] if reference else [F.min(x), F.min(y)]
     refs = points.groupBy(*by).agg(ref[0].alias("_rx"), ref[1].alias("_ry"))
-    tops = points.groupBy(*by, x).agg(F.max(y).alias("_top")).join(refs, by)
-    above = F.max("_top").over(Window.partitionBy(*by).orderBy(F.desc(x)).rowsBetween(Window.unboundedPreceding, -1))
+    tops = _tops(points, by, x, y, most).join(refs, by)
     step = F.greatest(F.lit(0.0), F.col(x) - F.col("_rx")) * F.greatest(F.lit(0.0), F.col("_top") - F.greatest(F.coalesce("_above", "_ry"), F.col("_ry")))
-    return tops.withColumn("_above", above).groupBy(*by).agg(F.sum(step).alias("hypervolume"))
+    return tops.groupBy(*by).agg(F.sum(step).alias("hypervolume"))
 
 
 def normalised_weights(df: DataFrame, by: list[str], weight: str) -> DataFrame:

@@ -4,6 +4,7 @@ import itertools
 import math
 import random
 
+import numpy as np
 import pandas as pd
 import pytest
 from hypothesis import HealthCheck, given, settings
@@ -17,6 +18,7 @@ from tarnloom.operators import filters as P
 from tarnloom.operators import hierarchy as H
 from tarnloom.operators import joins as J
 from tarnloom.operators import ranking as R
+from tarnloom.operators import scans
 from tarnloom.operators import sampling as X
 from tarnloom.plans import workflows as W
 from tarnloom.sources import sinks as K
@@ -63,6 +65,40 @@ def test_pareto_matches_brute_force(spark, points):
     assert math.isclose(area, R.hypervolume(front, ["g"], "x", "y", (0.0, 0.0)).first()["hypervolume"])
 
 
+def test_hot_groups_are_divided(spark):
+    """One group of 400,000 distinct scores beside small ones, ties, nulls and a null group."""
+    n = 400_000
+    hot = spark.range(n).selectExpr("'hot' as g", "cast(hash(id) as double) + id / 1e6 as s", "cast(hash(id, 7) as double) as y")
+    rest = spark.createDataFrame([("a", 1.0, 2.0), ("a", 1.0, 2.0), ("a", None, 1.0), ("a", 0.5, 3.0), (None, 2.0, 2.0), (None, 4.0, 1.0), ("none", None, None)], "g string, s double, y double")
+    df = hot.union(rest).cache()
+    pdf, most = df.toPandas(), 1000
+    h = np.sort(pdf[pdf.g == "hot"].s.to_numpy())
+    tails = {r["g"]: (r["t1"], r["t5"]) for r in A.tail_means(df, ["g"], "s", {"t1": 0.1, "t5": 0.5}, most=most).collect()}
+    assert np.allclose(tails["hot"], (h[: n // 10].mean(), h[: n // 2].mean()), rtol=1e-12) and tails["a"] == (0.5, 0.5) and tails[None] == (2.0, 2.0) and "none" not in tails
+    got = {r["g"]: tuple(r)[1:] for r in A.summary(df, "g", "s", most=most).collect()}
+    assert np.allclose(got["hot"], (n, h.mean(), np.median(h), h[0], h[-1])) and got["a"] == (3, 2.5 / 3, 1.0, 0.5, 1.0) and got["none"] == (0, None, None, None, None) and got[None][2] == 3.0
+    known = df.filter("g is not null")
+    front = {(r["g"], r["s"], r["y"]) for r in R.pareto_front(known, ["g"], "s", "y", most=most).collect()}
+    points, best, want = pdf[(pdf.g == "hot")].sort_values(["s", "y"], ascending=False), -np.inf, set()
+    for s, y in zip(points.s, points.y, strict=True):
+        if y > best:
+            want.add(("hot", s, y))
+            best = y
+    assert front == want | {("a", 1.0, 2.0), ("a", 0.5, 3.0)}
+    assert R.pareto_front(known, ["g"], "s", "y", most=most).filter("g = 'a'").count() == 3
+    area = lambda m: {r["g"]: r["hypervolume"] for r in R.hypervolume(known, ["g"], "s", "y", most=m).collect()}
+    small, large = area(10**9), area(most)
+    assert small.keys() == large.keys() and all(np.isclose(small[k], large[k], rtol=1e-9) for k in small)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        divided = scans.running_in_ranges(known.filter("s is not null"), ["g"], F.asc("s"), "upto", "y", F.max)
+        tasks = [r["count"] for r in divided.groupBy(F.spark_partition_id()).count().collect()]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(tasks) > 1 and max(tasks) < 0.8 * n and sum(tasks) == n + 3
+    df.unpersist()
+
+
 def test_ranks(spark):
     df = spark.createDataFrame([(0, 5.0), (1, 5.0), (2, 7.0)], "o int, s double").withColumn("g", F.lit(1))
     assert [r["rank_norm"] for r in R.rank_normalised(df, ["g"], "s", "o").orderBy("o").collect()] == [0.0, 0.5, 1.0]
