@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 from itertools import product
 
@@ -9,9 +10,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import distance, formatted_key
-from ..storage import stage
+from ..storage import discard, stage
 
 SMALL = 8 << 20  # bytes of distinct bodies that are sent to every task
+PIVOTS, PIVOT_LENGTH = 32, 4096  # bodies that distances are measured to, and their characters
+BLOCK = 1 << 14  # rows of a grid cell's side that meet others in one task
 REACHES = (0, 1, 3, 7)  # distances up to which neighbours are found by parts of bodies that agree
 
 
@@ -53,13 +56,47 @@ def _in_pieces(rows: DataFrame, body: str, n: int) -> DataFrame:
     return rows.select("*", F.posexplode(F.array(*[piece(k) for k in range(n)])).alias("_from", "_piece"))
 
 
-def nearest(queries: DataFrame, query: str, body: str, others: DataFrame, other: str, other_body: str) -> DataFrame:
+def _indexed(left: DataFrame, ref: DataFrame, count: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """(_q, s): the least (distance, id) of each query body, by distances to PIVOTS bodies and the triangle inequality.
+
+    A body of the others lies in the ring of its nearest pivot that its distance names. First a query looks into the ring that
+    promises most; what it finds there bounds the rest: a ring is read only if its distance from the pivot allows as near a
+    body, and a body is compared only if its distances to all pivots do. Where many bodies share a ring, adaptive execution
+    divides the join. Pivots are points of the same space cut to PIVOT_LENGTH characters, so their size is bounded.
+    """
+    pivots = [r[0] for r in ref.orderBy(F.xxhash64("_o"), "_o").limit(PIVOTS).select(F.substring("_o", 1, PIVOT_LENGTH)).collect()]
+    to_pivots = lambda c: F.array(*[distance(c, F.lit(p)) for p in pivots])
+    ref = ref.withColumn("_d", to_pivots("_o")).withColumn("_ring", F.array_min("_d"))
+    ref = stage(ref.withColumn("_pivot", (F.array_position("_d", F.col("_ring")) - 1).cast("int")), "rings")
+    rings = ref.groupBy("_pivot", "_ring").agg(F.count("*").alias("_n"))  # at most PIVOTS times as many as bodies have lengths
+    left = stage(left.withColumn("_e", to_pivots("_q")), "queries")
+
+    met = left.select("_q", "_e", F.posexplode("_e").alias("_pivot", "_far")).join(rings, "_pivot")
+    apart = F.abs(F.col("_far") - F.col("_ring"))
+    # Some body of a ring is at most this far; the ring with the least such bound is read first.
+    first = met.groupBy("_q").agg(F.min(F.struct((F.col("_far") + F.col("_ring")).alias("most"), "_pivot", "_ring")).alias("f"))
+    first = first.join(left, "_q").select("_q", "_e", F.col("f.*"))
+    found = count(first.join(ref, ["_pivot", "_ring"]).filter(_allowed(F.col("most"))))
+    bound = stage(_least(found), "bounds")
+
+    rest = met.join(bound, "_q").filter(apart <= F.col("s.d")).select("_q", "_e", "_pivot", "_ring", F.col("s.d").alias("_best"))
+    found = count(rest.join(ref, ["_pivot", "_ring"]).filter(_allowed(F.col("_best"))))
+    return _least(found)
+
+
+def _allowed(most: Column) -> Column:
+    """Whether the distances of a query (_e) and a body (_d) to all pivots leave a distance of at most `most` open."""
+    return F.array_max(F.zip_with("_e", "_d", lambda x, y: F.abs(x - y))) <= most
+
+
+def nearest(queries: DataFrame, query: str, body: str, others: DataFrame, other: str, other_body: str, report: dict | None = None) -> DataFrame:
     """Least distance of each query to any row of the others, and the first (least) row at it; ValueError if there is none.
 
     Equal bodies are compared once. A null body is compared with nothing: a query's distance and nearest are null then.
     Others of at most SMALL bytes go to every task. Beyond that queries with a neighbour at a distance of 7 or less are
     found by equi-joins: of n places' sets, two bodies that differ in less than n places (the longer one's rest included)
-    agree in one. Only the queries left are compared with all others.
+    agree in one. The queries left are compared by an index of distances to pivots. With a dict `report`, pairs that were
+    compared by the index and those that all others would have made are counted in it, which takes a job more.
     """
     ref = others.filter(F.col(other_body).isNotNull()).groupBy(F.col(other_body).alias("_o")).agg(F.min(other).alias("_id"))
     left = queries.filter(F.col(body).isNotNull()).select(F.col(body).alias("_q")).distinct()
@@ -73,28 +110,76 @@ def nearest(queries: DataFrame, query: str, body: str, others: DataFrame, other:
         for reach in REACHES:
             met = _in_pieces(left, "_q", reach + 1).join(_in_pieces(ref, "_o", reach + 1), ["_from", "_piece"])
             found.append(stage(_least(met).filter(F.col("s.d") <= reach), "nearest"))
-            left = stage(left.join(found[-1], "_q", "left_anti"), "queries")
-        best = reduce(DataFrame.union, [*found, _least(left.crossJoin(ref))])
+            rest = stage(left.join(found[-1], "_q", "left_anti"), "queries")
+            discard(left)
+            left = rest
+
+        def count(pairs: DataFrame) -> DataFrame:
+            if report is not None:
+                report["compared"] = report.get("compared", 0) + pairs.count()
+            return pairs
+
+        if report is not None:
+            report["product"] = left.count() * ref.count()
+        if not left.isEmpty():
+            found.append(_indexed(left, ref, count))
+        best = reduce(DataFrame.union, found)
     return queries.join(best, queries[body] == F.col("_q"), "left").select(query, F.col("s.d").alias("distance"), F.col("s.id").alias("nearest"))
 
 
-def within(points: DataFrame, others: DataFrame, axes: list[str], radius: float) -> DataFrame:
-    """Pairs of points nearer than the radius (all columns of both): an equi-join on grid cells, then the exact test.
+def _gap(axes: list[str]) -> Column:
+    return F.sqrt(sum((F.pow(F.col(a) - F.col(f"other_{a}"), F.lit(2.0)) for a in axes), F.lit(0.0)))
 
-    The other side is copied to the neighbouring cells only.
-    """
-    cell = lambda df, a: F.floor(F.col(a) / radius)
-    left = points.withColumns({f"_c{k}": cell(points, a) for k, a in enumerate(axes)})
+
+def _celled(points: DataFrame, others: DataFrame, axes: list[str], radius: float) -> tuple[DataFrame, DataFrame, list[str]]:
+    """Points with the grid cell that they lie in, others (columns other_*) in their own and all neighbouring cells."""
+    cells = [f"_c{k}" for k in range(len(axes))]
+    left = points.withColumns({c: F.floor(F.col(a) / radius) for c, a in zip(cells, axes, strict=True)})
     offsets = F.array(*[F.struct(*[F.lit(v).alias(f"o{k}") for k, v in enumerate(o)]) for o in product((-1, 0, 1), repeat=len(axes))])
     right = others.select(*[F.col(c).alias(f"other_{c}") for c in others.columns]).withColumn("_o", F.explode(offsets))
     right = right.withColumns({f"_c{k}": F.floor(F.col(f"other_{a}") / radius) + F.col(f"_o.o{k}") for k, a in enumerate(axes)}).drop("_o")
-    gap = sum((F.pow(F.col(a) - F.col(f"other_{a}"), F.lit(2.0)) for a in axes), F.lit(0.0))
-    return left.join(right, [f"_c{k}" for k in range(len(axes))]).filter(F.sqrt(gap) < radius).drop(*[f"_c{k}" for k in range(len(axes))])
+    return left, right, cells
 
 
-def any_within(points: DataFrame, others: DataFrame, axes: list[str], radius: float, key: str) -> DataFrame:
-    """Points with at least one of the others nearer than the radius."""
-    return points.join(within(points, others, axes, radius).select(key).distinct(), key, "left_semi")
+def within(points: DataFrame, others: DataFrame, axes: list[str], radius: float, most: int = BLOCK) -> DataFrame:
+    """Pairs of points nearer than the radius (all columns of both): an equi-join on grid cells, then the exact test.
+
+    The other side is copied to the neighbouring cells only. A cell of more than `most` rows of a side is cut into blocks of
+    about that many rows; a block meets every block of the other side in a task of its own, so no task holds a whole cell.
+    """
+    left, right, cells = _celled(points, others, axes, radius)
+    on = list(cells)
+    sizes = left.select(*cells, F.lit(0).alias("_side")).unionByName(right.select(*cells, F.lit(1).alias("_side")))
+    sizes = sizes.groupBy(*cells).agg(*[F.ceil(F.count_if(F.col("_side") == k) / most).cast("int").alias(n) for k, n in enumerate(("_ln", "_rn"))])
+    heavy = stage(sizes.filter("_ln > 0 and _rn > 0 and _ln + _rn > 2"), "heavy")
+    if not heavy.isEmpty():
+        own = lambda n: F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.coalesce(n, F.lit(1))).cast("int")
+        every = lambda n: F.explode(F.sequence(F.lit(0), F.coalesce(F.col(n), F.lit(1)) - 1))
+        left = left.join(heavy, cells, "left").withColumn("_lb", own(F.col("_ln"))).withColumn("_rb", every("_rn"))
+        right = right.join(heavy, cells, "left").withColumn("_rb", own(F.col("_rn"))).withColumn("_lb", every("_ln"))
+        left, right, on = left.drop("_ln", "_rn"), right.drop("_ln", "_rn"), [*cells, "_lb", "_rb"]
+    return left.join(right, on).filter(_gap(axes) < radius).drop(*on)
+
+
+def any_within(points: DataFrame, others: DataFrame, axes: list[str], radius: float) -> DataFrame:
+    """Points with at least one of the others nearer than the radius. No pairs are made.
+
+    Cells whose diagonal is below the radius come first: a point that shares one with any of the others is in. So dense
+    places cost one row a cell. Only what is left looks into neighbouring cells, each point up to its first match.
+    """
+    side = radius / len(axes) ** 0.5 * (1 - 1e-9)
+    cell = lambda a: F.when(F.abs(F.col(a) / side) < 2.0**52, F.floor(F.col(a) / side))  # noqa: E731  (null for NaN and where it can't be told)
+    fine = [cell(a).alias(f"_f{k}") for k, a in enumerate(axes)]
+    taken = stage(others.select(*fine).distinct(), "cells")
+    names = [f"_f{k}" for k in range(len(axes))]
+    marked = points.withColumns(dict(zip(names, fine, strict=True)))
+    sure = marked.join(taken, names, "left_semi").select(points.columns)
+    left, right, cells = _celled(marked.join(taken, names, "left_anti").select(points.columns), others.select(*axes), axes, radius)
+    near = _gap(axes) < radius
+    for c in cells:
+        near = near & (F.col(c) == F.col(f"_to{c}"))
+    rest = left.join(right.withColumnsRenamed({c: f"_to{c}" for c in cells}), near, "left_semi")
+    return sure.union(rest.select(points.columns))
 
 
 def with_label(df: DataFrame, labels: DataFrame, tag: str) -> DataFrame:

@@ -398,14 +398,16 @@ def j7_nearest_neighbour(spark, d):
 
 @query("with p as (select vec_id, embedding[1]::double as x, embedding[2]::double as y, embedding[3]::double as z from embeddings) select a.vec_id, b.vec_id as other_vec_id from p a join p b on sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2) + pow(a.z - b.z, 2)) < 0.05")
 def j8_range_join(spark, d):
+    """Vectors as points of space: their first three components, all rows."""
     p = table(spark, d, "embeddings").select("vec_id", *[F.get("embedding", k).cast("double").alias(n) for k, n in enumerate("xyz")])
     return J.within(p, p, ["x", "y", "z"], 0.05).select("vec_id", "other_vec_id")
 
 
 @query("with p as (select vec_id, label, embedding[1]::double as x, embedding[2]::double as y, embedding[3]::double as z from embeddings) select a.vec_id from p a where a.label < 5 and exists (select 1 from p b where b.label >= 5 and sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2) + pow(a.z - b.z, 2)) < 0.05)")
 def j8_range_semi_join(spark, d):
+    """As j8_range_join: points are the first three components of each vector."""
     p = table(spark, d, "embeddings").select("vec_id", "label", *[F.get("embedding", k).cast("double").alias(n) for k, n in enumerate("xyz")])
-    return J.any_within(p.filter("label < 5"), p.filter("label >= 5"), ["x", "y", "z"], 0.05, "vec_id").select("vec_id")
+    return J.any_within(p.filter("label < 5"), p.filter("label >= 5"), ["x", "y", "z"], 0.05).select("vec_id")
 
 
 @query("select s_suppkey, n_name from supplier left join nation on s_nationkey = n_nationkey")

@@ -311,6 +311,41 @@ def test_nearest_matches_brute_force(spark, monkeypatch, small):
     assert sorted(map(tuple, J.nearest(q, "q", "text", r, "i", "body").collect())) == want
 
 
+def test_nearest_by_pivots(spark, monkeypatch):
+    """Clusters far apart and queries far from all, a long body, ties; far fewer comparisons than the product."""
+    monkeypatch.setattr(J, "SMALL", 0)
+    monkeypatch.setattr(J, "PIVOT_LENGTH", 70)
+    rng = random.Random(6)
+    centres = ["".join(rng.choice("abcd") for _ in range(n)) for n in (40, 60, 80, 100, 130) for _ in range(4)]
+    changed = lambda c, n: "".join(rng.choice("wxyz") if k in set(rng.sample(range(len(c)), n)) else x for k, x in enumerate(c))
+    refs = [(k, changed(rng.choice(centres), 3)) for k in range(400)] + [(900, "q" * 300), (901, "")]
+    asked = [(k, changed(rng.choice(centres), 12)) for k in range(120)] + [(500, "zz" * 100), (501, "y" * 9)]
+    gap = lambda a, b: sum(x != y for x, y in zip(a, b, strict=False)) + abs(len(a) - len(b))
+    want = sorted((k, *min((gap(a, b), i) for i, b in refs)) for k, a in asked)
+    q, r = spark.createDataFrame(asked, "q long, text string"), spark.createDataFrame(refs, "i long, body string")
+    report: dict = {}
+    out = J.nearest(q, "q", "text", r, "i", "body", report)
+    assert sorted(map(tuple, out.collect())) == want and max(d for _, d, _ in want) > 50
+    assert report["product"] > 40_000 and report["compared"] < 0.35 * report["product"]
+    assert "CartesianProduct" not in out._jdf.queryExecution().toString() and "BroadcastNestedLoopJoin" not in out._jdf.queryExecution().toString()
+
+
+def test_range_joins_of_crowded_cells(spark):
+    """Half of all points lie in one cell; blocks are much smaller."""
+    rng = random.Random(2)
+    dense = [(k, rng.random() * 0.9, rng.random() * 0.9) for k in range(400)]
+    rest = [(k, rng.random() * 40 - 20, rng.random() * 40 - 20) for k in range(400, 800)] + [(800, None, 1.0), (801, 5.0, float("nan")), (802, 5.0, float("nan")), (804, float("inf"), 0.0), (805, float("inf"), 0.0)]
+    points = spark.createDataFrame(dense + rest, "id long, x double, y double")
+    left, right = points.filter("id % 3 = 0"), points.filter("id % 3 <> 0")
+    plain = [p for p in dense + rest if p[1] is not None and math.isfinite(p[1] + p[2])]
+    want = {(a[0], b[0]) for a in plain for b in plain if a[0] % 3 == 0 and b[0] % 3 and math.dist(a[1:], b[1:]) < 1.0}
+    for most in (7, 10**6):
+        got = [(r["id"], r["other_id"]) for r in J.within(left, right, ["x", "y"], 1.0, most=most).collect()]
+        assert len(got) == len(set(got)) and set(got) == want
+    some = J.any_within(left.union(left), right, ["x", "y"], 1.0)
+    assert sorted(r["id"] for r in some.collect()) == sorted(2 * list({a for a, _ in want}))
+
+
 def test_joins(spark):
     points = spark.createDataFrame([(k, float(k % 7), float(k % 5), float(k % 3)) for k in range(60)], "id long, x double, y double, z double")
     got = {(r["id"], r["other_id"]) for r in J.within(points, points, ["x", "y", "z"], 1.5).collect()}
