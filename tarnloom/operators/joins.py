@@ -131,13 +131,18 @@ def _gap(axes: list[str]) -> Column:
     return F.sqrt(sum((F.pow(F.col(a) - F.col(f"other_{a}"), F.lit(2.0)) for a in axes), F.lit(0.0)))
 
 
+def _cell(x: Column, side: float) -> Column:
+    """The grid cell of a coordinate; null where it isn't finite or too large to tell cells apart."""
+    return F.when(F.abs(x / side) < 2.0**52, F.floor(x / side))
+
+
 def _celled(points: DataFrame, others: DataFrame, axes: list[str], radius: float) -> tuple[DataFrame, DataFrame, list[str]]:
     """Points with the grid cell that they lie in, others (columns other_*) in their own and all neighbouring cells."""
     cells = [f"_c{k}" for k in range(len(axes))]
-    left = points.withColumns({c: F.floor(F.col(a) / radius) for c, a in zip(cells, axes, strict=True)})
+    left = points.withColumns({c: _cell(F.col(a), radius) for c, a in zip(cells, axes, strict=True)})
     offsets = F.array(*[F.struct(*[F.lit(v).alias(f"o{k}") for k, v in enumerate(o)]) for o in product((-1, 0, 1), repeat=len(axes))])
     right = others.select(*[F.col(c).alias(f"other_{c}") for c in others.columns]).withColumn("_o", F.explode(offsets))
-    right = right.withColumns({f"_c{k}": F.floor(F.col(f"other_{a}") / radius) + F.col(f"_o.o{k}") for k, a in enumerate(axes)}).drop("_o")
+    right = right.withColumns({f"_c{k}": _cell(F.col(f"other_{a}"), radius) + F.col(f"_o.o{k}") for k, a in enumerate(axes)}).drop("_o")
     return left, right, cells
 
 
@@ -168,8 +173,7 @@ def any_within(points: DataFrame, others: DataFrame, axes: list[str], radius: fl
     places cost one row a cell. Only what is left looks into neighbouring cells, each point up to its first match.
     """
     side = radius / len(axes) ** 0.5 * (1 - 1e-9)
-    cell = lambda a: F.when(F.abs(F.col(a) / side) < 2.0**52, F.floor(F.col(a) / side))  # noqa: E731  (null for NaN and where it can't be told)
-    fine = [cell(a).alias(f"_f{k}") for k, a in enumerate(axes)]
+    fine = [_cell(F.col(a), side).alias(f"_f{k}") for k, a in enumerate(axes)]
     taken = stage(others.select(*fine).distinct(), "cells")
     names = [f"_f{k}" for k in range(len(axes))]
     marked = points.withColumns(dict(zip(names, fine, strict=True)))
