@@ -15,6 +15,7 @@ from ..operators import hierarchy as H
 from ..operators import joins as J
 from ..operators import ranking as R
 from ..operators import sampling as X
+from ..sources import incremental, paged
 from ..sources import sinks as K
 from ..sources import tables as SJ
 from ..sources import text_records as SR
@@ -711,6 +712,41 @@ def s14_probe_json(spark, d):
     return SJ.probe_json(table(spark, d, "events").select("event_id", boxed.alias("j")), "j", "k", ("inner",)).select("event_id", "found")
 
 
+@query("""
+with p as (select 'A' || page_id % 100 || '.' || page_id as id, url, row_number() over (order by page_id) - 1 as k from pages),
+f as (select regexp_replace(id, '\\.[^.]*$', '') as id, k // 20 as page, k % 20 as place, url from p where (k // 20) % 7 <> 3)
+select id, page::int as page, place::int as place, url from f qualify row_number() over (partition by id order by page, place) = 1
+""")
+def s15_paged_fetch(spark, d):
+    """pages as a listing of 20 records a page, in files; every seventh page is broken. Ids without their version are kept once."""
+    path = new_path(spark, "listing")
+    p = R.number_rows(table(spark, d, "pages").select("page_id", "url"), [F.asc("page_id"), F.asc("url")], "k")
+    k = F.col("k") - 1
+    page, version = F.floor(k / 20).cast("int"), F.col("page_id").cast("string")
+    record = F.to_json(F.struct(F.concat(F.lit("A"), (F.col("page_id") % 100).cast("string"), F.lit("."), version).alias("id"), "url"))
+    text = F.when(page % 7 == 3, "{broken").otherwise(record)
+    lines = p.select(page.alias("page"), k.alias("k"), text.alias("value"))
+    lines.repartition("page").sortWithinPartitions("page", "k").select("page", "value").write.partitionBy("page").option("compression", "none").text(path)
+    n = lines.agg(F.coalesce(F.max("page") + 1, F.lit(0)).alias("n")).first()["n"]
+    got = paged.scan_pages(spark, paged.folder_of_pages(path), n)
+    got = paged.unversioned_once(got, F.get_json_object("body", "$.id"))
+    return got.select("id", "page", "place", F.get_json_object("body", "$.url").alias("url"))
+
+
+@query("select event_type, count(value) as n, round(sum(value), 6) as total, max(ts) as last from events group by 1")
+def k7_incremental_totals(spark, d):
+    """events in a folder that grows: totals of its first files, then of all, where the second run reads the new files alone."""
+    folder, state = new_path(spark, "growing"), new_path(spark, "totals")
+    rows = table(spark, d, "events").select("event_id", "ts", "event_type", "value")
+    values = {"n": ("count", F.col("value")), "total": ("sum", F.col("value")), "last": ("max", F.col("ts"))}
+    early = F.col("event_id") % 3 == 0
+    for part in (rows.filter(early), rows.filter(~early)):
+        part.write.mode("append").parquet(folder)
+        read = lambda paths: spark.read.schema(rows.schema).parquet(*paths)
+        out = incremental.update_totals(spark, folder, state, read, ["event_type"], values, "*.parquet")
+    return out.withColumn("total", r6("total"))
+
+
 @query("select n_name as name, case when n_nationkey = 1 then null when n_nationkey = 5 then n_name || '.fa' else n_name || '_aligned.fasta' end as path from nation")
 def s16_paired_files(spark, d):
     n = table(spark, d, "nation")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import WHITELIST, clean_text, parse_metric, ungapped
@@ -71,18 +71,42 @@ def scan_items(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(clean_text("value").alias("item"), F.struct("source_file", "ordinal").alias("ordinal")).filter(F.length("item") > 0)
 
 
-def scan_metric_lines(spark: SparkSession, path: str) -> DataFrame:
+def line_numbers(lines: DataFrame, some: DataFrame) -> DataFrame:
+    """some, a few rows of lines (source_file, ordinal), with `number`: the line's place in its file, from 1.
+
+    Lines are counted by splits; a split's first line follows those of all splits before it, so a row a split is put in order.
+    """
+    splits = lines.groupBy("source_file", F.col("ordinal.at").alias("_at")).agg(F.count("*").alias("_n"), F.min("ordinal.line").alias("_first"))
+    before = F.sum("_n").over(Window.partitionBy("source_file").orderBy("_at")) - F.col("_n")
+    splits = splits.withColumn("_before", before).withColumnRenamed("source_file", "_file")
+    out = some.join(splits, (F.col("source_file") == F.col("_file")) & (F.col("ordinal.at") == F.col("_at")))
+    return out.withColumn("number", F.col("_before") + F.col("ordinal.line") - F.col("_first") + 1).drop("_file", "_at", "_n", "_first", "_before")
+
+
+def failing_metric_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(source_file, number, value) of the lines whose last word has no slash. Lines are counted only if there are any."""
+    lines = with_ordinal(spark.read.text(path))
+    last = F.element_at(F.split(F.trim("value"), r"\s+"), -1)
+    bad = lines.filter((F.trim("value") != "") & ~last.contains("/"))
+    if bad.isEmpty():
+        return bad.select("source_file", F.lit(None).cast("bigint").alias("number"), "value")
+    return line_numbers(lines, bad).select("source_file", "number", "value")
+
+
+def scan_metric_lines(spark: SparkSession, path: str, checked: bool = True) -> DataFrame:
     """(target, item, metrics, source_file, ordinal) of `k:v k:v … target/item` lines; the last slash divides.
 
-    metrics maps keys to struct(i, d, s); of repeated keys the last counts. A line whose last word has no slash is an error
-    that names its file and the place of its line (from the start of the file, where that is read as one split); lines with
-    an empty item are dropped.
+    metrics maps keys to struct(i, d, s); of repeated keys the last counts. A line whose last word has no slash is a ValueError
+    that names the file and the line, found by one more pass over the files; lines with an empty item are dropped. With
+    checked=False there is no such pass, and a job that meets such a line fails without its number.
     """
+    if checked:
+        first = failing_metric_lines(spark, path).orderBy("source_file", "number").limit(1).collect()
+        if first:
+            raise ValueError(f"{first[0]['source_file']}:{first[0]['number']}: expected target/item at the end of: {first[0]['value']}")
     rows = with_ordinal(spark.read.text(path)).withColumn("value", F.trim("value")).filter("value <> ''").withColumn("words", F.split("value", r"\s+"))
     pair = F.element_at("words", -1)
-    in_split = (F.col("ordinal.line").bitwiseAND(F.lit((1 << 33) - 1)) + 1).cast("string")  # the low bits count a task's lines
-    place = F.when(F.col("ordinal.at") > 0, F.concat(F.lit("byte "), F.col("ordinal.at").cast("string"), F.lit("+"), in_split)).otherwise(in_split)
-    pair = F.when(pair.contains("/"), pair).otherwise(F.raise_error(F.concat(F.col("source_file"), F.lit(":"), place, F.lit(": expected target/item at the end of: "), F.col("value"))))
+    pair = F.when(pair.contains("/"), pair).otherwise(F.raise_error(F.concat(F.col("source_file"), F.lit(": expected target/item at the end of: "), F.col("value"))))
     parsed = F.transform(F.slice("words", F.lit(1), F.size("words") - 1), parse_metric)
     metrics = F.aggregate(
         F.filter(parsed, lambda m: m.isNotNull()),

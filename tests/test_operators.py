@@ -21,6 +21,7 @@ from tarnloom.operators import ranking as R
 from tarnloom.operators import scans
 from tarnloom.operators import sampling as X
 from tarnloom.plans import workflows as W
+from tarnloom.sources import incremental, paged
 from tarnloom.sources import sinks as K
 from tarnloom.sources import tables as SJ
 from tarnloom.sources import text_records as SR
@@ -381,6 +382,67 @@ def test_sources(spark, tmp_path):
     assert SR.keyed_lookup({"a": {"x": 1}}, {"x": 0, "y": 2}, "a") == {"x": 1, "y": 2}
 
 
+def test_failing_lines_have_their_number(spark, tmp_path):
+    lines = [f"n:{k} x:{'y' * (k % 90)} A/C" if k % 7 else "" for k in range(1, 4001)]
+    lines[3332] = "n:5 no-slash"
+    lines[3887] = "worse"
+    (tmp_path / "a.txt").write_text("\n".join(lines))
+    (tmp_path / "b.txt").write_text("n:1 A/C\nlast")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1000")
+    try:
+        found = {(r["source_file"].rsplit("/", 1)[1], r["number"], r["value"]) for r in SR.failing_metric_lines(spark, f"file://{tmp_path}").collect()}
+        splits = SR.with_ordinal(spark.read.text(f"file://{tmp_path}/a.txt")).select("ordinal.at").distinct().count()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert splits > 5 and found == {("a.txt", 3333, "n:5 no-slash"), ("a.txt", 3888, "worse"), ("b.txt", 2, "last")}
+    with pytest.raises(ValueError, match=r"a.txt:3333: expected target/item at the end of: n:5 no-slash"):
+        SR.scan_metric_lines(spark, f"file://{tmp_path}")
+
+
+def test_paged_fetch(spark, tmp_path):
+    for page in range(23):
+        folder = tmp_path / f"page={page}"
+        folder.mkdir()
+        rows = [f'{{"id": "A{(20 * page + k) % 90}.{page}", "n": {k}}}' for k in range(20)]
+        (folder / "part.json").write_text("{broken" if page == 5 else "\n".join(rows))
+    got = paged.scan_pages(spark, paged.folder_of_pages(f"file://{tmp_path}"), 24, pages_a_task=4)  # the last page isn't there
+    assert got.rdd.getNumPartitions() == 6 and got.count() == 22 * 20 and not got.filter("page in (5, 23)").count()
+    once = {r["id"]: (r["page"], r["place"]) for r in paged.unversioned_once(got, F.get_json_object("body", "$.id")).collect()}
+    want = {}
+    for page in (k for k in range(23) if k != 5):
+        for k in range(20):
+            want.setdefault(f"A{(20 * page + k) % 90}", (page, k))
+    assert once == want and paged.scan_pages(spark, lambda k: [], 0).count() == 0
+
+
+def test_incremental_totals_read_new_files_alone(spark, tmp_path):
+    folder, state, asked = f"file://{tmp_path}/in", f"file://{tmp_path}/state", []
+
+    def read(paths):
+        asked.append(sorted(paths))
+        return spark.read.schema("k string, v long, at long").json(paths)
+
+    latest = F.struct("at", "v")
+    run = lambda: {r["k"]: (r["n"], r["s"], r["low"], r["last"]["v"]) for r in incremental.update_totals(spark, folder, state, read, ["k"], {"n": ("count", F.col("v")), "s": ("sum", F.col("v")), "low": ("min", F.col("v")), "last": ("max", latest)}, "*.json").collect()}
+    write = lambda name, rows: (tmp_path / "in" / name).write_text("\n".join(f'{{"k": "{k}", "v": {v}, "at": {at}}}' for k, v, at in rows))
+    (tmp_path / "in").mkdir()
+    write("a.json", [("x", 1, 1), ("y", 5, 1)])
+    write("b.json", [("x", 2, 3)])
+    assert run() == {"x": (2, 3, 1, 2), "y": (1, 5, 5, 5)}
+    write("c.json", [("x", 7, 2), ("z", 1, 1)])
+    broken = tmp_path / "state" / "run-00000009-broken" / "totals"  # a run that broke off counts for nothing
+    broken.mkdir(parents=True)
+    assert run() == {"x": (3, 10, 1, 2), "y": (1, 5, 5, 5), "z": (1, 1, 1, 1)}
+    assert run()["x"] == (3, 10, 1, 2)
+    assert [[p.rsplit("/", 1)[1] for p in x] for x in asked] == [["a.json", "b.json"], ["c.json"]]
+    assert incremental.processed_files(spark, state).count() == 3
+    write("a.json", [("x", 1, 1), ("y", 5, 1), ("y", 6, 1)])
+    with pytest.raises(ValueError, match="has changed"):
+        run()
+
+
 def test_sinks(spark, tmp_path):
     at = f"file://{tmp_path}"
     df = spark.createDataFrame([("a", 1.5, [1]), ("b", None, [])], "k string, v double, l array<int>")
