@@ -6,23 +6,28 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import clean_text
+from .json_ranges import objects_of, scan_objects
 from .text_records import with_ordinal
 
 RESULT = "method string, peptide string, wt_score double, robust_score double, mean_score double, min_score double, retention_score double, omega array<double>"
+WHOLE = 32 << 20  # bytes of a JSON file that one task reads
 ENVELOPES = ("designs", "per_peptide", "rows")
 
 
-def scan_results(spark: SparkSession, path: str, item: str = RESULT) -> DataFrame:
+def scan_results(spark: SparkSession, path: str, item: str = RESULT, whole: int = WHOLE) -> DataFrame:
     """One row for each result, with source_file: from a list, or from the first of ENVELOPES that an object has; other objects give none.
 
-    Fields that the schema doesn't name, such as large score arrays, are skipped by the parser. Each file is one JSON value.
+    Elements that are no objects are dropped, and count for source_line. Fields that the schema doesn't name, such as large
+    score arrays, are skipped by the parser. Each file is one JSON value; one that is broken gives nothing.
+    Files of at most `whole` bytes are read as one text; larger ones by all tasks that their splits go to.
     """
-    raw = spark.read.text(path, wholetext=True).withColumn("source_file", F.col("_metadata.file_path"))
-    kind = F.substring(F.ltrim(F.regexp_replace("value", r"^\s+", "")), 1, 1)
-    listed = F.from_json("value", f"array<struct<{item}>>")
-    boxed = F.from_json("value", "struct<" + ", ".join(f"{e}: array<struct<{item}>>" for e in ENVELOPES) + ">")
-    rows = F.when(kind == "[", listed).otherwise(F.coalesce(*[boxed[e] for e in ENVELOPES]))
-    return raw.select("source_file", F.posexplode(rows).alias("source_line", "r")).filter("r is not null").select("source_file", "source_line", "r.*")
+    files = spark.read.format("binaryFile").load(path).select("path", "length")
+    large = [r["path"] for r in files.filter(F.col("length") > whole).select("path").collect()]  # few: each is large
+    raw = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("source_file"), "value", F.col("_metadata.file_size").alias("size"))
+    each = objects_of(raw.filter(F.col("size") <= whole), ENVELOPES)
+    if large:
+        each = each.union(scan_objects(spark, large, ENVELOPES))
+    return each.select("source_file", "source_line", F.from_json("value", f"struct<{item}>").alias("r")).select("source_file", "source_line", "r.*")
 
 
 def scan_scored_json(spark: SparkSession, path: str) -> DataFrame:

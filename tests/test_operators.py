@@ -443,6 +443,45 @@ def test_incremental_totals_read_new_files_alone(spark, tmp_path):
         run()
 
 
+def test_large_json_arrays_are_read_in_ranges(spark, tmp_path):
+    """Nested objects, brackets and quotes in strings, nulls and numbers as elements, objects across splits, several envelopes."""
+    import json
+
+    rng = random.Random(12)
+    odd = ['a "quoted" }{ ][', "back\\slash\\", "é😀", "", "},{", "plain"]
+
+    def result(k):
+        r = {"method": rng.choice(odd), "peptide": f"P{k}", "wt_score": k / 4, "omega": [rng.random() for _ in range(rng.choice([0, 3, 40]))], "per_variant": [[1, 2], {"deep": [{"x": "}"}]}], "nested": {"a": {"b": "]"}}}
+        return rng.choice([r, r, r, r, None, 5, "},", [1, {"peptide": "inner"}]])
+
+    rows = lambda n: [result(k) for k in range(n)]
+    files = {
+        "list": rows(400), "rows": {"meta": {"a": {"peptide": "no"}, "c": [{"peptide": "no"}]}, "rows": rows(300), "after": [{"peptide": "no"}]},
+        "two": {"rows": rows(200), "x": 1, "designs": rows(250)}, "empty": {"designs": [], "rows": rows(20)}, "none": {"other": rows(20)}, "nothing": [], "null": {"designs": None, "per_peptide": rows(60)},
+    }
+    for k, (name, value) in enumerate(files.items()):
+        (tmp_path / f"{name}.json").write_text(json.dumps(value, indent=k % 3 or None, ensure_ascii=False) + "\n" * (k % 2), encoding="utf-8")
+    (tmp_path / "broken.json").write_text(json.dumps(rows(50))[:-20])
+    huge = [{"peptide": "A", "omega": [0.5] * 5000}, {"peptide": "B"}, {"peptide": "C", "per_variant": ["x" * 30_000]}]
+    (tmp_path / "huge.json").write_text(json.dumps(huge))
+    want = []
+    for name, value in {**files, "huge": huge}.items():
+        listed = value if isinstance(value, list) else next((value[e] for e in SJ.ENVELOPES if isinstance(value.get(e), list)), [])
+        want += [(f"{name}.json", k, r.get("method"), r["peptide"], r.get("wt_score"), tuple(r.get("omega", ()))) for k, r in enumerate(listed) if isinstance(r, dict)]
+    key = lambda r: (r["source_file"].rsplit("/", 1)[1], r["source_line"], r["method"], r["peptide"], r["wt_score"], tuple(r["omega"] or ()))
+    plain = sorted(map(key, SJ.scan_results(spark, f"file://{tmp_path}/*.json").collect()), key=str)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "3000")
+    spark.conf.set("spark.sql.files.openCostInBytes", "100")
+    try:
+        got = sorted(map(key, SJ.scan_results(spark, f"file://{tmp_path}/*.json", whole=0).collect()), key=str)
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert len(want) > 400 and len(set(want)) == len(want)
+    assert [set(plain) - set(want), set(want) - set(plain)] == [set(), set()]
+    assert [set(got) - set(want), set(want) - set(got)] == [set(), set()] and len(got) == len(plain) == len(want)
+
+
 def test_sinks(spark, tmp_path):
     at = f"file://{tmp_path}"
     df = spark.createDataFrame([("a", 1.5, [1]), ("b", None, [])], "k string, v double, l array<int>")
