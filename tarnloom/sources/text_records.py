@@ -194,10 +194,15 @@ def parse_newick(text: str) -> list[tuple[str, str | None, str, float | None]]:
     return [tuple(r) for r in rows]
 
 
-def scan_trees(spark: SparkSession, path: str, suffixes: tuple[str, ...] = (".nwk", ".newick", ".tree", ".tre")) -> DataFrame:
-    """(tree_id, node, parent, name, length): the edges of every tree file below the path, one row a node."""
+def scan_trees(spark: SparkSession, path: str, suffixes: tuple[str, ...] = (".nwk", ".newick", ".tree", ".tre"), whole: int = 32 << 20) -> DataFrame:
+    """(tree_id, node, parent, name, length): the edges of every tree file below the path, one row a node.
+
+    Files of at most `whole` bytes are read by one task each, larger ones by all tasks that their splits go to.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    files = files.filter(F.col("path").rlike(r"(%s)$" % "|".join(s.replace(".", r"\.") for s in suffixes))).select("path", "content")
+    files = files.filter(F.col("path").rlike(r"(%s)$" % "|".join(s.replace(".", r"\.") for s in suffixes)))
+    large = [r["path"] for r in files.filter(F.col("length") > whole).select("path").collect()]  # few: each is large
+    files = files.filter(F.col("length") <= whole).select("path", "content")
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in parts:
@@ -205,7 +210,12 @@ def scan_trees(spark: SparkSession, path: str, suffixes: tuple[str, ...] = (".nw
                 rows = parse_newick(bytes(r.content).decode())
                 yield pd.DataFrame([(r.path, *x) for x in rows], columns=["tree_id", "node", "parent", "name", "length"])
 
-    return files.mapInPandas(run, "tree_id string, node string, parent string, name string, length double")
+    out = files.mapInPandas(run, "tree_id string, node string, parent string, name string, length double")
+    if large:
+        from .tree_ranges import scan_large_trees  # it reads pieces of text as this module does
+
+        out = out.union(scan_large_trees(spark, large))
+    return out
 
 
 def keyed_lookup(registry: dict[str, dict], defaults: dict, name: str) -> dict:
