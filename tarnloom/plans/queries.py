@@ -689,10 +689,21 @@ def s12_list_files(spark, d):
     return SR.list_files(spark, _named_files(spark, d), "*.txt", recursive=True).select(F.regexp_extract("path", "/n_name=([^/]*)/", 1).alias("folder"))
 
 
+def _listing(spark, names: DataFrame) -> DataFrame:
+    """(name, path): files written for these names, as a listing finds them. A file's name is that of its folder."""
+    path = new_path(spark, "listing")
+    names.select("name", F.lit("x").alias("value")).repartition("name").write.partitionBy("name").text(path)
+    found = SR.list_files(spark, path, "*.txt", recursive=True)
+    return found.select(F.regexp_extract("path", "/name=([^/]*)/", 1).alias("name"), "path")
+
+
 @query("select 'NATION_' || n_nationkey as key, n_nationkey % 2 = 0 as ranked from nation")
 def s13_score_files(spark, d):
-    names = table(spark, d, "nation").select(F.explode(F.array(F.concat("n_name", F.lit("_scores_rank_002.json")), F.concat("n_name", F.when(F.col("n_nationkey") % 2 == 0, "_scores_rank_001.json").otherwise("_scores_rank_003.json")))).alias("name"))
-    return SR.score_files(names.withColumn("path", F.col("name"))).select("key", F.col("path").contains("rank_001").alias("ranked"))
+    """Score files chosen from a listing of written files."""
+    other = F.when(F.col("n_nationkey") % 2 == 0, "_scores_rank_001.json").otherwise("_scores_rank_003.json")
+    names = F.explode(F.array(F.concat("n_name", F.lit("_scores_rank_002.json")), F.concat("n_name", other)))
+    files = _listing(spark, table(spark, d, "nation").select(names.alias("name")))
+    return SR.score_files(files).select("key", F.col("path").contains("rank_001").alias("ranked"))
 
 
 @query("select 'K' || n_nationkey as key, n_nationkey / 8 as iptm, case when n_nationkey % 2 = 0 then n_nationkey + 0.5 end as ptm, case when n_nationkey > 2 then n_nationkey * 2.0 end as plddt_mean from nation where n_nationkey % 7 <> 3")
@@ -749,9 +760,11 @@ def k7_incremental_totals(spark, d):
 
 @query("select n_name as name, case when n_nationkey = 1 then null when n_nationkey = 5 then n_name || '.fa' else n_name || '_aligned.fasta' end as path from nation")
 def s16_paired_files(spark, d):
+    """Names paired with the files of a listing of written files."""
     n = table(spark, d, "nation")
-    files = n.select(F.when(F.col("n_nationkey").isin(1, 5), F.concat("n_name", F.lit(".fa"))).otherwise(F.concat("n_name", F.lit("_aligned.fasta"))).alias("name"))
-    return SR.paired_files(n.select(F.col("n_name").alias("name")), files.withColumn("path", F.col("name")))
+    name = F.when(F.col("n_nationkey").isin(1, 5), F.concat("n_name", F.lit(".fa"))).otherwise(F.concat("n_name", F.lit("_aligned.fasta")))
+    paired = SR.paired_files(n.select(F.col("n_name").alias("name")), _listing(spark, n.select(name.alias("name"))))
+    return paired.withColumn("path", F.regexp_extract("path", "/name=([^/]*)/", 1))
 
 
 @query("select l_returnflag || '|' || count(*) as line from lineitem group by l_returnflag")
@@ -770,13 +783,15 @@ def k4b_markdown_table(spark, d):
     return K.markdown_lines(t, [F.asc("flag")])
 
 
-@query("select n_name as id, repeat(n_name, 9) as body from nation where n_nationkey % 3 = 0")
+@query("select n_name as id, repeat(n_name, 9) as body, row_number() over (order by n_nationkey % 7, n_nationkey) as position from nation where n_nationkey % 3 = 0")
 def k1_listed_records(spark, d):
+    """Records written in the order of a list, with their place in the files; other names of the list have no record."""
     path = new_path(spark, "listed")
     n = table(spark, d, "nation")
-    wanted = n.filter("n_nationkey % 3 = 0").select(F.explode(F.array(F.col("n_name"), F.concat(F.lit("missing"), "n_name"))).alias("id"), F.col("n_nationkey").alias("ordinal"))
+    wanted = n.filter("n_nationkey % 3 = 0").select(F.explode(F.array(F.col("n_name"), F.concat(F.lit("missing"), "n_name"))).alias("id"), F.struct((F.col("n_nationkey") % 7).alias("o"), "n_nationkey").alias("ordinal"))
     K.write_listed(n.select(F.col("n_name").alias("id"), F.repeat("n_name", 9).alias("body")), wanted, path)
-    return SR.scan_records(spark, path).select("id", "body")
+    read = SR.scan_records(spark, path).select("id", "body", "source_file", "ordinal")
+    return R.number_rows(read, [F.asc("source_file"), F.asc("ordinal")], "position").select("id", "body", "position")
 
 
 @query("select s_name, s_suppkey::varchar as s_suppkey, '[' || s_suppkey || ',' || s_nationkey || ']' as nested, s_nationkey::varchar as extra from supplier")

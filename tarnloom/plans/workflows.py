@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -50,6 +51,28 @@ def score_pairs(pairs: DataFrame, item: str, scenario: str, scorer: Callable[[pd
     return pairs.withColumn("score", F.pandas_udf(run, "double")(item, scenario))
 
 
+def timing_probe(pairs: DataFrame, item: str, scenario: str, scorer: Callable[[pd.Series, pd.Series], pd.Series], batches: tuple[int, ...] = (1, 50), n: int = 50, rounds: int = 5) -> DataFrame:
+    """(batch, rows, seconds, pairs_a_second) of scoring the same n pairs in batches of each size, the best of `rounds` in a task.
+
+    What score_pairs should be given as `batch` follows from it. The n pairs, the first by item and scenario, go to each task.
+    """
+    probe = pairs.select(F.col(item).alias("a"), F.col(scenario).alias("b")).orderBy("a", "b").limit(n).toPandas()  # n rows
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for sizes in parts:
+            for batch in sizes["batch"]:
+                best = float("inf")
+                for _ in range(rounds):
+                    start = time.perf_counter()
+                    for at in range(0, len(probe), batch):
+                        scorer(probe["a"].iloc[at : at + batch], probe["b"].iloc[at : at + batch])
+                    best = min(best, time.perf_counter() - start)
+                yield pd.DataFrame({"batch": [batch], "rows": [len(probe)], "seconds": [best], "pairs_a_second": [len(probe) / max(best, 1e-9)]})
+
+    sizes = pairs.sparkSession.createDataFrame([(b,) for b in batches], "batch int").repartition(1)  # one after another
+    return sizes.mapInPandas(run, "batch int, rows long, seconds double, pairs_a_second double")
+
+
 def score_distinct(pairs: DataFrame, item: str, scenario: str, scorer: Callable[[pd.Series, pd.Series], pd.Series]) -> DataFrame:
     """As score_pairs, with each distinct pair scored once."""
     return pairs.join(score_pairs(pairs.select(item, scenario).distinct(), item, scenario, scorer), [item, scenario])

@@ -530,6 +530,19 @@ def test_sinks(spark, tmp_path):
     assert [(r["id"], r["body"]) for r in SR.scan_records(spark, f"{at}/w").collect()] == [("b", "G" * 130)]
 
 
+def test_timing_probe_tells_batches_apart(spark):
+    import time
+
+    def slow(a, b):
+        time.sleep(0.002)
+        return a + b
+
+    pairs = spark.range(300).selectExpr("id as a", "id % 7 as b")
+    got = {r["batch"]: r for r in W.timing_probe(pairs, "a", "b", slow, (1, 20), 40, 2).collect()}
+    assert set(got) == {1, 20} and all(r["rows"] == 40 for r in got.values())
+    assert got[1]["seconds"] > 0.08 and got[20]["pairs_a_second"] > 5 * got[1]["pairs_a_second"]
+
+
 def test_scorer_falls_back_row_by_row(spark):
     def scorer(a, b):
         if len(a) > 1:
