@@ -52,20 +52,31 @@ base as (select l_suppkey as item, count(*) as n, avg(l_quantity) as mean_score,
 """
 
 
-@query(f"with {_EVAL} select base.item, n, round(mean_score, 6) as mean_score, min_score, max_score, round(retention, 6) as retention, round(robust_score, 6) as robust_score, row_number() over (order by round(robust_score, 6) desc, base.item) as rank from base join tail on base.item = tail.item")
+@query(f"""
+with {_EVAL} select base.item, n, round(mean_score, 6) as mean_score, min_score, max_score, round(retention, 6) as retention, round(robust_score,
+6) as robust_score, row_number() over (order by round(robust_score, 6) desc, base.item) as rank from base join tail on base.item = tail.item
+""")
 def e2_evaluate_and_rank(spark, d):
     scores = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("item"), F.col("l_quantity").alias("score"))
     out = A.evaluate(scores, "item", "score", 0.1, 25.0).withColumns({c: r6(c) for c in ("mean_score", "retention", "robust_score")})
     return R.rank_descending(out, "robust_score", "item")
 
 
-@query("with t as (select l_suppkey, l_extendedprice as s, row_number() over (partition by l_suppkey order by l_extendedprice) as k, count(*) over (partition by l_suppkey) as n from lineitem) select l_suppkey, round(avg(case when k <= greatest(1, floor(0.05::double * n)) then s end), 4) as cvar_05, round(avg(case when k <= greatest(1, floor(0.5::double * n)) then s end), 4) as cvar_50, round(avg(s), 4) as cvar_100 from t group by l_suppkey")
+@query("""
+with t as (select l_suppkey, l_extendedprice as s, row_number() over (partition by l_suppkey
+order by l_extendedprice) as k, count(*) over (partition by l_suppkey) as n from lineitem) select l_suppkey, round(avg(case when k <= greatest(1,
+floor(0.05::double * n)) then s end), 4) as cvar_05, round(avg(case when k <= greatest(1, floor(0.5::double * n)) then s end), 4) as cvar_50,
+round(avg(s), 4) as cvar_100 from t group by l_suppkey
+""")
 def a1_lower_tail_mean(spark, d):
     out = A.tail_means(table(spark, d, "lineitem"), ["l_suppkey"], "l_extendedprice", {"cvar_05": 0.05, "cvar_50": 0.5, "cvar_100": 1.0})
     return out.select("l_suppkey", *[F.round(c, 4).alias(c) for c in ("cvar_05", "cvar_50", "cvar_100")])
 
 
-@query("select vec_id, round(list_aggregate(list_sort(embedding::double[])[1:greatest(1, floor(0.1::double * len(embedding)))::int], 'avg'), 6) as robust from embeddings")
+@query("""
+select vec_id, round(list_aggregate(list_sort(embedding::double[])[1:greatest(1, floor(0.1::double * len(embedding)))::int], 'avg'), 6) as robust
+from embeddings
+""")
 def a1b_lower_tail_array(spark, d):
     scores = table(spark, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("s"))  # scores that are an array
     return scores.select("vec_id", r6(S.lower_tail_mean(F.col("s"), 0.1, clip=False)).alias("robust"))
@@ -81,40 +92,64 @@ def a3_retention(spark, d):
     return table(spark, d, "lineitem").groupBy(F.col("l_partkey").alias("item")).agg(r6(F.avg(F.when(F.col("l_quantity") >= 25, 1.0).otherwise(0.0))).alias("retention"))
 
 
-@query("select l_returnflag as tag, count(*) as n, round(avg(l_quantity), 6) as mean_quantity, round(avg(l_discount), 6) as mean_discount, round(avg(case when l_quantity >= 7.5 then 1.0 else 0.0 end), 6) as share from lineitem group by 1")
+@query("""
+select l_returnflag as tag, count(*) as n, round(avg(l_quantity), 6) as mean_quantity, round(avg(l_discount), 6) as mean_discount,
+round(avg(case when l_quantity >= 7.5 then 1.0 else 0.0 end), 6) as share from lineitem group by 1
+""")
 def a4_group_roll_up(spark, d):
     rows = table(spark, d, "lineitem").select(F.col("l_returnflag").alias("tag"), F.col("l_quantity").alias("quantity"), F.col("l_discount").alias("discount"))
     return A.roll_up(rows, "tag", ["quantity", "discount"], "quantity", 7.5).select("tag", "n", *[r6(c).alias(c) for c in ("mean_quantity", "mean_discount", "share")])
 
 
-@query("select d.lang as tag, count(*) as n, round(avg(l.quality), 6) as mean_quality, round(avg(l.toxic), 6) as mean_toxic from documents d left join labels l on l.doc_id = d.doc_id group by 1")
+@query("""
+select d.lang as tag, count(*) as n, round(avg(l.quality), 6) as mean_quality, round(avg(l.toxic), 6) as mean_toxic from documents d left
+join labels l on l.doc_id = d.doc_id group by 1
+""")
 def a4b_holdout_roll_up(spark, d):
     rows = J.augmented(table(spark, d, "documents").select("doc_id", F.col("lang").alias("tag")), table(spark, d, "labels"), "doc_id")
     return A.roll_up(rows, "tag", ["quality", "toxic"]).select("tag", "n", r6("mean_quality").alias("mean_quality"), r6("mean_toxic").alias("mean_toxic"))
 
 
-@query("select l_returnflag, round(avg(m), 6) as mean_of_means, count(*) as parts from (select l_returnflag, l_suppkey, avg(l_quantity) as m from lineitem group by 1, 2) group by 1")
+@query("""
+select l_returnflag, round(avg(m), 6) as mean_of_means, count(*) as parts from (select l_returnflag, l_suppkey, avg(l_quantity) as m from lineitem
+group by 1, 2) group by 1
+""")
 def a4c_mean_of_means(spark, d):
     return A.mean_of_means(table(spark, d, "lineitem"), "l_returnflag", "l_suppkey", "l_quantity").withColumn("mean_of_means", r6("mean_of_means"))
 
 
-@query("select event_type, count(value) as n, round(avg(value), 6) as mean, round(median(value), 6) as median, min(value) as min, max(value) as max from events group by 1")
+@query("""
+select event_type, count(value) as n, round(avg(value), 6) as mean, round(median(value), 6) as median, min(value) as min, max(value) as max
+from events group by 1
+""")
 def a5_distribution_summary(spark, d):
     return A.summary(table(spark, d, "events"), "event_type", "value").withColumns({"mean": r6("mean"), "median": r6("median")})
 
 
-@query("select event_type, count(*) filter (value > 10) as n_low, round(avg(case when value > 10 then 1 else 0 end), 6) as share_low, count(*) filter (value > 20) as n_high, round(avg(case when value > 20 then 1 else 0 end), 6) as share_high from events group by 1")
+@query("""
+select event_type, count(*) filter (value > 10) as n_low, round(avg(case when value > 10 then 1 else 0 end), 6) as share_low,
+count(*) filter (value > 20) as n_high, round(avg(case when value > 20 then 1 else 0 end), 6) as share_high from events group by 1
+""")
 def a6_conditional_shares(spark, d):
     return A.shares(table(spark, d, "events"), "event_type", "value", {"low": 10.0, "high": 20.0}).withColumns({"share_low": r6("share_low"), "share_high": r6("share_high")})
 
 
-@query("with e as (select unnest([0.05, 0.1, 0.25, 0.5, 1.0])::double as eta), t as (select l_suppkey, l_quantity as s, row_number() over (partition by l_suppkey order by l_quantity) as k, count(*) over (partition by l_suppkey) as n from lineitem), c as (select eta, l_suppkey, avg(s) as tail from t, e where k <= greatest(1, floor(eta * n)) group by 1, 2) select eta, count(*) as n, round(avg(tail), 6) as mean, round(median(tail), 6) as median, round(min(tail), 6) as min, round(max(tail), 6) as max from c group by 1")
+@query("""
+with e as (select unnest([0.05, 0.1, 0.25, 0.5, 1.0])::double as eta), t as (select l_suppkey, l_quantity as s,
+row_number() over (partition by l_suppkey order by l_quantity) as k, count(*) over (partition by l_suppkey) as n
+from lineitem), c as (select eta, l_suppkey, avg(s) as tail from t, e where k <= greatest(1, floor(eta * n))
+group by 1, 2) select eta, count(*) as n, round(avg(tail), 6) as mean, round(median(tail), 6) as median, round(min(tail), 6) as min, round(max(tail),
+6) as max from c group by 1
+""")
 def a7_eta_sweep(spark, d):
     out = W.eta_sweep(table(spark, d, "lineitem"), "l_suppkey", "l_quantity", [0.05, 0.1, 0.25, 0.5, 1.0])
     return out.withColumns({c: r6(c) for c in ("mean", "median", "min", "max")})
 
 
-@query("select l_suppkey as item, round(sum(l_discount * l_quantity) / sum(l_discount), 6) as weighted_mean from lineitem group by 1 having sum(l_discount) > 0 union all select l_suppkey, round(avg(l_quantity), 6) from lineitem group by 1 having sum(l_discount) = 0")
+@query("""
+select l_suppkey as item, round(sum(l_discount * l_quantity) / sum(l_discount), 6) as weighted_mean from lineitem group by 1
+having sum(l_discount) > 0 union all select l_suppkey, round(avg(l_quantity), 6) from lineitem group by 1 having sum(l_discount) = 0
+""")
 def a8_weighted_mean(spark, d):
     rows = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("item"), "l_quantity", "l_discount")
     return A.weighted_mean(rows, "item", "l_quantity", "l_discount").withColumn("weighted_mean", r6("weighted_mean"))
@@ -125,7 +160,10 @@ def a9_latest_per_tag(spark, d):
     return A.latest(table(spark, d, "orders"), F.split_part("o_orderpriority", F.lit("-"), F.lit(1)), "o_orderkey", ["o_custkey"])
 
 
-@query("select l_suppkey, l_quantity, l_orderkey * 10 + l_linenumber as ordinal, l_partkey from lineitem qualify row_number() over (partition by l_suppkey order by l_quantity desc, l_orderkey * 10 + l_linenumber, l_partkey desc) = 1")
+@query("""
+select l_suppkey, l_quantity, l_orderkey * 10 + l_linenumber as ordinal, l_partkey from lineitem qualify row_number() over (partition by l_suppkey
+order by l_quantity desc, l_orderkey * 10 + l_linenumber, l_partkey desc) = 1
+""")
 def a10_best_per_key(spark, d):
     rows = table(spark, d, "lineitem").withColumn("ordinal", F.col("l_orderkey") * 10 + F.col("l_linenumber"))
     return A.best(rows, "l_suppkey", "l_quantity", "ordinal", ["l_partkey"])
@@ -166,7 +204,11 @@ def a11c_consensus_alphabet(spark, d):
     return A.consensus(_parts(spark, d, F.upper("p_name")), ["grp"], "body", "ordinal", ignore="-BJOUXZ ", none="A", ties="symbol")
 
 
-@query("with n as (select source, lang, count(*) as n from documents group by 1, 2), t as (select source, sum(n) as t from n group by 1) select n.source, round(1 + sum(n / t * ln(n / t + 1e-9)) / ln(20.0::double), 6) as conservation from n join t on t.source = n.source group by 1")
+@query("""
+with n as (select source, lang, count(*) as n from documents group by 1, 2), t as (select source, sum(n) as t from n
+group by 1) select n.source, round(1 + sum(n / t * ln(n / t + 1e-9)) / ln(20.0::double), 6) as conservation from n join t on t.source = n.source
+group by 1
+""")
 def a12_diversity(spark, d):
     return A.diversity(table(spark, d, "documents"), ["source"], "lang").withColumn("conservation", r6("conservation"))
 
@@ -186,7 +228,10 @@ def a15_list_mean(spark, d):
     return table(spark, d, "embeddings").select("vec_id", r6(S.mean_of(F.col("embedding").cast("array<double>"))).alias("mean_value"))
 
 
-@query("select round(avg(value) filter (event_type = 'click'), 6) as mean_first, round(avg(value) filter (event_type = 'view'), 6) as mean_second, avg(value) filter (event_type = 'click') > avg(value) filter (event_type = 'view') as improved from events")
+@query("""
+select round(avg(value) filter (event_type = 'click'), 6) as mean_first, round(avg(value) filter (event_type = 'view'), 6) as mean_second,
+avg(value) filter (event_type = 'click') > avg(value) filter (event_type = 'view') as improved from events
+""")
 def a16_improvement(spark, d):
     return A.improved(table(spark, d, "events"), "event_type", "value", "click", "view").withColumns({"mean_first": r6("mean_first"), "mean_second": r6("mean_second")})
 
@@ -199,7 +244,10 @@ def w1_rank_descending(spark, d):
     return R.rank_descending(table(spark, d, "orders").select("o_orderkey", "o_totalprice"), "o_totalprice", "o_orderkey")
 
 
-@query("select c_custkey, c_nationkey, round(case when count(*) over (partition by c_nationkey) = 1 then 0.5 else (row_number() over (partition by c_nationkey order by c_acctbal nulls first, c_custkey) - 1) / (count(*) over (partition by c_nationkey) - 1) end, 6) as rank_norm from customer")
+@query("""
+select c_custkey, c_nationkey, round(case when count(*) over (partition by c_nationkey) = 1 then 0.5 else (row_number() over (partition by c_nationkey
+order by c_acctbal nulls first, c_custkey) - 1) / (count(*) over (partition by c_nationkey) - 1) end, 6) as rank_norm from customer
+""")
 def w2_rank_normalised(spark, d):
     rows = table(spark, d, "customer").select("c_custkey", "c_nationkey", "c_acctbal")
     return R.rank_normalised(rows, ["c_nationkey"], "c_acctbal", "c_custkey").select("c_custkey", "c_nationkey", r6("rank_norm").alias("rank_norm"))
@@ -228,13 +276,20 @@ def w6_top_groups(spark, d):
 _TOPS = "t as (select l_returnflag as g, l_quantity as x, max(l_extendedprice) as top from lineitem group by 1, 2), a as (select *, max(top) over (partition by g order by x desc rows between unbounded preceding and 1 preceding) as above from t)"
 
 
-@query(f"with {_TOPS} select l.l_returnflag as g, l.l_orderkey, l.l_linenumber, l.l_partkey, l.l_quantity, l.l_extendedprice from lineitem l join a on a.g = l.l_returnflag and a.x = l.l_quantity and l.l_extendedprice = a.top where a.above is null or a.top > a.above")
+@query(f"""
+with {_TOPS} select l.l_returnflag as g, l.l_orderkey, l.l_linenumber, l.l_partkey, l.l_quantity, l.l_extendedprice from lineitem l
+join a on a.g = l.l_returnflag and a.x = l.l_quantity and l.l_extendedprice = a.top where a.above is null or a.top > a.above
+""")
 def w7_pareto_front(spark, d):
     rows = table(spark, d, "lineitem").select(F.col("l_returnflag").alias("g"), "l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_extendedprice")
     return R.pareto_front(rows, ["g"], "l_quantity", "l_extendedprice")
 
 
-@query(f"with {_TOPS}, r as (select l_returnflag as g, min(l_quantity) as rx, min(l_extendedprice) as ry from lineitem group by 1) select a.g, round(sum(greatest(0, x - rx) * greatest(0, top - coalesce(above, ry))), 2) as hypervolume from a join r on r.g = a.g group by a.g")
+@query(f"""
+with {_TOPS}, r as (select l_returnflag as g, min(l_quantity) as rx, min(l_extendedprice) as ry from lineitem
+group by 1) select a.g, round(sum(greatest(0, x - rx) * greatest(0, top - coalesce(above, ry))), 2) as hypervolume from a join r on r.g = a.g
+group by a.g
+""")
 def w8_hypervolume(spark, d):
     return R.hypervolume(table(spark, d, "lineitem").withColumnRenamed("l_returnflag", "g"), ["g"], "l_quantity", "l_extendedprice").withColumn("hypervolume", F.round("hypervolume", 2))
 
@@ -245,7 +300,10 @@ def w9_first_occurrence(spark, d):
     return R.first_occurrences(rows, ["text"], "doc_id").select("doc_id", "lang", F.md5("text").alias("digest"))
 
 
-@query("with s as (select distinct count(*) as n from orders group by o_custkey), o as (select n, row_number() over (order by n) - 1 as k, count(*) over () as c from s) select n from o where k = c // 2")
+@query("""
+with s as (select distinct count(*) as n from orders group by o_custkey), o as (select n, row_number() over (order by n) - 1 as k,
+count(*) over () as c from s) select n from o where k = c // 2
+""")
 def w10_upper_median_size(spark, d):
     return R.upper_median_size(table(spark, d, "orders").groupBy("o_custkey").agg(F.count("*").alias("n")), "n")
 
@@ -253,12 +311,19 @@ def w10_upper_median_size(spark, d):
 # --- scalar functions and filters -----------------------------------------------------------------------------------------
 
 
-@query("select doc_id, md5(regexp_replace(upper(replace(text, 'ß', 'ss')), '[^ACDEFGHIKLMNPQRSTVWY]', '', 'g')) as digest, length(regexp_replace(upper(replace(text, 'ß', 'ss')), '[^ACDEFGHIKLMNPQRSTVWY]', '', 'g')) as n from documents")
+@query("""
+select doc_id, md5(regexp_replace(upper(replace(text, 'ß', 'ss')), '[^ACDEFGHIKLMNPQRSTVWY]', '', 'g')) as digest,
+length(regexp_replace(upper(replace(text, 'ß', 'ss')), '[^ACDEFGHIKLMNPQRSTVWY]', '', 'g')) as n from documents
+""")
 def p1_clean_text(spark, d):
     return table(spark, d, "documents").select("doc_id", F.md5(T.clean_text("text")).alias("digest"), F.length(T.clean_text("text")).cast("long").alias("n"))
 
 
-@query("select p_partkey, case when p_size % 2 = 0 then p_brand else split_part(p_name, ' ', 1) end as clean, replace(replace(p_brand || '.v' || p_size, '|', '_'), '.', '_') as safe_id, regexp_replace(p_name || '/' || p_type, '[^A-Za-z0-9_\\-.]', '_', 'g')[:80] as safe_name, split_part(p_brand || '.' || p_size, '.', 1) as bare from part")
+@query("""
+select p_partkey, case when p_size % 2 = 0 then p_brand else split_part(p_name, ' ', 1) end as clean, replace(replace(p_brand || '.v' || p_size, '|',
+'_'), '.', '_') as safe_id, regexp_replace(p_name || '/' || p_type, '[^A-Za-z0-9_\\-.]', '_', 'g')[:80] as safe_name,
+split_part(p_brand || '.' || p_size, '.', 1) as bare from part
+""")
 def p2_p5_identifiers(spark, d):
     raw = F.when(F.col("p_size") % 2 == 0, F.concat(F.lit("sp|"), F.col("p_brand"), F.lit("|"), F.col("p_name"))).otherwise(F.col("p_name"))
     return table(spark, d, "part").select("p_partkey", T.clean_id(raw).alias("clean"), T.sanitise_id(F.concat("p_brand", F.lit(".v"), "p_size", F.lit(" rest"))).alias("safe_id"), T.safe_name(F.concat("p_name", F.lit("/"), "p_type")).alias("safe_name"), T.strip_version(F.concat("p_brand", F.lit("."), "p_size")).alias("bare"))
@@ -269,7 +334,10 @@ def p6_formatted_key(spark, d):
     return table(spark, d, "part").select("p_partkey", T.formatted_key("p_type", "p_size", F.col("p_size") / 4.0, F.col("p_size") / 8.0 + 0.01).alias("key"))
 
 
-@query("select event_id, 'k' as key, case when event_id % 3 = 0 then event_id end as i, case when event_id % 3 = 1 then value end as d, case when event_id % 3 = 2 then event_type end as s from events")
+@query("""
+select event_id, 'k' as key, case when event_id % 3 = 0 then event_id end as i, case when event_id % 3 = 1 then value end as d,
+case when event_id % 3 = 2 then event_type end as s from events
+""")
 def p7_parse_metric(spark, d):
     k = F.col("event_id") % 3
     token = F.concat(F.lit("k:"), F.when(k == 0, F.col("event_id").cast("string")).when(k == 1, F.format_string("%.4f", "value")).otherwise(F.col("event_type")))
@@ -277,12 +345,19 @@ def p7_parse_metric(spark, d):
     return table(spark, d, "events").select("event_id", m["key"].alias("key"), m["i"].alias("i"), m["d"].alias("d"), m["s"].alias("s"))
 
 
-@query("select p_partkey, array_to_string(list_transform(string_split(upper(p_name), ''), lambda c: case when instr('ACDEFGHIKLMNPQRSTVWY', c) > 0 then instr('ACDEFGHIKLMNPQRSTVWY', c) - 1 else 20 end), ',') as codes from part")
+@query("""
+select p_partkey, array_to_string(list_transform(string_split(upper(p_name), ''), lambda c: case when instr('ACDEFGHIKLMNPQRSTVWY',
+c) > 0 then instr('ACDEFGHIKLMNPQRSTVWY', c) - 1 else 20 end), ',') as codes from part
+""")
 def p8_encode_symbols(spark, d):
     return table(spark, d, "part").select("p_partkey", F.array_join(F.transform(T.encode_symbols(F.upper("p_name")), lambda x: x.cast("string")), ",").alias("codes"))
 
 
-@query("select p_partkey, case when p_size % 30 < 20 then substr('ACDEFGHIKLMNPQRSTVWY', p_size % 30 + 1, 1) when p_size % 30 < 24 then substr('ACDEFGHIKLMNPQRSTVWY', p_size % 30 - 3, 1) else '' end || substr('ACDEFGHIKLMNPQRSTVWY', p_partkey % 20 + 1, 1) as decoded from part")
+@query("""
+select p_partkey, case when p_size % 30 < 20 then substr('ACDEFGHIKLMNPQRSTVWY', p_size % 30 + 1,
+1) when p_size % 30 < 24 then substr('ACDEFGHIKLMNPQRSTVWY', p_size % 30 - 3, 1) else '' end || substr('ACDEFGHIKLMNPQRSTVWY', p_partkey % 20 + 1,
+1) as decoded from part
+""")
 def p9_decode_tokens(spark, d):
     return table(spark, d, "part").select("p_partkey", T.decode_tokens(F.array((F.col("p_size") % 30).cast("long"), F.col("p_partkey") % 20)).alias("decoded"))
 
@@ -291,7 +366,10 @@ _TRIPLETS = {"red": "R", " wi": "W", "dge": "D", "sma": "S", "ll ": "L", "rin":
 _TRIPLET_SQL = "array_to_string(list_transform(range(0, length(p_name) // 3), lambda i: case substr(p_name, i * 3 + 1, 3) " + " ".join(f"when '{k}' then '{v}'" for k, v in _TRIPLETS.items()) + " else 'X' end), '')"
 
 
-@query(f"select p_partkey, regexp_replace({_TRIPLET_SQL}, '\\*$', '') as whole, split_part(regexp_replace({_TRIPLET_SQL}, '\\*$', ''), '*', 1) as to_stop from part")
+@query(f"""
+select p_partkey, regexp_replace({_TRIPLET_SQL}, '\\*$', '') as whole, split_part(regexp_replace({_TRIPLET_SQL}, '\\*$', ''), '*', 1) as to_stop
+from part
+""")
 def p10_p11_translate(spark, d):
     return table(spark, d, "part").select("p_partkey", T.translate_triplets("p_name", _TRIPLETS).alias("whole"), T.translate_to_stop("p_name", _TRIPLETS).alias("to_stop"))
 
@@ -304,52 +382,80 @@ def p12_distance(spark, d):
     return table(spark, d, "part").select("p_partkey", T.distance("p_name", "p_type").cast("long").alias("full_distance"), T.distance_truncated("p_name", "p_type").cast("long").alias("prefix_distance"))
 
 
-@query("select l_orderkey, l_linenumber, l_partkey, l_quantity as raw_score, round(least(1, greatest(0, (l_quantity - 7) / 2)), 6) as score, 7.0::double as score_low, 9.0::double as score_high, 'minmax' as score_mode from lineitem")
+@query("""
+select l_orderkey, l_linenumber, l_partkey, l_quantity as raw_score, round(least(1, greatest(0, (l_quantity - 7) / 2)), 6) as score,
+7.0::double as score_low, 9.0::double as score_high, 'minmax' as score_mode from lineitem
+""")
 def p13_p14_normalise(spark, d):
     rows = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", F.col("l_quantity").alias("score"))
     return S.normalise_rows(rows, 7.0, 9.0, ("score",)).withColumn("score", r6("score"))
 
 
-@query("with m as (select length(p_name) as w from part where length(p_name) > 0 group by 1 order by count(*) desc, 1 limit 1) select p_partkey, rpad(upper(p_name)[:w], w::int, '-') as p_name from part, m where length(p_name) > 0")
+@query("""
+with m as (select length(p_name) as w from part where length(p_name) > 0 group by 1
+order by count(*) desc, 1 limit 1) select p_partkey, rpad(upper(p_name)[:w], w::int, '-') as p_name from part, m where length(p_name) > 0
+""")
 def p15_modal_pad(spark, d):
     return A.to_modal_length(table(spark, d, "part").select("p_partkey", "p_name"), "p_name")
 
 
-@query("select s_suppkey, round(s_acctbal / greatest(sum(s_acctbal) over (partition by s_nationkey), 1e-12), 6) as weight_norm from supplier where s_acctbal > 0")
+@query("""
+select s_suppkey, round(s_acctbal / greatest(sum(s_acctbal) over (partition by s_nationkey), 1e-12), 6) as weight_norm from supplier
+where s_acctbal > 0
+""")
 def p16_normalised_weights(spark, d):
     rows = table(spark, d, "supplier").filter("s_acctbal > 0").select("s_suppkey", "s_nationkey", "s_acctbal")
     return R.normalised_weights(rows, ["s_nationkey"], "s_acctbal").select("s_suppkey", r6("weight_norm").alias("weight_norm"))
 
 
-@query("select o_custkey, greatest(0, count(*) - count(*) filter (o_orderstatus = 'F')) as rejected, round(greatest(0, count(*) - count(*) filter (o_orderstatus = 'F')) / count(*), 6) as rate from orders group by 1")
+@query("""
+select o_custkey, greatest(0, count(*) - count(*) filter (o_orderstatus = 'F')) as rejected, round(greatest(0,
+count(*) - count(*) filter (o_orderstatus = 'F')) / count(*), 6) as rate from orders group by 1
+""")
 def p17_rejection(spark, d):
     n = table(spark, d, "orders").groupBy("o_custkey").agg(F.count("*").alias("asked"), F.count_if(F.col("o_orderstatus") == "F").alias("got"))
     r = S.rejection(F.col("asked"), F.col("got"))
     return n.select("o_custkey", r["rejected"].alias("rejected"), r6(r["rate"]).alias("rate"))
 
 
-@query("select doc_id, case when length(text) >= 40 and not contains(substr(text, 1, 40), '*') then substr(text, 1, 40) end as head, length(text) >= 8 as long_enough from documents")
+@query("""
+select doc_id, case when length(text) >= 40 and not contains(substr(text, 1, 40), '*') then substr(text, 1, 40) end as head,
+length(text) >= 8 as long_enough from documents
+""")
 def p18_p19_prefix_domain(spark, d):
     return table(spark, d, "documents").select("doc_id", T.prefix_domain("text", 40).alias("head"), (F.length("text") >= S.default_threshold(False)).alias("long_enough"))
 
 
-@query("select doc_id, length(text) between 200 and 2000 as f1, length(regexp_replace(text, '[-X]', '', 'g')) >= 200 and not contains(text, '*') as f2, contains(lower(concat_ws(' ', lang, source, text)), 'license') as f4 from documents")
+@query("""
+select doc_id, length(text) between 200 and 2000 as f1, length(regexp_replace(text, '[-X]', '', 'g')) >= 200 and not contains(text, '*') as f2,
+contains(lower(concat_ws(' ', lang, source, text)), 'license') as f4 from documents
+""")
 def f1_f2_f4_record_filters(spark, d):
     return table(spark, d, "documents").select("doc_id", P.length_between("text", 200, 2000).alias("f1"), P.complete("text", 200).alias("f2"), P.keyword(["lang", "source", "text"], "License").alias("f4"))
 
 
-@query("select p_partkey, p_name from part where length(p_name) = 10 and not contains(p_name, 'X') and list_sum(list_transform(range(1, 11), lambda i: case when substr(p_name, i, 1) <> substr('red widget', i, 1) then 1 else 0 end)) between 3 and 9")
+@query("""
+select p_partkey, p_name from part where length(p_name) = 10 and not contains(p_name, 'X') and list_sum(list_transform(range(1, 11),
+lambda i: case when substr(p_name, i, 1) <> substr('red widget', i, 1) then 1 else 0 end)) between 3 and 9
+""")
 def f3_near_reference(spark, d):
     return table(spark, d, "part").filter(P.near_reference("p_name", F.lit("red widget"), 10, 3, 9)).select("p_partkey", "p_name")
 
 
-@query("select d.doc_id, coalesce(quality, 0) >= 1 as f5, quality is not null as f6, quality is not null as f7 from documents d left join labels l on l.doc_id = d.doc_id")
+@query("""
+select d.doc_id, coalesce(quality, 0) >= 1 as f5, quality is not null as f6, quality is not null as f7 from documents d left
+join labels l on l.doc_id = d.doc_id
+""")
 def f5_f7_score_filters(spark, d):
     rows = table(spark, d, "documents").select("doc_id").join(table(spark, d, "labels"), "doc_id", "left").withColumn("q", F.col("quality").cast("double"))
     return rows.select("doc_id", P.at_least("q", 1.0).alias("f5"), P.present("q").alias("f6"), P.not_nan("q").alias("f7"))
 
 
-@query("select o_orderkey, case when starts_with(o_orderpriority, '1-') then substr(o_orderpriority, 3) else o_orderpriority end as tag, regexp_extract(o_orderpriority, '^(\\d)-(.*)$', 1) as level, regexp_extract(o_orderpriority, '^(\\d)-(.*)$', 2) as label from orders where starts_with(o_orderpriority, '1-') or starts_with(o_orderpriority, '2-')")
+@query("""
+select o_orderkey, case when starts_with(o_orderpriority, '1-') then substr(o_orderpriority, 3) else o_orderpriority end as tag,
+regexp_extract(o_orderpriority, '^(\\d)-(.*)$', 1) as level, regexp_extract(o_orderpriority, '^(\\d)-(.*)$', 2) as label from orders
+where starts_with(o_orderpriority, '1-') or starts_with(o_orderpriority, '2-')
+""")
 def f8_f10_tag_filters(spark, d):
     rows = table(spark, d, "orders").filter(P.tag_starts("o_orderpriority", ["1-", "2-"]))
     return rows.select("o_orderkey", P.tag_stripped("o_orderpriority", "1-").alias("tag"), *P.name_parts("o_orderpriority", r"^(\d)-(.*)$", ["level", "label"]))
@@ -364,7 +470,10 @@ def f8_labelled_semi(spark, d):
 # --- joins ------------------------------------------------------------------------------------------------------------
 
 
-@query("select o_orderkey, case when o_custkey in (select c_custkey from customer where c_mktsegment = 'BUILDING') then 'holdout' else 'train' end as part from orders")
+@query("""
+select o_orderkey, case when o_custkey in (select c_custkey from customer where c_mktsegment = 'BUILDING') then 'holdout' else 'train' end as part
+from orders
+""")
 def j1_j2_split_semi_anti(spark, d):
     orders, held = table(spark, d, "orders").select("o_orderkey", "o_custkey"), table(spark, d, "customer").filter("c_mktsegment = 'BUILDING'").select(F.col("c_custkey").alias("o_custkey"))
     return J.members(orders, held, "o_custkey").select("o_orderkey", F.lit("holdout").alias("part")).union(J.others(orders, held, "o_custkey").select("o_orderkey", F.lit("train").alias("part")))
@@ -392,19 +501,31 @@ def j6_cross_matrix(spark, d):
     return J.pairs(table(spark, d, "supplier").select("s_suppkey", "s_nationkey"), table(spark, d, "nation").select("n_nationkey")).select("s_suppkey", "n_nationkey", F.abs(F.col("s_nationkey") - F.col("n_nationkey")).cast("double").alias("score"))
 
 
-@query("with p as (select c_custkey, n_nationkey, list_sum(list_transform(range(1, least(length(c_mktsegment), length(n_name)) + 1), lambda i: case when substr(c_mktsegment, i, 1) <> substr(n_name, i, 1) then 1 else 0 end)) + abs(length(c_mktsegment) - length(n_name)) as d from customer, nation) select c_custkey, d::int as distance, n_nationkey as nearest from p qualify row_number() over (partition by c_custkey order by d, n_nationkey) = 1")
+@query("""
+with p as (select c_custkey, n_nationkey, list_sum(list_transform(range(1, least(length(c_mktsegment), length(n_name)) + 1),
+lambda i: case when substr(c_mktsegment, i, 1) <> substr(n_name, i, 1) then 1 else 0 end)) + abs(length(c_mktsegment) - length(n_name)) as d
+from customer, nation) select c_custkey, d::int as distance, n_nationkey as nearest from p qualify row_number() over (partition by c_custkey
+order by d, n_nationkey) = 1
+""")
 def j7_nearest_neighbour(spark, d):
     return J.nearest(table(spark, d, "customer").select("c_custkey", "c_mktsegment"), "c_custkey", "c_mktsegment", table(spark, d, "nation").select("n_nationkey", "n_name"), "n_nationkey", "n_name")
 
 
-@query("with p as (select vec_id, embedding[1]::double as x, embedding[2]::double as y, embedding[3]::double as z from embeddings) select a.vec_id, b.vec_id as other_vec_id from p a join p b on sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2) + pow(a.z - b.z, 2)) < 0.05")
+@query("""
+with p as (select vec_id, embedding[1]::double as x, embedding[2]::double as y, embedding[3]::double as z
+from embeddings) select a.vec_id, b.vec_id as other_vec_id from p a join p b on sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2) + pow(a.z - b.z, 2)) < 0.05
+""")
 def j8_range_join(spark, d):
     """Vectors as points of space: their first three components, all rows."""
     p = table(spark, d, "embeddings").select("vec_id", *[F.get("embedding", k).cast("double").alias(n) for k, n in enumerate("xyz")])
     return J.within(p, p, ["x", "y", "z"], 0.05).select("vec_id", "other_vec_id")
 
 
-@query("with p as (select vec_id, label, embedding[1]::double as x, embedding[2]::double as y, embedding[3]::double as z from embeddings) select a.vec_id from p a where a.label < 5 and exists (select 1 from p b where b.label >= 5 and sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2) + pow(a.z - b.z, 2)) < 0.05)")
+@query("""
+with p as (select vec_id, label, embedding[1]::double as x, embedding[2]::double as y, embedding[3]::double as z from embeddings) select a.vec_id
+from p a where a.label < 5 and exists (select 1 from p b where b.label >= 5 and sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2) + pow(a.z - b.z,
+2)) < 0.05)
+""")
 def j8_range_semi_join(spark, d):
     """As j8_range_join: points are the first three components of each vector."""
     p = table(spark, d, "embeddings").select("vec_id", "label", *[F.get("embedding", k).cast("double").alias(n) for k, n in enumerate("xyz")])
@@ -416,7 +537,10 @@ def j9_label_lookup(spark, d):
     return J.with_label(table(spark, d, "supplier").withColumnRenamed("s_nationkey", "n_nationkey"), table(spark, d, "nation"), "n_nationkey").select("s_suppkey", "n_name")
 
 
-@query("select n_nationkey, coalesce((select max(n_name) from nation b where b.n_name = 'NATION_' || a.n_nationkey), (select max(n_name) from nation b where starts_with(b.n_name, 'NATION_' || a.n_nationkey))) as path from nation a")
+@query("""
+select n_nationkey, coalesce((select max(n_name) from nation b where b.n_name = 'NATION_' || a.n_nationkey), (select max(n_name) from nation b
+where starts_with(b.n_name, 'NATION_' || a.n_nationkey))) as path from nation a
+""")
 def j10_runs_with_files(spark, d):
     n = table(spark, d, "nation")
     return J.runs_with_files(n.select("n_nationkey"), n.select(F.col("n_name").alias("tag"), F.col("n_name").alias("path")), F.concat(F.lit("NATION_"), F.col("n_nationkey").cast("string")), "tag", "path")
@@ -430,7 +554,10 @@ def x1_union_inputs(spark, d):
     return X.union_all([table(spark, d, "supplier").select(F.col("s_suppkey").alias("k"), F.col("s_acctbal").alias("bal")), table(spark, d, "customer").select(F.col("c_custkey").alias("k"), F.col("c_acctbal").alias("bal"), F.col("c_mktsegment").alias("seg"))])
 
 
-@query("(select 'difference' as kind, k from (select c_custkey as k from customer except select o_custkey from orders)) union all (select 'intersection', k from (select c_custkey as k from customer intersect select o_custkey from orders))")
+@query("""
+(select 'difference' as kind, k from (select c_custkey as k from customer except select o_custkey from orders)) union all (select 'intersection', k
+from (select c_custkey as k from customer intersect select o_custkey from orders))
+""")
 def x2_set_operations(spark, d):
     a, b = table(spark, d, "customer").select(F.col("c_custkey").alias("k")), table(spark, d, "orders").select(F.col("o_custkey").alias("k"))
     return X.difference(a, b).select(F.lit("difference").alias("kind"), "k").union(X.intersection(a, b).select(F.lit("intersection").alias("kind"), "k"))
@@ -441,12 +568,18 @@ def x3_seeded_sample(spark, d):
     return X.sample(table(spark, d, "orders").select("o_orderkey"), "o_orderkey", 200)
 
 
-@query("select o_custkey, row_number() over (order by o_custkey) as position from (select distinct o_custkey from orders order by md5('7:' || o_custkey), o_custkey limit 50)")
+@query("""
+select o_custkey, row_number() over (order by o_custkey) as position from (select distinct o_custkey from orders
+order by md5('7:' || o_custkey), o_custkey limit 50)
+""")
 def x4_sampled_sorted_ids(spark, d):
     return R.number_rows(X.sample(table(spark, d, "orders").select("o_custkey").distinct(), "o_custkey", 50, 7), [F.asc("o_custkey")], "position")
 
 
-@query("select replicate, slot, n_nationkey + 1 as pos, n_name from (select r.range as replicate, s.range as slot, ('0x' || substr(md5('42:' || r.range || ':' || s.range), 1, 8))::bigint % 25 as k from range(1, 6) r, range(1, 26) s) join nation on n_nationkey = k")
+@query("""
+select replicate, slot, n_nationkey + 1 as pos, n_name from (select r.range as replicate, s.range as slot,
+('0x' || substr(md5('42:' || r.range || ':' || s.range), 1, 8))::bigint % 25 as k from range(1, 6) r, range(1, 26) s) join nation on n_nationkey = k
+""")
 def x5_bootstrap_columns(spark, d):
     return X.bootstrap(table(spark, d, "nation").select((F.col("n_nationkey") + 1).alias("pos"), "n_name"), "pos", 25, 5).select("replicate", "slot", "pos", "n_name")
 
@@ -478,25 +611,39 @@ def x6_subtree_leaf_counts(spark, d):
     return H.subtree_totals(_edges(spark, d)).select("node", "n_leaves", "first_leaf")
 
 
-@query(f"{_TREE}, c as (select node from totals where n_leaves between 125 and 375 order by abs(n_leaves - 250), first_leaf, node limit 1) select leaf.node, case when leaf.node in (select up.leaf from up join c on c.node = up.node) then 'holdout' else 'train' end as part from leaf")
+@query(f"""
+{_TREE}, c as (select node from totals where n_leaves between 125 and 375 order by abs(n_leaves - 250), first_leaf, node limit 1) select leaf.node,
+case when leaf.node in (select up.leaf from up join c on c.node = up.node) then 'holdout' else 'train' end as part from leaf
+""")
 def x7a_holdout_by_size(spark, d):
     e = _edges(spark, d)
     return H.split(e, H.below(e, H.closest_to_target(H.subtree_totals(e), 250)))
 
 
-@query(f"{_TREE}, s as (select node from leaf order by md5('42:' || node), node limit 7) select leaf.node, case when s.node is not null then 'holdout' else 'train' end as part from leaf left join s on s.node = leaf.node")
+@query(f"""
+{_TREE}, s as (select node from leaf order by md5('42:' || node), node limit 7) select leaf.node,
+case when s.node is not null then 'holdout' else 'train' end as part from leaf left join s on s.node = leaf.node
+""")
 def x7b_holdout_fallback(spark, d):
     e = _edges(spark, d)
     return H.split(e, H.closest_or_sample(H.subtree_totals(e).filter("n_leaves > 100"), e, 7))
 
 
-@query(f"{_TREE}, f as (select * from totals where n_leaves >= 5 and n_leaves <= 0.2 * (select count(*) from leaf)), m as (select n_leaves, row_number() over (order by n_leaves) - 1 as k, count(*) over () as c from (select distinct n_leaves from f)) select f.node, f.n_leaves from f join m on m.n_leaves = f.n_leaves and m.k = m.c // 2 order by md5('42:' || f.node), f.node limit 1")
+@query(f"""
+{_TREE}, f as (select * from totals where n_leaves >= 5 and n_leaves <= 0.2 * (select count(*)
+from leaf)), m as (select n_leaves, row_number() over (order by n_leaves) - 1 as k, count(*) over () as c from (select distinct n_leaves
+from f)) select f.node, f.n_leaves from f join m on m.n_leaves = f.n_leaves and m.k = m.c // 2 order by md5('42:' || f.node), f.node limit 1
+""")
 def x7c_median_subtree(spark, d):
     e = _edges(spark, d)
     return H.median_subtree(H.subtree_totals(e), H.leaves_of(e).count(), 5, 0.2).select("node", "n_leaves")
 
 
-@query(f"{_TREE}, v as (select up.node, avg(coalesce(o_totalprice, 0)) as m, count(*) as n, min(leaf) as first_leaf from up left join orders on leaf = 'O' || lpad(o_orderkey::varchar, 9, '0') group by up.node) select node, round(m, 4) as mean_value from v where n >= 5 order by abs(m - 250000), first_leaf, node limit 1")
+@query(f"""
+{_TREE}, v as (select up.node, avg(coalesce(o_totalprice, 0)) as m, count(*) as n, min(leaf) as first_leaf from up left
+join orders on leaf = 'O' || lpad(o_orderkey::varchar, 9, '0') group by up.node) select node, round(m, 4) as mean_value from v where n >= 5
+order by abs(m - 250000), first_leaf, node limit 1
+""")
 def x7d_closest_mean(spark, d):
     e = _edges(spark, d)
     values = table(spark, d, "orders").select(F.concat(F.lit("O"), F.lpad(F.col("o_orderkey").cast("string"), 9, "0")).alias("node"), F.col("o_totalprice").alias("value"))
@@ -537,7 +684,11 @@ def x9_midpoint_root(spark, d):
     return H.midpoint_root(nations.union(roots.select("tree_id", "node", above, F.lit("").alias("name"), none)))
 
 
-@query("select n_name, case when n < 5 then 'skipped' when bal is null then 'skipped' when bal < 0 then 'skipped' else 'ok' end as status, case when n < 5 then 'too few members' when bal is null then 'no balance' when bal < 0 then 'negative balance' end as reason from (select n_name, count(c_custkey) as n, avg(c_acctbal) as bal from nation left join customer on c_nationkey = n_nationkey group by 1)")
+@query("""
+select n_name, case when n < 5 then 'skipped' when bal is null then 'skipped' when bal < 0 then 'skipped' else 'ok' end as status,
+case when n < 5 then 'too few members' when bal is null then 'no balance' when bal < 0 then 'negative balance' end as reason
+from (select n_name, count(c_custkey) as n, avg(c_acctbal) as bal from nation left join customer on c_nationkey = n_nationkey group by 1)
+""")
 def x10_status_report(spark, d):
     t = table(spark, d, "nation").join(table(spark, d, "customer"), F.col("c_nationkey") == F.col("n_nationkey"), "left").groupBy("n_name").agg(F.count("c_custkey").alias("n"), F.avg("c_acctbal").alias("bal"))
     return H.status_report(t, "n_name", [(F.col("n") < 5, "too few members"), (F.col("bal").isNull(), "no balance"), (F.col("bal") < 0, "negative balance")])
@@ -583,7 +734,11 @@ def s1e_count_records(spark, d):
     return SR.count_records(spark, _part_records(spark, d)).agg(F.sum("n").alias("n"))
 
 
-@query("select 'n0' as node, null::varchar as parent, 'R' || r_regionkey as name, null::double as length, r_regionkey from region union all select 'n' || row_number() over (partition by n_regionkey order by n_nationkey), 'n0', n_name, n_nationkey / 4.0::double, n_regionkey from nation")
+@query("""
+select 'n0' as node, null::varchar as parent, 'R' || r_regionkey as name, null::double as length, r_regionkey from region
+union all select 'n' || row_number() over (partition by n_regionkey order by n_nationkey), 'n0', n_name, n_nationkey / 4.0::double, n_regionkey
+from nation
+""")
 def s2_scan_trees(spark, d):
     path = new_path(spark, "trees")
     leaf = F.concat("n_name", F.lit(":"), (F.col("n_nationkey") / 4.0).cast("string"))
@@ -616,7 +771,10 @@ def s4_scan_results(spark, d):
     return SJ.scan_results(spark, path).select("peptide", "wt_score", "robust_score")
 
 
-@query("select case when s_suppkey % 3 = 0 then regexp_replace(upper(s_name), '[^ACDEFGHIKLMNPQRSTVWY]', '', 'g') else 'ACD' end as item, 'NATIN' as target from supplier")
+@query("""
+select case when s_suppkey % 3 = 0 then regexp_replace(upper(s_name), '[^ACDEFGHIKLMNPQRSTVWY]', '', 'g') else 'ACD' end as item, 'NATIN' as target
+from supplier
+""")
 def s5_scan_scored_json(spark, d):
     path = new_path(spark, "scored")
     rows = table(spark, d, "supplier").select(F.struct(F.when(F.col("s_suppkey") % 3 == 0, F.col("s_name")).alias("peptide"), F.when(F.col("s_suppkey") % 3 > 0, F.lit("a-c d")).alias("sequence"), F.lit("nation").alias("target")).alias("r"))
@@ -640,7 +798,10 @@ def s7_csv_aliases(spark, d):
     return SJ.first_named(SJ.scan_csv(spark, path), ("peptide", "sequence", "aa_seq"), "item").select(F.col("c_custkey").cast("long").alias("c_custkey"), "item")
 
 
-@query("select p_partkey as n, p_retailprice as price, p_brand as brand, 'ACDEF' as target, regexp_replace(upper(p_name), '[^ACDEFGHIKLMNPQRSTVWY]', '', 'g') as item from part")
+@query("""
+select p_partkey as n, p_retailprice as price, p_brand as brand, 'ACDEF' as target, regexp_replace(upper(p_name), '[^ACDEFGHIKLMNPQRSTVWY]', '',
+'g') as item from part
+""")
 def s8_scan_metric_lines(spark, d):
     path = new_path(spark, "metrics")
     line = F.format_string("n:%d price:%.2f brand:%s x :y ac/def/%s", F.col("p_partkey"), F.col("p_retailprice"), F.col("p_brand"), F.translate("p_name", " ", "-"))
@@ -668,12 +829,18 @@ def _atoms(spark, d) -> str:
     return path
 
 
-@query("select substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ', c_nationkey + 1, 1) as chain, string_agg(case when c_custkey % 3 = 0 then 'A' when c_custkey % 3 = 1 then 'G' else 'X' end, '' order by c_custkey) as body from customer group by 1")
+@query("""
+select substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ', c_nationkey + 1, 1) as chain,
+string_agg(case when c_custkey % 3 = 0 then 'A' when c_custkey % 3 = 1 then 'G' else 'X' end, '' order by c_custkey) as body from customer group by 1
+""")
 def s10_chain_letters(spark, d):
     return SR.chain_letters(SR.scan_atoms(spark, _atoms(spark, d))).select("chain", "body")
 
 
-@query("select substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ', c_nationkey + 1, 1) as chain, (c_custkey % 10000)::int as number, unnest(['CA', 'N']) as atom, 1.5::double as z from customer")
+@query("""
+select substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ', c_nationkey + 1, 1) as chain, (c_custkey % 10000)::int as number, unnest(['CA', 'N']) as atom,
+1.5::double as z from customer
+""")
 def s11_scan_atoms(spark, d):
     return SR.scan_atoms(spark, _atoms(spark, d)).select("chain", "number", "atom", "z")
 
@@ -706,7 +873,10 @@ def s13_score_files(spark, d):
     return SR.score_files(files).select("key", F.col("path").contains("rank_001").alias("ranked"))
 
 
-@query("select 'K' || n_nationkey as key, n_nationkey / 8 as iptm, case when n_nationkey % 2 = 0 then n_nationkey + 0.5 end as ptm, case when n_nationkey > 2 then n_nationkey * 2.0 end as plddt_mean from nation where n_nationkey % 7 <> 3")
+@query("""
+select 'K' || n_nationkey as key, n_nationkey / 8 as iptm, case when n_nationkey % 2 = 0 then n_nationkey + 0.5 end as ptm,
+case when n_nationkey > 2 then n_nationkey * 2.0 end as plddt_mean from nation where n_nationkey % 7 <> 3
+""")
 def s13b_score_contents(spark, d):
     path, k = new_path(spark, "scores"), F.col("n_nationkey")
     good = F.struct((k / 8).alias("iptm"), F.when(k % 2 == 0, k + 0.5).alias("ptm"), F.when(k > 2, F.array(k * 1.0, k * 2.0, k * 3.0)).otherwise(F.array().cast("array<double>")).alias("plddt"))
@@ -758,7 +928,10 @@ def k7_incremental_totals(spark, d):
     return out.withColumn("total", r6("total"))
 
 
-@query("select n_name as name, case when n_nationkey = 1 then null when n_nationkey = 5 then n_name || '.fa' else n_name || '_aligned.fasta' end as path from nation")
+@query("""
+select n_name as name, case when n_nationkey = 1 then null when n_nationkey = 5 then n_name || '.fa' else n_name || '_aligned.fasta' end as path
+from nation
+""")
 def s16_paired_files(spark, d):
     """Names paired with the files of a listing of written files."""
     n = table(spark, d, "nation")
@@ -783,7 +956,10 @@ def k4b_markdown_table(spark, d):
     return K.markdown_lines(t, [F.asc("flag")])
 
 
-@query("select n_name as id, repeat(n_name, 9) as body, row_number() over (order by n_nationkey % 7, n_nationkey) as position from nation where n_nationkey % 3 = 0")
+@query("""
+select n_name as id, repeat(n_name, 9) as body, row_number() over (order by n_nationkey % 7, n_nationkey) as position from nation
+where n_nationkey % 3 = 0
+""")
 def k1_listed_records(spark, d):
     """Records written in the order of a list, with their place in the files; other names of the list have no record."""
     path = new_path(spark, "listed")
@@ -822,7 +998,10 @@ def k6_read_or_make(spark, d):
 # --- workflows, sweeps, controls ---------------------------------------------------------------------------------------------
 
 
-@query("with t as (select doc_id, upper(replace(replace(text, '-', ''), 'ß', 'ss')) as body, text from documents) select doc_id, length(body) as n from t where length(text) between 100 and 5000 qualify row_number() over (partition by body order by doc_id) = 1")
+@query("""
+with t as (select doc_id, upper(replace(replace(text, '-', ''), 'ß', 'ss')) as body, text from documents) select doc_id, length(body) as n from t
+where length(text) between 100 and 5000 qualify row_number() over (partition by body order by doc_id) = 1
+""")
 def e1_clean_records(spark, d):
     rows = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("id"), F.col("text").alias("body"), F.col("doc_id").alias("ordinal"))
     return W.clean_records(rows, 100, 5000).select(F.col("ordinal").alias("doc_id"), F.length("body").cast("long").alias("n"))
@@ -850,24 +1029,36 @@ def u4_score_distinct(spark, d):
     return W.score_distinct(pairs, "a", "b", lambda a, b: 1.0 / (1 + (a - b).abs())).select("o_orderkey", r6("score").alias("score"))
 
 
-@query("select l_returnflag, 'base' as run_tag, round(avg(case when l_quantity >= 25 then 1.0 else 0.0 end), 6) as share from lineitem group by 1 union all select l_returnflag, 'strict', round(avg(case when l_quantity >= 40 then 1.0 else 0.0 end), 6) from lineitem group by 1")
+@query("""
+select l_returnflag, 'base' as run_tag, round(avg(case when l_quantity >= 25 then 1.0 else 0.0 end), 6) as share from lineitem group by 1
+union all select l_returnflag, 'strict', round(avg(case when l_quantity >= 40 then 1.0 else 0.0 end), 6) from lineitem group by 1
+""")
 def u5_ablations(spark, d):
     rows = table(spark, d, "lineitem")
     run = lambda c: rows.groupBy("l_returnflag").agg(r6(F.avg(F.when(F.col("l_quantity") >= c["tau"], 1.0).otherwise(0.0))).alias("share"))
     return W.ablations({"tau": 25}, {"base": {}, "strict": {"tau": 40}}, run)
 
 
-@query("select 'tau' as parameter, t::varchar as value, round(avg(case when l_quantity >= t then 1.0 else 0.0 end), 6) as share from lineitem, unnest([10, 25, 40]) as u(t) group by t")
+@query("""
+select 'tau' as parameter, t::varchar as value, round(avg(case when l_quantity >= t then 1.0 else 0.0 end), 6) as share
+from lineitem, unnest([10, 25, 40]) as u(t) group by t
+""")
 def u6_sensitivity(spark, d):
     rows = table(spark, d, "lineitem")
     return W.sensitivity({"tau": 25}, {"tau": [10, 25, 40]}, lambda c: rows.agg(r6(F.avg(F.when(F.col("l_quantity") >= c["tau"], 1.0).otherwise(0.0))).alias("share")))
 
 
-@query("select p_partkey, string_agg(substr(p_name, i::int + 1, 1), '' order by md5('42:' || p_name || ':' || i), substr(p_name, i::int + 1, 1)) as control from part, unnest(range(0, length(p_name))) as u(i) group by p_partkey, p_name")
+@query("""
+select p_partkey, string_agg(substr(p_name, i::int + 1, 1), '' order by md5('42:' || p_name || ':' || i), substr(p_name, i::int + 1, 1)) as control
+from part, unnest(range(0, length(p_name))) as u(i) group by p_partkey, p_name
+""")
 def u7_shuffle_control(spark, d):
     return W.shuffled(table(spark, d, "part"), "p_name").select("p_partkey", "control")
 
 
-@query("select time_bucket(interval 1 hour, ts) as window_start, event_type, count(value) as n, round(avg(value), 6) as mean_value, min(value) as min_value, round(avg(case when value >= 10 then 1.0 else 0.0 end), 6) as retention from events group by 1, 2")
+@query("""
+select time_bucket(interval 1 hour, ts) as window_start, event_type, count(value) as n, round(avg(value), 6) as mean_value, min(value) as min_value,
+round(avg(case when value >= 10 then 1.0 else 0.0 end), 6) as retention from events group by 1, 2
+""")
 def ext_windowed_roll_up(spark, d):
     return rollups.windowed_roll_up(table(spark, d, "events"), 10.0).withColumns({"mean_value": r6("mean_value"), "retention": r6("retention")})
