@@ -212,7 +212,8 @@ def fingerprint_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     The next row is that with the next smaller doc_id; rows that share an id follow by the hash of their text, rows without
     an id come last, and after the last row comes the first. The edited text is the text with its last floor(n_chars / 3) code points
     replaced by as many (or all) first ones of the next text. Null texts count as empty; empty texts have an empty
-    table. An empty table gives no rows; other columns of docs are ignored. removed and added are the paragraph digests that
+    table. An empty table gives no rows; other columns of docs are ignored. Nothing is lost if the rows come in another order
+    each time they are read. removed and added are the paragraph digests that
     only the text and only the edited text have.
 
     Texts are shuffled once, into ranges of that order. Equal rows, also those without an id, are dealt by their place in the
@@ -226,10 +227,12 @@ def fingerprint_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     rows = rows.withColumn("part", range_of(cuts))
     tops = {r["part"]: r["top"] for r in rows.groupBy("part").agg(F.max("key").alias("top")).collect()}  # one row for each range
     order = sorted(tops)
-    follows = [(order[k - 1], order[k], tops[order[k]]["h"], tops[order[k]]["salt"]) for k in range(len(order))]
-    firsts = F.broadcast(spark.createDataFrame(follows, "goes_to int, p int, hh long, ss long"))
-    extra = rows.join(firsts, (F.col("part") == F.col("p")) & (F.col("h") == F.col("hh")) & (F.col("salt") == F.col("ss")))
-    extra = extra.select("text", F.col("goes_to").alias("part"), "key", F.lit(1).alias("extra"))
+    follows = [(order[k - 1], tops[order[k]]["known"], tops[order[k]]["doc_id"], tops[order[k]]["h"]) for k in range(len(order))]
+    firsts = F.broadcast(spark.createDataFrame(follows, "goes_to int, kk int, ii long, hh long"))
+    # A range's first row is told by its id and text alone: rows that agree in both are alike, in whatever order a job reads them.
+    same = (F.col("key.known") == F.col("kk")) & (F.col("key.doc_id") == F.col("ii")) & (F.col("h") == F.col("hh"))
+    extra = rows.join(firsts, same).groupBy(F.col("goes_to").alias("part")).agg(F.min(F.struct("text", "key")).alias("x"))
+    extra = extra.select("x.text", "part", "x.key", F.lit(1).alias("extra"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []

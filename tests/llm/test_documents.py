@@ -52,6 +52,16 @@ def test_digests_follow_the_paragraphs():
     assert set(fingerprint.digests(b"one. two!  three\r\n\nfour.five").tolist()) == {xxhash.xxh64_intdigest(x) for x in (b"one.", b"two!", b"three", b"four.five")}
 
 
+def test_edits_of_rows_that_change_their_order(spark):
+    """Every job reads the rows in an order of its own."""
+    rows = [(k, f"text {k}. second {k % 5}. third") for k in range(80)] + [(7, "twice"), (7, "twice")] + [(None, "no id"), (None, "no id"), (90, None)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    stable = sorted(map(str, fingerprint.fingerprint_edits(frame.coalesce(1)).select("doc_id", "n_chars", "edited_sha256").collect()))
+    for _ in range(3):
+        moving = frame.withColumn("r", F.uuid()).repartition(5, "r").sortWithinPartitions("r").drop("r")
+        assert sorted(map(str, fingerprint.fingerprint_edits(moving).select("doc_id", "n_chars", "edited_sha256").collect())) == stable
+
+
 def test_ranges_split_equal_rows(spark):
     rows = [(None, "same text. twice")] * 300 + [(k, f"text {k}") for k in range(60)]
     frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(3).cache()
