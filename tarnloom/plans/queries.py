@@ -684,6 +684,44 @@ def x9_midpoint_root(spark, d):
     return H.midpoint_root(nations.union(roots.select("tree_id", "node", above, F.lit("").alias("name"), none)))
 
 
+@query("""
+with recursive e as (
+  select 'tree' || n_regionkey as tree_id, 'N' || lpad(n_nationkey::varchar, 9, '0') as node, 'R' || lpad(n_regionkey::varchar, 9, '0') as parent,
+    n_name as name, (n_nationkey + 1)::double as length from nation
+  union all select 'tree' || n_regionkey, 'C' || lpad(c_custkey::varchar, 9, '0'), 'N' || lpad(n_nationkey::varchar, 9, '0'), c_name,
+    c_custkey % 97 + c_custkey / 4096 from customer join nation on c_nationkey = n_nationkey
+  union all select distinct 'tree' || n_regionkey, 'R' || lpad(n_regionkey::varchar, 9, '0'), null, null, null::double from nation),
+adj as (select tree_id, node as x, parent as y, length as w from e where parent is not null
+  union all select tree_id, parent, node, length from e where parent is not null),
+tips as (select tree_id, x as node from adj group by all having count(*) = 1),
+walk0(tree_id, node, prev, d) as (select tree_id, min(node), null::varchar, 0::double from tips group by 1
+  union all select adj.tree_id, adj.y, adj.x, d + w from walk0 join adj on adj.tree_id = walk0.tree_id and adj.x = node where adj.y is distinct from prev),
+a as (select tree_id, max({'d': d, 'node': node}).node as node from walk0 join tips using (tree_id, node) group by 1),
+walk(tree_id, node, prev, d) as (select tree_id, node, null::varchar, 0::double from a
+  union all select adj.tree_id, adj.y, adj.x, d + w from walk join adj on adj.tree_id = walk.tree_id and adj.x = node where adj.y is distinct from prev),
+b as (select tree_id, max({'d': d, 'node': node}) as b from walk join tips using (tree_id, node) group by 1),
+path(tree_id, node, prev, d) as (select w.tree_id, w.node, w.prev, w.d from walk w join b on b.tree_id = w.tree_id and b.b.node = w.node
+  union all select w.tree_id, w.node, w.prev, w.d from path join walk w on w.tree_id = path.tree_id and w.node = path.prev),
+v as (select path.tree_id, min({'d': d, 'node': node, 'prev': prev}) as v, any_value(b.b.d) / 2 as half from path join b on b.tree_id = path.tree_id where d > b.b.d / 2 group by 1),
+cut as (select v.tree_id, v.v.node as v, v.v.prev as top, v.v.d - half as v_length, half - w.d as top_length from v join walk w on w.tree_id = v.tree_id and w.node = v.v.prev),
+edge as (select adj.tree_id, x, y, w from adj join cut using (tree_id) where top_length = 0 or not ((x = v and y = top) or (x = top and y = v))
+  union all select tree_id, 'midpoint', unnest([v, top]), unnest([v_length, top_length]) from cut where top_length > 0),
+rooted(tree_id, node, parent, length) as (select tree_id, case when top_length = 0 then top else 'midpoint' end, null::varchar, null::double from cut
+  union all select edge.tree_id, edge.y, edge.x, edge.w from rooted r join edge on edge.tree_id = r.tree_id and edge.x = r.node where edge.y is distinct from r.parent)
+select rooted.tree_id, rooted.node, rooted.parent, e.name, rooted.length from rooted left join e on e.tree_id = rooted.tree_id and e.node = rooted.node
+""")
+def x9b_midpoint_root_by_joins(spark, d):
+    """Each region as a tree of nations and their customers, rooted by joins as trees of any size are. Lengths are dyadic, so sums are exact."""
+    named = lambda c, p: F.concat(F.lit(p), F.lpad(F.col(c).cast("string"), 9, "0"))
+    n = table(spark, d, "nation").withColumn("tree_id", F.concat(F.lit("tree"), F.col("n_regionkey").cast("string")))
+    length = (F.col("n_nationkey") + 1).cast("double").alias("length")
+    nations = n.select("tree_id", named("n_nationkey", "N").alias("node"), named("n_regionkey", "R").alias("parent"), F.col("n_name").alias("name"), length)
+    c = table(spark, d, "customer").join(n, F.col("c_nationkey") == F.col("n_nationkey"))
+    length = (F.col("c_custkey") % 97 + F.col("c_custkey") / 4096).alias("length")
+    customers = c.select("tree_id", named("c_custkey", "C").alias("node"), named("n_nationkey", "N").alias("parent"), F.col("c_name").alias("name"), length)
+    return H.midpoint_root(nations.union(customers), in_task=0)
+
+
 @query("""
 select n_name, case when n < 5 then 'skipped' when bal is null then 'skipped' when bal < 0 then 'skipped' else 'ok' end as status,
 case when n < 5 then 'too few members' when bal is null then 'no balance' when bal < 0 then 'negative balance' end as reason
