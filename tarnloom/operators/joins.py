@@ -154,6 +154,8 @@ def within(points: DataFrame, others: DataFrame, axes: list[str], radius: float,
     """
     left, right, cells = _celled(points, others, axes, radius)
     on = list(cells)
+    if all(df.count() <= most for df in {id(x): x for x in (points, others)}.values()):  # then no cell has more of a side
+        return left.join(right, cells).filter(_gap(axes) < radius).drop(*cells)
     sizes = left.select(*cells, F.lit(0).alias("_side")).unionByName(right.select(*cells, F.lit(1).alias("_side")))
     sizes = sizes.groupBy(*cells).agg(*[F.ceil(F.count_if(F.col("_side") == k) / most).cast("int").alias(n) for k, n in enumerate(("_ln", "_rn"))])
     heavy = stage(sizes.filter("_ln > 0 and _rn > 0 and _ln + _rn > 2"), "heavy")

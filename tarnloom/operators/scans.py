@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..storage import stage
 
-MOST = 1 << 18  # rows of a group that one task puts in order
+MOST = 1 << 20  # rows of a group that one task puts in order
 
 
 def same(df: DataFrame, other: DataFrame, by: list[str]) -> tuple[DataFrame, Column]:
@@ -26,8 +26,11 @@ def same(df: DataFrame, other: DataFrame, by: list[str]) -> tuple[DataFrame, Col
 
 
 def in_sizes(df: DataFrame, by: list[str], most: int | None = None) -> tuple[DataFrame, DataFrame | None]:
-    """The rows of groups of at most `most` rows, and those of larger groups (None if there are none)."""
-    large = df.groupBy(*by).agg(F.count("*").alias("_n")).filter(F.col("_n") > (MOST if most is None else most)).select(*by)
+    """The rows of groups of at most `most` rows, and those of larger groups (None if there are none). df is read to tell."""
+    most = MOST if most is None else most
+    if df.count() <= most:
+        return df, None
+    large = df.groupBy(*by).agg(F.count("*").alias("_n")).filter(F.col("_n") > most).select(*by)
     if large.isEmpty():
         return df, None
     other, condition = same(df, large, by)

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import clean_id, ungapped
 from ..operators import aggregates, filters, ranking, sampling
+from ..storage import stage
 
 
 def evaluate_and_rank(scores: DataFrame, item: str, score: str, eta: float = 0.1, tau: float | None = None) -> DataFrame:
@@ -79,8 +80,8 @@ def score_distinct(pairs: DataFrame, item: str, scenario: str, scorer: Callable[
 
 
 def eta_sweep(scores: DataFrame, item: str, score: str, etas: list[float]) -> DataFrame:
-    """(eta, n, mean, median, min, max) of the items' lower-tail means at each eta; the scores are read once."""
-    tails = aggregates.tail_means(scores, [item], score, {f"e{k}": e for k, e in enumerate(etas)})
+    """(eta, n, mean, median, min, max) of the items' lower-tail means at each eta; the items' means are made once."""
+    tails = stage(aggregates.tail_means(scores, [item], score, {f"e{k}": e for k, e in enumerate(etas)}), "tails")
     long = tails.select(F.explode(F.array(*[F.struct(F.lit(float(e)).alias("eta"), F.col(f"e{k}").alias("tail")) for k, e in enumerate(etas)])).alias("r")).select("r.*")
     return aggregates.summary(long, "eta", "tail")
 
