@@ -19,9 +19,13 @@ def evaluate_and_rank(scores: DataFrame, item: str, score: str, eta: float = 0.1
     return ranking.number_rows(aggregates.evaluate(scores, item, score, eta, tau), [F.desc_nulls_last("robust_score"), F.asc(item)])
 
 
-def clean_records(records: DataFrame, low: int, high: int, ordinal: str = "ordinal", n: int | None = None, least: int = 20, seed: int = 42) -> DataFrame:
-    """Cleaned ids and bodies of bounded length, first occurrences of a body, a seeded sample; ValueError for too few."""
-    rows = records.withColumns({"id": clean_id("id"), "body": ungapped("body")}).filter(filters.length_between("body", low, high))
+def clean_records(records: DataFrame, low: int, high: int, ordinal: str = "ordinal", n: int | None = None, least: int = 20, seed: int = 42, as_given: bool = False) -> DataFrame:
+    """Cleaned ids and bodies of bounded length, first occurrences of a body, a seeded sample; ValueError for too few.
+
+    The bounds hold for the cleaned body, or with as_given for the body as it came, with gaps and before its letters' upper case.
+    """
+    bounded, cleaned = filters.length_between("body", low, high), {"id": clean_id("id"), "body": ungapped("body")}
+    rows = records.filter(bounded).withColumns(cleaned) if as_given else records.withColumns(cleaned).filter(bounded)
     rows = ranking.first_occurrences(rows, ["body"], ordinal)
     return filters.at_least_rows(sampling.sample(rows, "id", n, seed) if n else rows, least)
 

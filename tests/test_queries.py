@@ -7,6 +7,7 @@ import duckdb
 import pytest
 
 import __spark_entry__
+from tarnloom.plans import workflows as W
 from tarnloom.plans.queries import QUERIES, SQL
 
 SF = "/root/testdata/sf0.001"
@@ -48,6 +49,21 @@ def test_query_matches_sql(spark, duck, name):
         assert got[1]
 
 
+def test_clean_records_bounds_the_text_as_given(spark, tmp_path):
+    odd = ["-" * 3 + "a" * 98, "b" * 99 + "ß", "b" * 98 + "ß", "c" * 4995 + "ß" * 5, "d" * 4998 + "---", "d" * 4997 + "---", "e" * 99, "e" * 5001, "-" * 100, "G" * 100, "g" * 100 + "-", "-" * 4999 + "G" * 100]
+    texts = [*odd, None, "", *[f"{k:03d}" * 40 for k in range(30)]]
+    path = str(tmp_path / "documents.parquet")
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1).write.parquet(f"file://{path}")
+    got = sorted(tuple(r) for r in QUERIES["e1_clean_records"](spark, f"file://{tmp_path}").collect())
+    c = duckdb.connect()
+    c.sql(f"create view documents as select * from '{path}/*.parquet'")
+    assert got == sorted(c.sql(SQL["e1_clean_records"]).fetchall())
+    assert got[:6] == [(0, 98), (1, 101), (3, 5005), (5, 4997), (8, 0), (9, 100)] and got[6:] == [(k, 120) for k in range(14, 44)]
+    rows = spark.createDataFrame([(f"r{k}", t, k) for k, t in enumerate(texts)], "id string, body string, ordinal long")
+    cleaned = {r["ordinal"] for r in W.clean_records(rows, 100, 5000).collect()}  # by itself the operator bounds cleaned bodies
+    assert cleaned == {1, 2, 4, 5, 9, *range(14, 44)}
+
+
 def test_entry_points(spark):
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
